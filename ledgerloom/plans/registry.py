@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,11 @@ _MODULES = ["core_queries"]
 
 
 def _sources() -> list:
-    return [importlib.import_module(f"{__package__}.{m}") for m in _MODULES]
+    found = [importlib.import_module(f"{__package__}.{m}") for m in _MODULES]
+    package = __package__.rpartition(".")[0]
+    if importlib.util.find_spec(f"{package}.llm.queries") if importlib.util.find_spec(f"{package}.llm") else None:
+        found.append(importlib.import_module(f"{package}.llm.queries"))
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
