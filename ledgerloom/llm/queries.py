@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from ..sources.tables import table
 from .byte_bpe import count_tokens, encode_texts
+from .components import wallet_groups
 from .packing import fill_report, pack
 from .ranking import among_best, best_per_node, closeness, ranked, score_table
 from .topn import entity_alerts, top_n
@@ -37,6 +38,10 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(scored, [F.desc("closeness"), F.asc("node_id")], scratch)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return wallet_groups(table(spark, folder, "same_entity_links", "wallet_a", "wallet_b"), table(spark, folder, "transactions", "input_addresses"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -60,9 +65,16 @@ with o as (select distinct wallet_id, entity_id from entities where entity_id is
 a as (select alert_id, node_id, max(final_score) as s from alerts where final_score is not null and not isnan(final_score) group by all),
 r as (select entity_id, alert_id, row_number() over (partition by entity_id order by s desc, alert_id) as rank_no from a join o on o.wallet_id = a.node_id)
 select entity_id, rank_no, alert_id from r where rank_no <= 3
+""",
+    "p5_found": """
+with recursive t as (select list_sort(list_distinct(list_filter(input_addresses, lambda x: x is not null))) as w from transactions),
+e as (select wallet_a as a, wallet_b as b from same_entity_links where wallet_a <> wallet_b union select w[1], unnest(w[2:]) from t where len(w) > 1),
+s as (select a, b from e union select b, a from e),
+r as (select a as wallet_id, least(a, min(b)) as g from s group by a union select s.b, r.g from r join s on s.a = r.wallet_id)
+select wallet_id, min(g) as group_id from r group by wallet_id
 """,
     "p4_found": f"with {', '.join(map(_best, SCORES))} select node_id from alert_r join anomaly_r using (node_id) join risk_r using (node_id) join similarity_r using (node_id) where "
     + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
 }
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
