@@ -11,6 +11,7 @@ from .byte_bpe import count_tokens, encode_texts
 from .components import wallet_groups
 from .packing import fill_report, pack
 from .ranking import among_best, best_per_node, closeness, ranked, score_table
+from .similarity_clusters import describe_clusters, mutual_clusters, similarity_clusters
 from .topn import entity_alerts, top_n
 
 CAPACITY, BEST_SHARE = 2048, 0.05
@@ -42,6 +43,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return wallet_groups(table(spark, folder, "same_entity_links", "wallet_a", "wallet_b"), table(spark, folder, "transactions", "input_addresses"))
 
 
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_clusters(table(spark, folder, "node_features", "node_type", "node_id", "embedding"), "node_type", "node_id", "embedding", 0.95, 5)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mutual_clusters(_clusters(spark, folder), "node_type", "node_id")
+
+
+def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return describe_clusters(_clusters(spark, folder), "node_type", "node_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -77,4 +90,4 @@ select wallet_id, min(g) as group_id from r group by wallet_id
     + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
 }
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
