@@ -12,6 +12,7 @@ from .components import wallet_groups
 from .packing import fill_report, pack
 from .ranking import among_best, best_per_node, closeness, ranked, score_table
 from .similarity_clusters import describe_clusters, mutual_clusters, similarity_clusters
+from .stuffing import stuffed_pages, stuffed_shares
 from .topn import entity_alerts, top_n
 
 CAPACITY, BEST_SHARE = 2048, 0.05
@@ -67,6 +68,14 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p9_containers(spark, folder), CAPACITY)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_shares(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.round("share", 6).alias("share"))
+
+
 def _best(name: str) -> str:
     t, c = SCORES[name]
     return f"{name} as (select node_id, max({c}) as s from {t} where {c} is not null and not isnan({c}) and node_id is not null group by node_id), {name}_r as (select node_id, row_number() over (order by s desc, node_id) as r, count(*) over () as n from {name})"
@@ -90,4 +99,4 @@ select wallet_id, min(g) as group_id from r group by wallet_id
     + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
 }
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shares": p10_shares}
