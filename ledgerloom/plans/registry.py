@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["core_queries"]
+_MODULES = ["core_queries", "graph_queries"]
 
 
 def _sources() -> list:
