@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["core_queries", "graph_queries"]
+_MODULES = ["core_queries", "ingest_queries", "graph_queries", "entity_queries"]
 
 
 def _sources() -> list:
