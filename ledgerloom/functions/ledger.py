@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 
 def once(transactions: DataFrame) -> DataFrame:
     """The first delivery of every txid; rows without a txid are left out."""
@@ -64,14 +66,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """df with the percentile rank of a column, equal values sharing the mean of their places.
+    """df with the percentile rank of a column (within groups of `by`), equal values sharing the mean of their places.
 
-    The window runs over distinct values with their counts, not over the rows.
+    Distinct values with their counts are divided by ranges of the value and stored; running sums stay within a range,
+    and one number per range and group says what lies before it. No task sees more than a range of distinct values.
     """
     by = by or []
+    scratch = Scratch(df.sparkSession, "rank")
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_m"))
-    upto = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranks = counts.withColumn(out, (F.sum("_m").over(upto) - (F.col("_m") - 1) / 2) / F.sum("_m").over(whole)).drop("_m")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, column]]
-    return df.alias("l").join(ranks.alias("r"), same).select("l.*", F.col(f"r.{out}"))
+    counts = scratch.write(counts.repartitionByRange(*by, column).withColumn("_p", F.spark_partition_id()), "counts")
+    ranges = counts.groupBy(*by, "_p").agg(F.sum("_m").alias("_t"))
+    prior = Window.partitionBy(*by).orderBy("_p")
+    ranges = ranges.select(*by, "_p", (F.sum("_t").over(prior) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    upto = F.sum("_m").over(Window.partitionBy(*by, "_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+    placed = counts.withColumn("_upto", upto).alias("l").join(F.broadcast(ranges).alias("r"), same([*by, "_p"]))
+    ranks = placed.select(*(F.col(f"l.{c}") for c in [*by, column]), ((F.col("_before") + F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out))
+    return df.alias("l").join(ranks.alias("r"), same([*by, column])).select("l.*", F.col(f"r.{out}"))

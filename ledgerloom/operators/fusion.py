@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank
+from ..session import Scratch
+from .order import numbered_rows
 from .rationale import attention_clause, explained, rationale
 
 #: Fill of a missing anomaly score, fallback weights, weights of the rank blend, threshold and length of the queue, labels
@@ -81,11 +83,13 @@ def build_alerts(scored: DataFrame, pattern: DataFrame, risk: DataFrame, anomaly
     The head tables (node_id, score, reason_code, evidence_json) are joined to the queue only, and only there is their
     JSON read. attention, if given, is (node_id, neighbors array<struct<weight, node_id>>).
     """
-    queue = scored.where(F.col("final_score") >= threshold).orderBy(F.desc("final_score"), "node_id")
+    order = [F.desc("final_score"), F.asc("node_id")]
+    queue = scored.where(F.col("final_score") >= threshold)
     if top_k is not None:
-        queue = queue.limit(top_k)
-    place = F.row_number().over(Window.orderBy(F.desc("final_score"), "node_id")) - 1
-    queue = queue.withColumn("alert_id", F.format_string("alert_%05d", place))
+        queue = queue.orderBy(*order).limit(top_k).withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        queue = numbered_rows(queue, order, Scratch(scored.sparkSession, "alerts"), "_place")
+    queue = queue.withColumn("alert_id", F.format_string("alert_%05d", "_place")).drop("_place")
     reasons = reduce(DataFrame.unionByName, [h.select("node_id", "reason_code", "evidence_json") for h in (pattern, risk, anomaly)]).join(F.broadcast(queue.select("node_id")) if top_k is not None else queue.select("node_id"), "node_id", "left_semi")
     parts = explained(reasons)
     per_code = parts.groupBy("node_id", "reason_code").agg(F.min("clause").alias("clause"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["core_queries", "ingest_queries", "graph_queries", "entity_queries", "pattern_queries", "risk_queries", "fusion_queries"]
+_MODULES = ["core_queries", "ingest_queries", "graph_queries", "entity_queries", "pattern_queries", "risk_queries", "fusion_queries", "model_queries"]
 
 
 def _sources() -> list:
