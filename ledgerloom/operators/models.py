@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank
+from ..session import Scratch
 
 #: Rows and edges that a fit takes at most, size of an embedding, epochs and step of the optimiser.
 FIT_ROWS, FIT_EDGES, DIMENSIONS, EPOCHS, STEP = 20_000, 20_000, 16, 30, 0.01
@@ -297,6 +298,7 @@ def attention_layer(nodes: DataFrame, relations: DataFrame, left: np.ndarray, ri
     e = e.withColumn("q", leaky)
     for h in range(heads):
         e = e.withColumn(f"a{h}", reduce(lambda a, b: a + b, (F.get("q", h * out + i) * float(score[h, i]) for i in range(out))))
+    e = Scratch(nodes.sparkSession, "attention").write(e.drop("r", "q"), "scores")  # read by three joins
     top = e.groupBy("relation", "dst").agg(*(F.max(f"a{h}").alias(f"m{h}") for h in range(heads)))
     e = e.join(top, ["relation", "dst"]).withColumns({f"e{h}": F.exp(F.col(f"a{h}") - F.col(f"m{h}")) for h in range(heads)})
     total = e.groupBy("relation", "dst").agg(*(F.sum(f"e{h}").alias(f"t{h}") for h in range(heads)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import models as mo
 from ..operators.hdbscan import hdbscan
+from ..session import Scratch
 from ..sources.tables import table
 from .graph_queries import ledger_flows
 from .ledger_sql import EDGES
@@ -60,8 +61,9 @@ def m6_time_vectors(spark, folder):
 
 
 def _attention(spark, folder):
+    scratch = Scratch(spark, "attention")
     edges, nodes = _vectors(spark, folder)
-    relations = mo.both_directions(edges)
+    relations, nodes = scratch.write(mo.both_directions(edges), "relations"), scratch.write(nodes, "nodes")
     rng = np.random.default_rng(5)
     first = mo.attention_layer(nodes, relations, rng.normal(0, 0.5, (3, 8)), rng.normal(0, 0.5, (3, 8)), rng.normal(0, 0.5, (2, 4)))
     second = mo.attention_layer(first[0], relations, rng.normal(0, 0.5, (4, 8)), rng.normal(0, 0.5, (4, 8)), rng.normal(0, 0.5, (2, 4)))
