@@ -81,7 +81,22 @@ def _best(name: str) -> str:
     return f"{name} as (select node_id, max({c}) as s from {t} where {c} is not null and not isnan({c}) and node_id is not null group by node_id), {name}_r as (select node_id, row_number() over (order by s desc, node_id) as r, count(*) over () as n from {name})"
 
 
+def _ranking() -> str:
+    """The whole ranking: cuts at the floor(n / 20)-th values from both ends, unit columns, closeness, place."""
+    names = list(SCORES)
+    cuts = ", ".join(f"coalesce((select max(s) from (select s, row_number() over (order by s desc) as r, count(*) over () as n from {x}) where r = n // 20), (select max(s) from {x})) as t_{x}, coalesce((select min(s) from (select s, row_number() over (order by s) as r, count(*) over () as n from {x}) where r = n // 20), (select min(s) from {x})) as l_{x}" for x in names)
+    clip = ", ".join(f"coalesce(least(greatest({x}.s, l_{x}), t_{x}), l_{x}) as {x}, coalesce({x}.s >= t_{x}, false) as b_{x}, l_{x}, t_{x}" for x in names)
+    norm = ", ".join(f"sqrt(sum({x} * {x}) over ()) as n_{x}" for x in names)
+    near = " + ".join(f"pow((t_{x} / n_{x} - {x} / n_{x}) / (t_{x} / n_{x} - l_{x} / n_{x}), 2)" for x in names)
+    far = " + ".join(f"pow(({x} / n_{x} - l_{x} / n_{x}) / (t_{x} / n_{x} - l_{x} / n_{x}), 2)" for x in names)
+    return f"""with {", ".join(map(_best, names))}, cuts as (select {cuts}), ids as (select node_id from alert union select node_id from anomaly union select node_id from risk union select node_id from similarity),
+clipped as (select node_id, {clip} from ids {" ".join(f"left join {x} using (node_id)" for x in names)}, cuts), unit as (select *, {norm} from clipped),
+c as (select node_id, round(case when {" and ".join(f"b_{x}" for x in names)} then 1.0 else sqrt({far}) / (sqrt({far}) + sqrt({near})) end, 9) as closeness from unit)
+select node_id, closeness, row_number() over (order by closeness desc, node_id) as rank_no from c"""
+
+
 SQL = {
+    "p4_ranking": _ranking(),
     "p3_found": """
 with o as (select distinct wallet_id, entity_id from entities where entity_id is not null),
 a as (select alert_id, node_id, max(final_score) as s from alerts where final_score is not null and not isnan(final_score) group by all),
