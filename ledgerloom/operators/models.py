@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank
@@ -89,6 +89,23 @@ class Projection:
 
         return df.select("node_id", "x").mapInArrow(run, "node_id string, embedding array<double>")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The parameters as a Parquet table of one row per entry."""
+        rows = [(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(self.weights)]
+        spark.createDataFrame(rows, "i int, j int, value double").coalesce(1).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Projection:
+        rows = spark.read.schema("i int, j int, value double").parquet(path).toPandas()
+        w = np.zeros((int(rows["i"].max()) + 1, int(rows["j"].max()) + 1))
+        w[rows["i"], rows["j"]] = rows["value"]
+        return Projection(w)
+
+
+def embedding_columns(embeddings: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """node_id and emb_0, emb_1 and so on instead of the array."""
+    return embeddings.select("node_id", *(F.get("embedding", i).alias(f"emb_{i}") for i in range(dimensions)))
+
 
 def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, most_edges: int = FIT_EDGES) -> Projection:
     """A projection of propagated features under which linked nodes have larger products than random ones.

@@ -99,7 +99,8 @@ def test_busy_broadcasters(spark):
     assert gr.without_busy_broadcasters(few).count() == few.count()
 
 
-def test_linked_components(spark):
+@pytest.mark.parametrize("task_pairs", [0, 10**6])
+def test_linked_components(spark, task_pairs):
     rng = random.Random(4)
     pairs = [(f"{rng.randrange(200):03d}", f"{rng.randrange(200):03d}") for _ in range(120)] + [(None, "1"), ("5", "5")] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)]
     root = {}
@@ -113,7 +114,7 @@ def test_linked_components(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["member"]: r["root"] for r in linked_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
+    got = {r["member"]: r["root"] for r in linked_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b", task_pairs=task_pairs).collect()}
     assert got == {v: find(v) for v in root}
 
 
