@@ -46,14 +46,29 @@ def activity(flows: DataFrame) -> DataFrame:
     return flows.select(F.explode(wallets_of("ins")).alias("wallet_id"), "txid", "at_us", "row_index", "geo_country", "src_ip", "asn")
 
 
-def timing(sent: DataFrame) -> DataFrame:
+def timing(sent: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Inter-arrival times in seconds and country changes, both in the order of time; addresses; per wallet.
 
-    Rows without a time take no part in the intervals; rows without a country none in the hops.
+    Neighbours in time are looked up within chunks of a wallet's time first, and then between the last row of a chunk and
+    the first of the next one. A wallet that owns a third of all rows is therefore many windows, and brings one row per
+    chunk to the window over its chunks. Deviations are merged from the chunks' means and squares about them.
+
+    Rows without a time take no part in the intervals; a change from or to no country is none.
     """
-    order = Window.partitionBy("wallet_id").orderBy("at_us", "row_index")
-    gaps = sent.where("at_us is not null").withColumn("gap", (F.col("at_us") - F.lag("at_us").over(order)) / 1e6).withColumn("hop", (F.col("geo_country") != F.lag("geo_country").over(order)).cast("int"))
-    g = gaps.groupBy("wallet_id").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.coalesce(F.sum("hop"), F.lit(0)).alias("hops"), F.countDistinct("src_ip").alias("ips"), F.count("src_ip").alias("with_ip"))
+    rows = sent.where("at_us is not null").withColumn("chunk", F.expr(f"at_us div {chunk_seconds * 1_000_000}"))
+    order = Window.partitionBy("wallet_id", "chunk").orderBy("at_us", "row_index")
+    gaps = rows.withColumn("gap", (F.col("at_us") - F.lag("at_us").over(order)) / 1e6).withColumn("hop", (F.col("geo_country") != F.lag("geo_country").over(order)).cast("int"))
+    end = F.struct("at_us", "row_index", "geo_country")
+    parts = gaps.groupBy("wallet_id", "chunk").agg(F.count("*").alias("n"), F.count("gap").alias("m"), F.avg("gap").alias("mean"), (F.var_pop("gap") * F.count("gap")).alias("sq"), F.coalesce(F.sum("hop"), F.lit(0)).alias("hops"), F.min(end).alias("first"), F.max(end).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("wallet_id").orderBy("chunk"))
+    parts = parts.withColumn("before", before).withColumn("over", (F.col("first.at_us") - F.col("before.at_us")) / 1e6)
+    bits = parts.select("wallet_id", "n", (F.col("hops") + F.coalesce((F.col("first.geo_country") != F.col("before.geo_country")).cast("int"), F.lit(0))).alias("hops"), F.array(F.struct("m", "mean", "sq"), F.struct(F.col("over").isNotNull().cast("bigint").alias("m"), F.col("over").alias("mean"), F.lit(0.0).alias("sq"))).alias("bits"))
+    flat = bits.select("wallet_id", "n", "hops", F.posexplode("bits").alias("k", "b")).select("wallet_id", F.when(F.col("k") == 0, F.col("n")).otherwise(0).alias("n"), F.when(F.col("k") == 0, F.col("hops")).otherwise(0).alias("hops"), "b.m", F.coalesce("b.mean", F.lit(0.0)).alias("mean"), F.coalesce("b.sq", F.lit(0.0)).alias("sq"))
+    whole = Window.partitionBy("wallet_id")
+    mean = flat.withColumn("all", F.sum(F.col("m") * F.col("mean")).over(whole) / F.nullif(F.sum("m").over(whole), F.lit(0)))
+    g = mean.groupBy("wallet_id").agg(F.sum("n").alias("n"), F.sum("hops").alias("hops"), F.max("all").alias("mean"), F.sqrt(F.sum(F.col("sq") + F.col("m") * F.pow(F.col("mean") - F.col("all"), 2)) / F.nullif(F.sum("m"), F.lit(0))).alias("std"))
+    ips = rows.groupBy("wallet_id").agg(F.countDistinct("src_ip").alias("ips"), F.count("src_ip").alias("with_ip"))
+    g = g.join(ips, "wallet_id")
     many = F.col("n") >= 2
     mean, std = F.when(many, F.col("mean")).otherwise(0.0), F.when(many, F.col("std")).otherwise(0.0)
     return g.select(
