@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,8 +227,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    return batch.column(1).to_pylist()
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, texts) of some rows of a batch at a time, as many as hold CHARS_AT_ONCE characters, one at least."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), CHARS_AT_ONCE, side="right")))
+        some = batch.slice(at, end - at)
+        yield some.column(0), some.column(1).to_pylist()
+        at = end
 
 
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -241,13 +249,11 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     id_type = pa.string() if kind == "string" else pa.int64()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = encoder(ranks).encode(_texts(batch))
-            if len(ids) >= 1 << 31:
-                raise ValueError("more than 2^31 ids in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        for names, texts in (part for batch in batches for part in _slices(batch)):
+            ids, counts = encoder(ranks).encode(texts)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=pa.schema([(doc_id, id_type), ("ids", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([names, lists], schema=pa.schema([(doc_id, id_type), ("ids", pa.list_(pa.int32()))]))
 
     return docs.select(F.col(doc_id).cast("string" if kind == "string" else "bigint").alias(doc_id), F.col(text)).mapInArrow(run, f"`{doc_id}` {'string' if kind == 'string' else 'bigint'}, ids array<int>")
 
@@ -257,8 +263,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     kind = "string" if dict(docs.dtypes)[doc_id] == "string" else "bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = encoder(ranks).count(_texts(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[doc_id, "n_tokens"])
+        for names, texts in (part for batch in batches for part in _slices(batch)):
+            yield pa.RecordBatch.from_arrays([names, pa.array(encoder(ranks).count(texts), pa.int64())], names=[doc_id, "n_tokens"])
 
     return docs.select(F.col(doc_id).cast(kind).alias(doc_id), F.col(text)).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens bigint")

@@ -44,3 +44,16 @@ def test_columns(spark):
     assert got == [(1, one), (2, []), (3, []), (4, one), (4, one)]
     assert sorted(map(tuple, count_tokens(docs).collect())) == [(k, len(v)) for k, v in got]
     assert encode_texts(docs.limit(0)).count() == 0
+
+
+def test_slices_cover_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    import ledgerloom.llm.byte_bpe as m
+
+    monkeypatch.setattr(m, "CHARS_AT_ONCE", 10)
+    texts = ["x" * 30, None, "", "abc", "d" * 8, "e", "f" * 9, "g" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(m._slices(batch))
+    assert [i for a, _ in parts for i in a.to_pylist()] == list(range(8)) and [t for _, ts in parts for t in ts] == texts
+    assert all(len(ts) == 1 or sum(len(t or "") for t in ts) <= 10 for _, ts in parts)
