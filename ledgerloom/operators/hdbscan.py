@@ -1,4 +1,4 @@
-"""Hierarchical density clustering of one bounded group of vectors, in numpy."""
+"""Hierarchical density clustering of groups of vectors of any size, exactly: numpy per block, trees merged by Spark."""
 
 from __future__ import annotations
 
@@ -7,43 +7,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of one group at most; distances are computed row by row, so that memory is linear.
-MOST_ROWS = 50_000
+from ..session import Scratch
+from .order import numbered_rows
 
+#: Vectors of one block; a task holds two blocks, and the same result comes out whatever the number.
+BLOCK = 5_000
 
-def core_distances(x: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty(len(x))
-    sq = (x**2).sum(1)
+
+def nearest_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distances from each row of x to rows of y, all of them if there are fewer, in ascending order.
+
+    Products of matrices find a short list; where their rounding might hide one of the k, all distances are taken.
+    """
+    k, short, sq = min(k, len(y)), min(k + 16, len(y)), (y**2).sum(1)
+    doubt = 64 * np.finfo(float).eps * (float((x**2).sum(1).max(initial=0)) + float(sq.max(initial=0)))
+    exact = lambda a, b: np.sort(np.sqrt(((a[:, None, :] - b) ** 2).sum(2)), axis=1)[:, :k]
+    out = np.empty((len(x), k))
     for i in range(0, len(x), 512):
-        d = np.maximum(sq[i : i + 512, None] + sq[None, :] - 2 * x[i : i + 512] @ x.T, 0)
-        out[i : i + 512] = np.sqrt(np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1])
+        some = x[i : i + 512]
+        product = (some**2).sum(1)[:, None] + sq[None, :] - 2 * some @ y.T
+        at = np.argpartition(product, short - 1, axis=1)[:, :short]
+        near = np.sort(np.take_along_axis(product, at, 1), axis=1)
+        out[i : i + 512] = exact(some, y[at])
+        for r in np.flatnonzero(~(near[:, -1] > near[:, k - 1] + doubt) & ~(out[i : i + 512, -1] == 0)) if short < len(y) else ():
+            out[i + r] = exact(some[r : r + 1], y[None])[0]
     return out
 
 
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """(a, b, distance) rows of the minimum spanning tree of mutual reachability, by Prim's way."""
-    n = len(x)
-    near, best = np.zeros(n, int), np.full(n, np.inf)
-    inside = np.zeros(n, bool)
-    at, rows = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.sqrt(np.maximum(((x - x[at]) ** 2).sum(1), 0)), np.maximum(core, core[at]))
-        closer = ~inside & (d < best)
-        best[closer], near[closer] = d[closer], at
-        nxt = int(np.where(inside, np.inf, best).argmin())
-        rows.append((near[nxt], nxt, best[nxt]))
-        at = nxt
+def core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    return nearest_distances(x, x, k).max(1)
+
+
+class _Fringe:
+    """Points outside the tree in the first m places, each with its best edge into it."""
+
+    def __init__(self, x: np.ndarray, core: np.ndarray, ids: np.ndarray):
+        self.x, self.core, self.ids, self.m = x.T.copy(), core.copy(), ids.copy(), len(ids)
+        self.best, self.near = np.full(self.m, np.inf), np.full(self.m, np.iinfo(np.int64).max)
+
+    def take(self, k: int) -> tuple[np.ndarray, float, int]:
+        point, core, name, last = self.x[:, k].copy(), self.core[k], int(self.ids[k]), self.m - 1
+        self.x[:, k] = self.x[:, last]
+        for column in (self.core, self.ids, self.best, self.near):
+            column[k] = column[last]
+        self.m = last
+        return point, core, name
+
+    def reach(self, point: np.ndarray, core: float, name: int) -> None:
+        m = self.m
+        d = self.x[:, :m] - point[:, None]
+        d *= d
+        d = np.maximum(np.maximum(np.sqrt(d.sum(0)), self.core[:m]), core)
+        d[np.isnan(d)] = np.inf
+        closer = (d < self.best[:m]) | ((d == self.best[:m]) & (name < self.near[:m]))
+        self.best[:m][closer], self.near[:m][closer] = d[closer], name
+
+    def first(self) -> tuple[float, int, int, int]:
+        """(distance, smaller id, larger id, place) of the least edge."""
+        low = self.best[: self.m].min()
+        at = np.flatnonzero(self.best[: self.m] == low)
+        a, b = np.minimum(self.near[at], self.ids[at]), np.maximum(self.near[at], self.ids[at])
+        k = np.lexsort((b, a))[0] if len(at) > 1 else 0
+        return float(low), int(a[k]), int(b[k]), int(at[k])
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray, ids: np.ndarray | None = None, left: int = 0) -> np.ndarray:
+    """(a, b, distance) rows of the minimum spanning tree of mutual reachability, by Prim's way; a < b are ids.
+
+    With left, only edges between the first `left` rows and the others count. Equal distances go by (a, b), so that the
+    tree is the only one of its points and trees of parts can be merged.
+    """
+    ids = np.arange(len(x)) if ids is None else ids
+    sides = [_Fringe(x[s], core[s], ids[s]) for s in ((slice(0, left), slice(left, None)) if left else (slice(None),))]
+    now, side, rows = sides[0].take(0), 0, []
+    for _ in range(len(x) - 1):
+        other = sides[len(sides) - 1 - side]
+        if other.m:
+            other.reach(*now)
+        (d, a, b, k), side = min((s.first(), i) for i, s in enumerate(sides) if s.m)
+        rows.append((a, b, d))
+        now = sides[side].take(k)
     return np.array(rows, float).reshape(-1, 3)
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """The rows (a, b, distance) that are in the minimum spanning forest, in the order of (distance, a, b)."""
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+    names, ends = np.unique(edges[:, :2].astype(np.int64), return_inverse=True)
+    parent, keep = list(range(len(names))), []
+    for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            keep.append(k)
+    return edges[keep]
+
+
 def leaf_clusters(tree: np.ndarray, n: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(label, probability) of each point from the leaves of the condensed tree; -1 and 0 for noise.
 
     A branch of fewer than `least` points falls out of its parent. Leaves are the branches that never split again; one
     with more than `most` points is noise. A point's probability is its density over the densest of its leaf.
     """
-    order = np.argsort(tree[:, 2], kind="stable")
+    order = np.lexsort((tree[:, 1], tree[:, 0], tree[:, 2]))
     parent, left, right, height, size = list(range(2 * n - 1)), {}, {}, {}, [1] * n + [0] * (n - 1)
 
     def find(v: int) -> int:
@@ -111,21 +180,66 @@ def cluster(x: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarra
     return leaf_clusters(spanning_tree(x, core_distances(x, least)), len(x), least, most)
 
 
-def hdbscan(vectors: DataFrame, group: str, item: str, vector: str, least: int = 3, most: int = 500) -> DataFrame:
-    """(group, item, label, prob) of every vector, label -1 for noise; each group is clustered by one task.
+def _edges(table: pa.Table) -> np.ndarray:
+    return np.column_stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in ("a", "b", "d")])
+
+
+def hdbscan(vectors: DataFrame, group: str, item: str, vector: str, least: int = 3, most: int = 500, block: int = BLOCK) -> DataFrame:
+    """(group, item, label, prob) of every vector that is not null, label -1 for noise; groups are clustered apart.
 
-    A group of more than MOST_ROWS vectors is refused with an error, not cut: divide it first.
+    A group is divided into blocks of at most `block` vectors, and every two blocks meet in one task: there each vector
+    finds its nearest ones, from which core distances follow, then the least tree of the edges between both blocks. The
+    trees hold the group's spanning tree; they are merged four at a time, and the condensed tree is read by one task per
+    group. Work is quadratic in a group and the copies of a vector are as many as its blocks; memory is two blocks, and
+    linear in the group only for the last merge and the condensed tree.
     """
-    kinds = dict(vectors.dtypes)
-
-    def run(table: pa.Table) -> pa.Table:
-        if len(table) > MOST_ROWS:
-            raise ValueError(f"a group of {len(table)} vectors; at most {MOST_ROWS} can be clustered together")
-        table = table.sort_by(item)
-        flat = table[vector].combine_chunks()
-        x = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
-        label, prob = cluster(x, least, most)
-        return pa.table({group: table[group], item: table[item], "label": pa.array(label, pa.int32()), "prob": pa.array(prob)})
-
-    ddl = f"`{group}` {kinds[group]}, `{item}` {kinds[item]}, label int, prob double"
-    return vectors.where(F.col(vector).isNotNull()).select(group, item, vector).groupBy(group).applyInArrow(run, ddl)
+    scratch = Scratch(vectors.sparkSession, "hdbscan")
+    some = vectors.where(F.col(vector).isNotNull()).select(group, item, F.col(vector).cast("array<double>").alias("_x"), F.to_json(F.struct(F.col(group).alias("g"))).alias("_g"))
+    rows = scratch.write(numbered_rows(some, [F.col("_g"), F.col(item)], scratch, "_n"), "rows")
+    sizes = scratch.write(rows.groupBy("_g").agg(F.min("_n").alias("_from"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks")), "sizes")
+    rounds = (sizes.agg(F.max("_blocks")).first()[0] or 1) - 1
+    placed = rows.select("_g", "_n", "_x").join(sizes, "_g").withColumn("_i", F.floor((F.col("_n") - F.col("_from")) / F.lit(block)).cast("int"))
+
+    def pairs(df: DataFrame):
+        each = df.withColumn("_j", F.explode(F.expr("sequence(0, _blocks - 1)"))).withColumn("_right", F.col("_i") > F.col("_j"))
+        return each.withColumns({"_i": F.least("_i", "_j"), "_j": F.greatest("_i", "_j")}).select("_g", "_i", "_j", "_n", "_right", *(c for c in df.columns if c in ("_x", "_core"))).groupBy("_g", "_i", "_j")
+
+    def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        table = table.sort_by([("_right", "ascending"), ("_n", "ascending")])
+        x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        left = 0 if table["_i"][0].as_py() == table["_j"][0].as_py() else len(table) - int(table["_right"].to_numpy(zero_copy_only=False).sum())
+        core = table["_core"].to_numpy(zero_copy_only=False) if "_core" in table.column_names else np.zeros(0)
+        return x, core, table["_n"].to_numpy(zero_copy_only=False), left
+
+    def nearest(table: pa.Table) -> pa.Table:
+        x, _, n, left = halves(table)
+        parts = [(x[:left], x[left:], n[:left]), (x[left:], x[:left], n[left:])] if left else [(x, x, n)]
+        near = [(names, nearest_distances(a, b, least)) for a, b, names in parts]
+        return pa.table({"_n": np.concatenate([np.repeat(m, d.shape[1]) for m, d in near]), "d": np.concatenate([d.ravel() for _, d in near])})
+
+    def tree(table: pa.Table) -> pa.Table:
+        x, core, n, left = halves(table)
+        e = spanning_tree(x, core, n, left)
+        return _table(table, e)
+
+    def _table(table: pa.Table, e: np.ndarray) -> pa.Table:
+        first = {c: pa.array([table[c][0].as_py()] * len(e), table.schema.field(c).type) for c in ("_g", "_i", "_j")}
+        return pa.table(first | {"a": e[:, 0].astype(np.int64), "b": e[:, 1].astype(np.int64), "d": e[:, 2]})
+
+    def merged(table: pa.Table) -> pa.Table:
+        return _table(table, forest(_edges(table)))
+
+    def labels(table: pa.Table) -> pa.Table:
+        e = _edges(table)
+        names, ends = np.unique(e[:, :2].astype(np.int64), return_inverse=True)
+        label, prob = leaf_clusters(np.column_stack([ends.reshape(-1, 2), e[:, 2]]), len(names), least, most)
+        return pa.table({"_n": names, "label": pa.array(label, pa.int32()), "prob": prob})
+
+    near = pairs(placed).applyInArrow(nearest, "_n bigint, d double")
+    core = near.groupBy("_n").agg(F.slice(F.array_sort(F.collect_list("d")), 1, least).alias("d")).select("_n", F.element_at("d", -1).alias("_core"))
+    ddl = "_g string, _i int, _j int, a bigint, b bigint, d double"
+    trees = scratch.write(pairs(scratch.write(placed.join(core, "_n"), "core")).applyInArrow(tree, ddl), "trees")
+    for _ in range(rounds.bit_length()):
+        trees = trees.withColumns({c: F.shiftright(c, 1) for c in ("_i", "_j")}).groupBy("_g", "_i", "_j").applyInArrow(merged, ddl)
+    found = trees.groupBy("_g").applyInArrow(labels, "_n bigint, label int, prob double")
+    return rows.join(found, "_n", "left").select(group, item, F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob"))

@@ -127,6 +127,17 @@ def test_spanning_tree_is_minimal():
     assert abs(hd.spanning_tree(x, core)[:, 2].sum() - total) < 1e-9
 
 
+@pytest.mark.parametrize("block", [7, 16, 5000])
+def test_hdbscan_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.05, (20, 2)) for c in ([0, 0], [5, 5], [9, 0])] + [np.repeat([[2.0, 2.0]], 5, 0), rng.uniform(-20, 20, (9, 2))]).round(1)
+    want = hd.cluster(x, 3, 500)
+    assert want[0].max() > 3
+    df = spark.createDataFrame([("g", f"{k:03d}", v.tolist()) for k, v in enumerate(x)] + [(None, "a", [0.0, 0.0]), ("g", "null", None)], "g string, i string, v array<double>")
+    rows = sorted((r["i"], r["label"], r["prob"]) for r in hd.hdbscan(df, "g", "i", "v", block=block).where("g is not null").collect())
+    assert [r[1] for r in rows] == want[0].tolist() and np.allclose([r[2] for r in rows], want[1])
+
+
 @pytest.mark.parametrize("block", [7, 4000])
 def test_similarity_flood(spark, block):
     rng = np.random.default_rng(6)
