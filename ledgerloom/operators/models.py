@@ -138,14 +138,28 @@ def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, mo
 def reconstruction_errors(features: DataFrame, columns: list[str], rank: int = DIMENSIONS) -> DataFrame:
     """(node_id, node_type, raw_error): the squared error of each node's z-scores behind a bottleneck of `rank` directions.
 
-    The best linear autoencoder of a type, solved on a bounded sample, stands in for a trained one; every node is scored.
+    The best linear autoencoder of a type stands in for a trained one. Its basis is that of the second moments of all
+    nodes of the type: one small matrix per task and type goes on, and their sum is solved on the driver.
     """
     z = standardized(features, columns).select("node_id", "node_type", F.array(*columns).alias("x"))
-    bases = {}
-    for kind in [r[0] for r in z.select("node_type").distinct().collect()]:
-        x = bounded_sample(z.where(F.col("node_type") == kind).select("node_id", "x"), "node_id", FIT_ROWS).select("x").toArrow()["x"].combine_chunks()
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-        bases[kind] = np.linalg.svd(x, full_matrices=False)[2][: max(1, min(rank, x.shape[1] // 2))]
+    width = len(columns)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                x, kinds = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), np.array(b.column(0).to_pylist())
+                for kind in set(kinds.tolist()):
+                    sums[kind] = sums.get(kind, 0) + x[kinds == kind].T @ x[kinds == kind]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=["node_type", "m"])
+
+    parts = z.select("node_type", "x").mapInArrow(moments, "node_type string, m array<double>").select("node_type", F.posexplode("m").alias("i", "v"))
+    bases, found = {}, {}
+    for r in parts.groupBy("node_type", "i").agg(F.sum("v").alias("v")).collect():
+        found.setdefault(r["node_type"], np.zeros(width * width))[r["i"]] = r["v"]
+    for kind, m in found.items():
+        bases[kind] = np.linalg.eigh(m.reshape(width, width))[1].T[::-1][: max(1, min(rank, width // 2))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

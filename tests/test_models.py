@@ -97,6 +97,16 @@ def test_attention_like_numpy(spark):
     assert set(near) == {"ip0"} and set(near["ip0"]) == {"tx0", "tx1", "w0", "w1"}
 
 
+def test_basis_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(mo, "FIT_ROWS", 50)
+    x = np.random.default_rng(2).standard_t(2, (400, 6))
+    df = spark.createDataFrame([(f"n{k}", "Wallet", *map(float, v)) for k, v in enumerate(x)], "node_id string, node_type string, a double, b double, c double, d double, e double, f double")
+    got = {r["node_id"]: r["raw_error"] for r in mo.reconstruction_errors(df, list("abcdef")).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    basis = np.linalg.svd(z, full_matrices=False)[2][:3]
+    assert np.allclose([got[f"n{k}"] for k in range(400)], ((z - z @ basis.T @ basis) ** 2).mean(1), atol=1e-9)
+
+
 def test_times(spark):
     e = spark.createDataFrame([("BROADCAST_VIA", f"t{k}", "ip", k * 1_000_000) for k in range(4)] + [("FUNDS", "w", "t0", 5)], "edge_type string, source string, target string, at_us long")
     assert sorted(round(r["t"], 6) for r in mo.normalized_times(e).collect()) == [0.0, 0.333333, 0.666667, 1.0]
