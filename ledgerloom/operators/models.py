@@ -346,7 +346,7 @@ def attention_evidence(targets: DataFrame, outer: DataFrame, inner: DataFrame, t
     """(node_id, neighbors array<struct<weight, node_id>>): the top_n edges of the last layer into each target, then the top_n of
     the layer before into each of those; a neighbour counts with its highest weight. Equal weights: the smaller name.
 
-    targets is a queue of bounded length; each task keeps its top_n per node before the shuffle through an aggregate.
+    targets is a queue of any length; repeated nodes count once.
     """
 
     def best(edges: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def m9_attention_weights(spark, folder):
 
 def x11_attention_evidence(spark, folder):
     (_, inner), (_, outer) = _attention(spark, folder)
-    queue = table(spark, folder, "alerts", "node_id", "final_score").where("final_score is not null and not isnan(final_score)").orderBy(F.desc("final_score"), "node_id").limit(500)
+    queue = table(spark, folder, "alerts", "node_id", "final_score").where("final_score is not null and not isnan(final_score)")
     return mo.attention_evidence(queue.select("node_id").distinct(), outer, inner).select("node_id", F.size("neighbors").alias("neighbors"))
 
 

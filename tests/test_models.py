@@ -97,6 +97,16 @@ def test_attention_like_numpy(spark):
     assert set(near) == {"ip0"} and set(near["ip0"]) == {"tx0", "tx1", "w0", "w1"}
 
 
+def test_evidence_for_every_alert(spark, tmp_path, monkeypatch):
+    from ledgerloom.plans import model_queries as mq
+
+    edges = spark.range(700).select(F.lit("r").alias("relation"), F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), F.lit(1.0).alias("weight"))
+    monkeypatch.setattr(mq, "_attention", lambda *_: ((None, edges), (None, edges)))
+    alerts = spark.range(700).select(F.concat(F.lit("n"), "id").alias("node_id"), (F.col("id") / 700).alias("final_score"))
+    alerts.unionByName(alerts).write.parquet(str(tmp_path / "alerts.parquet"))
+    assert mq.x11_attention_evidence(spark, str(tmp_path)).count() == 700
+
+
 def test_basis_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(mo, "FIT_ROWS", 50)
     x = np.random.default_rng(2).standard_t(2, (400, 6))
