@@ -1,7 +1,7 @@
 """python -m ledgerloom.jobs STAGE ...: the stages of the chain as jobs that read and write Parquet tables of one folder.
 
 Submit with spark-submit on a cluster; the folder must be shared. Stages: generate, ingest, graph, resolve, features,
-detect, fuse, evaluate, ablation, all.
+embed, detect, fuse, evaluate, ablation, all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from .operators import entities as en
 from .operators import fusion as fu
 from .operators import graph as gr
 from .operators import models as mo
-from .operators import patterns as pt
 from .operators import risk as rk
 from .operators.features import node_features
 from .plans import pipeline, synth
@@ -60,17 +59,26 @@ def graph(t: Tables) -> None:
 def resolve(t: Tables, type_change: bool = False) -> None:
     f, nodes = t.read("flows"), t.read("nodes")
     links = en.pass1_links(f, type_change)
-    t.write("entities", en.resolve_entities(nodes, links))
-    t.write("edges", t.read("edges_base").unionByName(gr.wallet_links(links, nodes, "CO_SPEND")))
+    t.write("entities_pass1", en.resolve_entities(nodes, links))
+    t.write("edges_pass1", t.read("edges_base").unionByName(gr.wallet_links(links, nodes, "CO_SPEND")))
+    for name in ("entities", "edges"):
+        t.write(name, t.read(f"{name}_pass1"))
 
 
 def features(t: Tables) -> None:
-    t.write("features", node_features(t.read("nodes"), t.read("edges"), t.read("flows"), t.read("entities")))
+    t.write("features", node_features(t.read("nodes"), t.read("edges_pass1"), t.read("flows"), t.read("entities_pass1")))
+
+
+def embed(t: Tables, protect_multiwallet: bool = False, least_probability: str = "0", drop_broadcasters: bool = False) -> None:
+    """Pass 2 of entity resolution over the tables of pass 1. Without this stage those stay as they are."""
+    out = pipeline.second_pass(t.read("nodes"), t.read("edges_pass1"), t.read("features"), t.read("entities_pass1"), protect_multiwallet, float(least_probability), drop_broadcasters)
+    for name, table in (("entities", "entities"), ("er_pass2_log", "log"), ("edges", "edges")):
+        t.write(name, out[table])
 
 
 def detect(t: Tables, anomaly: str = "reconstruction") -> None:
     f, seeds = t.read("flows"), t.read("seeds").select(F.col("wallet_id").alias("node_id"))
-    t.write("scores_pattern", pt.chain_rows(pt.chain_scores(pt.peeling_chains(f), f)).unionByName(pt.round_rows(pt.coinjoin_rounds(f))))
+    t.write("scores_pattern", pipeline.pattern_scores(f, t.read("features"), t.read("edges")))
     links = gr.ownership_links(t.read("edges"))
     t.write("scores_risk", rk.risk_rows(rk.combine_risk(rk.ownership_risk(links, seeds), rk.flow_taint(f, seeds))))
     table = t.read("features")
@@ -93,7 +101,10 @@ def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "")
         if fitted and model:
             save_blend(fitted, model)
         scored, threshold = (fu.apply_blend(table, fitted) if fitted else fu.fallback_scores(table)), fu.THRESHOLD
-    t.write("alerts", fu.build_alerts(fu.dedupe_by_entity(scored, t.read("entities")), *heads, threshold=threshold, top_k=top_k))
+    t.write("scored", fu.dedupe_by_entity(scored, t.read("entities")))
+    scored = t.read("scored")
+    t.write("attention", pipeline.attention(fu.queue_nodes(scored, threshold, top_k), t.read("features"), t.read("edges")))
+    t.write("alerts", fu.build_alerts(scored, *heads, threshold=threshold, top_k=top_k, attention=t.read("attention")))
 
 
 def evaluate(t: Tables) -> None:
@@ -115,11 +126,11 @@ def load_blend(path: str) -> dict:
 
 
 def everything(t: Tables) -> None:
-    for stage in (generate, ingest, graph, resolve, features, detect, fuse, evaluate):
+    for stage in (generate, ingest, graph, resolve, features, embed, detect, fuse, evaluate):
         stage(t)
 
 
-STAGES = {f.__name__: f for f in (generate, ingest, graph, resolve, features, detect, fuse, evaluate, ablation)} | {"all": everything}
+STAGES = {f.__name__: f for f in (generate, ingest, graph, resolve, features, embed, detect, fuse, evaluate, ablation)} | {"all": everything}
 
 
 def main(args: list[str] | None = None) -> None:

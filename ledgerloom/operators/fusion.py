@@ -77,6 +77,12 @@ def dedupe_by_entity(scored: DataFrame, entities: DataFrame) -> DataFrame:
     return keyed.join(best, ["_e", "node_id"], "left_semi").drop("_e")
 
 
+def queue_nodes(scored: DataFrame, threshold: float = 0.0, top_k: int | None = TOP_K) -> DataFrame:
+    """(node_id) of the nodes that build_alerts takes."""
+    queue = scored.where(F.col("final_score") >= threshold)
+    return (queue if top_k is None else queue.orderBy(F.desc("final_score"), F.asc("node_id")).limit(top_k)).select("node_id")
+
+
 def build_alerts(scored: DataFrame, pattern: DataFrame, risk: DataFrame, anomaly: DataFrame, threshold: float = 0.0, top_k: int | None = TOP_K, attention: DataFrame | None = None) -> DataFrame:
     """The alert queue: the best top_k nodes at or above the threshold, each with components, evidence and rationale.
 

@@ -71,6 +71,13 @@ def counts_by_type(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return a.unionByName(edges_.groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")).withColumn("part", F.lit("edge")))
 
 
+def typed(edges_: DataFrame) -> DataFrame:
+    """The edges with both ends as type:name, so that nodes of two types with one name stay apart."""
+    kinds = {"FUNDS": ("Wallet", "Transaction"), "PAYS": ("Transaction", "Wallet"), "BROADCAST_VIA": ("Transaction", "IP"), "RESOLVES_TO": ("IP", "ASN"), "CO_SPEND": ("Wallet", "Wallet"), "SAME_ENTITY": ("Wallet", "Wallet")}
+    end = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v[i]))), F.col("edge_type"))
+    return edges_.withColumns({"source": F.concat_ws(":", end(0), "source"), "target": F.concat_ws(":", end(1), "target")})
+
+
 def without_network(edges_: DataFrame) -> DataFrame:
     """The edges without the network layer; the nodes stay."""
     return edges_.where(~F.col("edge_type").isin("BROADCAST_VIA", "RESOLVES_TO"))

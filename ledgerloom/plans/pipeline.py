@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from ..operators import graph as gr
 from ..operators import models as mo
 from ..operators import patterns as pt
 from ..operators import risk as rk
+from ..operators import similarity as sm
 from ..operators.features import node_features
+from ..operators.hdbscan import hdbscan
 from ..session import Scratch
 from ..sources.ingest import reject_reason
 from .synth import Config, generate
@@ -27,24 +30,91 @@ def accepted(raw: DataFrame) -> DataFrame:
     return ok.withColumns({"timestamp": F.col("timestamp").try_cast("timestamp"), "row_index": F.xxhash64("txid")})
 
 
+def _inputs(features: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (node_id as type:name, x), relations between them, and the width of x: the scaled features, nulls as 0."""
+    columns = [c for c in features.columns if c.startswith("f_")]
+    z = mo.standardized(features.fillna(0.0, columns), columns)
+    nodes = scratch.write(z.select(F.concat_ws(":", "node_type", "node_id").alias("node_id"), F.array(*columns).alias("x")), "inputs")
+    return nodes, scratch.write(mo.both_directions(gr.typed(edges)), "relations"), len(columns)
+
+
+def embeddings(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_type, node_id, embedding) of every node."""
+    scratch = Scratch(features.sparkSession, "embeddings")
+    nodes, relations, width = _inputs(features, edges, scratch)
+    x = scratch.write(mo.propagated_features(nodes, relations, width), "propagated")
+    e = mo.fit_link_projection(x, relations).apply(x)
+    return e.select(F.substring_index("node_id", ":", 1).alias("node_type"), F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("node_id"), "embedding")
+
+
+def second_pass(nodes: DataFrame, edges: DataFrame, features: DataFrame, entities: DataFrame, protect_multiwallet: bool = False, least_probability: float = 0.0, drop_broadcasters: bool = False) -> dict[str, DataFrame]:
+    """Pass 2 of entity resolution: entities, log and the edges with SAME_ENTITY, from clusters of all wallets' embeddings."""
+    scratch = Scratch(edges.sparkSession, "second-pass")
+    e = embeddings(features, gr.without_busy_broadcasters(edges) if drop_broadcasters else edges)
+    wallets = scratch.write(e.where("node_type = 'Wallet'"), "wallets")
+    labels = scratch.write(hdbscan(wallets, "node_type", "node_id", "embedding").withColumnRenamed("node_id", "wallet_id"), "labels")
+    out = en.reconcile(entities, labels, protect_multiwallet, least_probability)
+    same = gr.wallet_links(out["links"].withColumn("seq", F.lit(0)), nodes, "SAME_ENTITY")
+    return {"entities": out["entities"], "log": out["log"], "edges": edges.unionByName(same)}
+
+
+def pattern_scores(flows_: DataFrame, features: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of chains, rounds and of the nodes that are similar to their members."""
+    scratch = Scratch(edges.sparkSession, "patterns")
+    chains, rounds = scratch.write(pt.peeling_chains(flows_), "chains"), scratch.write(pt.coinjoin_rounds(flows_), "rounds")
+    member = lambda df, kind, pattern, ids: df.select(F.lit(kind).alias("node_type"), F.lit(pattern).alias("pattern_type"), F.explode(ids).alias("node_id"))
+    references = reduce(DataFrame.unionByName, [
+        member(chains, "Wallet", "peeling", "wallets"),
+        member(chains, "Transaction", "peeling", "txids"),
+        member(rounds, "Wallet", "coinjoin", F.concat("input_wallets", "output_wallets")),
+        member(rounds, "Transaction", "coinjoin", F.array("txid")),
+    ]).distinct()
+    vectors = scratch.write(embeddings(features, edges).where("node_type in ('Wallet', 'Transaction')"), "vectors")
+    similar = sm.flag_outliers(scratch.write(sm.nearest_references(vectors, references), "nearest"))
+    return pt.chain_rows(pt.chain_scores(chains, flows_)).unionByName(pt.round_rows(rounds)).unionByName(sm.similarity_rows(similar))
+
+
+def attention(targets: DataFrame, features: DataFrame, edges: DataFrame, seed: int = 5, out: int = 8) -> DataFrame:
+    """(node_id, neighbors) of the targets (node_id), by two attention layers with seeded parameters.
+
+    A layer is computed at the nodes that the next one reads, where it equals the layer over the whole graph.
+    """
+    scratch = Scratch(edges.sparkSession, "evidence")
+    nodes, relations, width = _inputs(features, edges, scratch)
+    wanted = targets.select("node_id").distinct()
+    ends = scratch.write(features.join(wanted, "node_id", "left_semi").select(F.concat_ws(":", "node_type", "node_id").alias("dst")).distinct(), "targets")
+    last = scratch.write(relations.join(ends, "dst", "left_semi"), "last")
+    first = scratch.write(relations.join(ends.unionByName(last.select(F.col("src").alias("dst"))).distinct(), "dst", "left_semi"), "first")
+    rng = np.random.default_rng(seed)
+    draw = lambda n: (rng.normal(0, n**-0.5, (n, 2 * out)), rng.normal(0, n**-0.5, (n, 2 * out)), rng.normal(0, 0.5, (2, out)))
+    middle, inner = mo.attention_layer(nodes, first, *draw(width))
+    _, outer = mo.attention_layer(scratch.write(middle, "middle"), last, *draw(out))
+    bare = lambda c: F.substring(c, F.instr(c, ":") + 1, F.length(c))
+    found = mo.attention_evidence(ends.withColumnRenamed("dst", "node_id"), outer, scratch.write(inner, "inner"))
+    flat = found.select(bare(F.col("node_id")).alias("node_id"), F.explode("neighbors").alias("n")).groupBy("node_id", bare(F.col("n.node_id")).alias("near")).agg(F.max("n.weight").alias("weight"))
+    return flat.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("weight", F.col("near").alias("node_id")))).alias("neighbors"))
+
+
 def run(transactions: DataFrame, seeds: DataFrame) -> dict[str, DataFrame]:
     """All tables of the chain from accepted transactions and seeds (node_id); each stage is stored once."""
     scratch = Scratch(transactions.sparkSession, "pipeline")
     f = scratch.write(flows(transactions), "flows")
     nodes = scratch.write(gr.nodes(f), "nodes")
     links = scratch.write(en.pass1_links(f), "links")
-    entities = scratch.write(en.resolve_entities(nodes, links), "entities")
-    co_spend = gr.wallet_links(links, nodes, "CO_SPEND")
-    edges = scratch.write(gr.edges(f, co_spend), "edges")
-    features = scratch.write(node_features(nodes, edges, f, entities), "features")
-    pattern = scratch.write(pt.chain_rows(pt.chain_scores(pt.peeling_chains(f), f)).unionByName(pt.round_rows(pt.coinjoin_rounds(f))), "pattern")
+    first = scratch.write(en.resolve_entities(nodes, links), "entities_pass1")
+    edges = scratch.write(gr.edges(f, gr.wallet_links(links, nodes, "CO_SPEND")), "edges_pass1")
+    features = scratch.write(node_features(nodes, edges, f, first), "features")
+    second = second_pass(nodes, edges, features, first)
+    entities, edges, log = scratch.write(second["entities"], "entities"), scratch.write(second["edges"], "edges"), scratch.write(second["log"], "log")
+    pattern = scratch.write(pattern_scores(f, features, edges), "pattern")
     owned = gr.ownership_links(edges)
     risk = scratch.write(rk.risk_rows(rk.combine_risk(rk.ownership_risk(owned, seeds), rk.flow_taint(f, seeds))), "risk")
     columns = [c for c in features.columns if c.startswith("f_")]
     anomaly = scratch.write(mo.anomaly_rows(mo.anomaly_scores(mo.reconstruction_errors(features, columns))), "anomaly")
-    scored = fu.dedupe_by_entity(fu.rank_scores(fu.component_table(pattern, risk, anomaly)), entities)
-    alerts = scratch.write(fu.build_alerts(scored, pattern, risk, anomaly), "alerts")
-    return {"flows": f, "nodes": nodes, "edges": edges, "entities": entities, "features": features, "pattern": pattern, "risk": risk, "anomaly": anomaly, "alerts": alerts}
+    scored = scratch.write(fu.dedupe_by_entity(fu.rank_scores(fu.component_table(pattern, risk, anomaly)), entities), "scored")
+    near = scratch.write(attention(fu.queue_nodes(scored), features, edges), "attention")
+    alerts = scratch.write(fu.build_alerts(scored, pattern, risk, anomaly, attention=near), "alerts")
+    return {"flows": f, "nodes": nodes, "edges": edges, "entities": entities, "log": log, "features": features, "pattern": pattern, "risk": risk, "anomaly": anomaly, "attention": near, "alerts": alerts}
 
 
 def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool = True) -> DataFrame:

@@ -54,6 +54,17 @@ def test_whole_chain(spark, data):
     assert out["features"].count() == out["nodes"].count()
 
 
+def test_stages_two_to_eight(spark):
+    small = synth.generate(spark, synth.Config(seed=5, entities=80, wallets=600, transactions=500, mixer_share=0.05))
+    out = pipeline.run(pipeline.accepted(small["raw"]), small["seeds"].select(F.col("wallet_id").alias("node_id")))
+    e = out["entities"]
+    assert e.count() == e.select("wallet_id").distinct().count() == out["nodes"].where("node_type = 'Wallet'").count()
+    assert e.where("source = 'pass2'").count() > 0 and out["edges"].where("edge_type = 'SAME_ENTITY'").count() > 0
+    assert out["log"].where("action = 'merge'").count() > 0
+    known = out["alerts"].join(out["nodes"], "node_id", "left_semi")  # a seed that the ledger lacks has no neighbours
+    assert out["attention"].count() == known.count() > 0 and known.where("size(evidence.edges) = 0").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["csv", "json", "xml", "parquet"])
 def test_formats(spark, data, tmp_path, kind):
     rows = Scratch(spark, "t").write(pipeline.accepted(data["raw"]).limit(300), f"some-{kind}")
