@@ -69,11 +69,12 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text"))
+    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text", "lang"), lang="lang")
 
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_shares(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.round("share", 6).alias("share"))
+    shares = stuffed_shares(table(spark, folder, "documents", "doc_id", "text", "lang"), lang="lang")
+    return shares.select("doc_id", "language", *(F.round(c, 6).alias(c) for c in shares.columns[2:]))
 
 
 def _best(name: str) -> str:
