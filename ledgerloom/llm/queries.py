@@ -10,7 +10,7 @@ from ..sources.tables import table
 from .byte_bpe import count_tokens, encode_texts
 from .components import wallet_groups
 from .packing import fill_report, pack
-from .ranking import among_best, best_per_node, closeness, ranked, score_table
+from .ranking import Scale, among_best, best_per_node, closeness, fit_scale, ranked, score_table
 from .similarity_clusters import describe_clusters, mutual_clusters, similarity_clusters
 from .stuffing import stuffed_pages, stuffed_shares
 from .topn import entity_alerts, top_n
@@ -24,19 +24,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(entity_alerts(alerts, table(spark, folder, "entities", "wallet_id", "entity_id")), "entity_id", "final_score", "alert_id", 3).select("entity_id", "rank_no", "alert_id")
 
 
-def _scored(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, Scale]:
     heads = {name: best_per_node(table(spark, folder, t, "node_id", c), c) for name, (t, c) in SCORES.items()}
-    return closeness(scratch.write(score_table(heads), "scores"), list(SCORES), BEST_SHARE)
+    scores = scratch.write(score_table(heads), "scores")
+    scale = fit_scale(scores, list(SCORES), BEST_SHARE)
+    return closeness(scores, list(SCORES), scale), scale
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "ranking")
-    return among_best(_scored(spark, folder, scratch), list(SCORES), BEST_SHARE, scratch).select("node_id")
+    scored, scale = _scored(spark, folder, scratch)
+    return among_best(scored, list(SCORES), scale, scratch).select("node_id")
 
 
 def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "ranking")
-    scored = _scored(spark, folder, scratch).select("node_id", F.round("closeness", 9).alias("closeness"))
+    scored = _scored(spark, folder, scratch)[0].select("node_id", F.round("closeness", 9).alias("closeness"))
     return ranked(scored, [F.desc("closeness"), F.asc("node_id")], scratch)
 
 
@@ -86,13 +89,13 @@ def _ranking() -> str:
     """The whole ranking: cuts at the floor(n / 20)-th values from both ends, unit columns, closeness, place."""
     names = list(SCORES)
     cuts = ", ".join(f"coalesce((select max(s) from (select s, row_number() over (order by s desc) as r, count(*) over () as n from {x}) where r = n // 20), (select max(s) from {x})) as t_{x}, coalesce((select min(s) from (select s, row_number() over (order by s) as r, count(*) over () as n from {x}) where r = n // 20), (select min(s) from {x})) as l_{x}" for x in names)
-    clip = ", ".join(f"coalesce(least(greatest({x}.s, l_{x}), t_{x}), l_{x}) as {x}, coalesce({x}.s >= t_{x}, false) as b_{x}, l_{x}, t_{x}" for x in names)
-    norm = ", ".join(f"sqrt(sum({x} * {x}) over ()) as n_{x}" for x in names)
-    near = " + ".join(f"pow((t_{x} / n_{x} - {x} / n_{x}) / (t_{x} / n_{x} - l_{x} / n_{x}), 2)" for x in names)
-    far = " + ".join(f"pow(({x} / n_{x} - l_{x} / n_{x}) / (t_{x} / n_{x} - l_{x} / n_{x}), 2)" for x in names)
+    clip = ", ".join(f"coalesce(least(greatest({x}.s, l_{x}), t_{x}) - l_{x}, 0) as {x}, t_{x} - l_{x} as i_{x}" for x in names)
+    norm = ", ".join(f"coalesce(nullif(sqrt(sum({x} * {x}) over ()), 0), 1) as n_{x}" for x in names)
+    near = " + ".join(f"pow({x} / n_{x} - i_{x} / n_{x}, 2)" for x in names)
+    far = " + ".join(f"pow({x} / n_{x}, 2)" for x in names)
     return f"""with {", ".join(map(_best, names))}, cuts as (select {cuts}), ids as (select node_id from alert union select node_id from anomaly union select node_id from risk union select node_id from similarity),
 clipped as (select node_id, {clip} from ids {" ".join(f"left join {x} using (node_id)" for x in names)}, cuts), unit as (select *, {norm} from clipped),
-c as (select node_id, round(case when {" and ".join(f"b_{x}" for x in names)} then 1.0 else sqrt({far}) / (sqrt({far}) + sqrt({near})) end, 9) as closeness from unit)
+c as (select node_id, round(sqrt({far}) / (sqrt({far}) + sqrt({near})), 9) as closeness from unit)
 select node_id, closeness, row_number() over (order by closeness desc, node_id) as rank_no from c"""
 
 

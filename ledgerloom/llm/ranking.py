@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,74 +33,98 @@ def score_table(heads: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("node_id").agg(*(F.max(c).alias(c) for c in heads))
 
 
-def kth_highest(df: DataFrame, values: dict[str, Column], share: float) -> dict[str, tuple[int, int, float | None]]:
-    """name -> (n, k, value): the k-th highest of a column's n values, k = floor(n * share); exact; None where k is 0.
+@dataclass
+class Cut:
+    """The k-th highest of n values, how many are above it and how many equal it; no value where k is 0."""
 
-    An approximate percentile gives a bracket around the value; counting above the bracket and aggregating what lies in
-    it gives the value itself. A bracket that missed is replaced by the half-line that holds the value. Three passes for
-    all columns together; only a few numbers per column reach the driver, and what the window walks are the distinct
-    values of the brackets, a few ten-thousandths of the rows.
+    n: int
+    k: int
+    value: float | None = None
+    above: int = 0
+    equal: int = 0
+
+
+def kth_highest(df: DataFrame, values: dict[str, Column], share: float) -> tuple[dict[str, Cut], dict[str, float | None]]:
+    """(name -> its Cut at k = floor(n * share), name -> its highest value); exact, in two passes for all columns together.
+
+    An approximate percentile gives a bracket around the value. The second pass counts the distinct values inside the
+    bracket, and what lies above it as one; running sums over these give the value itself. The sketch's error is less than
+    the bracket's width; should a bracket miss nevertheless, it is widened and the pass repeated. Only a few numbers per
+    column reach the driver, and what the window walks are the distinct values of the brackets, a few ten-thousandths of
+    the rows.
     """
     names, around = list(values), 2.0 / ACCURACY
     df = df.select(*(c.cast("double").alias(n) for n, c in values.items()))
     spans = [max(0.0, 1 - share - around), min(1.0, 1 - share + around)]
-    first = df.agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.percentile_approx(n, spans, ACCURACY).alias(f"p_{n}") for n in names)).first()
-    sizes = {n: (first[f"n_{n}"], math.floor(first[f"n_{n}"] * share + 1e-9)) for n in names}
-    wanted = [n for n in names if sizes[n][1]]
-    out: dict[str, tuple[int, int, float | None]] = {n: (*sizes[n], None) for n in names}
-    if not wanted:
-        return out
-    lo, hi = ({n: first[f"p_{n}"][i] for n in wanted} for i in (0, 1))
-    seen = df.agg(*(F.count_if(F.col(n) > hi[n]).alias(f"a_{n}") for n in wanted), *(F.count_if((F.col(n) <= hi[n]) & (F.col(n) >= lo[n])).alias(f"b_{n}") for n in wanted)).first()
-    inside, over = {}, {}
-    for n in wanted:
-        a, b, k = seen[f"a_{n}"], seen[f"b_{n}"], sizes[n][1]
-        over[n] = 0 if a >= k else a if a + b >= k else a + b
-        inside[n] = F.col(n) > hi[n] if a >= k else (F.col(n) <= hi[n]) & (F.col(n) >= lo[n]) if a + b >= k else F.col(n) < lo[n]
-    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.when(inside[n], F.col(n)).alias("v")) for n in wanted))
-    counts = df.select(F.inline(F.filter(pairs, lambda x: x["v"].isNotNull()))).groupBy("name", "v").agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("name").orderBy(F.desc("v")))
-    rest = F.create_map(*(x for n in wanted for x in (F.lit(n), F.lit(sizes[n][1] - over[n]))))
-    for row in counts.withColumn("upto", upto).where(F.col("upto") >= rest[F.col("name")]).groupBy("name").agg(F.max("v").alias("v")).collect():
-        out[row["name"]] = (*sizes[row["name"]], row["v"])
-    return out
-
-
-def closeness(table: DataFrame, columns: list[str], share: float = 0.05, weights: dict[str, float] | None = None) -> DataFrame:
-    """The table with `closeness` in [0, 1] and `best_of`, the number of scores in which a node is among the best.
-
-    Scores are winsorised: what lies above the value of the floor(n * share)-th highest node counts as that value, what
-    lies below the like value from below counts as that one. Each is then divided by the Euclidean norm of its column,
-    the ideal point holds the best and the anti-ideal one the worst of each, and closeness is the distance to the
-    anti-ideal point over the sum of both distances, each score's distance measured against its own span so that all
-    weigh the same. A missing score counts as the worst. A node at or above the upper cut in every score lies on the
-    ideal point: its closeness is exactly 1. A constant score moves nobody. Equal weights unless given.
-    """
-    cut = kth_highest(table, {f"{end}{i}": F.col(c) if end == "top" else -F.col(c) for i, c in enumerate(columns) for end in ("top", "low")}, share)
-    clipped, cuts = [], []
-    plain = table.agg(*(F.max(c).alias(f"top{i}") for i, c in enumerate(columns)), *(F.min(c).alias(f"low{i}") for i, c in enumerate(columns))).first()
+    first = df.agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.max(n).alias(f"m_{n}") for n in names), *(F.percentile_approx(n, spans, ACCURACY).alias(f"p_{n}") for n in names)).first()
+    cuts = {n: Cut(first[f"n_{n}"], math.floor(first[f"n_{n}"] * share + 1e-9)) for n in names}
+    highest = {n: first[f"m_{n}"] for n in names}
+    bracket = {n: tuple(first[f"p_{n}"]) for n in names if cuts[n].k}
+    while bracket:
+        over = F.lit(math.inf)
+        own = lambda n: F.when(F.col(n) > bracket[n][1], over).when(F.col(n) >= bracket[n][0], F.col(n))
+        seen = F.array(*(F.struct(F.lit(n).alias("name"), own(n).alias("v")) for n in bracket))
+        counts = df.select(F.inline(F.filter(seen, lambda x: x["v"].isNotNull()))).groupBy("name", "v").agg(F.count("*").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy("name").orderBy(F.desc("v")))
+        k = F.create_map(*(x for n in bracket for x in (F.lit(n), F.lit(cuts[n].k))))
+        reached = counts.withColumn("upto", upto).where(F.col("upto") >= k[F.col("name")])
+        found = {r["name"]: r["b"] for r in reached.groupBy("name").agg(F.max(F.struct("v", "m", "upto")).alias("b")).collect()}
+        again = {}
+        for n, (lo, hi) in bracket.items():
+            if n not in found:
+                again[n] = (-math.inf, hi)
+            elif found[n]["v"] == math.inf and hi < highest[n]:
+                again[n] = (lo, highest[n])
+            else:
+                v, m, u = found[n]
+                cuts[n] = Cut(cuts[n].n, cuts[n].k, v, u - m, m)
+        bracket = again
+    return cuts, highest
+
+
+@dataclass
+class Scale:
+    """What the scores are measured by: winsorising cuts, the values at the worst and the best end, norms above the worst."""
+
+    cuts: dict[str, Cut]
+    worst: dict[str, float]
+    best: dict[str, float]
+    norm: dict[str, float]
+
+    def unit(self, c: str) -> Column:
+        """The winsorised score above the worst one, divided by the Euclidean norm of its column; a missing one is the worst."""
+        clipped = F.least(F.greatest(F.col(c), F.lit(self.worst[c])), F.lit(self.best[c]))
+        return F.coalesce(clipped - F.lit(self.worst[c]), F.lit(0.0)) / F.lit(self.norm[c])
+
+    def ideal(self, c: str) -> float:
+        return (self.best[c] - self.worst[c]) / self.norm[c]
+
+
+def fit_scale(table: DataFrame, columns: list[str], share: float = 0.05) -> Scale:
+    """The Scale of some columns: what lies above the floor(n * share)-th highest value counts as that value, what lies below
+    the like value from below counts as that one. Three passes; a few numbers per column reach the driver."""
+    both, ends = kth_highest(table, {f"{end}{i}": F.col(c) if end == "top" else -F.col(c) for i, c in enumerate(columns) for end in ("top", "low")}, share)
+    scale = Scale({c: both[f"top{i}"] for i, c in enumerate(columns)}, {}, {}, dict.fromkeys(columns, 1.0))
     for i, c in enumerate(columns):
-        top, low = cut[f"top{i}"][2], cut[f"low{i}"][2]
-        best = plain[f"top{i}"] if top is None else top
-        worst = plain[f"low{i}"] if low is None else -low
-        best, worst = (0.0, 0.0) if best is None else (best, min(best, worst))
-        cuts.append((worst, best))
-        clipped.append(F.coalesce(F.least(F.greatest(F.col(c), F.lit(worst)), F.lit(best)), F.lit(worst)))
-    norms = table.agg(*(F.sqrt(F.sum(x * x)).alias(f"n{i}") for i, x in enumerate(clipped))).first()
-    to_best: list[Column] = []
-    to_worst: list[Column] = []
-    for i, (c, (worst, best)) in enumerate(zip(columns, cuts)):
-        norm, w = norms[f"n{i}"] or 1.0, (weights or {}).get(c, 1.0)
-        if best > worst:
-            unit, span = clipped[i] / F.lit(norm), best / norm - worst / norm
-            to_best.append(F.lit(w) * F.pow((F.lit(best / norm) - unit) / F.lit(span), F.lit(2.0)))
-            to_worst.append(F.lit(w) * F.pow((unit - F.lit(worst / norm)) / F.lit(span), F.lit(2.0)))
-    if not to_best:
-        return table.withColumns({"closeness": F.lit(0.0), "best_of": F.lit(0)})
-    far, near = F.sqrt(reduce(Column.__add__, to_worst)), F.sqrt(reduce(Column.__add__, to_best))
-    tops = [cut[f"top{i}"][2] for i in range(len(columns))]
-    among = reduce(Column.__add__, (F.lit(0) if t is None else F.coalesce((F.col(c) >= F.lit(t)).cast("int"), F.lit(0)) for c, t in zip(columns, tops)))
-    return table.withColumns({"closeness": F.when(among == len(columns), F.lit(1.0)).otherwise(far / (far + near)), "best_of": among})
+        best, worst = (both[f"{end}{i}"].value if both[f"{end}{i}"].k else ends[f"{end}{i}"] for end in ("top", "low"))
+        scale.best[c], scale.worst[c] = (0.0, 0.0) if best is None else (best, min(best, -worst))
+    norms = table.agg(*(F.sqrt(F.sum(F.pow(scale.unit(c), F.lit(2.0)))).alias(c) for c in columns)).first()
+    scale.norm = {c: norms[c] or 1.0 for c in columns}
+    return scale
+
+
+def closeness(table: DataFrame, columns: list[str], scale: Scale, weights: dict[str, float] | None = None) -> DataFrame:
+    """The table with `closeness` in [0, 1], by which one ranking follows from all scores.
+
+    Winsorised scores are taken above their worst value and divided by the Euclidean norm of their column, so that the
+    squares of each column add up to 1 over all nodes: none has more to say for its range or its unit. The anti-ideal
+    point is then the origin, the ideal point holds the best of each column; closeness is the weighted distance to the
+    anti-ideal point over the sum of both weighted distances. It is 1 on the ideal point and nowhere else. A missing score
+    counts as the worst, a constant one moves nobody. Equal weights unless given.
+    """
+    weight = lambda c: F.lit(float((weights or {}).get(c, 1.0)))
+    far, near = (F.sqrt(reduce(Column.__add__, (weight(c) * F.pow(scale.unit(c) - F.lit(goal), F.lit(2.0)) for c in columns for goal in [0.0 if away else scale.ideal(c)]))) for away in (True, False))
+    return table.withColumn("closeness", F.coalesce(F.try_divide(far, far + near), F.lit(0.0)))
 
 
 def ranked(df: DataFrame, by: list[Column], scratch: Scratch, name: str = "rank_no", label: str = "ranges") -> DataFrame:
@@ -115,20 +140,19 @@ def ranked(df: DataFrame, by: list[Column], scratch: Scratch, name: str = "rank_
     return ranges.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_range", "_place", "_before")
 
 
-def among_best(scored: DataFrame, columns: list[str], share: float, scratch: Scratch) -> DataFrame:
-    """Of the nodes on the ideal point, those within the floor(n * share) highest of every score.
+def among_best(scored: DataFrame, columns: list[str], scale: Scale, scratch: Scratch) -> DataFrame:
+    """Of the head of the ranking, the nodes of closeness 1, those within the floor(n * share) highest of every score.
 
-    The candidates are the head of the ranking (closeness 1). Only where several nodes share the value at a cut can
-    there be more of them than places; then the smallest node ids have them, counted over the whole score.
+    Only where several nodes share the value at a cut can the head hold more of them than there are places; then the
+    smallest node ids have them, counted over the whole score.
     """
     head = scored.where("closeness = 1.0")
-    cuts = kth_highest(scored, {c: F.col(c) for c in columns}, share)
-    if any(cut is None for _, _, cut in cuts.values()):
+    if any(scale.cuts[c].k == 0 for c in columns):
         return head.where(F.lit(False))
-    held = scored.agg(*(F.count_if(F.col(c) > cuts[c][2]).alias(f"over_{c}") for c in columns), *(F.count_if(F.col(c) == cuts[c][2]).alias(f"at_{c}") for c in columns)).first()
     for c in columns:
-        _, k, cut = cuts[c]
-        if held[f"over_{c}"] + held[f"at_{c}"] > k:
-            tied = ranked(scored.where(F.col(c) == cut).select("node_id"), [F.col("node_id")], scratch, "place", f"tied_{c}").where(F.col("place") <= k - held[f"over_{c}"])
-            head = head.where(F.col(c) > cut).unionByName(head.where(F.col(c) == cut).join(tied, "node_id", "left_semi"))
+        cut = scale.cuts[c]
+        if cut.above + cut.equal > cut.k:
+            at = F.col(c) == F.lit(cut.value)
+            tied = ranked(scored.where(at).select("node_id"), [F.col("node_id")], scratch, "place", f"tied_{c}").where(F.col("place") <= cut.k - cut.above)
+            head = head.where(F.col(c) > F.lit(cut.value)).unionByName(head.where(at).join(tied, "node_id", "left_semi"))
     return head
