@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ledger import coinjoin_like, flows, once, script_class, wallets_of
 from ..operators import features as ft
 from ..operators import graph as gr
+from ..session import Scratch
 from ..sources.tables import table
 from .ledger_sql import ASN, COINJOIN, EDGES, FLOWS, NODES
 
@@ -80,8 +83,10 @@ def n10_entity_entropy(spark, folder):
 
 
 def n11_node_features(spark, folder):
-    f = ledger_flows(spark, folder)
-    known = gr.nodes(f)
+    """The flows and the nodes are stored: every part of the features reads them."""
+    scratch = Scratch(spark, "features")
+    f = scratch.write(ledger_flows(spark, folder), "flows")
+    known = scratch.write(gr.nodes(f), "nodes")
     df = ft.node_features(known, gr.edges(f, _links(spark, folder, known)), f, table(spark, folder, "entities", "wallet_id", "entity_id"))
     return df.select("node_id", "node_type", *(F.round(c, 4).alias(c) for c in df.columns if c.startswith("f_")))
 
@@ -114,6 +119,13 @@ entropy as (select wallet_id as node_id, f_entity_asn_entropy from owner join bi
 _TIMING_COLUMNS = ["f_temporal_tx_count", "f_temporal_mean_interarrival", "f_temporal_std_interarrival", "f_temporal_burstiness", "f_geo_hop_count", "f_geo_hop_rate", "f_ip_distinct_count", "f_ip_reuse_count"]
 _FEATURES = ["f_degree_total", "f_degree_in", "f_degree_out", "f_fan_in", "f_fan_out", *(f"f_degree_{t.lower()}" for t in _TYPES), "f_motif_coinjoin_like", "f_motif_self_change", *_TIMING_COLUMNS, "f_entity_asn_entropy"]
 
+
+
+def _materialized(sql: str) -> str:
+    """The query with each of its shared parts worked out once."""
+    return re.sub(r"\b(ledger|ins|outs|tx|edges|nodes|all_edges|links|link_edges|half|topo|coinjoin|flags|motif|sent|timing|entropy|back) as \(", r"\1 as materialized (", sql)
+
+
 SQL = {
     "g_nodes": f"with {FLOWS}, {ASN}, {NODES} select * from nodes",
     "g_edges": f"with {EDGES} select * from edges",
@@ -128,7 +140,9 @@ SQL = {
     "n4_motifs": f"with {FLOWS}, {COINJOIN}, {_MOTIFS} select * from motif",
     "n7_timing": f"with {FLOWS}, {_TIMING} select node_id, {', '.join(f'round({c}, 4)::double as {c}' for c in _TIMING_COLUMNS)} from timing",
     "n10_entity_entropy": f"with {FLOWS}, {_TIMING}, {_ENTROPY} select node_id, round(f_entity_asn_entropy, 6) as f_entity_asn_entropy from entropy",
-    "n11_node_features": f"with {EDGES}, {NODES}, {_LINK_EDGES}, all_edges as (select * from edges union all select * from link_edges), {_topology('all_edges')}, {COINJOIN}, {_MOTIFS}, {_TIMING}, {_ENTROPY} "
-    f"select node_id, node_type, {', '.join(f'round(coalesce({c}, 0), 4)::double as {c}' for c in _FEATURES)} from nodes left join topo using (node_id) left join motif using (node_id) left join timing using (node_id) left join entropy using (node_id)",
+    "n11_node_features": _materialized(
+        f"with {EDGES}, {NODES}, {_LINK_EDGES}, all_edges as (select * from edges union all select * from link_edges), {_topology('all_edges')}, {COINJOIN}, {_MOTIFS}, {_TIMING}, {_ENTROPY} "
+        f"select node_id, node_type, {', '.join(f'round(coalesce({c}, 0), 4)::double as {c}' for c in _FEATURES)} from nodes left join topo using (node_id) left join motif using (node_id) left join timing using (node_id) left join entropy using (node_id)"
+    ),
 }
 QUERIES = {name: globals()[name] for name in SQL}
