@@ -9,7 +9,7 @@ from ..session import Scratch
 from ..sources.tables import table
 from .byte_bpe import count_tokens, encode_texts
 from .components import wallet_groups
-from .packing import fill_report, pack
+from .packing import certified_packing, fill_report, pack
 from .ranking import Scale, among_best, best_per_node, closeness, fit_scale, ranked, score_table
 from .similarity_clusters import describe_clusters, mutual_clusters, similarity_clusters
 from .stuffing import stuffed_pages, stuffed_shares
@@ -71,6 +71,10 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p9_containers(spark, folder), CAPACITY)
 
 
+def p9_certificates(spark: SparkSession, folder: str) -> DataFrame:
+    return certified_packing(count_tokens(table(spark, folder, "documents", "doc_id", "text")), CAPACITY)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed_pages(table(spark, folder, "documents", "doc_id", "text", "lang"), lang="lang")
 
@@ -118,4 +122,4 @@ select wallet_id, min(g) as group_id from r group by wallet_id
     + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
 }
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_certificates": p9_certificates, "p10_found": p10_found, "p10_shares": p10_shares}

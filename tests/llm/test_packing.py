@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerloom.llm.packing import best_fit_decreasing, fill_report, lower_bound, pack
+from ledgerloom.llm.packing import best_fit_decreasing, certified_packing, fill_report, lower_bound, pack
 
 
 def check(rows, sizes, capacity):
@@ -39,6 +39,27 @@ def test_nulls_and_empty(spark):
     assert pack(df.limit(0), 10).count() == 0
 
 
+def test_string_and_missing_ids(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 6), ("a", 5), (None, 5), (None, 6), (None, 5), (None, 23)], "doc_id string, n_tokens long")
+    rows = [tuple(r) for r in pack(df, 10).collect()]
+    assert sorted((d or "", n) for d, _, n, _ in rows) == [("", 3), ("", 5), ("", 5), ("", 6), ("", 10), ("", 10), ("a", 5), ("b", 6)]
+    used = defaultdict(int)
+    for _, _, n, box in rows:
+        used[box] += n
+    assert max(used.values()) <= 10
+
+
+def test_certificates(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, rng.randint(1, 70)) for k in range(600)], "doc_id long, n_tokens long")
+    packed, proofs = certified_packing(df, 100, at_once=100)
+    proofs = proofs.collect()
+    assert {r["round"] for r in proofs} >= {0, 1} and len({(r["round"], r["part"]) for r in proofs}) == len(proofs)
+    assert all(r["bound"] <= r["containers"] and r["certified"] == (r["bound"] == r["containers"]) for r in proofs)
+    sizes = [r["n_tokens"] for r in packed.collect()]
+    assert fill_report(packed, 100).first()["bound"] == lower_bound(np.array(sizes), 100)
+
+
 def brute_bins(sizes, capacity):
     """The fewest containers, by search."""
     best = [len(sizes) or 0]

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from ledgerloom.llm.byte_bpe import DEFAULT_RANKS, Encoder, merge_many, merge_one
 from ledgerloom.llm.packing import best_fit_decreasing, lower_bound
-from ledgerloom.llm.stuffing import stuffed_share
+from ledgerloom.llm.stuffing import Languages, measure
 from ledgerloom.llm.topn import merge_runs
 
 OWN = Encoder(DEFAULT_RANKS) if os.path.exists(DEFAULT_RANKS) else None
@@ -48,8 +48,10 @@ def test_packing_holds(sizes):
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=400))
-def test_share_is_a_share(text):
-    assert 0.0 <= stuffed_share(text * 3) <= 1.0
+def test_shares_are_shares(text):
+    page, chunks = measure(text * 3, Languages({}))
+    assert all(0.0 <= x <= 1.0 for x in page[2:9])
+    assert all(0.0 <= x <= 1.0 for c in chunks for x in c[3:9]) and all(c[1] > 0 for c in chunks)
 
 
 ROW = st.tuples(st.sampled_from("abc"), st.sampled_from([0.0, 0.5, 1.0]), st.sampled_from("pqrs"))
