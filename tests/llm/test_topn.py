@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from ledgerloom.llm.topn import LoserTree, entity_alerts, merge_runs, top_n
+from ledgerloom.llm.topn import BLOCK_ROWS, LoserTree, _Run, entity_alerts, merge_blocks, merge_runs, top_n
 
 
 def brute(rows, n):
@@ -45,6 +45,26 @@ def test_seek_leaves_a_group():
     assert got == [("a", 1, 1.0, "0000"), ("a", 2, 1.0, "0001"), ("b", 1, 0.9, "z"), ("b", 2, 0.1, "y")]
 
 
+def test_one_block_per_run_in_memory(monkeypatch):
+    """Blocks are asked for one by one: when a run's block is loaded, its last one has been read to the end."""
+    rng = random.Random(7)
+    runs = []
+    for _ in range(6):
+        rows = sorted({(f"g{rng.randrange(200):03d}", -rng.random(), f"i{rng.randrange(10**6)}") for _ in range(BLOCK_ROWS * 5)})
+        runs.append([tuple(map(list, zip(*((g, -s, i) for g, s, i in rows[k : k + BLOCK_ROWS])))) for k in range(0, len(rows), BLOCK_ROWS)])
+    load, early = _Run.load, []
+
+    def watched(self, *block):
+        early.append(self.row < len(self.rows))
+        load(self, *block)
+
+    monkeypatch.setattr(_Run, "load", watched)
+    got = list(merge_runs(runs, 3))
+    assert len(early) == sum(map(len, runs)) and not any(early)
+    assert {(g, k, i) for g, k, _, i in got} == brute([(g, s, i) for run in runs for block in run for g, s, i in zip(*block)], 3)
+    assert list(merge_blocks(iter([]), 3)) == []
+
+
 def test_entity_alerts(spark):
     alerts = spark.createDataFrame([("w1", "a1", 0.5), ("w1", "a1", 0.5), ("w2", "a2", None), ("w2", "a3", float("nan")), ("t", "a4", 0.9), (None, "a5", 1.0)], "node_id string, alert_id string, final_score double")
     entities = spark.createDataFrame([("w1", "e", 0.1), ("w1", "e", 0.2), ("w2", "e", 1.0), ("t", None, 1.0)], "wallet_id string, entity_id string, conf double")
