@@ -103,9 +103,9 @@ def pieces_of(sized: DataFrame, capacity: int) -> DataFrame:
     cannot be told to repeat each other: each of them is an item, with a copy_no of its own."""
     kind = "string" if dict(sized.dtypes)["doc_id"] == "string" else "bigint"
     size = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint")
-    items = sized.select(F.col("doc_id").cast(kind).alias("doc_id"), size.alias("n"))
-    once = items.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n")).select("doc_id", F.lit(0).cast("bigint").alias("copy_no"), "n")
-    once = once.unionByName(items.where("doc_id is null").select("doc_id", F.monotonically_increasing_id().alias("copy_no"), "n"))
+    copy_no = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    items = sized.select(F.col("doc_id").cast(kind).alias("doc_id"), copy_no.alias("copy_no"), size.alias("n"))
+    once = items.groupBy("doc_id", "copy_no").agg(F.max("n").alias("n"))
     full = F.expr(f"cast(n div {capacity} as bigint)")
     cut = once.withColumn("piece_no", F.explode(F.expr(f"sequence(0l, greatest(cast(ceil(n / {capacity}) as bigint), 1l) - 1l)")))
     return cut.select("doc_id", "copy_no", "piece_no", F.when(F.col("piece_no") < full, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("bigint").alias("size"))
