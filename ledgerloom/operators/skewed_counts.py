@@ -2,77 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct keys that one task keeps before it hands its count array on; sums stay exact however often that happens.
-CODES_KEPT = 1_000_000
+#: Distinct keys that one task keeps before it hands its count arrays on (sums stay exact however often that happens), and
+#: blocks of the key space per shuffle partition: a task sums one block at a time.
+CODES_KEPT, BLOCKS_PER_PARTITION = 500_000, 32
 
 
-class _Counts:
-    """A dense count array over the codes of a dictionary that grows as new keys come in."""
+class _Accumulator:
+    """A dense count array over the codes of a dictionary; a key keeps the code that it got when it first came."""
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-        self.clear()
+    def __init__(self):
+        self.codes: dict[tuple, int] = {}
+        self.total = np.zeros(1024, np.int64)
 
-    def clear(self) -> None:
-        self.seen, self.total = None, np.zeros(0, np.int64)
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def add(self, keys: Iterable[tuple], counts: np.ndarray) -> None:
+        """counts of distinct keys: only these are looked up, whatever the dictionary holds already."""
+        codes = self.codes
+        at = np.fromiter((codes.setdefault(k, len(codes)) for k in keys), np.int64, len(counts))
+        if len(codes) > len(self.total):
+            self.total = np.concatenate([self.total, np.zeros(max(len(codes), 2 * len(self.total)) - len(self.total), np.int64)])
+        self.total[at] += counts
+
+    def columns(self, types: list[pa.DataType]) -> tuple[list[pa.Array], np.ndarray]:
+        """The keys column by column, and their counts."""
+        return [pa.array(c, t) for c, t in zip(zip(*self.codes), types)], self.total[: len(self.codes)]
+
+
+def _distinct(columns: list[pa.Array]) -> tuple[list[pa.Array], np.ndarray]:
+    """The distinct rows of some columns and how often each occurs, by one bincount over the codes of the whole rows."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        own = column.dictionary_encode()
+        code = code * max(1, len(own.dictionary)) + own.indices.to_numpy()
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return [c.take(pa.array(first)) for c in columns], np.bincount(code, minlength=len(first))
+
+
+def _adder(types: list[pa.DataType], schema: pa.Schema, kept: int):
+    """Rows (block, keys) of a split to rows (block, a list per key, a list of counts)."""
+
+    def arrays(counts: _Accumulator) -> pa.RecordBatch:
+        (block, *keys), total = counts.columns([pa.int64(), *types])
+        order = np.argsort(block.to_numpy(), kind="stable")
+        block = block.to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        offsets, take = pa.array(np.r_[starts, len(block)].astype(np.int32)), pa.array(order)
+        lists = [pa.ListArray.from_arrays(offsets, c.take(take)) for c in [*keys, pa.array(total)]]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *lists], schema=schema)
 
-    def add(self, frame: pd.DataFrame, weight: np.ndarray | None) -> None:
-        parts = frame[self.keys] if self.seen is None else pd.concat([self.seen, frame[self.keys]], ignore_index=True)
-        codes = parts.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
-        weights = np.concatenate([self.total, np.ones(len(frame), np.int64) if weight is None else weight])
-        first = np.flatnonzero(~pd.Series(codes).duplicated().to_numpy())
-        self.total = np.bincount(codes, weights=weights, minlength=len(first)).astype(np.int64)[codes[first]]
-        self.seen = parts.iloc[first].reset_index(drop=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Accumulator()
+        for batch in batches:
+            if batch.num_rows:
+                columns, n = _distinct(batch.columns)
+                counts.add(zip(*(c.to_pylist() for c in columns)), n)
+                if len(counts) > kept:
+                    yield arrays(counts)
+                    counts = _Accumulator()
+        if len(counts):
+            yield arrays(counts)
 
-    def __len__(self) -> int:
-        return len(self.total)
+    return run
 
-    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pandas(self.seen.assign(n=self.total), schema=schema, preserve_index=False)
-        self.clear()
-        return out
 
+def _summer(types: list[pa.DataType], schema: pa.Schema):
+    """The arrays of one block after the other, each added into the block's own array."""
+
+    def sums(counts: _Accumulator) -> pa.RecordBatch:
+        keys, total = counts.columns(types)
+        return pa.RecordBatch.from_arrays([*keys, pa.array(total)], schema=schema)
 
-def _adder(keys: list[str], schema: pa.Schema, weighted: bool, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(keys)
+        block, counts = None, _Accumulator()
         for batch in batches:
-            if batch.num_rows:
-                frame = batch.to_pandas()
-                counts.add(frame, frame["n"].to_numpy() if weighted else None)
-                if not weighted and len(counts) > kept:
-                    yield counts.batch(schema)
+            names, lists = batch.column(0).to_pylist(), batch.columns[1:]
+            for k, name in enumerate(names):
+                if name != block:
+                    if len(counts):
+                        yield sums(counts)
+                    block, counts = name, _Accumulator()
+                *keys, n = (c[k].values for c in lists)
+                counts.add(zip(*(c.to_pylist() for c in keys)), n.to_numpy())
         if len(counts):
-            yield counts.batch(schema)
+            yield sums(counts)
 
     return run
 
 
-def block_counts(rows: DataFrame, keys: list[str], kept: int = CODES_KEPT) -> DataFrame:
+def block_counts(rows: DataFrame, keys: list[str], kept: int = CODES_KEPT, blocks: int | None = None) -> DataFrame:
     """(keys, n): the number of rows of each distinct combination of keys, without a hot key's imbalance.
 
     rows comes in splits of equal size that have nothing to do with the keys. Each split encodes its keys in a
-    dictionary and adds its rows into a dense array over the codes; only these arrays are shuffled, by blocks of the key
-    space (a hash of the whole key), and each block adds up the arrays it receives. A key that holds a third of all
-    rows reaches its block as one number per split.
+    dictionary and adds its rows into a dense array over the codes; only these arrays are shuffled, one per split and block
+    of the key space (a hash of the whole key). A block has a dictionary of its own, into whose array the arrays that it
+    receives are added; a task works on one block at a time. A key that holds a third of all rows reaches its block as one
+    number per split. A key is looked up once per array that holds it, whatever else its dictionary holds.
 
     Rows with a null in any key are left out. Keys must be bigint, int or string.
     """
     kinds = dict(rows.dtypes)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([*((k, arrow[kinds[k]]) for k in keys), ("n", pa.int64())])
+    types = [arrow[kinds[k]] for k in keys]
+    blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BLOCKS_PER_PARTITION
+    whole = rows.select(*keys).dropna().select(F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("block"), *keys)
+    lists = pa.schema([("block", pa.int64()), *((f"k{j}", pa.list_(t)) for j, t in enumerate(types)), ("n", pa.list_(pa.int64()))])
+    layout = ", ".join(["block bigint", *(f"k{j} array<{kinds[k]}>" for j, k in enumerate(keys)), "n array<bigint>"])
+    arrays = whole.mapInArrow(_adder(types, lists, kept), layout)
+    out = pa.schema([*zip(keys, types), ("n", pa.int64())])
     ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n bigint"])
-    whole = rows.select(*keys).dropna()
-    arrays = whole.mapInArrow(_adder(keys, schema, False, kept), ddl)
-    return arrays.repartition(*(F.col(k) for k in keys)).mapInArrow(_adder(keys, schema, True, kept), ddl)
+    return arrays.repartition("block").sortWithinPartitions("block").mapInArrow(_summer(types, out), ddl)
 
 
 def busiest_per_group(counts: DataFrame, group: list[str], item: str) -> DataFrame:

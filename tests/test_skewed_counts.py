@@ -1,7 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
-from ledgerloom.operators.skewed_counts import asn_day_counts, block_counts
+import time
+
+import numpy as np
+
+from ledgerloom.operators.skewed_counts import _Accumulator, asn_day_counts, block_counts
 
 
 def test_block_counts(spark):
@@ -9,8 +13,9 @@ def test_block_counts(spark):
     rows = [(rng.choice([1, 1, 1, 2, rng.randrange(60), None]), rng.choice(["hot", "hot", f"k{rng.randrange(40)}", None, "é"]), 5) for _ in range(3000)]
     df = spark.createDataFrame(rows, "a long, b string, n int").repartition(6)
     want = Counter((a, b) for a, b, _ in rows if a is not None and b is not None)
-    for kept in (10, 100_000):
-        assert {(r["a"], r["b"]): r["n"] for r in block_counts(df, ["a", "b"], kept).collect()} == want
+    for kept, blocks in ((10, 3), (100_000, None), (100_000, 1)):
+        got = block_counts(df, ["a", "b"], kept, blocks).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["n"] for r in got} == want
     assert block_counts(df.limit(0), ["a"]).count() == 0
 
 
@@ -26,3 +31,14 @@ def test_asn_day_counts(spark):
     want = {(a, d, sum(c.values()), len(c), min(c.items(), key=lambda x: (-x[1], x[0]))[0]) for (a, d), c in by.items()}
     assert {tuple(r) for r in asn_day_counts(df).collect()} == want
     assert asn_day_counts(df.limit(0)).count() == 0
+
+
+def test_cost_of_a_key_does_not_grow_with_the_dictionary():
+    counts, took = _Accumulator(), []
+    for k in range(60):
+        keys = [(j, "x") for j in range(k * 10_000, k * 10_000 + 10_000)]
+        began = time.process_time()
+        counts.add(keys, np.ones(10_000, np.int64))
+        took.append(time.process_time() - began)
+    assert len(counts) == 600_000 and sum(counts.columns([])[1]) == 600_000
+    assert sum(took[-20:]) < 6 * sum(took[:20]) + 0.2
