@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .components import components
 
-#: Vectors of one kind that the cells are fitted on, at most, and the balls that one kind has, at most.
-SAMPLE, BALLS = 8_000, 512
+#: Vectors of one kind that the balls and the grid are fitted on, at most.
+SAMPLE = 8_000
 #: Rows of each side of one block of comparisons.
 BLOCK = 4_000
-#: Members that a cell of the grid should have on average; the number of reduced dimensions follows from it.
-CELL_ROWS, MAX_DIMENSIONS = 6_000, 10
+#: What it costs to copy a row into one more cell, in comparisons; copies that are worked out at a time.
+COPY_COST, COPIES_AT_ONCE = 500, 500_000
 _SLACK = 1e-9
 
 
@@ -33,7 +33,6 @@ class Space:
     mean: np.ndarray
     axes: np.ndarray
     dimensions: int = 0
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     @property
     def angle(self) -> float:
@@ -44,41 +43,85 @@ class Space:
         """The chord of the angle: what two similar unit vectors are apart at most, before and after the reduction."""
         return math.sqrt(max(0.0, 2 - 2 * self.similarity)) + _SLACK
 
-    def balls(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(home ball or -1, balls in whose margin a vector lies) of each unit vector.
+    @property
+    def radix(self) -> int:
+        """Different cell numbers of one dimension: coordinates lie within 2 of the mean, and margins one cell further."""
+        return 2 * math.ceil(1 / self.reach) + 5
+
+    @property
+    def deepest(self) -> int:
+        """Dimensions whose cell numbers fit into one number."""
+        return min(len(self.axes), int(62 / math.log2(self.radix)))
+
+    def balls(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home ball or -1 of each unit vector, offsets and numbers of the balls in whose margin it lies).
 
         A home ball's vectors are within half the angle of its pivot, so that any two of them are similar. Whatever is
         similar to one of them is within one and a half angles of the pivot.
         """
         if not len(self.pivots):
-            return np.full(len(x), -1), [np.zeros(0, np.int64)] * len(x)
+            return np.full(len(x), -1), np.zeros(len(x) + 1, np.int64), np.zeros(0, np.int64)
         cos = x @ self.pivots.T
-        cos[:, ~self.kept] = -2
         home = cos.argmax(1)
         home[cos[np.arange(len(x)), home] < math.cos(self.angle / 2) + _SLACK] = -1
         near = cos >= math.cos(min(math.pi, 1.5 * self.angle)) - _SLACK
-        near[np.arange(len(x))[home >= 0], home[home >= 0]] = False
-        return home, [np.flatnonzero(r) for r in near]
+        near[np.flatnonzero(home >= 0), home[home >= 0]] = False
+        return home, np.r_[0, near.sum(1).cumsum()], near.nonzero()[1]
+
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        """Reduced coordinates in units of a cell, which is twice the reach wide."""
+        return (x - self.mean) @ self.axes.T / (2 * self.reach)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell of each vector, offsets and numbers of the cells in whose margin it lies), by reduced coordinates.
 
-    def cells(self, x: np.ndarray) -> tuple[list[str], list[list[str]]]:
-        """(home cell, cells in whose margin a vector lies) of each vector, by its reduced coordinates."""
+        Half a cell is the reach, so that in each dimension only the nearer neighbour can be within it. A vector is copied to
+        a cell if the distances in all dimensions together are within reach: dimension by dimension, each copy goes on
+        as it is and, where that is still within reach, with one more step.
+        """
         k = self.dimensions
-        if not k:
-            return ["0"] * len(x), [[]] * len(x)
-        width = 2 * self.reach
-        z = (x - self.mean) @ self.axes[:k].T / width
-        cell = np.floor(z).astype(np.int64)
+        z = self.coordinates(x)[:, :k]
+        cell = np.floor(z)
         inside = z - cell
-        step = np.where(inside < 0.5, -1, 1)  # half a width is the reach: only the nearer neighbour can be within it
-        gap = np.where(inside < 0.5, inside, 1 - inside) * width
-        homes = [",".join(map(str, c)) for c in cell.tolist()]
-        margins: list[list[str]] = []
-        for c, s, g in zip(cell, step, gap**2):
-            found = [((), 0.0)]
-            for d in np.flatnonzero(g <= self.reach**2).tolist():
-                found += [((*at, d), far + g[d]) for at, far in found if far + g[d] <= self.reach**2]
-            margins.append([",".join(map(str, (c + np.isin(np.arange(k), at) * s).tolist())) for at, _ in found[1:]])
-        return homes, margins
+        step = np.where(inside < 0.5, -1, 1)
+        gap = (np.where(inside < 0.5, inside, 1 - inside) * 2 * self.reach) ** 2
+        power = self.radix ** np.arange(k, dtype=np.int64)
+        home = ((cell.astype(np.int64) + self.radix // 2) * power).sum(1)
+        rows, at, far = np.arange(len(x)), home.copy(), np.zeros(len(x))
+        for d in range(k):
+            more = np.flatnonzero(far + gap[rows, d] <= self.reach**2)
+            own = rows[more]
+            rows, at, far = np.r_[rows, own], np.r_[at, at[more] + step[own, d] * power[d]], np.r_[far, far[more] + gap[own, d]]
+        rows, at = rows[len(x) :], at[len(x) :]
+        order = np.argsort(rows, kind="stable")
+        return home, np.r_[0, np.bincount(rows, minlength=len(x)).cumsum()], at[order]
+
+    def choose_dimensions(self, rest: np.ndarray, n: int) -> None:
+        """The depth of the grid at which n rows like the sample `rest` cost least: each dimension makes copies and saves
+        comparisons. The same rule at every size; a larger table gets a deeper grid."""
+        few = rest[:400]
+        if not len(few) or not self.deepest:
+            return
+        z, lo = self.coordinates(rest[:2000]), np.floor(self.coordinates(few))
+        width = 2 * self.reach
+        apart, inside = np.zeros((len(few), len(z))), self.coordinates(few) - lo
+        copies, best = np.ones((len(few), 1)), (math.inf, 0)
+        for d in range(self.deepest):
+            gap = np.maximum(0, np.maximum(lo[:, d, None] - z[None, :, d], z[None, :, d] - lo[:, d, None] - 1)) * width
+            apart += gap**2
+            members = n * (apart <= self.reach**2).mean()
+            # how many of the copies so far are still within reach with one more step, by the distances they have used up
+            own = (np.minimum(inside[:, d], 1 - inside[:, d]) * width)[:, None] ** 2
+            used = copies if d else np.zeros((len(few), 1))
+            used = np.concatenate([used, np.where(used + own <= self.reach**2, used + own, math.inf)], 1)
+            used.sort(1)
+            copies = used[:, : max(1, int(np.isfinite(used).sum(1).max()))]
+            cost = COPY_COST * np.isfinite(copies).sum(1).mean() + members
+            if cost < best[0]:
+                best = (cost, d + 1)
+            elif cost > 4 * best[0]:
+                break
+        self.dimensions = best[1]
 
 
 def fit_space(x: np.ndarray, similarity: float, least: int) -> Space:
@@ -88,25 +131,24 @@ def fit_space(x: np.ndarray, similarity: float, least: int) -> Space:
     pivots: list[np.ndarray] = []
     left = x
     half = math.cos(space.angle / 2) + _SLACK
-    while len(left) >= least and len(pivots) < BALLS:
+    while len(left) >= least:
         density = np.concatenate([(left[i : i + 1000] @ left.T >= half).sum(1) for i in range(0, len(left), 1000)])
-        found = False
+        new: list[np.ndarray] = []
         for i in np.argsort(-density, kind="stable"):
-            if density[i] < least or len(pivots) >= BALLS:
+            if density[i] < least:
                 break
-            if pivots and found and max(np.stack(pivots) @ left[i]) >= math.cos(space.angle):
+            if new and max(np.stack(new) @ left[i]) >= math.cos(space.angle):
                 continue
             centre = left[left @ left[i] >= similarity].mean(0)
             if (norm := np.linalg.norm(centre)) > 0:
-                pivots.append(centre / norm)
-                found = True
-        if not found:
+                new.append(centre / norm)
+        if not new:
             break
-        before, left = len(left), left[(left @ np.stack(pivots).T).max(1) < half]
+        pivots += new
+        before, left = len(left), left[(left @ np.stack(new).T).max(1) < half]
         if len(left) == before:
             break
     space.pivots = np.stack(pivots) if pivots else np.zeros((0, dim))
-    space.kept = np.ones(len(pivots), bool)
     return space
 
 
@@ -128,24 +170,23 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _place(spaces: dict[str, Space]):
-    """Rows with their home ball, or their home cell where they have none, and the margins they lie in."""
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
+
+
+def _by_kind(spaces: dict[str, Space], place):
+    """Each kind's rows of a batch with what `place` says of them: a home and the margins they lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = np.array(batch.column(0).to_pylist(), object)
-            home, margin = np.empty(batch.num_rows, object), np.empty(batch.num_rows, object)
             for kind in set(kinds.tolist()):
-                at = np.flatnonzero(kinds == kind)
-                x, space = _matrix(batch.column(2).take(pa.array(at))), spaces[kind]
-                ball, near = space.balls(x)
-                rest = np.flatnonzero(ball < 0)
-                cell, around = space.cells(x[rest])
-                for i, b, n in zip(at, ball, near):
-                    home[i], margin[i] = f"b{b}", [f"b{m}" for m in n]
-                for i, c, n in zip(at[rest], cell, around):
-                    home[i], margin[i] = f"c{c}", margin[i] + [f"c{m}" for m in n]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.string()), pa.array(margin.tolist(), pa.list_(pa.string()))], names=["kind", "item", "vec", "home", "margin"])
+                own = pa.Table.from_batches([batch.filter(pa.array(kinds == kind))]).combine_chunks()
+                for k in range(0, len(own), 1_000):
+                    part = own.slice(k, 1_000).combine_chunks()
+                    home, offsets, values = place(spaces[kind], _matrix(part["vec"]))
+                    for made in part.append_column("home", pa.array(home.astype(np.int64))).append_column("margin", _lists(offsets, values)).to_batches():
+                        yield made
 
     return run
 
@@ -154,10 +195,10 @@ def _compare(similarity: float, emit: str):
     """One block: home rows against members of the same cell; margin members of a ball count for themselves as well."""
 
     def counts(h: pa.Table, m: pa.Table, near: np.ndarray) -> pd.DataFrame:
-        ball = h["cell"][0].as_py()[0] == "b"
-        out = [pd.DataFrame({"item": h["item"].to_pandas(), "n": near.sum(1), "ball": None})]
-        if ball:
-            out.append(pd.DataFrame({"item": m["item"].to_pandas(), "n": near.sum(0), "ball": h["cell"][0].as_py()}))
+        cell = h["cell"][0].as_py()
+        out = [pd.DataFrame({"item": h["item"].to_pandas(), "n": near.sum(1), "ball": pd.array([pd.NA] * len(h), "Int64")})]
+        if cell < 0:
+            out.append(pd.DataFrame({"item": m["item"].to_pandas(), "n": near.sum(0), "ball": pd.array([cell] * len(m), "Int64")}))
         return pd.concat(out).query("n > 0")
 
     def links(h: pa.Table, m: pa.Table, near: np.ndarray) -> pd.DataFrame:
@@ -188,11 +229,11 @@ def _compare(similarity: float, emit: str):
         h = table.filter(pa.array(role == "h"))
         m = table.filter(pa.array(role == "m"))
         if not len(h) or not len(m):
-            return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ball": pa.array([], pa.string())}) if emit == "counts" else pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "border": pa.array([], pa.bool_())})
+            return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ball": pa.array([], pa.int64())}) if emit == "counts" else pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "border": pa.array([], pa.bool_())})
         near = _matrix(h["vec"]) @ _matrix(m["vec"]).T >= similarity
         near &= h["item"].to_numpy(zero_copy_only=False)[:, None] != m["item"].to_numpy(zero_copy_only=False)[None, :]
         frame = (counts if emit == "counts" else links)(h, m, near)
-        schema = pa.schema([("item", pa.string()), ("n", pa.int64()), ("ball", pa.string())]) if emit == "counts" else pa.schema([("a", pa.string()), ("b", pa.string()), ("border", pa.bool_())])
+        schema = pa.schema([("item", pa.string()), ("n", pa.int64()), ("ball", pa.int64())]) if emit == "counts" else pa.schema([("a", pa.string()), ("b", pa.string()), ("border", pa.bool_())])
         return pa.Table.from_pandas(frame, schema=schema, preserve_index=False)
 
     return run
@@ -206,13 +247,13 @@ def _blocks(placed: DataFrame, similarity: float, emit: str, block: int) -> Data
     """
     extra = ["core"] if emit == "links" else []
     home = placed.select("kind", "item", "vec", *extra, F.col("home").alias("cell"))
-    of_balls = placed.select("kind", "item", "vec", *extra, "home", F.explode("margin").alias("cell")).where("startswith(cell, 'c') or startswith(home, 'c') or cell < home")
-    member = of_balls.drop("home").unionByName(home.where("startswith(cell, 'c')"))
-    sizes = member.groupBy("kind", "cell").agg(F.count("*").alias("m")).join(placed.groupBy("kind", F.col("home").alias("cell")).agg(F.count("*").alias("h")), ["kind", "cell"]).where("not (startswith(cell, 'c') and m = 1)")
+    of_balls = placed.select("kind", "item", "vec", *extra, "home", F.explode("margin").alias("cell")).where("cell >= 0 or home >= 0 or cell < home")
+    member = of_balls.drop("home").unionByName(home.where("cell >= 0"))
+    sizes = member.groupBy("kind", "cell").agg(F.count("*").alias("m")).join(placed.groupBy("kind", F.col("home").alias("cell")).agg(F.count("*").alias("h")), ["kind", "cell"]).where("not (cell >= 0 and m = 1)")
     sizes = sizes.select("kind", "cell", *(F.ceil(F.col(c) / F.lit(block)).cast("int").alias(f"{c}b") for c in ("h", "m")))
     own = home.join(sizes, ["kind", "cell"]).select("kind", "cell", "item", "vec", *extra, F.lit("h").alias("role"), F.pmod(F.xxhash64("item"), "hb").cast("int").alias("i"), F.explode(F.expr("sequence(0, mb - 1)")).alias("j"))
     others = member.join(sizes, ["kind", "cell"]).select("kind", "cell", "item", "vec", *extra, F.lit("m").alias("role"), F.explode(F.expr("sequence(0, hb - 1)")).alias("i"), F.pmod(F.xxhash64("item"), "mb").cast("int").alias("j"))
-    ddl = "item string, n bigint, ball string" if emit == "counts" else "a string, b string, border boolean"
+    ddl = "item string, n bigint, ball bigint" if emit == "counts" else "a string, b string, border boolean"
     # kind and item together name a node from here on
     key = lambda df: df.withColumn("item", F.concat_ws("\x1f", "kind", "item"))
     return key(own.unionByName(others)).groupBy("kind", "cell", "i", "j").applyInArrow(_compare(similarity, emit), ddl)
@@ -247,25 +288,37 @@ def similarity_clusters(rows: DataFrame, kind: str, item: str, vector: str, simi
         share = min(1.0, SAMPLE / n)
         sample = unit.where((F.col("kind") == name) & (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("vec").toArrow()
         spaces[name] = fit_space(_matrix(sample["vec"])[: 2 * SAMPLE], similarity, least)
-    # balls that are too small to make cores of their members by themselves are given up, and the grid's depth follows the rest
-    held = {(r["kind"], r["home"]): r["n"] for r in unit.mapInArrow(_place(spaces), "kind string, item string, vec array<double>, home string, margin array<string>").where("startswith(home, 'b')").groupBy("kind", "home").agg(F.count("*").alias("n")).collect()}
+    layout = "kind string, item string, vec array<double>, home bigint, margin array<bigint>"
+    near = scratch.write(unit.mapInArrow(_by_kind(spaces, Space.balls), layout), "near")
+    scratch.drop("unit")
+    # balls are numbered from -1 down; those that are too small to make cores of their members by themselves are given up
+    held = near.where("home >= 0").groupBy("kind", F.col("home").alias("ball")).agg(F.count("*").alias("n"))
+    kept = {name: [] for name in spaces}
+    for r in held.where(F.col("n") >= least).collect():
+        kept[r["kind"]].append((r["ball"], r["n"]))
+    balls = F.create_map(*(x for name, own in kept.items() for x in (F.lit(name), F.array(*(F.lit(b).cast("bigint") for b, _ in own)).cast("array<bigint>"))))[F.col("kind")]
+    known = near.select("kind", "item", "vec", F.when(F.array_contains(balls, F.col("home")), -1 - F.col("home")).alias("home"), F.transform(F.array_intersect("margin", balls), lambda b: -1 - b).alias("around"))
     for name, space in spaces.items():
-        space.kept = np.array([held.get((name, f"b{i}"), 0) >= least for i in range(len(space.pivots))], bool)
-        rest = sizes[name] - sum(n for (k, b), n in held.items() if k == name and n >= least)
-        space.dimensions = min(MAX_DIMENSIONS, len(space.axes), max(0, math.ceil(math.log(max(1.0, rest / CELL_ROWS), 1.5))))
-    placed = scratch.write(unit.mapInArrow(_place(spaces), "kind string, item string, vec array<double>, home string, margin array<string>"), "placed")
+        rest = known.where((F.col("kind") == name) & F.col("home").isNull())
+        n = sizes[name] - sum(m for _, m in kept[name])
+        sample = rest.where(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(min(1.0, 2_000 / max(1, n)) * (1 << 20)) + 1).select("vec").limit(4_000).toArrow()
+        space.choose_dimensions(_matrix(sample["vec"]) if len(sample) else np.zeros((0, len(space.mean))), n)
+    loose = known.where("home is null").select("kind", "item", "vec", "around").mapInArrow(_by_kind(spaces, Space.cells), layout.replace("home", "around array<bigint>, home"))
+    loose = loose.select("kind", "item", "vec", "home", F.concat("around", "margin").alias("margin"))
+    placed = scratch.write(known.where("home is not null").withColumnRenamed("around", "margin").unionByName(loose), "placed")
+    scratch.drop("near")
     key = F.concat_ws("\x1f", "kind", "item")
     counts = scratch.write(_blocks(placed, similarity, "counts", block), "counts")
-    in_ball = F.when(F.col("home").startswith("b"), F.col("size")).otherwise(F.lit(1))
-    balls = placed.where("startswith(home, 'b')").groupBy("kind", "home").agg(F.count("*").alias("size"))
+    in_ball = F.when(F.col("home") < 0, F.col("size")).otherwise(F.lit(1))
+    balls = placed.where("home < 0").groupBy("kind", "home").agg(F.count("*").alias("size"))
     found = counts.groupBy("item").agg(F.sum("n").alias("n")).withColumnRenamed("item", "key")
     nodes = placed.withColumn("key", key).join(F.broadcast(balls), ["kind", "home"], "left").join(found, "key", "left").withColumn("degree", in_ball + F.coalesce("n", F.lit(0)))
     # only what has neighbours can be in a cluster
     nodes = scratch.write(nodes.where("degree > 1").select("kind", "item", "vec", "home", "margin", "key", "degree", (F.col("degree") >= least).alias("core")), "nodes")
-    loose = nodes.where("startswith(home, 'c')").withColumn("margin", F.filter("margin", lambda c: c.startswith("c")))
+    loose = nodes.where("home >= 0").withColumn("margin", F.filter("margin", lambda c: c >= 0))
     links = scratch.write(_blocks(loose.select("kind", "item", "vec", "home", "margin", "core"), similarity, "links", block), "links")
     # a ball is one group of cores already: a star around its smallest item
-    head = nodes.where("startswith(home, 'b')").groupBy("kind", "home").agg(F.min("key").alias("head"))
+    head = nodes.where("home < 0").groupBy("kind", "home").agg(F.min("key").alias("head"))
     stars = nodes.join(F.broadcast(head), ["kind", "home"]).select(F.col("head").alias("a"), F.col("key").alias("b"), F.lit(False).alias("border"))
     touched = counts.where("ball is not null").select("item", "ball").distinct()
     state = nodes.select(F.col("key").alias("item"), "core", F.col("kind").alias("k"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.llm.similarity_clusters import describe_clusters, mutual_clusters, similarity_clusters
+from ledgerloom.llm.similarity_clusters import describe_clusters, fit_space, mutual_clusters, similarity_clusters
 
 
 def brute(points, similarity=0.95, least=5):
@@ -49,8 +49,8 @@ def run(spark, points, **more):
 def test_like_brute_force(spark, monkeypatch, seed, spread, block, dims):
     import ledgerloom.llm.similarity_clusters as m
 
-    if dims:
-        monkeypatch.setattr(m, "CELL_ROWS", 20)
+    if dims:  # copies cost nothing, so that the grid is as deep as can be
+        monkeypatch.setattr(m, "COPY_COST", 0)
     points = make(seed, 420, spread)
     got = run(spark, points + points[:30], block=block)
     members, mutual = brute(points)
@@ -58,6 +58,43 @@ def test_like_brute_force(spark, monkeypatch, seed, spread, block, dims):
     assert {tuple(r) for r in mutual_clusters(got, "t", "id").collect()} == mutual
 
 
+def test_cells_hold_whatever_is_within_reach():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 8)) * 0.4 + 1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    space = fit_space(x, 0.95, 5)
+    assert (x @ space.pivots.T).max() <= 1 + 1e-9
+    for space.dimensions in range(1, space.deepest + 1):
+        home, offsets, cells = space.cells(x)
+        held = [{home[k], *cells[offsets[k] : offsets[k + 1]]} for k in range(len(x))]
+        assert all(len(h) == 1 + offsets[k + 1] - offsets[k] for k, h in enumerate(held))
+        for i, j in zip(*np.nonzero(x @ x.T >= 0.95)):
+            assert home[i] in held[j] and home[j] in held[i]
+    home, offsets, balls = space.balls(x)
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.95)):
+        if home[i] >= 0:
+            assert home[j] == home[i] or home[i] in balls[offsets[j] : offsets[j + 1]]
+
+
+def test_a_larger_table_gets_a_deeper_grid():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    depth = []
+    for n in (10**3, 10**5, 10**7, 10**9):
+        space = fit_space(x, 0.95, 5)
+        space.choose_dimensions(x, n)
+        depth.append(space.dimensions)
+    assert depth == sorted(depth) and 1 <= depth[0] < depth[-1]
+
+
+def test_recall_against_brute_force_on_a_larger_table(spark):
+    """Of 4,000 vectors of 16 dimensions, all members that comparing all pairs finds."""
+    points = make(9, 4000, 0.05, dim=16)
+    got = {(r["t"], r["id"], r["cluster_id"]) for r in run(spark, points).select("t", "id", "cluster_id").collect()}
+    assert got == brute(points)[0]
+
+
 def test_odd_rows(spark):
     same = [("A", f"s{k}", [1.0, 0.0]) for k in range(5)]
     odd = [("A", "zero", [0.0, 0.0]), ("A", "null", None), ("A", "nan", [float("nan"), 1.0]), (None, "x", [1.0, 0.0]), ("A", None, [1.0, 0.0]), ("A", "alone", [0.0, 2.0]), ("A", "empty", [])]
