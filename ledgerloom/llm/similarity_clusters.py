@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,7 +232,9 @@ def _compare(similarity: float, emit: str):
         if not len(h) or not len(m):
             return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ball": pa.array([], pa.int64())}) if emit == "counts" else pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "border": pa.array([], pa.bool_())})
         near = _matrix(h["vec"]) @ _matrix(m["vec"]).T >= similarity
-        near &= h["item"].to_numpy(zero_copy_only=False)[:, None] != m["item"].to_numpy(zero_copy_only=False)[None, :]
+        itself = pc.index_in(h["item"], value_set=m["item"])
+        at = np.flatnonzero(np.asarray(itself.is_valid()))
+        near[at, itself.drop_null().to_numpy()] = False
         frame = (counts if emit == "counts" else links)(h, m, near)
         schema = pa.schema([("item", pa.string()), ("n", pa.int64()), ("ball", pa.int64())]) if emit == "counts" else pa.schema([("a", pa.string()), ("b", pa.string()), ("border", pa.bool_())])
         return pa.Table.from_pandas(frame, schema=schema, preserve_index=False)
