@@ -11,7 +11,7 @@ from ..session import Scratch
 
 #: Rounds that the clusters of one level grow, which is also the span of their start times; the rate of the exponential
 #: shifts; edges that end the recursion in one task of fixed size.
-ROUNDS, RATE, LAST_EDGES = 3, 0.4, 250_000
+ROUNDS, RATE, LAST_EDGES = 3, 0.4, 2_000
 _ID_BITS, _TICKS = 44, 1 << 14
 _HOP = _TICKS << _ID_BITS
 
