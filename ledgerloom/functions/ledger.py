@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: A value is hot if it has more than one HOT-th of its group's rows.
+HOT = 1000
+
 
 def once(transactions: DataFrame) -> DataFrame:
     """The first delivery of every txid; rows without a txid are left out."""
@@ -60,19 +63,17 @@ def script_class(address: Column) -> Column:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
-    return dot(a, b) / ((F.sqrt(dot(a, a)) + F.lit(1e-12)) * (F.sqrt(dot(b, b)) + F.lit(1e-12)))
-
-
 def average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """df with the percentile rank of a column (within groups of `by`), equal values sharing the mean of their places.
 
     Distinct values with their counts are divided by ranges of the value and stored; running sums stay within a range,
-    and one number per range and group says what lies before it. No task sees more than a range of distinct values.
+    and one number per range and group says what lies before it. No task sees more than a range of distinct values. A
+    value that holds more than one HOT-th of a group's rows (at most HOT values per group) gets its rank by broadcast, so
+    that its rows need not meet in one place.
     """
     by = by or []
     scratch = Scratch(df.sparkSession, "rank")
+    df = scratch.write(df, "rows")
     counts = df.groupBy(*by, column).agg(F.count("*").alias("_m"))
     counts = scratch.write(counts.repartitionByRange(*by, column).withColumn("_p", F.spark_partition_id()), "counts")
     ranges = counts.groupBy(*by, "_p").agg(F.sum("_m").alias("_t"))
@@ -81,5 +82,9 @@ def average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = No
     upto = F.sum("_m").over(Window.partitionBy(*by, "_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
     same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
     placed = counts.withColumn("_upto", upto).alias("l").join(F.broadcast(ranges).alias("r"), same([*by, "_p"]))
-    ranks = placed.select(*(F.col(f"l.{c}") for c in [*by, column]), ((F.col("_before") + F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out))
-    return df.alias("l").join(ranks.alias("r"), same([*by, column])).select("l.*", F.col(f"r.{out}"))
+    ranks = placed.select(*(F.col(f"l.{c}") for c in [*by, column]), ((F.col("_before") + F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out), (F.col("_m") * HOT > F.col("_n")).alias("_hot"))
+    ranks = scratch.write(ranks, "ranks")
+    hot, cold = ranks.where("_hot"), ranks.where("not _hot")
+    ranked = lambda part, right: part.alias("l").join(right.alias("r"), same([*by, column])).select("l.*", F.col(f"r.{out}"))
+    rest = df.alias("l").join(F.broadcast(hot).alias("r"), same([*by, column]), "left_anti")
+    return ranked(df, F.broadcast(hot)).unionByName(ranked(rest, cold))

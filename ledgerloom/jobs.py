@@ -22,6 +22,7 @@ from .operators.features import node_features
 from .plans import pipeline, synth
 from .session import DEFAULTS
 from .sources import formats
+from .sources import ingest as judging
 
 
 class Tables:
@@ -44,9 +45,16 @@ def generate(t: Tables, seed: int = 42, transactions: int = 200_000) -> None:
     t.write("truth", data["entities"])
 
 
-def ingest(t: Tables, source: str = "", kind: str = "parquet") -> None:
-    rows = formats.read(t.spark, source, kind).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")) if source else t.read("raw")
-    t.write("transactions", pipeline.accepted(rows))
+def ingest(t: Tables, source: str = "", kind: str = "parquet", pool: str = "") -> None:
+    """Records of a source, by default the generated ones, to `transactions`; what is refused to `rejects`, with the reason.
+
+    pool is the table of known networks (net_prefix, asn, geo_country), by default the generator's.
+    """
+    records = formats.read_records(t.spark, source or f"{t.folder}/raw.parquet", kind)
+    networks = t.spark.read.parquet(pool) if pool else pipeline.known_networks(t.spark)
+    t.write("judged", judging.judged_fields(records, networks))
+    t.write("transactions", judging.accepted_rows(t.read("judged")))
+    t.write("rejects", judging.reject_log(t.read("judged"), kind))
 
 
 def graph(t: Tables) -> None:
@@ -94,12 +102,12 @@ def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "")
     if mode == "rank":
         scored, threshold = fu.rank_scores(table), 0.0
     elif mode == "model":
-        scored, threshold = fu.apply_blend(table, load_blend(model)), 0.0
+        scored, threshold = fu.apply_blend(table, load_blend(t.spark, model)), 0.0
     else:
         labels = t.read("truth").select(F.col("wallet_id").alias("node_id"), F.col("entity_type").isin(synth.ILLICIT).cast("int").alias("label"))
         fitted = fu.fit_blend(table, labels)
         if fitted and model:
-            save_blend(fitted, model)
+            save_blend(t.spark, fitted, model)
         scored, threshold = (fu.apply_blend(table, fitted) if fitted else fu.fallback_scores(table)), fu.THRESHOLD
     t.write("scored", fu.dedupe_by_entity(scored, t.read("entities")))
     scored = t.read("scored")
@@ -108,21 +116,22 @@ def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "")
 
 
 def evaluate(t: Tables) -> None:
-    t.write("quality", pipeline.quality(t.read("transactions"), {"entities": t.read("truth"), "patterns": t.read("patterns"), "seeds": t.read("seeds")}))
+    t.write("quality", pipeline.quality(t.read("transactions"), {"entities": t.read("truth"), "patterns": t.read("patterns"), "seeds": t.read("seeds")}, anomaly=t.read("scores_anomaly").select("node_id", "score")))
 
 
 def ablation(t: Tables) -> None:
+    """The long table as Parquet, and one line per noise level and condition as CSV, a column per metric."""
     t.write("ablation", pipeline.ablation(t.spark))
+    wide = t.read("ablation").groupBy("noise_level", "ip_noise", "condition").pivot("metric").agg(F.first("value")).orderBy("ip_noise", "condition")
+    wide.coalesce(1).write.mode("overwrite").csv(f"{t.folder}/ablation.csv", header=True)
 
 
-def save_blend(model: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(model, f, indent=2)
+def save_blend(spark: SparkSession, model: dict, path: str) -> None:
+    formats.write_text(spark, path, json.dumps(model, indent=2))
 
 
-def load_blend(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load_blend(spark: SparkSession, path: str) -> dict:
+    return json.loads(formats.read_text(spark, path))
 
 
 def everything(t: Tables) -> None:

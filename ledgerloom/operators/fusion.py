@@ -31,11 +31,13 @@ def component_table(pattern: DataFrame, risk: DataFrame, anomaly: DataFrame, adm
 
 def rank_scores(table: DataFrame, weights: dict[str, float] = RANK_WEIGHTS) -> DataFrame:
     """The table with final_score: the weighted mean of percentile ranks, so that no head's scale matters. A pattern or
-    risk score of 0 ranks 0. Weights of 0 or less are skipped."""
+    risk score of 0 or less ranks 0. Heads with a weight of 0 or less are skipped; the sum is that of all weights given, and
+    without a positive sum all scores are 0."""
     used = {c: w for c, w in weights.items() if w > 0}
     out = reduce(lambda df, c: average_rank(df, c, f"_r_{c}"), used, table)
-    rank = {c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(f"_r_{c}")) if c in ("pattern", "risk") else F.col(f"_r_{c}") for c in used}
-    score = reduce(lambda a, b: a + b, (F.lit(w) * rank[c] for c, w in used.items())) / F.lit(sum(used.values()))
+    rank = {c: F.when(F.col(c) <= 0, 0.0).otherwise(F.col(f"_r_{c}")) if c in ("pattern", "risk") else F.col(f"_r_{c}") for c in used}
+    total = sum(weights.values())
+    score = reduce(lambda a, b: a + b, (F.lit(w) * rank[c] for c, w in used.items())) / F.lit(total) if used and total > 0 else F.lit(0.0)
     return out.withColumn("final_score", score).drop(*(f"_r_{c}" for c in used))
 
 

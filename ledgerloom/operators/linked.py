@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-#: Pairs up to which one task of that bounded size does without rounds.
-TASK_PAIRS = 200_000
+#: Pairs that are left to one task of that bounded size: the tail of the rounds.
+TASK_PAIRS = 2_000
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -39,13 +41,14 @@ def _in_one_task(table: pa.Table) -> pa.Table:
     return pa.table({"member": pa.array(names[order], pa.string()), "root": pa.array(names[order][root], pa.string())})
 
 
-def linked_components(pairs: DataFrame, a: str, b: str, most_rounds: int = 100, task_pairs: int = TASK_PAIRS) -> DataFrame:
+def linked_components(pairs: DataFrame, a: str, b: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(member, root): every value of a pair with the smallest value that it is linked to, itself included.
 
     Each round ties the larger neighbours of every value to the smallest one around it (large star), then the smaller
     ones (small star). The number of edges never grows, their number of rounds follows the logarithm of the diameter,
     and the last round, in which nothing changes, is a star per component. Each round is stored in the shared folder.
-    With at most task_pairs distinct pairs, a single task of that bounded size gives the same result at once.
+    With at most task_pairs distinct pairs, a single task of that bounded size gives the same result at once. There is no
+    limit to the number of rounds: each brings every value nearer to its smallest one.
     """
     scratch = Scratch(pairs.sparkSession, "linked")
     clean = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("string").alias("u"), F.least(a, b).cast("string").alias("v")).distinct()
@@ -53,7 +56,7 @@ def linked_components(pairs: DataFrame, a: str, b: str, most_rounds: int = 100,
     before = _signature(edges)
     if 0 < before[0] <= task_pairs:
         return scratch.write(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_in_one_task, "member string, root string"), "roots")
-    for k in range(1, most_rounds + 1):
+    for k in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -65,7 +68,5 @@ def linked_components(pairs: DataFrame, a: str, b: str, most_rounds: int = 100,
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("member")).distinct().withColumn("root", F.col("member"))
     return edges.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(roots)

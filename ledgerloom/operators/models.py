@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank
 from ..session import Scratch
+from .order import group_medians
 
 #: Rows and edges that a fit takes at most, size of an embedding, epochs and step of the optimiser.
 FIT_ROWS, FIT_EDGES, DIMENSIONS, EPOCHS, STEP = 20_000, 20_000, 16, 30, 0.01
 FOREST_SEEDS, TREES, TREE_ROWS, LEAST_NODES, TOP_FEATURES = (0, 1, 2), 200, 256, 50, 3
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
-    """About `rows` rows chosen by a hash of the key: the same ones each time, all of them if there are no more."""
+def bounded_sample(df: DataFrame, key: list[str], rows: int, seed: int = 0) -> DataFrame:
+    """About `rows` rows chosen by a hash of the key, which should tell rows apart: the same ones each time, all of them if there are no more."""
     n = df.count()
     share = 1.0 if n <= rows else rows / n
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def standardized(features: DataFrame, columns: list[str], by: str = "node_type") -> DataFrame:
@@ -114,7 +115,7 @@ def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, mo
     plain numpy with the gradient written out. It stands in for an encoder with learned message weights: here the
     messages are means and only the projection is learned.
     """
-    some = bounded_sample(edges.select("src", "dst"), "src", most_edges, seed)
+    some = bounded_sample(edges.select("relation", "src", "dst") if "relation" in edges.columns else edges.select("src", "dst"), [c for c in ("relation", "src", "dst") if c in edges.columns], most_edges, seed)
     ends = some.join(features.select(F.col("node_id").alias("src"), F.col("x").alias("xs")), "src").join(features.select(F.col("node_id").alias("dst"), F.col("x").alias("xd")), "dst").select("xs", "xd").toArrow()
     rng = np.random.default_rng(seed)
     if not len(ends):
@@ -194,11 +195,10 @@ def squashed(columns: list[str]) -> list[Column]:
 
 def robust_z(df: DataFrame, columns: list[str], by: str = "node_type") -> DataFrame:
     """df with z_<column>: the distance from the type's median in units of 1.4826 times the median distance; 0 where that is
-    0. Medians are the lower ones, exact up to ACCURACY rows of a type and within a 100,000th of the rows beyond."""
-    accuracy = 100_000
-    med = df.groupBy(by).agg(*(F.percentile_approx(c, 0.5, accuracy).alias(f"m_{c}") for c in columns))
+    0. Medians are the lower ones, exact at every size."""
+    med = group_medians(df, by, columns).select(by, *(F.col(c).alias(f"m_{c}") for c in columns))
     off = df.join(F.broadcast(med), by)
-    mad = off.groupBy(by).agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, accuracy).alias(f"d_{c}") for c in columns))
+    mad = group_medians(off.select(by, *(F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns)), by, columns).select(by, *(F.col(c).alias(f"d_{c}") for c in columns))
     z = off.join(F.broadcast(mad), by)
     return z.withColumns({f"z_{c}": F.when(F.col(f"d_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / (1.4826 * F.col(f"d_{c}"))).otherwise(0.0) for c in columns}).drop(*(f"{p}_{c}" for p in "md" for c in columns))
 
@@ -263,7 +263,7 @@ def isolation_scores(features: DataFrame, columns: list[str], kinds: tuple[str,
     for row in df.groupBy("node_type").agg(F.count("*").alias("n"), *(F.stddev_pop(c).alias(c) for c in columns)).collect():
         usable = [i for i, c in enumerate(columns) if row[c] and row[c] > 0]
         if row["n"] >= LEAST_NODES and usable:
-            pool = bounded_sample(df.where(F.col("node_type") == row["node_type"]), "node_id", FIT_ROWS).select(*columns).toPandas().to_numpy(float)
+            pool = bounded_sample(df.where(F.col("node_type") == row["node_type"]), ["node_id"], FIT_ROWS).select(*columns).toPandas().to_numpy(float)
             forests[row["node_type"]] = (usable, [_forest(pool[:, usable], s, trees) for s in FOREST_SEEDS])
     ddl = "node_id string, node_type string, " + ", ".join(f"d{i} double" for i in range(len(FOREST_SEEDS)))
 
@@ -281,12 +281,11 @@ def isolation_scores(features: DataFrame, columns: list[str], kinds: tuple[str,
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), *(pa.array(d[keep]) for d in depth)], names=["node_id", "node_type", *(f"d{i}" for i in range(len(FOREST_SEEDS)))])
 
-    scored = df.mapInArrow(run, ddl)
-    for i in range(len(FOREST_SEEDS)):
-        scored = average_rank(scored, f"d{i}", f"r{i}", ["node_type"])
-    score = reduce(lambda a, b: a + b, (F.col(f"r{i}") for i in range(len(FOREST_SEEDS)))) / len(FOREST_SEEDS)
+    # all forests are ranked together, each within itself
+    depths = df.mapInArrow(run, ddl).select("node_id", "node_type", F.posexplode(F.array(*(F.col(f"d{i}") for i in range(len(FOREST_SEEDS))))).alias("forest", "depth"))
+    scored = average_rank(depths, "depth", "place", ["node_type", "forest"]).groupBy("node_id", "node_type").agg((F.sum("place") / len(FOREST_SEEDS)).alias("score"))
     z = robust_z(df, columns).select("node_id", "node_type", F.slice(F.sort_array(F.array(*(F.struct(F.abs(F.col(f"z_{c}")).alias("a"), F.lit(c).alias("feature"), F.round(f"z_{c}", 2).alias("z")) for c in columns)), False), 1, TOP_FEATURES).alias("top"))
-    out = scored.withColumn("score", score).join(z, ["node_id", "node_type"])
+    out = scored.join(z, ["node_id", "node_type"])
     evidence = F.to_json(F.struct("node_type", F.round("score", 4).alias("percentile"), F.map_from_entries(F.transform("top", lambda t: F.struct(t["feature"], t["z"]))).alias("top_deviating_features")))
     return out.select("node_id", "node_type", "score", F.concat(F.lit("IFOREST_PCTL="), F.format_string("%.2f", "score")).alias("reason_code"), evidence.alias("evidence_json"))
 

@@ -15,8 +15,8 @@ from .patterns import service_wallets
 
 #: Damping and decay of the ownership head; decay, floor and reach of the flow head. Fixed values.
 DAMPING, HOP_DECAY, FLOW_DECAY, FLOW_FLOOR, FLOW_HOPS = 0.85, 0.5, 0.9, 0.01, 8
-#: Edges of a component that one task ranks; larger ones are ranked by joins.
-TASK_EDGES = 1_000_000
+#: Edges of a component that one task ranks; larger ones are ranked by joins. Both ways end when no rank changes by more.
+TASK_EDGES, TOLERANCE = 1_000_000, 1e-12
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -52,34 +52,37 @@ def _rank_component(damping: float):
         seed[np.isin(ids, seeds)] = 1.0
         degree = np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
         x = seed.copy()
-        for _ in range(400):
+        change = 1.0
+        while change > TOLERANCE:
             share = x / degree
             new = (1 - damping) * seed + damping * (np.bincount(v, share[u], len(ids)) + np.bincount(u, share[v], len(ids)))
-            if np.abs(new - x).max() < 1e-13:
-                break
-            x = new
-        return pa.table({"node_id": pa.array(ids, pa.string()), "rank": new})
+            change, x = np.abs(new - x).max(), new
+        return pa.table({"node_id": pa.array(ids, pa.string()), "rank": x})
 
     return run
 
 
-def _rank_by_joins(edges: DataFrame, seeds: DataFrame, damping: float, scratch: Scratch, rounds: int = 80) -> DataFrame:
+def _rank_by_joins(edges: DataFrame, seeds: DataFrame, damping: float, scratch: Scratch) -> DataFrame:
+    """The same by a round of joins per step; the change shrinks by the damping each time, so that it ends."""
     both = scratch.write(_both(edges), "big")
     degree = scratch.write(both.groupBy(F.col("a").alias("node_id")).agg(F.count("*").alias("d")), "degree")
     base = degree.join(seeds.select("node_id").distinct().withColumn("s", F.lit(1.0)), "node_id", "left").select("node_id", "d", F.coalesce("s", F.lit(0.0)).alias("s"))
     x = scratch.write(base.withColumn("rank", F.col("s")), "x0")
-    for k in range(1, rounds + 1):
+    k, change = 0, 1.0
+    while change > TOLERANCE:
+        k += 1
         sent = both.join(x.select(F.col("node_id").alias("a"), (F.col("rank") / F.col("d")).alias("r")), "a").groupBy(F.col("b").alias("node_id")).agg(F.sum("r").alias("r"))
-        x = scratch.write(base.join(sent, "node_id", "left").withColumn("rank", F.lit(1 - damping) * F.col("s") + F.lit(damping) * F.coalesce("r", F.lit(0.0))).drop("r"), f"x{k}")
+        x = scratch.write(base.join(sent, "node_id", "left").withColumn("rank", F.lit(1 - damping) * F.col("s") + F.lit(damping) * F.coalesce("r", F.lit(0.0))).drop("r").join(x.select("node_id", F.col("rank").alias("old")), "node_id").withColumn("change", F.abs(F.col("rank") - F.col("old"))).drop("old"), f"x{k}")
+        change = x.agg(F.max("change")).first()[0]
         scratch.drop(f"x{k - 1}")
     return x.select("node_id", "rank")
 
 
-def personal_ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+def personal_ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, rank): PageRank that restarts at the seeds, in the components that hold one, up to a common factor.
 
     The ranks of a component depend on nothing outside it, so that each one is solved by a task of its own, up to
-    TASK_EDGES edges; larger components take a round of joins per step.
+    TASK_EDGES edges; larger components take a round of joins per step, up to the same TOLERANCE.
     """
     scratch = Scratch(links.sparkSession, "rank")
     roots = scratch.write(linked_components(links, "a", "b"), "roots")
@@ -87,13 +90,13 @@ def personal_ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING)
     edges = links.join(roots.withColumnRenamed("member", "a"), "a").join(seeded, "root", "left_semi")
     edges = scratch.write(edges.join(seeds.select(F.col("node_id").alias("a"), F.col("node_id").alias("sa")).distinct(), "a", "left").join(seeds.select(F.col("node_id").alias("b"), F.col("node_id").alias("sb")).distinct(), "b", "left"), "edges")
     size = edges.groupBy("root").agg(F.count("*").alias("n"))
-    fits = size.where(F.col("n") <= TASK_EDGES).select("root")
+    fits = size.where(F.col("n") <= task_edges).select("root")
     fit = edges.join(fits, "root", "left_semi")
     none = F.lit(None).cast("string")
     at_seed = fit.select("root", F.explode(F.array_compact(F.array("sa", "sb"))).alias("seed")).distinct()
     packed = fit.select("root", "a", "b", none.alias("seed")).unionByName(at_seed.select("root", none.alias("a"), none.alias("b"), "seed"))
     ranks = packed.groupBy("root").applyInArrow(_rank_component(damping), "node_id string, rank double")
-    large = edges.join(size.where(F.col("n") > TASK_EDGES).select("root"), "root", "left_semi")
+    large = edges.join(size.where(F.col("n") > task_edges).select("root"), "root", "left_semi")
     if not large.isEmpty():
         ranks = ranks.unionByName(_rank_by_joins(large.select("a", "b"), seeds, damping, scratch))
     return ranks

@@ -100,7 +100,7 @@ def m11_z_scores(spark, folder):
 
 def m13_isolation(spark, folder):
     df, columns = _features(spark, folder)
-    return mo.isolation_scores(df, columns, trees=50).select("node_id", "node_type", F.round("score", 4).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("code"))
+    return mo.isolation_scores(df, columns).select("node_id", "node_type", F.round("score", 4).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("code"))
 
 
 def m13_robust_z(spark, folder):

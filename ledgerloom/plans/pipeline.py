@@ -20,14 +20,22 @@ from ..operators import similarity as sm
 from ..operators.features import node_features
 from ..operators.hdbscan import hdbscan
 from ..session import Scratch
-from ..sources.ingest import reject_reason
-from .synth import Config, generate
+from ..sources.formats import read_records
+from ..sources.ingest import accepted_rows, judged_fields
+from .synth import Config, generate, networks
+
+
+def known_networks(spark: SparkSession) -> DataFrame:
+    """The generator's networks as a pool (net_prefix, asn, geo_country)."""
+    return networks(spark).select(F.concat_ws(".", "octet1", "octet2").alias("net_prefix"), "asn", "geo_country")
 
 
 def accepted(raw: DataFrame) -> DataFrame:
-    """Valid rows of the raw table with their timestamp as one, and a row index in the order of txid."""
-    ok = raw.where(reject_reason(F.col("txid"), F.col("timestamp"), F.col("input_amounts"), F.col("output_amounts"), F.col("fee")).isNull())
-    return ok.withColumns({"timestamp": F.col("timestamp").try_cast("timestamp"), "row_index": F.xxhash64("txid")})
+    """The accepted rows of a generated table, which is written and ingested like any other source."""
+    scratch = Scratch(raw.sparkSession, "ingest")
+    raw.write.parquet(f"{scratch.root}/raw")
+    records = read_records(raw.sparkSession, f"{scratch.root}/raw", "parquet")
+    return accepted_rows(judged_fields(records, known_networks(raw.sparkSession)))
 
 
 def _inputs(features: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
@@ -117,8 +125,9 @@ def run(transactions: DataFrame, seeds: DataFrame) -> dict[str, DataFrame]:
     return {"flows": f, "nodes": nodes, "edges": edges, "entities": entities, "log": log, "features": features, "pattern": pattern, "risk": risk, "anomaly": anomaly, "attention": near, "alerts": alerts}
 
 
-def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool = True) -> DataFrame:
-    """(metric, value): entity, pattern and ownership quality on generated data; without the network layer if wanted."""
+def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool = True, anomaly: DataFrame | None = None) -> DataFrame:
+    """(metric, value): entity, pattern, ownership and, with anomaly scores (node_id, score), anomaly quality on generated data;
+    without the network layer if wanted."""
     f = flows(transactions)
     nodes = gr.nodes(f)
     links = en.pass1_links(f)
@@ -130,11 +139,13 @@ def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool
     peel = truth["patterns"].where("type = 'peeling'").select(F.col("pattern_id").alias("set_id"), F.explode("txids").alias("member"))
     rounds = truth["patterns"].where("type = 'coinjoin'").select(F.explode("txids").alias("txid"))
     bad = truth["entities"].where(F.col("entity_type").isin("ransomware", "darknet", "mixer")).select(F.col("wallet_id").alias("node_id"))
+    wallets = truth["entities"].select(F.col("wallet_id").alias("node_id"), F.col("entity_type").isin("ransomware", "darknet", "mixer").cast("int").alias("label"))
     return ev.summary({
         "er": en.pairwise_quality(predicted, truth["entities"]).select("precision", "recall", "f1"),
         "peeling": ev.overlap_quality(chains, peel),
         "coinjoin": ev.set_quality(pt.coinjoin_rounds(f).select("txid"), rounds, "txid"),
         "risk_at_50": ev.precision_at(rk.ownership_risk(owned, seeds), bad, 50),
+        **({"anomaly": ev.auc(anomaly.join(wallets, "node_id"))} if anomaly is not None else {}),
     })
 
 

@@ -8,7 +8,12 @@ from . import pipeline, synth
 from ..functions.ledger import once
 from ..sources.tables import table
 
-SMALL = synth.Config(seed=23, entities=300, wallets=3_000, transactions=3_000, mixer_share=0.05)
+
+
+def sized(spark, folder) -> synth.Config:
+    """A generated ledger as large as the folder's own: as many transactions, with the generator's proportions."""
+    n = table(spark, folder, "transactions", "txid").count()
+    return synth.Config(seed=23, entities=max(1, n // 100), wallets=max(1, n // 4), transactions=n)
 
 
 def y1_networks(spark, folder):
@@ -16,20 +21,20 @@ def y1_networks(spark, folder):
 
 
 def y3_wallets(spark, folder):
-    e = synth.entities(spark, SMALL)
+    e = synth.entities(spark, sized(spark, folder))
     return synth.wallets(e).groupBy("entity_type").agg(F.count("*").alias("wallets"), F.countDistinct("entity_id").alias("entities"))
 
 
 def y4_transactions(spark, folder):
-    return synth.generate(spark, SMALL)["raw"].select("txid", "timestamp", "src_ip", "asn", F.size("input_addresses").alias("inputs"), F.size("output_addresses").alias("outputs"), "fee")
+    return synth.generate(spark, sized(spark, folder))["raw"].select("txid", "timestamp", "src_ip", "asn", F.size("input_addresses").alias("inputs"), F.size("output_addresses").alias("outputs"), "fee")
 
 
 def y8_patterns(spark, folder):
-    return synth.generate(spark, SMALL)["patterns"].select("pattern_id", "type", F.size("txids").alias("txs"), F.size("wallets").alias("wallets"))
+    return synth.generate(spark, sized(spark, folder))["patterns"].select("pattern_id", "type", F.size("txids").alias("txs"), F.size("wallets").alias("wallets"))
 
 
 def v7_ablation(spark, folder):
-    return pipeline.ablation(spark, {"low": 0.01}, synth.Config(seed=71, entities=200, wallets=2_000, transactions=2_000, mixer_share=0.05))
+    return pipeline.ablation(spark)
 
 
 def x12_pipeline_alerts(spark, folder):

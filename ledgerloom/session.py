@@ -43,16 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends and a lost executor costs no recomputation.
-
-    The table stays until the session's owner removes the folder (see Scratch for tables that end sooner).
-    """
-    path = f"{shared_folder(df.sparkSession)}/ledgerloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Intermediate tables of one operator, removable one by one as soon as nothing reads them."""
 

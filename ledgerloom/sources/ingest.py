@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
-from .rejects import label_records
+from .rejects import label_records, loaded
 
 #: Shapes of a valid txid and of an ISO timestamp; fixed values.
 TXID, ISO = "^[0-9a-f]{64}$", r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
@@ -53,15 +53,54 @@ def locate(rows: DataFrame, ranges: DataFrame, value: str, width: int = 1 << 16)
     return keyed.alias("k").join(listed.alias("r"), (F.col("k._bucket") == F.col("r._bucket")) & hit, "left").select("k.*", *(F.col(f"r.{c}") for c in ranges.columns)).drop("_bucket")
 
 
+def ipv6_number(ip: Column) -> Column:
+    """The upper 64 bits of an IPv6 address as a number, below 0 for the half that starts with a set bit; null for anything
+    else. A network of up to /64 is a range of such numbers."""
+    text = F.lower(F.split_part(ip, F.lit("%"), F.lit(1)))
+    halves = F.split(text, "::", -1)
+    groups = lambda h: F.filter(F.split(h, ":", -1), lambda x: x != "")
+    tail = F.when(F.try_element_at(groups(F.try_element_at(halves, F.lit(-1))), F.lit(-1)).contains("."), 1).otherwise(0)  # its dotted end takes two groups
+    left, right = groups(halves[0]), F.when(F.size(halves) == 2, groups(F.get(halves, 1))).otherwise(F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right) + F.coalesce(tail, F.lit(0))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.when(F.size(halves) == 2, 8 - known).otherwise(0)), right)
+    shaped = text.rlike(r"^[0-9a-f:]+(\.?[0-9]+){0,4}$") & text.contains(":") & ~text.contains(":::") & (F.size(halves) <= 2)
+    fits = F.when(F.size(halves) == 2, known < 8).otherwise(known == 8) & F.forall(whole, lambda x: x.rlike(r"^[0-9a-f]{1,4}$") | x.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
+    upper = F.array_join(F.transform(F.slice(whole, 1, 4), lambda x: F.lpad(x, 4, "0")), "")
+    return F.when(shaped & fits, F.conv(upper, 16, -10).cast("bigint"))
+
+
+def scalar_reason(src_port: Column, fee: Column) -> Column:
+    """bad_scalar or negative_amount by the texts of src_port and fee, by the rules of label_records; null where both hold."""
+    port, amount = F.trim(src_port), F.trim(fee)
+    port_ok = port.rlike(r"^0*[0-9]{1,5}$") & F.coalesce(port.try_cast("bigint").between(1, 65535), F.lit(False))
+    value = F.when(amount.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), amount.try_cast("double"))
+    fee_ok = F.coalesce(F.abs(value) < float("inf"), F.lit(False))
+    return F.when(~(F.coalesce(port_ok, F.lit(False)) & fee_ok), "bad_scalar").when(value < 0, "negative_amount")
+
+
 def judged(raw: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every record with its final reason: what does not load, what is not valid, what no network of the pool explains."""
-    rows = label_records(raw)
+    """judged_fields of the CSV records (record_id, raw_line)."""
+    return judged_fields(label_records(raw), pool)
+
+
+def judged_fields(rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """Every record with its final reason: what does not load, what is not valid, what no network of the pool explains.
+
+    rows are (record_id, reason so far, the 14 fields as text, lists joined by |), as label_records gives them.
+    """
     amounts = lambda c: F.when(F.col(c) == "", F.array().cast("array<double>")).otherwise(F.transform(F.split(c, "[|]"), lambda x: x.try_cast("double")))
     fee = F.trim("fee").try_cast("double")
     checked = rows.withColumn("reason", F.coalesce("reason", reject_reason(F.col("txid"), F.col("timestamp"), amounts("input_amounts"), amounts("output_amounts"), fee)))
     return enrich(checked, pool).withColumn("reason", F.when(F.col("reason").isNull() & F.col("pool_asn").isNull(), "unresolvable_geoip").otherwise(F.col("reason")))
 
 
+def accepted_rows(judged_rows: DataFrame) -> DataFrame:
+    """The canonical rows of the records without a reason, with row_index, the record's place in its source; asn and country
+    are those of the network that the pool has for the sender's address."""
+    named = judged_rows.withColumns({"asn": F.col("pool_asn").cast("string"), "geo_country": F.col("pool_country")})
+    return loaded(named).withColumnRenamed("record_id", "row_index")
+
+
 def reject_log(judged_rows: DataFrame, source_format: str = "csv") -> DataFrame:
     """(source_format, row_index, reason, txid); row_index is the record's number in the source."""
     return judged_rows.where("reason is not null").select(F.lit(source_format).alias("source_format"), F.col("record_id").alias("row_index"), "reason", F.expr("nullif(txid, '')").alias("txid"))
