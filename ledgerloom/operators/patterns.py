@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +43,43 @@ def next_hops(hops: DataFrame) -> DataFrame:
     return near.select(F.col("ask").alias("txid"), "x", F.least(option("a"), option("b")).alias("n")).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("x")).select("txid", F.col("n.t").alias("next"))
 
 
-def peel_walks(hops: DataFrame, scratch: Scratch, most_hops: int = 10_000) -> DataFrame:
+def peel_walks(hops: DataFrame, scratch: Scratch) -> DataFrame:
     """(source, row_index, txids, wallets, shares): the walk from every hop, by the nearest unused next hop.
 
-    Walks follow the precomputed next hop, one join by txid per step. Only where a walk would enter a transaction that
-    it has used already, the next nearest unused hop of the wallet is looked up.
+    Every hop has at most one next hop, so that walks grow by doubling: in round k a hop's path holds its next 2^k hops and
+    is lengthened by the path of the hop where it ends. Rounds follow the logarithm of the longest walk. A path that would
+    hold a hop twice, or that leads to such a one, is left out of this and walked step by step.
     """
     hops = scratch.write(hops, "hops")
+    step = next_hops(hops)
+    own = F.struct("txid", F.col("target").alias("to"), "share")
+    live = scratch.write(hops.join(step, "txid", "left").select("txid", F.array(own).alias("path"), F.col("next").alias("tail"), F.lit(False).alias("loops")), "paths0")
+    for k in count(1):
+        on = live.select(F.col("txid").alias("tail"), F.col("path").alias("more"), F.col("tail").alias("beyond"), F.col("loops").alias("on_loops"))
+        grown = F.concat("path", F.coalesce("more", F.array().cast(live.schema["path"].dataType)))
+        ids = lambda c: F.transform(c, lambda x: x["txid"])
+        loops = F.coalesce(F.col("loops") | F.col("on_loops") | F.arrays_overlap(ids("path"), ids("more")), F.col("loops"))
+        both = live.join(on, "tail", "left").withColumn("l", loops)
+        live = scratch.write(both.select("txid", F.when(F.col("l"), F.slice("path", 1, 1)).otherwise(grown).alias("path"), F.when(~F.col("l"), F.col("beyond")).alias("tail"), F.col("l").alias("loops")), f"paths{k}")
+        scratch.drop(f"paths{k - 1}")
+        if live.where("tail is not null").isEmpty():
+            break
+    starts = live.join(hops.select("txid", "source", "row_index"), "txid")
+    part = lambda name: F.transform("path", lambda x: x[name])
+    done = starts.where("not loops").select("source", "row_index", part("txid").alias("txids"), F.concat(F.array("source"), part("to")).alias("wallets"), part("share").alias("shares"))
+    rest = starts.where("loops").select("txid")
+    return done if rest.isEmpty() else done.unionByName(_stepwise_walks(hops, rest, scratch))
+
+
+def _stepwise_walks(hops: DataFrame, starts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The walks from some hops (txid), one join by txid per step. Where a walk would enter a transaction that it has used
+    already, the next nearest unused hop of the wallet is looked up."""
     step = scratch.write(next_hops(hops), "next")
     info = hops.select(F.col("txid").alias("next"), F.col("target").alias("to"), F.col("carried").alias("c"), F.col("share").alias("s"))
-    live = hops.select("source", "row_index", F.array("txid").alias("txids"), F.array("source", "target").alias("wallets"), F.array("share").alias("shares"), F.col("txid").alias("tail"), F.col("target").alias("head"), "carried")
+    live = hops.join(starts, "txid", "left_semi").select("source", "row_index", F.array("txid").alias("txids"), F.array("source", "target").alias("wallets"), F.array("share").alias("shares"), F.col("txid").alias("tail"), F.col("target").alias("head"), "carried")
     live = scratch.write(live, "walk0")
     done = None
-    for k in range(1, most_hops + 1):
+    for k in count(1):
         at = live.join(step.withColumnRenamed("txid", "tail"), "tail", "left")
         used = F.coalesce(F.array_contains("txids", F.col("next")), F.lit(False))
         at = scratch.write(at.withColumn("looped", used), f"step{k}")
@@ -65,9 +91,10 @@ def peel_walks(hops: DataFrame, scratch: Scratch, most_hops: int = 10_000) -> Da
         ended = scratch.write(ended, f"ended{k}")
         done = ended if done is None else done.unionByName(ended)
         live = scratch.write(onward, f"walk{k}")
+        scratch.drop(f"walk{k - 1}")
+        scratch.drop(f"step{k}")
         if live.isEmpty():
             return done
-    raise RuntimeError(f"a walk is longer than {most_hops} hops")
 
 
 def peeling_chains(flows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,24 +25,27 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def seed_distances(links: DataFrame, seeds: DataFrame, most_hops: int = 10_000) -> DataFrame:
+def seed_distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node_id, seed_distance, nearest_seed, path) of every node that links connect to a seed, seeds included.
 
     links are pairs (a, b), each once. Of equally near seeds the smallest counts, of equally short paths the one with
-    the smallest predecessor. One join per hop over the nodes of the last hop only; what is reached is stored.
+    the smallest predecessor. One join per hop over the nodes of the last hop only, whose neighbours lie at the last two
+    distances or are new; each hop is stored, and every tenth time all of them together.
     """
     scratch = Scratch(links.sparkSession, "distance")
     both = scratch.write(_both(links), "both")
     front = scratch.write(seeds.select(F.col("node_id")).distinct().select("node_id", F.lit(0).cast("bigint").alias("seed_distance"), F.col("node_id").alias("nearest_seed"), F.array("node_id").alias("path")), "hop0")
-    reached = front
-    for k in range(1, most_hops + 1):
+    last, reached = front, front
+    for k in count(1):
         sent = front.select(F.col("node_id").alias("a"), "nearest_seed", "path").join(both, "a").groupBy(F.col("b").alias("node_id")).agg(F.min(F.struct("nearest_seed", F.col("a").alias("p"), "path")).alias("m"))
-        new = sent.join(reached.select("node_id"), "node_id", "left_anti")
-        front = scratch.write(new.select("node_id", F.lit(k).cast("bigint").alias("seed_distance"), F.col("m.nearest_seed").alias("nearest_seed"), F.array_append("m.path", F.col("node_id")).alias("path")), f"hop{k}")
+        new = sent.join(last.select("node_id"), "node_id", "left_anti")
+        before, front = front, scratch.write(new.select("node_id", F.lit(k).cast("bigint").alias("seed_distance"), F.col("m.nearest_seed").alias("nearest_seed"), F.array_append("m.path", F.col("node_id")).alias("path")), f"hop{k}")
         if front.isEmpty():
             return reached
+        last = before.unionByName(front)
         reached = reached.unionByName(front)
-    raise RuntimeError(f"a seed is more than {most_hops} links away")
+        if k % 10 == 0:
+            reached = scratch.write(reached, f"reached{k}")
 
 
 def _rank_component(damping: float):
@@ -78,16 +83,20 @@ def _rank_by_joins(edges: DataFrame, seeds: DataFrame, damping: float, scratch:
     return x.select("node_id", "rank")
 
 
-def personal_ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, task_edges: int = TASK_EDGES) -> DataFrame:
+def personal_ranks(links: DataFrame, seeds: DataFrame, near: DataFrame, damping: float = DAMPING, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, rank): PageRank that restarts at the seeds, in the components that hold one, up to a common factor.
 
+    near are the seed_distances: they name the nodes of these components, and links between nodes of different seeds say
+    which seeds share one.
+
     The ranks of a component depend on nothing outside it, so that each one is solved by a task of its own, up to
     TASK_EDGES edges; larger components take a round of joins per step, up to the same TOLERANCE.
     """
     scratch = Scratch(links.sparkSession, "rank")
-    roots = scratch.write(linked_components(links, "a", "b"), "roots")
-    seeded = roots.join(seeds.select(F.col("node_id").alias("member")).distinct(), "member", "left_semi").select("root").distinct()
-    edges = links.join(roots.withColumnRenamed("member", "a"), "a").join(seeded, "root", "left_semi")
+    at = lambda c, s: near.select(F.col("node_id").alias(c), F.col("nearest_seed").alias(s))
+    reached = scratch.write(links.join(at("a", "s"), "a").join(at("b", "t"), "b"), "reached")
+    roots = linked_components(reached.where("s != t").select("s", "t").distinct(), "s", "t")
+    edges = reached.join(roots.withColumnRenamed("member", "s"), "s", "left").select("a", "b", F.coalesce("root", "s").alias("root"))
     edges = scratch.write(edges.join(seeds.select(F.col("node_id").alias("a"), F.col("node_id").alias("sa")).distinct(), "a", "left").join(seeds.select(F.col("node_id").alias("b"), F.col("node_id").alias("sb")).distinct(), "b", "left"), "edges")
     size = edges.groupBy("root").agg(F.count("*").alias("n"))
     fits = size.where(F.col("n") <= task_edges).select("root")
@@ -105,12 +114,13 @@ def personal_ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING,
 def ownership_risk(links: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(node_id, score, seed_distance, nearest_seed, path): ranks, halved per hop from the nearest seed, scaled so that
     the highest is 1. A seed without links scores 1 before scaling; what no seed reaches has no row."""
-    near = seed_distances(links, seeds)
-    ranks = personal_ranks(links, seeds, damping)
+    scratch = Scratch(links.sparkSession, "ownership")
+    near = scratch.write(seed_distances(links, seeds), "near")
+    ranks = scratch.write(personal_ranks(links, seeds, near, damping), "ranks")
     top = ranks.agg(F.max("rank").alias("top"))
     linked = near.join(ranks, "node_id", "left").crossJoin(F.broadcast(top))
     raw = F.when(F.col("rank").isNull(), 1.0).otherwise(F.col("rank") / F.col("top") * F.pow(F.lit(HOP_DECAY), F.col("seed_distance")))
-    scored = linked.withColumn("raw", raw).select("node_id", "raw", "seed_distance", "nearest_seed", "path")
+    scored = scratch.write(linked.withColumn("raw", raw).select("node_id", "raw", "seed_distance", "nearest_seed", "path"), "raw")
     best = scored.agg(F.max("raw").alias("best"))
     return scored.crossJoin(F.broadcast(best)).select("node_id", (F.col("raw") / F.col("best")).alias("score"), "seed_distance", "nearest_seed", "path")
 

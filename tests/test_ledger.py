@@ -15,6 +15,7 @@ from ledgerloom.operators import risk as rk
 from ledgerloom.operators.features import node_features
 from ledgerloom.operators.linked import linked_components
 from ledgerloom.operators.order import order_statistic
+from ledgerloom.session import Scratch
 
 SCHEMA = "txid string, row_index long, src_ip string, src_port long, asn long, geo_country string, at_us long, ins array<struct<pos:long,w:string,a:double>>, outs array<struct<pos:long,w:string,a:double>>"
 
@@ -271,14 +272,15 @@ def exact_ranks(pairs, seeds, damping):
 
 
 @pytest.mark.parametrize("task_edges", [10**6, 3])
-def test_personal_ranks(spark, monkeypatch, task_edges):
-    monkeypatch.setattr(rk, "TASK_EDGES", task_edges)
+def test_personal_ranks(spark, task_edges):
+    """Both ways of ranking a component agree with the solved equations to the same tolerance."""
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "e")]
     links = spark.createDataFrame(pairs + [("x", "y")], "a string, b string")
-    ranks = {r["node_id"]: r["rank"] for r in rk.personal_ranks(links, nodes_frame(spark, ["a", "e"])).collect()}
+    seeds = nodes_frame(spark, ["a", "e"])
+    ranks = {r["node_id"]: r["rank"] for r in rk.personal_ranks(links, seeds, rk.seed_distances(links, seeds), task_edges=task_edges).collect()}
     want = exact_ranks(pairs, {"a", "e"}, 0.85)
     top = max(ranks.values())
-    assert set(ranks) == set(want) and all(abs(ranks[k] / top - want[k]) < 1e-5 for k in want)
+    assert set(ranks) == set(want) and all(abs(ranks[k] / top - want[k]) < 1e-10 for k in want)
 
 
 def test_combine_risk(spark):
@@ -308,3 +310,30 @@ def test_pairwise_quality(spark):
     q = en.pairwise_quality(p, t).first()
     assert (q["tp"], q["precision"], q["recall"]) == (1, 0.5, 1 / 3)
     assert en.pairwise_quality(p.limit(0), t).first()["f1"] == 1.0
+
+
+def test_walks_by_doubling(spark):
+    """Long chains, branches that meet, a ring and what leads into it: like one step after the other."""
+    hops = [(f"t{k}", k, f"w{k}", 100.0 - k, f"w{k + 1}", 99.0 - k, 0.9) for k in range(37)]
+    hops += [("b", 90, "x", 81.5, "w20", 80.2, 0.8)]
+    hops += [(f"r{k}", 50 + k, f"c{k}", 10.0, f"c{(k + 1) % 5}", 9.99, 0.99) for k in range(5)] + [("into", 60, "i", 10.1, "c2", 10.0, 0.7), ("other", 61, "c2", 10.05, "end", 9.9, 0.7)]
+    df = spark.createDataFrame(hops, "txid string, row_index long, source string, source_amount double, target string, carried double, share double")
+    by = {h[0]: h for h in hops}
+    want = {}
+    for start in by:
+        used, at = [start], by[start]
+        while True:
+            options = sorted((abs(h[3] - at[5]), h[1], h[0]) for h in hops if h[2] == at[4])
+            nearest = options[0] if options else None
+            if nearest and nearest[2] in used:
+                options = [o for o in options if o[2] not in used]
+                nearest = options[0] if options else None
+            if not nearest or nearest[0] > pt.CONTINUITY * at[5]:
+                break
+            used.append(nearest[2])
+            at = by[nearest[2]]
+        want[start] = used
+    got = {r["txids"][0]: r for r in pt.peel_walks(df, Scratch(spark, "test")).collect()}
+    assert {k: r["txids"] for k, r in got.items()} == want and len(want["t0"]) == 37
+    for start, r in got.items():
+        assert r["wallets"] == [by[start][2], *(by[t][4] for t in r["txids"])] and r["shares"] == [by[t][6] for t in r["txids"]]
