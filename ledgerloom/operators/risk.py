@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 import numpy as np
@@ -48,7 +49,9 @@ def seed_distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
             reached = scratch.write(reached, f"reached{k}")
 
 
-def _rank_component(damping: float):
+def _rank_components(damping: float):
+    """The ranks of some whole components, side by side."""
+
     def run(table: pa.Table) -> pa.Table:
         a, b, seeds = (table[c].drop_null().to_numpy(zero_copy_only=False).astype(str) for c in ("a", "b", "seed"))
         ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -89,8 +92,8 @@ def personal_ranks(links: DataFrame, seeds: DataFrame, near: DataFrame, damping:
     near are the seed_distances: they name the nodes of these components, and links between nodes of different seeds say
     which seeds share one.
 
-    The ranks of a component depend on nothing outside it, so that each one is solved by a task of its own, up to
-    TASK_EDGES edges; larger components take a round of joins per step, up to the same TOLERANCE.
+    The ranks of a component depend on nothing outside it, so that each one is solved within one task, up to TASK_EDGES
+    edges; larger components take a round of joins per step, up to the same TOLERANCE.
     """
     scratch = Scratch(links.sparkSession, "rank")
     at = lambda c, s: near.select(F.col("node_id").alias(c), F.col("nearest_seed").alias(s))
@@ -104,7 +107,9 @@ def personal_ranks(links: DataFrame, seeds: DataFrame, near: DataFrame, damping:
     none = F.lit(None).cast("string")
     at_seed = fit.select("root", F.explode(F.array_compact(F.array("sa", "sb"))).alias("seed")).distinct()
     packed = fit.select("root", "a", "b", none.alias("seed")).unionByName(at_seed.select("root", none.alias("a"), none.alias("b"), "seed"))
-    ranks = packed.groupBy("root").applyInArrow(_rank_component(damping), "node_id string, rank double")
+    # components share a task up to TASK_EDGES edges; together they take the steps of the slowest
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(edges.count() / task_edges))
+    ranks = packed.groupBy(F.pmod(F.xxhash64("root"), F.lit(tasks))).applyInArrow(_rank_components(damping), "node_id string, rank double")
     large = edges.join(size.where(F.col("n") > task_edges).select("root"), "root", "left_semi")
     if not large.isEmpty():
         ranks = ranks.unionByName(_rank_by_joins(large.select("a", "b"), seeds, damping, scratch))
@@ -125,7 +130,7 @@ def ownership_risk(links: DataFrame, seeds: DataFrame, damping: float = DAMPING)
     return scored.crossJoin(F.broadcast(best)).select("node_id", (F.col("raw") / F.col("best")).alias("score"), "seed_distance", "nearest_seed", "path")
 
 
-def flow_taint(flows: DataFrame, seeds: DataFrame, most_rounds: int = 200) -> DataFrame:
+def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node_id, score, seed_distance, nearest_seed, path) of the wallets and transactions that tainted money reaches.
 
     Transactions happen in the order of time and txid; a wallet's taint is the highest it has received before. An
@@ -133,50 +138,71 @@ def flow_taint(flows: DataFrame, seeds: DataFrame, most_rounds: int = 200) -> Da
     CoinJoin the tainted share of its value to its outputs. Service wallets receive taint but never send it. Outputs are
     reached down to FLOW_FLOOR and up to FLOW_HOPS; co-spending senders are raised before these limits.
 
-    Each transaction depends on earlier ones only, so that the result is the one fixpoint of recomputing all of them
-    from the raises of the round before. A round looks up, for every sender of a transaction, the best raise strictly
-    earlier, by a running maximum over the raises of wallets that have any; rounds follow the longest tainted chain.
+    Each transaction depends on earlier ones only, so that the result is the one fixpoint of recomputing all of them.
+    A round recomputes only transactions that spend from a wallet whose raises changed in the round before, earlier than
+    they happen; it looks up the best raise strictly earlier of each of their senders by a running maximum. Only what
+    changed is written, with the round's number; the latest entry counts. Rounds follow the longest tainted chain.
     """
     scratch = Scratch(flows.sparkSession, "taint")
     when = [F.col("at_us").isNull(), F.col("at_us"), F.col("txid")]
     base = flows.select("txid", "at_us", "ins", "outs", coinjoin_like().alias("cj"), F.aggregate("ins", F.lit(0.0), lambda s, x: s + x["a"]).alias("total")).where("total > 0")
     tx = scratch.write(numbered_rows(base, when, scratch, "seq"), "tx")
     service = scratch.write(service_wallets(flows).withColumn("service", F.lit(True)), "service")
-    spent = scratch.write(tx.select("txid", "seq", "cj", "total", F.explode("ins").alias("x")).select("txid", "seq", "cj", "total", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.col("x.a").alias("a")).join(service, "w", "left").where("service is null").drop("service"), "spent")
-    start = seeds.select(F.col("node_id").alias("w")).distinct().select("w", F.lit(-1).cast("bigint").alias("seq"), F.lit(1.0).alias("t"), F.lit(0).cast("bigint").alias("h"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("src"))
-    start = scratch.write(start, "start")
-    raises, before = start, None
+    spent = tx.select("txid", "seq", "cj", "total", F.explode("ins").alias("x")).select("txid", "seq", "cj", "total", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.col("x.a").alias("a"))
+    spent = scratch.write(spent.join(service, "w", "left").where("service is null").drop("service"), "spent")
+    none = lambda kind: F.lit(None).cast(kind)
+    start = seeds.select(F.col("node_id").alias("w")).distinct().select("w", F.lit(-1).cast("bigint").alias("seq"), F.lit(1.0).alias("t"), F.lit(0).cast("bigint").alias("h"), none("string").alias("via"), none("string").alias("src"), F.lit(-1).alias("round"))
+    raises = delta = scratch.write(start, "start")
+    hits = None
     earlier = Window.partitionBy("w").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    for k in range(most_rounds):
-        asks = spent.join(raises.select("w").distinct(), "w", "left_semi")
-        rows = raises.select("w", "seq", F.struct("t", (-F.col("seq")).alias("n"), "h").alias("e"), F.lit(None).cast("string").alias("txid"), F.lit(None).cast("boolean").alias("cj"), F.lit(None).cast("double").alias("total"), F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("double").alias("a")).unionByName(asks.select("w", "seq", F.lit(None).cast("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a"))
+    for k in count():
+        since = delta.groupBy("w").agg(F.min("seq").alias("since"))
+        touched = spent.join(since, "w").where("seq > since").select("txid").distinct()
+        asks = scratch.write(spent.join(touched, "txid", "left_semi"), f"asks{k}")
+        known = _latest(raises.join(asks.select("w").distinct(), "w", "left_semi"), ["w", "seq"]).where("t is not null")
+        rows = known.select("w", "seq", F.struct("t", (-F.col("seq")).alias("n"), "h").alias("e"), none("string").alias("txid"), none("boolean").alias("cj"), none("double").alias("total"), none("bigint").alias("pos"), none("double").alias("a"))
+        rows = rows.unionByName(asks.select("w", "seq", none("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a"))
         best = rows.withColumn("b", F.max("e").over(earlier)).where("txid is not null and b is not null")
-        lead = best.groupBy("txid", "seq", "cj", "total").agg(F.max(F.struct(F.col("b.t").alias("t"), (-F.col("pos")).alias("p"), F.col("b.h").alias("h"), F.col("w").alias("src"))).alias("m"), F.sum(F.col("a") * F.col("b.t")).alias("value"))
+        part = best.select("txid", "seq", "cj", "total", F.struct(F.col("b.t").alias("t"), (-F.col("pos")).alias("p"), F.col("b.h").alias("h"), F.col("w").alias("src")).alias("m"), (F.col("a") * F.col("b.t")).alias("value"), none("struct<round:int,t:double,h:bigint,src:string>").alias("old"))
+        if hits is not None:  # what these transactions had before comes along
+            old = hits.join(touched, "txid", "left_semi").select("txid", F.struct("round", F.round("t", 12).alias("t"), "h", "src").alias("old"))
+            part = part.unionByName(old, allowMissingColumns=True)
+        lead = part.groupBy("txid").agg(*(F.max(c).alias(c) for c in ("seq", "cj", "total", "m", "old")), F.sum("value").alias("value"))
         value = F.when(F.col("cj"), F.lit(FLOW_DECAY) * F.col("value") / F.col("total")).otherwise(F.lit(FLOW_DECAY) * F.col("m.t"))
-        hit = scratch.write(lead.select("txid", "seq", "cj", value.alias("t"), (F.col("m.h") + 1).alias("h"), F.col("m.src").alias("src")), f"hit{k}")
-        after = tuple(hit.agg(F.count("*"), F.sum(F.xxhash64("txid", F.round("t", 12), "h", "src").cast("decimal(38,0)"))).first())
-        if k:
-            scratch.drop(f"hit{k - 1}") if k > 1 else None
-        if after == before:
+        hit = lead.where("m is not null").select("txid", "seq", "cj", value.alias("t"), (F.col("m.h") + 1).alias("h"), F.col("m.src").alias("src"), F.lit(k).alias("round"), "old")
+        same = (F.round("t", 12) == F.col("old.t")) & (F.col("h") == F.col("old.h")) & (F.col("src") == F.col("old.src"))
+        hit = hit.where(~F.coalesce(same, F.lit(False))).drop("old")
+        hit = scratch.write(hit, f"hit{k}")
+        scratch.drop(f"asks{k}")
+        if hit.isEmpty():
             break
-        before = after
+        hits = hit if hits is None else hits.unionByName(hit)
         co = spent.join(hit.where("not cj").select("txid", "t", "h", "src"), "txid").select("w", "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(0).alias("o"))
-        reach = hit.where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS))
-        out = tx.select("txid", "outs").join(reach, "txid").select(F.explode(F.transform("outs", lambda x: x["w"])).alias("w"), "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(1).alias("o"))
+        # an output that is not reached any more gets an entry without a taint
+        reached = (F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)
+        out = tx.select("txid", "outs").join(hit.withColumn("t", F.when(reached, F.col("t"))), "txid").select(F.explode(F.transform("outs", lambda x: x["w"])).alias("w"), "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(1).alias("o"))
         # within a transaction a co-spend comes before an output of the same taint
-        merged = co.unionByName(out).groupBy("w", "seq").agg(F.max(F.struct("t", (-F.col("o")).alias("o"), "h", "via", "src")).alias("m")).select("w", "seq", "m.t", "m.h", "m.via", "m.src")
-        raises = scratch.write(start.unionByName(merged), f"raises{k}")
-    else:
-        raise RuntimeError(f"taint did not settle in {most_rounds} rounds")
-    top = scratch.write(raises.groupBy("w").agg(F.max(F.struct("t", (-F.col("seq")).alias("n"), "h", "via", "src")).alias("m")).select(F.col("w").alias("node_id"), F.col("m.t").alias("score"), F.col("m.h").alias("seed_distance"), F.col("m.via").alias("via"), F.col("m.src").alias("src")), "wallets")
+        merged = co.unionByName(out).groupBy("w", "seq").agg(F.max(F.struct("t", (-F.col("o")).alias("o"), "h", "via", "src")).alias("m")).select("w", "seq", "m.t", "m.h", "m.via", "m.src", F.lit(k).alias("round"))
+        delta = scratch.write(merged, f"raises{k}")
+        raises = raises.unionByName(delta)
+    final = _latest(raises, ["w", "seq"]).where("t is not null")
+    top = scratch.write(final.groupBy("w").agg(F.max(F.struct("t", (-F.col("seq")).alias("n"), "h", "via", "src")).alias("m")).select(F.col("w").alias("node_id"), F.col("m.t").alias("score"), F.col("m.h").alias("seed_distance"), F.col("m.via").alias("via"), F.col("m.src").alias("src")), "wallets")
     walls = _trace(top, scratch)
-    ways = walls.select(F.col("node_id").alias("src"), F.col("path").alias("way"))
-    txs = hit.where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)).join(ways, "src").select(F.col("txid").alias("node_id"), F.col("t").alias("score"), F.col("h").alias("seed_distance"), F.array_append("way", F.col("txid")).alias("path"))
-    named = walls.select("node_id", "score", "seed_distance", "path").unionByName(txs)
+    named = walls.select("node_id", "score", "seed_distance", "path")
+    if hits is not None:
+        ways = walls.select(F.col("node_id").alias("src"), F.col("path").alias("way"))
+        txs = _latest(hits, ["txid"]).where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)).join(ways, "src").select(F.col("txid").alias("node_id"), F.col("t").alias("score"), F.col("h").alias("seed_distance"), F.array_append("way", F.col("txid")).alias("path"))
+        named = named.unionByName(txs)
     known = seeds.select(F.col("node_id").alias("first"), F.lit(True).alias("is_seed")).distinct()
     return named.withColumn("first", F.get("path", 0)).join(known, "first", "left").select("node_id", "score", "seed_distance", F.when(F.col("is_seed"), F.col("first")).otherwise(F.col("node_id")).alias("nearest_seed"), "path")
 
 
+def _latest(entries: DataFrame, key: list[str]) -> DataFrame:
+    """Of the entries of each key the one of the last round."""
+    rest = [c for c in entries.columns if c not in (*key, "round")]
+    return entries.groupBy(*key).agg(F.max(F.struct("round", *rest)).alias("l")).select(*key, *(F.col(f"l.{c}").alias(c) for c in rest))
+
+
 def _trace(top: DataFrame, scratch: Scratch, guard: int = 4 * FLOW_HOPS) -> DataFrame:
     """Each wallet's path back to where its taint began: parent by parent, at most guard steps."""
     parents = top.where("via is not null").select(F.col("node_id").alias("at"), F.col("via").alias("p_via"), F.col("src").alias("p_src"))
