@@ -23,19 +23,7 @@ from .plans import pipeline, synth
 from .session import DEFAULTS
 from .sources import formats
 from .sources import ingest as judging
-
-
-class Tables:
-    """Parquet tables by name under one folder."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}.parquet")
+from .sources.tables import Tables
 
 
 def generate(t: Tables, seed: int = 42, transactions: int = 200_000) -> None:

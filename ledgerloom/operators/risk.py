@@ -130,6 +130,13 @@ def ownership_risk(links: DataFrame, seeds: DataFrame, damping: float = DAMPING)
     return scored.crossJoin(F.broadcast(best)).select("node_id", (F.col("raw") / F.col("best")).alias("score"), "seed_distance", "nearest_seed", "path")
 
 
+def flow_order(flows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The transactions that bring value in, with their place `seq` in the order of time and txid; those without a time come last."""
+    when = [F.col("at_us").isNull(), F.col("at_us"), F.col("txid")]
+    base = flows.select("txid", "at_us", "ins", "outs", coinjoin_like().alias("cj"), F.aggregate("ins", F.lit(0.0), lambda s, x: s + x["a"]).alias("total")).where("total > 0")
+    return numbered_rows(base, when, scratch, "seq")
+
+
 def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node_id, score, seed_distance, nearest_seed, path) of the wallets and transactions that tainted money reaches.
 
@@ -144,9 +151,7 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     changed is written, with the round's number; the latest entry counts. Rounds follow the longest tainted chain.
     """
     scratch = Scratch(flows.sparkSession, "taint")
-    when = [F.col("at_us").isNull(), F.col("at_us"), F.col("txid")]
-    base = flows.select("txid", "at_us", "ins", "outs", coinjoin_like().alias("cj"), F.aggregate("ins", F.lit(0.0), lambda s, x: s + x["a"]).alias("total")).where("total > 0")
-    tx = scratch.write(numbered_rows(base, when, scratch, "seq"), "tx")
+    tx = scratch.write(flow_order(flows, scratch), "tx")
     service = scratch.write(service_wallets(flows).withColumn("service", F.lit(True)), "service")
     spent = tx.select("txid", "seq", "cj", "total", F.explode("ins").alias("x")).select("txid", "seq", "cj", "total", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.col("x.a").alias("a"))
     spent = scratch.write(spent.join(service, "w", "left").where("service is null").drop("service"), "spent")

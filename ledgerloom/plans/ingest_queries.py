@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ledger import once
 from ..session import Scratch
 from ..sources import formats, ingest
-from ..sources.tables import table
+from ..sources.tables import Tables, table
 from .core_queries import _RECORDS
 from .ledger_sql import LEDGER
 
@@ -31,7 +31,27 @@ def s7_pruned_scan(spark, folder):
 
 
 def s8_optional_source(spark, folder):
-    return formats.read_optional(spark, f"{folder}/no_such_table.parquet", "wallet_id string, entity_id string").agg(F.count("*").alias("n"))
+    """A table that is there and one that is not, read with the same schema."""
+    schema = "wallet_id string, entity_id string"
+    count = lambda name: formats.read_optional(spark, f"{folder}/{name}.parquet", schema).agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.count("entity_id").alias("named"))
+    return count("entities").unionByName(count("no_such_table"))
+
+
+def f6_in_list(spark, folder):
+    return table(spark, folder, "alerts", "alert_id", "node_id").distinct().join(table(spark, folder, "node_features", "node_id", "node_type").distinct(), "node_id").where(F.col("node_type").isin("Transaction", "IP")).select("alert_id", "node_type")
+
+
+def k2_parquet_sink(spark, folder):
+    tables = Tables(spark, Scratch(spark, "sink").root)
+    tables.write("entities", table(spark, folder, "entities"))
+    return tables.read("entities").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("wallet_id").alias("wallets"), F.round(F.sum("conf"), 6).alias("conf"))
+
+
+def k5_alert_file(spark, folder):
+    path = f"{Scratch(spark, 'alert-file').root}/alerts.json"
+    formats.write_alert_file(table(spark, folder, "alerts").where("alert_id is not null and final_score is not null and not isnan(final_score)").dropDuplicates(["alert_id"]), path)
+    back = spark.read.json(path, schema="alert_id string, node_id string, final_score double, evidence struct<nodes: array<string>>", multiLine=True)
+    return back.select("alert_id", "node_id", F.round("final_score", 9).alias("final_score"), F.greatest(F.lit(0), F.size("evidence.nodes")).cast("bigint").alias("nodes"))
 
 
 def _judged(spark, folder):
@@ -90,7 +110,10 @@ j as (select record_id, case when len(f) = 14 then f[1] end as txid, p.asn, p.ge
 SQL = {
     **{n: _BACK for n in ("s1_csv", "s2_json", "s3_xml", "s6_parquet")},
     "s7_pruned_scan": "select distinct node_id, node_type from node_features",
-    "s8_optional_source": "select 0::bigint as n",
+    "s8_optional_source": "select 'entities' as source, count(*) as n, count(entity_id) as named from entities union all select 'no_such_table', 0, 0",
+    "f6_in_list": "select a.alert_id, f.node_type from (select distinct alert_id, node_id from alerts) a join (select distinct node_id, node_type from node_features) f using (node_id) where f.node_type in ('Transaction', 'IP')",
+    "k2_parquet_sink": "select source, count(*) as n, count(distinct wallet_id) as wallets, round(sum(conf), 6) as conf from entities group by source",
+    "k5_alert_file": "select alert_id, node_id, round(final_score, 9) as final_score, coalesce(len(evidence.nodes), 0) as nodes from (select distinct on (alert_id) * from alerts where alert_id is not null and final_score is not null and not isnan(final_score))",
     "f1_validation": _JUDGED + " select coalesce(reason, 'accepted') as outcome, count(*) as n from j group by all",
     "f2_geo_enrichment": f"with {LEDGER} select txid, p.asn as pool_asn, p.geo_country as pool_country from ledger left join network_pool p on p.net_prefix = {_KEY.format('src_ip')}",
     "f3_ip_ranges": f"""with {LEDGER}, i as (select txid, case when len(string_split(dst_ip, '.')) = 4 then list_reduce(list_transform(string_split(dst_ip, '.'), lambda x: try_cast(x as bigint)), lambda a, b: a * 256 + b) end as ip_number from ledger),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -143,12 +142,21 @@ def write_xml(df: DataFrame, path: str) -> None:
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "xml": write_xml, "parquet": lambda df, path: df.select(*CANONICAL.names).write.parquet(path)}
 
 
-def write_alert_file(alerts: DataFrame, path: str, most: int = 10_000) -> None:
-    """One JSON array of the alerts, in their order; refused beyond `most`, the bound of a queue that people work off."""
-    rows = alerts.orderBy("alert_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} alerts: write them as JSON lines instead")
-    write_text(alerts.sparkSession, path, json.dumps([r.asDict(recursive=True) for r in rows], indent=2))
+def write_alert_file(alerts: DataFrame, path: str) -> None:
+    """One JSON array of the alerts in the order of their ids, one alert per line.
+
+    One file has one writer: the sorted alerts pass through the driver partition by partition, never all at once.
+    """
+    system, at = _hadoop(alerts.sparkSession, path)
+    out = system.create(at, True)
+    try:
+        between = "[\n"
+        for row in alerts.orderBy("alert_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            out.write(bytearray((between + row["j"]).encode()))
+            between = ",\n"
+        out.write(bytearray(b"[]" if between[0] == "[" else b"\n]"))
+    finally:
+        out.close()
 
 
 def _hadoop(spark: SparkSession, path: str):
