@@ -117,6 +117,12 @@ e as (select wallet_a as a, wallet_b as b from same_entity_links where wallet_a
 s as (select a, b from e union select b, a from e),
 r as (select a as wallet_id, least(a, min(b)) as g from s group by a union select s.b, r.g from r join s on s.a = r.wallet_id)
 select wallet_id, min(g) as group_id from r group by wallet_id
+""",
+    "p6_found": """
+with v as (select node_type, node_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from (select node_type, node_id, min(embedding) as e from node_features
+where embedding is not null and node_id is not null and node_type is not null group by all) where list_dot_product(e, e) > 0),
+near as (select a.node_type, a.node_id, list_sort(list(b.node_id)) as around from v a join v b on a.node_type = b.node_type and list_dot_product(a.u, b.u) >= 0.95 group by a.node_type, a.node_id)
+select node_id, around[1] as cluster_id from near qualify count(*) over (partition by node_type, around) = len(around) and len(around) >= 5
 """,
     "p4_found": f"with {', '.join(map(_best, SCORES))} select node_id from alert_r join anomaly_r using (node_id) join risk_r using (node_id) join similarity_r using (node_id) where "
     + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
