@@ -83,12 +83,23 @@ def detect(t: Tables, anomaly: str = "reconstruction") -> None:
     t.write("scores_anomaly", rows.select("node_id", "score", "reason_code", "evidence_json"))
 
 
-def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "") -> None:
-    """mode: rank (percentile ranks), fit (blend on the truth, written as JSON), model (a blend from a JSON file)."""
+def parsed_weights(text: str) -> dict[str, float]:
+    """The rank weights with those that a text like "risk=0.5,pattern=0.5" names; a head that does not exist is an error."""
+    named = {k.strip(): float(v) for k, v in (pair.split("=") for pair in text.split(",") if pair.strip())}
+    if unknown := set(named) - {"pattern", "risk", "anomaly"}:
+        raise ValueError(f"no such head: {', '.join(sorted(unknown))}")
+    return fu.RANK_WEIGHTS | named
+
+
+def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "", weights: str = "", admit_over: str = "") -> None:
+    """mode: rank (percentile ranks), fit (blend on the truth, written as JSON), model (a blend from a JSON file).
+
+    weights replaces weights of the ranks; admit_over also lets nodes in whose anomaly score alone is above it.
+    """
     heads = [t.read(f"scores_{h}") for h in ("pattern", "risk", "anomaly")]
-    table = fu.component_table(*heads)
+    table = fu.component_table(*heads, admit_over=float(admit_over) if admit_over else None)
     if mode == "rank":
-        scored, threshold = fu.rank_scores(table), 0.0
+        scored, threshold = fu.rank_scores(table, parsed_weights(weights)), 0.0
     elif mode == "model":
         scored, threshold = fu.apply_blend(table, load_blend(t.spark, model)), 0.0
     else:

@@ -103,29 +103,59 @@ class Projection:
         return Projection(w)
 
 
+def save_parameters(spark: SparkSession, parameters: dict[str, np.ndarray], path: str) -> None:
+    """Named matrices, such as those of the attention layers, as a Parquet table of one row per entry."""
+    rows = [(name, int(i), int(j), float(v)) for name, w in parameters.items() for (i, j), v in np.ndenumerate(w)]
+    spark.createDataFrame(rows, "name string, i int, j int, value double").coalesce(1).write.parquet(path)
+
+
+def load_parameters(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    rows = spark.read.schema("name string, i int, j int, value double").parquet(path).toPandas()
+    out = {}
+    for name, own in rows.groupby("name"):
+        out[name] = np.zeros((int(own["i"].max()) + 1, int(own["j"].max()) + 1))
+        out[name][own["i"], own["j"]] = own["value"]
+    return out
+
+
 def embedding_columns(embeddings: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """node_id and emb_0, emb_1 and so on instead of the array."""
     return embeddings.select("node_id", *(F.get("embedding", i).alias(f"emb_{i}") for i in range(dimensions)))
 
 
+def false_ends(src: np.ndarray, names: np.ndarray, true: set, rng: np.random.Generator) -> np.ndarray:
+    """For each src the place in names of a uniformly drawn other end; a true pair moves on to the next name."""
+    at = rng.integers(len(names), size=len(src))
+    for k in range(len(src)):
+        for _ in range(len(names)):
+            if (src[k], names[at[k]]) not in true:
+                break
+            at[k] = (at[k] + 1) % len(names)
+    return at
+
+
 def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, most_edges: int = FIT_EDGES) -> Projection:
     """A projection of propagated features under which linked nodes have larger products than random ones.
 
-    Binary cross entropy over a bounded hash sample of the edges against as many uniformly drawn false ones, by Adam;
-    plain numpy with the gradient written out. It stands in for an encoder with learned message weights: here the
+    Binary cross entropy over a bounded hash sample of the edges against as many false ones, whose ends are drawn uniformly
+    from a bounded sample of all nodes; one that hits a true edge of the sample takes the next node. By Adam; plain numpy
+    with the gradient written out. It stands in for an encoder with learned message weights: here the
     messages are means and only the projection is learned.
     """
     some = bounded_sample(edges.select("relation", "src", "dst") if "relation" in edges.columns else edges.select("src", "dst"), [c for c in ("relation", "src", "dst") if c in edges.columns], most_edges, seed)
-    ends = some.join(features.select(F.col("node_id").alias("src"), F.col("x").alias("xs")), "src").join(features.select(F.col("node_id").alias("dst"), F.col("x").alias("xd")), "dst").select("xs", "xd").toArrow()
+    ends = some.join(features.select(F.col("node_id").alias("src"), F.col("x").alias("xs")), "src").join(features.select(F.col("node_id").alias("dst"), F.col("x").alias("xd")), "dst").select("src", "dst", "xs", "xd").toArrow()
     rng = np.random.default_rng(seed)
     if not len(ends):
         width = len(features.first()["x"])
         return Projection(rng.normal(0, 1 / math.sqrt(width), (width, DIMENSIONS)))
     a, b = (ends[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ends), -1) for c in ("xs", "xd"))
+    pool = bounded_sample(features.select("node_id", "x"), ["node_id"], most_edges, seed).toArrow()
+    drawn, names = pool["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pool), -1), np.array(pool["node_id"].to_pylist(), object)
+    src, true = np.array(ends["src"].to_pylist(), object), set(zip(ends["src"].to_pylist(), ends["dst"].to_pylist()))
     w = rng.normal(0, 1 / math.sqrt(a.shape[1]), (a.shape[1], DIMENSIONS))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, EPOCHS + 1):
-        c = b[rng.permutation(len(b))]
+        c = drawn[false_ends(src, names, true, rng)]
         za, zb, zc = np.tanh(a @ w), np.tanh(b @ w), np.tanh(c @ w)
         gp = 1 / (1 + np.exp(-np.clip((za * zb).sum(1), -30, 30))) - 1
         gn = 1 / (1 + np.exp(-np.clip((za * zc).sum(1), -30, 30)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ledger import coinjoin_like, flows, once, script_class, wallets_of
+from ..operators import entities as en
 from ..operators import features as ft
 from ..operators import graph as gr
 from ..session import Scratch
@@ -37,6 +38,11 @@ def g_link_edges(spark, folder):
     return _links(spark, folder, gr.nodes(ledger_flows(spark, folder)))
 
 
+def g_co_spend_edges(spark, folder):
+    f = ledger_flows(spark, folder)
+    return gr.wallet_links(en.pass1_links(f), gr.nodes(f), "CO_SPEND").select("edge_type", "source", "target", "confidence")
+
+
 def g_counts(spark, folder):
     f = ledger_flows(spark, folder)
     return gr.counts_by_type(gr.nodes(f), gr.edges(f))
@@ -130,6 +136,10 @@ SQL = {
     "g_nodes": f"with {FLOWS}, {ASN}, {NODES} select * from nodes",
     "g_edges": f"with {EDGES} select * from edges",
     "g_link_edges": f"with {FLOWS}, {ASN}, {NODES}, {_LINK_EDGES} select * from link_edges",
+    "g_co_spend_edges": f"""with {FLOWS}, {COINJOIN}, i as (select distinct s.anchor, i.w, t.row_index from senders s join ins i using (txid) join tx t using (txid) where i.w <> s.anchor and s.txid not in (select txid from coinjoin)),
+o as (select distinct s.anchor, o.w, t.row_index from senders s join outs o using (txid) join ins i on i.txid = o.txid and i.w = o.w join tx t on t.txid = o.txid where o.w <> s.anchor and s.txid not in (select txid from coinjoin)),
+l as (select anchor, w, row_index, 1 as k, 0.9::double as c from i union all select anchor, w, row_index, 2, 0.7::double from o)
+select 'CO_SPEND' as edge_type, least(anchor, w) as source, greatest(anchor, w) as target, arg_min(c, (row_index, k)) as confidence from l group by all""",
     "g_counts": f"with {EDGES}, {NODES} select node_type as kind, count(*) as n, 'node' as part from nodes group by all union all select edge_type, count(*), 'edge' from edges group by all",
     "f8_without_network": f"with {EDGES} select edge_type, count(*) as n, round(sum(amount), 4) as amount from edges where edge_type not in ('BROADCAST_VIA', 'RESOLVES_TO') group by all",
     "f9_ownership_links": f"with {FLOWS}, {ASN}, {NODES}, {_LINK_EDGES} select distinct source as a, target as b from link_edges",

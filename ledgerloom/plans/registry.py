@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,10 @@ _MODULES = ["core_queries", "ingest_queries", "graph_queries", "entity_queries",
 
 def _sources() -> list:
     found = [importlib.import_module(f"{__package__}.{m}") for m in _MODULES]
-    package = __package__.rpartition(".")[0]
-    if importlib.util.find_spec(f"{package}.llm.queries") if importlib.util.find_spec(f"{package}.llm") else None:
-        found.append(importlib.import_module(f"{package}.llm.queries"))
+    try:
+        found.append(importlib.import_module(f"{__package__.rpartition('.')[0]}.llm.queries"))
+    except ImportError:  # the subpackage, or something that it needs, is not there
+        pass
     return found
 
 

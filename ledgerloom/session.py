@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,17 +44,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Remove all intermediate tables of this process, whose results can no longer be read: at its end, or when called."""
+    while _ROOTS:
+        try:
+            _remove(*_ROOTS.pop())
+        except Exception:  # the session has ended already
+            return
+
+
 class Scratch:
-    """Intermediate tables of one operator, removable one by one as soon as nothing reads them."""
+    """Intermediate tables of one operator, removable one by one as soon as nothing reads them; what is left goes when the
+    driver's process ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append((spark, self.root))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, f"{self.root}/{name}")

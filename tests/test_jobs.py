@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import jobs
-from ledgerloom.operators.models import Projection, embedding_columns
+from ledgerloom.operators.models import Projection, embedding_columns, false_ends, load_parameters, save_parameters
 from ledgerloom.session import Scratch
 from ledgerloom.sources import formats, ingest
 from ledgerloom.sources.rejects import FIELDS
@@ -85,5 +85,18 @@ def test_parameters_round_trip(spark, tmp_path):
     w = np.arange(12, dtype=float).reshape(3, 4)
     Projection(w).save(spark, str(tmp_path / "p"))
     assert (Projection.load(spark, str(tmp_path / "p")).weights == w).all()
+    both = {"left": w, "score": w[:2] * 2}
+    save_parameters(spark, both, str(tmp_path / "q"))
+    back = load_parameters(spark, str(tmp_path / "q"))
+    assert set(back) == set(both) and all((back[k] == both[k]).all() for k in both)
     e = spark.createDataFrame([("a", [1.0, 2.0])], "node_id string, embedding array<double>")
     assert tuple(embedding_columns(e, 2).first()) == ("a", 1.0, 2.0)
+
+
+def test_weights_and_false_ends():
+    assert jobs.parsed_weights("") == {"risk": 0.55, "pattern": 0.45} and jobs.parsed_weights("risk=1, anomaly=0.2") == {"risk": 1.0, "pattern": 0.45, "anomaly": 0.2}
+    with pytest.raises(ValueError):
+        jobs.parsed_weights("luck=1")
+    src, names = np.array(list("aabb") * 50, object), np.array(list("xyz"), object)
+    at = false_ends(src, names, {("a", "x"), ("a", "y"), ("b", "z")}, np.random.default_rng(1))
+    assert set(names[at[src == "a"]]) == {"z"} and set(names[at[src == "b"]]) == {"x", "y"}
