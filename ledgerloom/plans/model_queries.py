@@ -46,9 +46,10 @@ def m2_propagated(spark, folder):
 
 
 def m4_embeddings(spark, folder):
+    scratch = Scratch(spark, "embeddings")
     edges, nodes = _vectors(spark, folder)
-    relations = mo.both_directions(edges)
-    features = mo.propagated_features(nodes, relations, 3)
+    relations = scratch.write(mo.both_directions(edges), "relations")
+    features = scratch.write(mo.propagated_features(nodes, relations, 3), "features")
     model = mo.fit_link_projection(features, relations)
     e = model.apply(features)
     return e.select("node_id", F.size("embedding").alias("dimensions"), F.round(F.get("embedding", 0), 3).alias("emb_0"))
