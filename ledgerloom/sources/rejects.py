@@ -64,7 +64,7 @@ def _scalars(table: pa.Table) -> np.ndarray:
     port_ok = pc.and_(short, pc.less_equal(pc.if_else(short, digits, "99999").cast(pa.int64()), 65535))
     fee = pc.ascii_trim(table["fee"], BLANKS)
     shaped = pc.match_substring_regex(fee, DECIMAL)
-    value = np.array([float(x) for x in pc.if_else(shaped, fee, "nan").to_pylist()], float)
+    value = np.asarray(pc.if_else(shaped, fee, "nan").cast(pa.float64()))
     bad = ~(np.asarray(port_ok) & np.isfinite(value))
     return np.where(bad, "bad_scalar", np.where(value < 0, "negative_amount", ""))
 
