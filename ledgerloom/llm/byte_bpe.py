@@ -32,7 +32,9 @@ class Merges:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {(ranks[t[:i]] << 20) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        pairs = {
+            (ranks[t[:i]] << 20) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
+        }
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
@@ -255,7 +257,9 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([names, lists], schema=pa.schema([(doc_id, id_type), ("ids", pa.list_(pa.int32()))]))
 
-    return docs.select(F.col(doc_id).cast("string" if kind == "string" else "bigint").alias(doc_id), F.col(text)).mapInArrow(run, f"`{doc_id}` {'string' if kind == 'string' else 'bigint'}, ids array<int>")
+    return docs.select(
+        F.col(doc_id).cast("string" if kind == "string" else "bigint").alias(doc_id), F.col(text)
+    ).mapInArrow(run, f"`{doc_id}` {'string' if kind == 'string' else 'bigint'}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:

@@ -31,7 +31,9 @@ def _grow(edges: DataFrame, level: int) -> DataFrame:
     vertex before it is shuffled, so that a hub receives one row per task.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = both.groupBy(F.col("b").alias("v")).agg(F.min(_start("a", level) + F.lit(_HOP)).alias("k")).select("v", F.least(_start("v", level), "k").alias("k"))
+    reach = both.groupBy(F.col("b").alias("v")).agg(
+        F.min(_start("a", level) + F.lit(_HOP)).alias("k")
+    ).select("v", F.least(_start("v", level), "k").alias("k"))
     for _ in range(ROUNDS - 1):
         sent = both.join(reach.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), (F.col("k") + F.lit(_HOP)).alias("k"))
         reach = reach.unionByName(sent).groupBy("v").agg(F.min("k").alias("k"))
@@ -40,7 +42,9 @@ def _grow(edges: DataFrame, level: int) -> DataFrame:
 
 def _contract(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     """The edges between clusters, each once."""
-    ends = edges.join(assigned.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(assigned.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+    ends = edges.join(
+        assigned.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a"
+    ).join(assigned.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
     return ends.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
@@ -65,10 +69,19 @@ def _finish(table: pa.Table) -> pa.Table:
 def numbered(values: DataFrame, scratch: Scratch, name: str = "vertices") -> DataFrame:
     """(id, value) of distinct values of one column, numbered from 0 in their order."""
     column = values.columns[0]
-    rows = scratch.write(values.repartitionByRange(column).sortWithinPartitions(column).select(F.col(column).alias("value"), F.monotonically_increasing_id().alias("_m")), name)
+    rows = scratch.write(
+        values.repartitionByRange(column)
+        .sortWithinPartitions(column)
+        .select(F.col(column).alias("value"), F.monotonically_increasing_id().alias("_m")),
+        name
+    )
     part = F.shiftright("_m", 33)
-    offsets = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).selectExpr("_p", "coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0) as _before")
-    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").select((F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).cast("bigint").alias("id"), "value")
+    offsets = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).selectExpr(
+        "_p", "coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0) as _before"
+    )
+    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").select(
+        (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).cast("bigint").alias("id"), "value"
+    )
 
 
 def components(pairs: DataFrame, a: str, b: str, last_edges: int = LAST_EDGES) -> DataFrame:
@@ -89,10 +102,17 @@ def components(pairs: DataFrame, a: str, b: str, last_edges: int = LAST_EDGES) -
     """
     scratch = Scratch(pairs.sparkSession, "components")
     spark = pairs.sparkSession
-    ends = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
+    ends = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    ).distinct()
     ends = scratch.write(ends, "pairs")
     values = numbered(ends.select("x").union(ends.select("y")).distinct(), scratch)
-    edges = scratch.write(ends.join(values.select(F.col("value").alias("x"), F.col("id").alias("a")), "x").join(values.select(F.col("value").alias("y"), F.col("id").alias("b")), "y").select("a", "b"), "edges0")
+    edges = scratch.write(
+        ends.join(values.select(F.col("value").alias("x"), F.col("id").alias("a")), "x")
+        .join(values.select(F.col("value").alias("y"), F.col("id").alias("b")), "y")
+        .select("a", "b"),
+        "edges0"
+    )
     scratch.drop("pairs")
     levels: list[DataFrame] = []
     while (left := edges.count()) > last_edges:
@@ -100,10 +120,14 @@ def components(pairs: DataFrame, a: str, b: str, last_edges: int = LAST_EDGES) -
         levels.append(scratch.write(_grow(edges, k), f"level{k}"))
         edges = scratch.write(_contract(edges, levels[-1]), f"edges{k + 1}")
         scratch.drop(f"edges{k}")
-    last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_finish, "v bigint, c bigint") if left else spark.createDataFrame([], "v bigint, c bigint")
+    last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(
+        _finish, "v bigint, c bigint"
+    ) if left else spark.createDataFrame([], "v bigint, c bigint")
     root = scratch.write(last, "last")
     for k in reversed(range(len(levels))):
-        root = levels[k].join(root.select(F.col("v").alias("c"), F.col("c").alias("r")), "c", "left").select("v", F.coalesce("r", "c").alias("c"))
+        root = levels[k].join(
+            root.select(F.col("v").alias("c"), F.col("c").alias("r")), "c", "left"
+        ).select("v", F.coalesce("r", "c").alias("c"))
     root = scratch.write(root, "roots") if levels else root
     least = root.groupBy("c").agg(F.min("v").alias("id"))
     names = least.join(values, "id").select("c", F.col("value").alias("group"))
@@ -123,4 +147,6 @@ def wallet_ties(links: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def wallet_groups(links: DataFrame, transactions: DataFrame) -> DataFrame:
     """(wallet_id, group_id) of the wallets that links or common inputs tie, directly or through others."""
-    return components(wallet_ties(links, transactions), "a", "b").select(F.col("value").alias("wallet_id"), F.col("group").alias("group_id"))
+    return components(wallet_ties(links, transactions), "a", "b").select(
+        F.col("value").alias("wallet_id"), F.col("group").alias("group_id")
+    )

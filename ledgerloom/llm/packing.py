@@ -89,7 +89,9 @@ def _pack_part(capacity: int, last: bool):
             if boxes > least:
                 stays[used <= capacity * (1 - LOOSE)] = False
         n = len(sizes)
-        extra = {"box": pa.array(box), "stays": pa.array(stays[box]), "boxes": pa.array(np.full(n, boxes)), "least": pa.array(np.full(n, least))}
+        extra = {
+            "box": pa.array(box), "stays": pa.array(stays[box]), "boxes": pa.array(np.full(n, boxes)), "least": pa.array(np.full(n, least))
+        }
         for name, column in extra.items():
             table = table.append_column(name, column)
         return table
@@ -108,7 +110,12 @@ def pieces_of(sized: DataFrame, capacity: int) -> DataFrame:
     once = items.groupBy("doc_id", "copy_no").agg(F.max("n").alias("n"))
     full = F.expr(f"cast(n div {capacity} as bigint)")
     cut = once.withColumn("piece_no", F.explode(F.expr(f"sequence(0l, greatest(cast(ceil(n / {capacity}) as bigint), 1l) - 1l)")))
-    return cut.select("doc_id", "copy_no", "piece_no", F.when(F.col("piece_no") < full, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("bigint").alias("size"))
+    return cut.select(
+        "doc_id",
+        "copy_no",
+        "piece_no",
+        F.when(F.col("piece_no") < full, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("bigint").alias("size")
+    )
 
 
 def certified_packing(sized: DataFrame, capacity: int, at_once: int = PIECES_AT_ONCE) -> tuple[DataFrame, DataFrame]:
@@ -125,19 +132,35 @@ def certified_packing(sized: DataFrame, capacity: int, at_once: int = PIECES_AT_
         parts = max(1, math.ceil(n / at_once))
         last = parts == 1 or 2 * n > before
         part = F.pmod(F.xxhash64("doc_id", "copy_no", "piece_no", F.lit(k)), F.lit(parts)).alias("part")
-        packed = left.select("doc_id", "copy_no", "piece_no", "size", part).repartition(parts, "part").groupBy("part").applyInArrow(_pack_part(capacity, last), columns)
+        packed = left.select(
+            "doc_id", "copy_no", "piece_no", "size", part
+        ).repartition(parts, "part").groupBy("part").applyInArrow(_pack_part(capacity, last), columns)
         packed = scratch.write(packed, f"round{k}")
         done.append(packed.where("stays").select("doc_id", "copy_no", "piece_no", "size", "part", "box", F.lit(k).alias("round")))
-        proofs.append(packed.groupBy("part").agg(F.max("boxes").alias("containers"), F.max("least").alias("bound")).select(F.lit(k).cast("bigint").alias("round"), "part", "containers", "bound", (F.col("containers") == F.col("bound")).alias("certified")))
+        proofs.append(
+            packed.groupBy("part")
+            .agg(F.max("boxes").alias("containers"), F.max("least").alias("bound"))
+            .select(
+                F.lit(k).cast("bigint").alias("round"),
+                "part",
+                "containers",
+                "bound",
+                (F.col("containers") == F.col("bound")).alias("certified")
+            )
+        )
         if last:
             break
         left = packed.where("not stays").select("doc_id", "copy_no", "piece_no", "size")
         n, before, k = left.count(), n, k + 1
     if not done:
-        return spark.createDataFrame([], f"doc_id {kind}, piece_no bigint, n_tokens bigint, container_id bigint"), spark.createDataFrame([], "round bigint, part bigint, containers bigint, bound bigint, certified boolean")
+        return spark.createDataFrame([], f"doc_id {kind}, piece_no bigint, n_tokens bigint, container_id bigint"), spark.createDataFrame(
+            [], "round bigint, part bigint, containers bigint, bound bigint, certified boolean"
+        )
     whole = reduce(DataFrame.unionByName, done)
     container = F.shiftleft(F.col("round").cast("bigint"), 58) + F.shiftleft("part", 24) + F.col("box")
-    return whole.select("doc_id", "piece_no", F.col("size").alias("n_tokens"), container.alias("container_id")), reduce(DataFrame.unionByName, proofs)
+    return whole.select(
+        "doc_id", "piece_no", F.col("size").alias("n_tokens"), container.alias("container_id")
+    ), reduce(DataFrame.unionByName, proofs)
 
 
 def pack(sized: DataFrame, capacity: int, at_once: int = PIECES_AT_ONCE) -> DataFrame:
@@ -165,4 +188,6 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     for row in packed.groupBy("n_tokens").agg(F.count("*").alias("n")).collect():
         count[row["n_tokens"]] = row["n"]
     least = bound_of_counts(count, capacity)
-    return boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens")).withColumns({"bound": F.lit(least).cast("bigint"), "fill": F.expr(f"round(try_divide(tokens, containers * {capacity}), 6)")})
+    return boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens")).withColumns(
+        {"bound": F.lit(least).cast("bigint"), "fill": F.expr(f"round(try_divide(tokens, containers * {capacity}), 6)")}
+    )

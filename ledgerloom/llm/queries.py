@@ -16,12 +16,19 @@ from .stuffing import stuffed_pages, stuffed_shares
 from .topn import entity_alerts, top_n
 
 CAPACITY, BEST_SHARE = 2048, 0.05
-SCORES = {"alert": ("alerts", "final_score"), "anomaly": ("anomaly_scores", "score"), "risk": ("risk_scores", "score"), "similarity": ("pattern_sim_matches", "similarity")}
+SCORES = {
+    "alert": ("alerts", "final_score"),
+    "anomaly": ("anomaly_scores", "score"),
+    "risk": ("risk_scores", "score"),
+    "similarity": ("pattern_sim_matches", "similarity")
+}
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     alerts = table(spark, folder, "alerts", "node_id", "alert_id", "final_score")
-    return top_n(entity_alerts(alerts, table(spark, folder, "entities", "wallet_id", "entity_id")), "entity_id", "final_score", "alert_id", 3).select("entity_id", "rank_no", "alert_id")
+    return top_n(
+        entity_alerts(alerts, table(spark, folder, "entities", "wallet_id", "entity_id")), "entity_id", "final_score", "alert_id", 3
+    ).select("entity_id", "rank_no", "alert_id")
 
 
 def _scored(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, Scale]:
@@ -44,11 +51,15 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return wallet_groups(table(spark, folder, "same_entity_links", "wallet_a", "wallet_b"), table(spark, folder, "transactions", "input_addresses"))
+    return wallet_groups(
+        table(spark, folder, "same_entity_links", "wallet_a", "wallet_b"), table(spark, folder, "transactions", "input_addresses")
+    )
 
 
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity_clusters(table(spark, folder, "node_features", "node_type", "node_id", "embedding"), "node_type", "node_id", "embedding", 0.95, 5)
+    return similarity_clusters(
+        table(spark, folder, "node_features", "node_type", "node_id", "embedding"), "node_type", "node_id", "embedding", 0.95, 5
+    )
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +103,10 @@ def _best(name: str) -> str:
 def _ranking() -> str:
     """The whole ranking: cuts at the floor(n / 20)-th values from both ends, unit columns, closeness, place."""
     names = list(SCORES)
-    cuts = ", ".join(f"coalesce((select max(s) from (select s, row_number() over (order by s desc) as r, count(*) over () as n from {x}) where r = n // 20), (select max(s) from {x})) as t_{x}, coalesce((select min(s) from (select s, row_number() over (order by s) as r, count(*) over () as n from {x}) where r = n // 20), (select min(s) from {x})) as l_{x}" for x in names)
+    cuts = ", ".join(
+        f"coalesce((select max(s) from (select s, row_number() over (order by s desc) as r, count(*) over () as n from {x}) where r = n // 20), (select max(s) from {x})) as t_{x}, coalesce((select min(s) from (select s, row_number() over (order by s) as r, count(*) over () as n from {x}) where r = n // 20), (select min(s) from {x})) as l_{x}"
+        for x in names
+    )
     clip = ", ".join(f"coalesce(least(greatest({x}.s, l_{x}), t_{x}) - l_{x}, 0) as {x}, t_{x} - l_{x} as i_{x}" for x in names)
     norm = ", ".join(f"coalesce(nullif(sqrt(sum({x} * {x}) over ()), 0), 1) as n_{x}" for x in names)
     near = " + ".join(f"pow({x} / n_{x} - i_{x} / n_{x}, 2)" for x in names)
@@ -103,29 +117,35 @@ c as (select node_id, round(sqrt({far}) / (sqrt({far}) + sqrt({near})), 9) as cl
 select node_id, closeness, row_number() over (order by closeness desc, node_id) as rank_no from c"""
 
 
-SQL = {
-    "p4_ranking": _ranking(),
-    "p3_found": """
+SQL = {"p4_ranking": _ranking(), "p3_found": """
 with o as (select distinct wallet_id, entity_id from entities where entity_id is not null),
 a as (select alert_id, node_id, max(final_score) as s from alerts where final_score is not null and not isnan(final_score) group by all),
 r as (select entity_id, alert_id, row_number() over (partition by entity_id order by s desc, alert_id) as rank_no from a join o on o.wallet_id = a.node_id)
 select entity_id, rank_no, alert_id from r where rank_no <= 3
-""",
-    "p5_found": """
+""", "p5_found": """
 with recursive t as (select list_sort(list_distinct(list_filter(input_addresses, lambda x: x is not null))) as w from transactions),
 e as (select wallet_a as a, wallet_b as b from same_entity_links where wallet_a <> wallet_b union select w[1], unnest(w[2:]) from t where len(w) > 1),
 s as (select a, b from e union select b, a from e),
 r as (select a as wallet_id, least(a, min(b)) as g from s group by a union select s.b, r.g from r join s on s.a = r.wallet_id)
 select wallet_id, min(g) as group_id from r group by wallet_id
-""",
-    "p6_found": """
+""", "p6_found": """
 with v as (select node_type, node_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from (select node_type, node_id, min(embedding) as e from node_features
 where embedding is not null and node_id is not null and node_type is not null group by all) where list_dot_product(e, e) > 0),
 near as (select a.node_type, a.node_id, list_sort(list(b.node_id)) as around from v a join v b on a.node_type = b.node_type and list_dot_product(a.u, b.u) >= 0.95 group by a.node_type, a.node_id)
 select node_id, around[1] as cluster_id from near qualify count(*) over (partition by node_type, around) = len(around) and len(around) >= 5
-""",
-    "p4_found": f"with {', '.join(map(_best, SCORES))} select node_id from alert_r join anomaly_r using (node_id) join risk_r using (node_id) join similarity_r using (node_id) where "
-    + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),
+""", "p4_found": f"with {', '.join(map(_best, SCORES))} select node_id from alert_r join anomaly_r using (node_id) join risk_r using (node_id) join similarity_r using (node_id) where " + " and ".join(f"{x}_r.r <= {x}_r.n // 20" for x in SCORES),}
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_ranking": p4_ranking,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
+    "p9_certificates": p9_certificates,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares
 }
-
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p6_found": p6_found, "p6_clusters": p6_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p9_certificates": p9_certificates, "p10_found": p10_found, "p10_shares": p10_shares}

@@ -17,7 +17,9 @@ ACCURACY = 10_000
 
 def best_per_node(rows: DataFrame, score: str) -> DataFrame:
     """(node_id, score): the highest value of each node; nulls and NaN aside."""
-    return rows.where(F.col("node_id").isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).groupBy("node_id").agg(F.max(score).cast("double").alias(score))
+    return rows.where(
+        F.col("node_id").isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)
+    ).groupBy("node_id").agg(F.max(score).cast("double").alias(score))
 
 
 def score_table(heads: dict[str, DataFrame]) -> DataFrame:
@@ -29,7 +31,11 @@ def score_table(heads: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in heads.items():
         own = F.nanvl(F.col(df.columns[1]).cast("double"), F.lit(None).cast("double"))
-        parts.append(df.where(own.isNotNull() & F.col("node_id").isNotNull()).select("node_id", *((own if c == name else F.lit(None).cast("double")).alias(c) for c in heads)))
+        parts.append(
+            df.where(own.isNotNull() & F.col("node_id").isNotNull()).select(
+                "node_id", *((own if c == name else F.lit(None).cast("double")).alias(c) for c in heads)
+            )
+        )
     return reduce(DataFrame.unionByName, parts).groupBy("node_id").agg(*(F.max(c).alias(c) for c in heads))
 
 
@@ -56,7 +62,11 @@ def kth_highest(df: DataFrame, values: dict[str, Column], share: float) -> tuple
     names, around = list(values), 2.0 / ACCURACY
     df = df.select(*(c.cast("double").alias(n) for n, c in values.items()))
     spans = [max(0.0, 1 - share - around), min(1.0, 1 - share + around)]
-    first = df.agg(*(F.count(n).alias(f"n_{n}") for n in names), *(F.max(n).alias(f"m_{n}") for n in names), *(F.percentile_approx(n, spans, ACCURACY).alias(f"p_{n}") for n in names)).first()
+    first = df.agg(
+        *(F.count(n).alias(f"n_{n}") for n in names),
+        *(F.max(n).alias(f"m_{n}") for n in names),
+        *(F.percentile_approx(n, spans, ACCURACY).alias(f"p_{n}") for n in names)
+    ).first()
     cuts = {n: Cut(first[f"n_{n}"], math.floor(first[f"n_{n}"] * share + 1e-9)) for n in names}
     highest = {n: first[f"m_{n}"] for n in names}
     bracket = {n: tuple(first[f"p_{n}"]) for n in names if cuts[n].k}
@@ -103,7 +113,9 @@ class Scale:
 def fit_scale(table: DataFrame, columns: list[str], share: float = 0.05) -> Scale:
     """The Scale of some columns: what lies above the floor(n * share)-th highest value counts as that value, what lies below
     the like value from below counts as that one. Three passes; a few numbers per column reach the driver."""
-    both, ends = kth_highest(table, {f"{end}{i}": F.col(c) if end == "top" else -F.col(c) for i, c in enumerate(columns) for end in ("top", "low")}, share)
+    both, ends = kth_highest(
+        table, {f"{end}{i}": F.col(c) if end == "top" else -F.col(c) for i, c in enumerate(columns) for end in ("top", "low")}, share
+    )
     scale = Scale({c: both[f"top{i}"] for i, c in enumerate(columns)}, {}, {}, dict.fromkeys(columns, 1.0))
     for i, c in enumerate(columns):
         best, worst = (both[f"{end}{i}"].value if both[f"{end}{i}"].k else ends[f"{end}{i}"] for end in ("top", "low"))
@@ -123,7 +135,15 @@ def closeness(table: DataFrame, columns: list[str], scale: Scale, weights: dict[
     counts as the worst, a constant one moves nobody. Equal weights unless given.
     """
     weight = lambda c: F.lit(float((weights or {}).get(c, 1.0)))
-    far, near = (F.sqrt(reduce(Column.__add__, (weight(c) * F.pow(scale.unit(c) - F.lit(goal), F.lit(2.0)) for c in columns for goal in [0.0 if away else scale.ideal(c)]))) for away in (True, False))
+    far, near = (
+        F.sqrt(
+            reduce(
+                Column.__add__,
+                (weight(c) * F.pow(scale.unit(c) - F.lit(goal), F.lit(2.0)) for c in columns for goal in [0.0 if away else scale.ideal(c)])
+            )
+        )
+        for away in (True, False)
+    )
     return table.withColumn("closeness", F.coalesce(F.try_divide(far, far + near), F.lit(0.0)))
 
 
@@ -135,9 +155,13 @@ def ranked(df: DataFrame, by: list[Column], scratch: Scratch, name: str = "rank_
     """
     ranges = scratch.write(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), label)
     counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.selectExpr("_range", "coalesce(sum(_n) over (order by _range rows between unbounded preceding and 1 preceding), 0) as _before")
+    offsets = counts.selectExpr(
+        "_range", "coalesce(sum(_n) over (order by _range rows between unbounded preceding and 1 preceding), 0) as _before"
+    )
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
-    return ranges.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).drop("_range", "_place", "_before")
+    return ranges.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(
+        name, (F.col("_place") + F.col("_before")).cast("bigint")
+    ).drop("_range", "_place", "_before")
 
 
 def among_best(scored: DataFrame, columns: list[str], scale: Scale, scratch: Scratch) -> DataFrame:
@@ -153,6 +177,8 @@ def among_best(scored: DataFrame, columns: list[str], scale: Scale, scratch: Scr
         cut = scale.cuts[c]
         if cut.above + cut.equal > cut.k:
             at = F.col(c) == F.lit(cut.value)
-            tied = ranked(scored.where(at).select("node_id"), [F.col("node_id")], scratch, "place", f"tied_{c}").where(F.col("place") <= cut.k - cut.above)
+            tied = ranked(
+                scored.where(at).select("node_id"), [F.col("node_id")], scratch, "place", f"tied_{c}"
+            ).where(F.col("place") <= cut.k - cut.above)
             head = head.where(F.col(c) > F.lit(cut.value)).unionByName(head.where(at).join(tied, "node_id", "left_semi"))
     return head

@@ -128,7 +128,9 @@ class Space:
 def fit_space(x: np.ndarray, similarity: float, least: int) -> Space:
     """Pivots where the sample is dense, densest first, each moved to the mean of its neighbourhood; principal axes."""
     dim = x.shape[1]
-    space = Space(similarity, np.zeros((0, dim)), x.mean(0), np.linalg.svd(x - x.mean(0), full_matrices=False)[2] if len(x) else np.zeros((0, dim)))
+    space = Space(
+        similarity, np.zeros((0, dim)), x.mean(0), np.linalg.svd(x - x.mean(0), full_matrices=False)[2] if len(x) else np.zeros((0, dim))
+    )
     pivots: list[np.ndarray] = []
     left = x
     half = math.cos(space.angle / 2) + _SLACK
@@ -161,9 +163,13 @@ def unit_vectors(rows: DataFrame, kind: str, item: str, vector: str) -> DataFram
     """
     broken = F.exists("vec", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
     named = rows.where(F.col(kind).isNotNull() & F.col(item).isNotNull() & F.col(vector).isNotNull())
-    once = named.select(F.col(kind).cast("string").alias("kind"), F.col(item).cast("string").alias("item"), F.col(vector).cast("array<double>").alias("vec")).where((F.size("vec") > 0) & ~F.coalesce(broken, F.lit(True)))
+    once = named.select(
+        F.col(kind).cast("string").alias("kind"), F.col(item).cast("string").alias("item"), F.col(vector).cast("array<double>").alias("vec")
+    ).where((F.size("vec") > 0) & ~F.coalesce(broken, F.lit(True)))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e * e))
-    return once.groupBy("kind", "item").agg(F.min("vec").alias("vec")).withColumn("norm", norm).where("norm > 0").select("kind", "item", F.transform("vec", lambda e: e / F.col("norm")).alias("vec"))
+    return once.groupBy("kind", "item").agg(F.min("vec").alias("vec")).withColumn("norm", norm).where("norm > 0").select(
+        "kind", "item", F.transform("vec", lambda e: e / F.col("norm")).alias("vec")
+    )
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -186,7 +192,9 @@ def _by_kind(spaces: dict[str, Space], place):
                 for k in range(0, len(own), 1_000):
                     part = own.slice(k, 1_000).combine_chunks()
                     home, offsets, values = place(spaces[kind], _matrix(part["vec"]))
-                    for made in part.append_column("home", pa.array(home.astype(np.int64))).append_column("margin", _lists(offsets, values)).to_batches():
+                    for made in part.append_column(
+                        "home", pa.array(home.astype(np.int64))
+                    ).append_column("margin", _lists(offsets, values)).to_batches():
                         yield made
 
     return run
@@ -230,13 +238,19 @@ def _compare(similarity: float, emit: str):
         h = table.filter(pa.array(role == "h"))
         m = table.filter(pa.array(role == "m"))
         if not len(h) or not len(m):
-            return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ball": pa.array([], pa.int64())}) if emit == "counts" else pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "border": pa.array([], pa.bool_())})
+            return pa.table(
+                {"item": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "ball": pa.array([], pa.int64())}
+            ) if emit == "counts" else pa.table(
+                {"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "border": pa.array([], pa.bool_())}
+            )
         near = _matrix(h["vec"]) @ _matrix(m["vec"]).T >= similarity
         itself = pc.index_in(h["item"], value_set=m["item"])
         at = np.flatnonzero(np.asarray(itself.is_valid()))
         near[at, itself.drop_null().to_numpy()] = False
         frame = (counts if emit == "counts" else links)(h, m, near)
-        schema = pa.schema([("item", pa.string()), ("n", pa.int64()), ("ball", pa.int64())]) if emit == "counts" else pa.schema([("a", pa.string()), ("b", pa.string()), ("border", pa.bool_())])
+        schema = pa.schema(
+            [("item", pa.string()), ("n", pa.int64()), ("ball", pa.int64())]
+        ) if emit == "counts" else pa.schema([("a", pa.string()), ("b", pa.string()), ("border", pa.bool_())])
         return pa.Table.from_pandas(frame, schema=schema, preserve_index=False)
 
     return run
@@ -250,19 +264,43 @@ def _blocks(placed: DataFrame, similarity: float, emit: str, block: int) -> Data
     """
     extra = ["core"] if emit == "links" else []
     home = placed.select("kind", "item", "vec", *extra, F.col("home").alias("cell"))
-    of_balls = placed.select("kind", "item", "vec", *extra, "home", F.explode("margin").alias("cell")).where("cell >= 0 or home >= 0 or cell < home")
+    of_balls = placed.select(
+        "kind", "item", "vec", *extra, "home", F.explode("margin").alias("cell")
+    ).where("cell >= 0 or home >= 0 or cell < home")
     member = of_balls.drop("home").unionByName(home.where("cell >= 0"))
-    sizes = member.groupBy("kind", "cell").agg(F.count("*").alias("m")).join(placed.groupBy("kind", F.col("home").alias("cell")).agg(F.count("*").alias("h")), ["kind", "cell"]).where("not (cell >= 0 and m = 1)")
+    sizes = member.groupBy("kind", "cell").agg(F.count("*").alias("m")).join(
+        placed.groupBy("kind", F.col("home").alias("cell")).agg(F.count("*").alias("h")), ["kind", "cell"]
+    ).where("not (cell >= 0 and m = 1)")
     sizes = sizes.select("kind", "cell", *(F.ceil(F.col(c) / F.lit(block)).cast("int").alias(f"{c}b") for c in ("h", "m")))
-    own = home.join(sizes, ["kind", "cell"]).select("kind", "cell", "item", "vec", *extra, F.lit("h").alias("role"), F.pmod(F.xxhash64("item"), "hb").cast("int").alias("i"), F.explode(F.expr("sequence(0, mb - 1)")).alias("j"))
-    others = member.join(sizes, ["kind", "cell"]).select("kind", "cell", "item", "vec", *extra, F.lit("m").alias("role"), F.explode(F.expr("sequence(0, hb - 1)")).alias("i"), F.pmod(F.xxhash64("item"), "mb").cast("int").alias("j"))
+    own = home.join(sizes, ["kind", "cell"]).select(
+        "kind",
+        "cell",
+        "item",
+        "vec",
+        *extra,
+        F.lit("h").alias("role"),
+        F.pmod(F.xxhash64("item"), "hb").cast("int").alias("i"),
+        F.explode(F.expr("sequence(0, mb - 1)")).alias("j")
+    )
+    others = member.join(sizes, ["kind", "cell"]).select(
+        "kind",
+        "cell",
+        "item",
+        "vec",
+        *extra,
+        F.lit("m").alias("role"),
+        F.explode(F.expr("sequence(0, hb - 1)")).alias("i"),
+        F.pmod(F.xxhash64("item"), "mb").cast("int").alias("j")
+    )
     ddl = "item string, n bigint, ball bigint" if emit == "counts" else "a string, b string, border boolean"
     # kind and item together name a node from here on
     key = lambda df: df.withColumn("item", F.concat_ws("\x1f", "kind", "item"))
     return key(own.unionByName(others)).groupBy("kind", "cell", "i", "j").applyInArrow(_compare(similarity, emit), ddl)
 
 
-def similarity_clusters(rows: DataFrame, kind: str, item: str, vector: str, similarity: float = 0.95, least: int = 5, block: int = BLOCK) -> DataFrame:
+def similarity_clusters(
+    rows: DataFrame, kind: str, item: str, vector: str, similarity: float = 0.95, least: int = 5, block: int = BLOCK
+) -> DataFrame:
     """(kind, item, cluster_id, degree, core, vec): density clusters of unit vectors within each kind.
 
     Two items are neighbours if the cosine of their vectors is at least `similarity`. An item with at least `least`
@@ -289,7 +327,9 @@ def similarity_clusters(rows: DataFrame, kind: str, item: str, vector: str, simi
     spaces = {}
     for name, n in sizes.items():
         share = min(1.0, SAMPLE / n)
-        sample = unit.where((F.col("kind") == name) & (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("vec").toArrow()
+        sample = unit.where(
+            (F.col("kind") == name) & (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        ).select("vec").toArrow()
         spaces[name] = fit_space(_matrix(sample["vec"])[: 2 * SAMPLE], similarity, least)
     layout = "kind string, item string, vec array<double>, home bigint, margin array<bigint>"
     near = scratch.write(unit.mapInArrow(_by_kind(spaces, Space.balls), layout), "near")
@@ -299,14 +339,26 @@ def similarity_clusters(rows: DataFrame, kind: str, item: str, vector: str, simi
     kept = {name: [] for name in spaces}
     for r in held.where(F.col("n") >= least).collect():
         kept[r["kind"]].append((r["ball"], r["n"]))
-    balls = F.create_map(*(x for name, own in kept.items() for x in (F.lit(name), F.array(*(F.lit(b).cast("bigint") for b, _ in own)).cast("array<bigint>"))))[F.col("kind")]
-    known = near.select("kind", "item", "vec", F.when(F.array_contains(balls, F.col("home")), -1 - F.col("home")).alias("home"), F.transform(F.array_intersect("margin", balls), lambda b: -1 - b).alias("around"))
+    balls = F.create_map(
+        *(x for name, own in kept.items() for x in (F.lit(name), F.array(*(F.lit(b).cast("bigint") for b, _ in own)).cast("array<bigint>")))
+    )[F.col("kind")]
+    known = near.select(
+        "kind",
+        "item",
+        "vec",
+        F.when(F.array_contains(balls, F.col("home")), -1 - F.col("home")).alias("home"),
+        F.transform(F.array_intersect("margin", balls), lambda b: -1 - b).alias("around")
+    )
     for name, space in spaces.items():
         rest = known.where((F.col("kind") == name) & F.col("home").isNull())
         n = sizes[name] - sum(m for _, m in kept[name])
-        sample = rest.where(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(min(1.0, 2_000 / max(1, n)) * (1 << 20)) + 1).select("vec").limit(4_000).toArrow()
+        sample = rest.where(
+            F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(min(1.0, 2_000 / max(1, n)) * (1 << 20)) + 1
+        ).select("vec").limit(4_000).toArrow()
         space.choose_dimensions(_matrix(sample["vec"]) if len(sample) else np.zeros((0, len(space.mean))), n)
-    loose = known.where("home is null").select("kind", "item", "vec", "around").mapInArrow(_by_kind(spaces, Space.cells), layout.replace("home", "around array<bigint>, home"))
+    loose = known.where("home is null").select("kind", "item", "vec", "around").mapInArrow(
+        _by_kind(spaces, Space.cells), layout.replace("home", "around array<bigint>, home")
+    )
     loose = loose.select("kind", "item", "vec", "home", F.concat("around", "margin").alias("margin"))
     placed = scratch.write(known.where("home is not null").withColumnRenamed("around", "margin").unionByName(loose), "placed")
     scratch.drop("near")
@@ -315,21 +367,36 @@ def similarity_clusters(rows: DataFrame, kind: str, item: str, vector: str, simi
     in_ball = F.when(F.col("home") < 0, F.col("size")).otherwise(F.lit(1))
     balls = placed.where("home < 0").groupBy("kind", "home").agg(F.count("*").alias("size"))
     found = counts.groupBy("item").agg(F.sum("n").alias("n")).withColumnRenamed("item", "key")
-    nodes = placed.withColumn("key", key).join(F.broadcast(balls), ["kind", "home"], "left").join(found, "key", "left").withColumn("degree", in_ball + F.coalesce("n", F.lit(0)))
+    nodes = placed.withColumn("key", key).join(F.broadcast(balls), ["kind", "home"], "left").join(found, "key", "left").withColumn(
+        "degree", in_ball + F.coalesce("n", F.lit(0))
+    )
     # only what has neighbours can be in a cluster
-    nodes = scratch.write(nodes.where("degree > 1").select("kind", "item", "vec", "home", "margin", "key", "degree", (F.col("degree") >= least).alias("core")), "nodes")
+    nodes = scratch.write(
+        nodes.where("degree > 1").select(
+            "kind", "item", "vec", "home", "margin", "key", "degree", (F.col("degree") >= least).alias("core")
+        ),
+        "nodes"
+    )
     loose = nodes.where("home >= 0").withColumn("margin", F.filter("margin", lambda c: c >= 0))
     links = scratch.write(_blocks(loose.select("kind", "item", "vec", "home", "margin", "core"), similarity, "links", block), "links")
     # a ball is one group of cores already: a star around its smallest item
     head = nodes.where("home < 0").groupBy("kind", "home").agg(F.min("key").alias("head"))
-    stars = nodes.join(F.broadcast(head), ["kind", "home"]).select(F.col("head").alias("a"), F.col("key").alias("b"), F.lit(False).alias("border"))
+    stars = nodes.join(F.broadcast(head), ["kind", "home"]).select(
+        F.col("head").alias("a"), F.col("key").alias("b"), F.lit(False).alias("border")
+    )
     touched = counts.where("ball is not null").select("item", "ball").distinct()
     state = nodes.select(F.col("key").alias("item"), "core", F.col("kind").alias("k"))
-    to_ball = touched.join(state, "item").join(head.select(F.col("kind").alias("k"), F.col("home").alias("ball"), "head"), ["k", "ball"]).select(F.col("head").alias("a"), F.col("item").alias("b"), (~F.col("core")).alias("border"))
+    to_ball = touched.join(state, "item").join(
+        head.select(F.col("kind").alias("k"), F.col("home").alias("ball"), "head"), ["k", "ball"]
+    ).select(F.col("head").alias("a"), F.col("item").alias("b"), (~F.col("core")).alias("border"))
     ties = scratch.write(links.unionByName(stars).unionByName(to_ball), "ties")
     groups = scratch.write(components(ties.where("not border"), "a", "b"), "groups")
-    core = nodes.where("core").select("key").join(groups.withColumnRenamed("value", "key"), "key", "left").select("key", F.coalesce("group", "key").alias("group"))
-    border = ties.where("border").select(F.col("a").alias("core_key"), F.col("b").alias("key")).join(core.withColumnRenamed("key", "core_key"), "core_key").select("key", "group").distinct()
+    core = nodes.where("core").select("key").join(
+        groups.withColumnRenamed("value", "key"), "key", "left"
+    ).select("key", F.coalesce("group", "key").alias("group"))
+    border = ties.where("border").select(
+        F.col("a").alias("core_key"), F.col("b").alias("key")
+    ).join(core.withColumnRenamed("key", "core_key"), "core_key").select("key", "group").distinct()
     member = scratch.write(core.unionByName(border), "members")
     named = member.groupBy("group").agg(F.min("key").alias("least_key"))
     cluster = member.join(named, "group").select("key", F.element_at(F.split("least_key", "\x1f"), -1).alias("cluster_id"))
@@ -342,7 +409,9 @@ def mutual_clusters(clusters: DataFrame, kind: str, item: str, least: int = 5) -
     A cluster holds all neighbours of its cores. If the neighbourhood of every member is as large as the cluster, then
     every member is a core, its neighbourhood lies in the cluster, and so it is the cluster.
     """
-    whole = clusters.groupBy(kind, "cluster_id").agg(F.count("*").alias("n"), F.min("degree").alias("lo"), F.max("degree").alias("hi")).where(f"n >= {least} and lo = n and hi = n")
+    whole = clusters.groupBy(kind, "cluster_id").agg(
+        F.count("*").alias("n"), F.min("degree").alias("lo"), F.max("degree").alias("hi")
+    ).where(f"n >= {least} and lo = n and hi = n")
     return clusters.join(whole.select(kind, "cluster_id"), [kind, "cluster_id"]).select(item, "cluster_id")
 
 
@@ -353,13 +422,27 @@ def describe_clusters(clusters: DataFrame, kind: str, item: str, typical: int =
     the vectors' sum, so that the medoids need one aggregate and no pairs. Equal ones: the smallest item first. Every
     task keeps only its best few.
     """
-    sums = clusters.select(kind, "cluster_id", F.posexplode("vec").alias("pos", "v")).groupBy(kind, "cluster_id", "pos").agg(F.sum("v").alias("v"))
-    sums = sums.groupBy(kind, "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("total"))
+    sums = clusters.select(
+        kind, "cluster_id", F.posexplode("vec").alias("pos", "v")
+    ).groupBy(kind, "cluster_id", "pos").agg(F.sum("v").alias("v"))
+    sums = sums.groupBy(kind, "cluster_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("total")
+    )
     size = clusters.groupBy(kind, "cluster_id").agg(F.count("*").alias("size"))
-    near = clusters.join(sums, [kind, "cluster_id"]).withColumn("sum_cos", F.aggregate(F.zip_with("vec", "total", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e))
+    near = clusters.join(sums, [kind, "cluster_id"]).withColumn(
+        "sum_cos", F.aggregate(F.zip_with("vec", "total", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e)
+    )
     from .topn import top_n
 
-    best = top_n(near.select(F.concat_ws("\x1f", kind, "cluster_id").alias("g"), F.col("sum_cos"), F.col(item).alias("i")), "g", "sum_cos", "i", typical)
+    best = top_n(
+        near.select(F.concat_ws("\x1f", kind, "cluster_id").alias("g"), F.col("sum_cos"), F.col(item).alias("i")),
+        "g",
+        "sum_cos",
+        "i",
+        typical
+    )
     best = best.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "i"))), lambda s: s["i"]).alias("typical"))
     parts = F.split("g", "\x1f")
-    return best.select(parts[0].alias(kind), parts[1].alias("cluster_id"), "typical").join(size, [kind, "cluster_id"]).select(kind, "cluster_id", "size", F.col("typical")[0].alias("medoid"), "typical")
+    return best.select(parts[0].alias(kind), parts[1].alias("cluster_id"), "typical").join(size, [kind, "cluster_id"]).select(
+        kind, "cluster_id", "size", F.col("typical")[0].alias("medoid"), "typical"
+    )

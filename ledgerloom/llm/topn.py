@@ -114,7 +114,11 @@ def merge_blocks(blocks: Iterator[tuple], n: int) -> Iterator[tuple]:
 def merge_runs(runs: list[list[tuple[list, list, list]]], n: int) -> Iterator[tuple]:
     """merge_blocks over runs that are given as lists of blocks."""
     first = lambda block: (block[0][0], -block[1][0], block[2][0])
-    all_blocks = [(r, k, *block, first(run[k + 1]) if k + 1 < len(run) else None) for r, run in enumerate(runs) for k, block in enumerate(run) if block[0]]
+    all_blocks = [
+        (r, k, *block, first(run[k + 1]) if k + 1 < len(run) else None)
+        for r, run in enumerate(runs)
+        for k, block in enumerate(run) if block[0]
+    ]
     return merge_blocks(iter(sorted(all_blocks, key=lambda b: (b[1] > 0, first(b[2:]), b[0]))), n)
 
 
@@ -140,7 +144,9 @@ def _write_runs(n: int, schema: pa.Schema):
 
         for batch in batches:
             run_id = batch.column(1)[0].as_py() if batch.num_rows else run_id
-            for b, g, s, i in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for b, g, s, i in zip(
+                batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            ):
                 if g != group or b != bucket:
                     group, taken = g, []
                 if b != bucket:
@@ -169,7 +175,9 @@ def _merge_buckets(n: int, schema: pa.Schema):
                 buckets, runs, seqs, next_g, next_s, next_i = (batch.column(k).to_pylist() for k in (0, 1, 2, 9, 10, 11))
                 for k in range(batch.num_rows):  # the lists are unpacked when their block is asked for
                     following = None if next_g[k] is None else (next_g[k], next_s[k], next_i[k])
-                    yield buckets[k], (runs[k], seqs[k], batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), batch.column(8)[k].as_py(), following)
+                    yield buckets[k], (
+                        runs[k], seqs[k], batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), batch.column(8)[k].as_py(), following
+                    )
 
         rows: list[tuple] = []
         for _, own in groupby(blocks(), key=lambda x: x[0]):
@@ -202,12 +210,32 @@ def top_n(rows: DataFrame, group: str, score: str, item: str, n: int, buckets: i
     arrow = lambda c: pa.string() if kinds[c] == "string" else pa.int64()
     ddl = lambda c: "string" if kinds[c] == "string" else "bigint"
     value = F.col(score).cast("double") + F.lit(0.0)
-    clean = rows.select(F.col(group).cast(ddl(group)).alias("g"), value.alias("s"), F.col(item).cast(ddl(item)).alias("i")).where("g is not null and i is not null and s is not null and not isnan(s)")
-    sorted_runs = clean.select(F.pmod(F.hash("g"), F.lit(buckets)).alias("b"), F.spark_partition_id().alias("r"), "g", "s", "i").sortWithinPartitions("b", "g", F.desc("s"), "i")
+    clean = rows.select(
+        F.col(group).cast(ddl(group)).alias("g"), value.alias("s"), F.col(item).cast(ddl(item)).alias("i")
+    ).where("g is not null and i is not null and s is not null and not isnan(s)")
+    sorted_runs = clean.select(
+        F.pmod(F.hash("g"), F.lit(buckets)).alias("b"), F.spark_partition_id().alias("r"), "g", "s", "i"
+    ).sortWithinPartitions("b", "g", F.desc("s"), "i")
     key = [("g", arrow(group)), ("s", pa.float64()), ("i", arrow(item))]
-    blocks = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("seq", pa.int64()), *((f"first_{c}", t) for c, t in key), *((f"all_{c}", pa.list_(t)) for c, t in key), *((f"next_{c}", t) for c, t in key)])
+    blocks = pa.schema(
+        [
+            ("bucket", pa.int32()),
+            ("run", pa.int32()),
+            ("seq", pa.int64()),
+            *((f"first_{c}", t) for c, t in key),
+            *((f"all_{c}", pa.list_(t)) for c, t in key),
+            *((f"next_{c}", t) for c, t in key)
+        ]
+    )
     sql = {"g": ddl(group), "s": "double", "i": ddl(item)}
-    layout = ", ".join(["bucket int, run int, seq bigint", *(f"first_{c} {t}" for c, t in sql.items()), *(f"all_{c} array<{t}>" for c, t in sql.items()), *(f"next_{c} {t}" for c, t in sql.items())])
+    layout = ", ".join(
+        [
+            "bucket int, run int, seq bigint",
+            *(f"first_{c} {t}" for c, t in sql.items()),
+            *(f"all_{c} array<{t}>" for c, t in sql.items()),
+            *(f"next_{c} {t}" for c, t in sql.items())
+        ]
+    )
     runs = sorted_runs.mapInArrow(_write_runs(n, blocks), layout)
     out = pa.schema([(group, arrow(group)), ("rank_no", pa.int64()), (score, pa.float64()), (item, arrow(item))])
     asked = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("seq") > 0, "first_g", "first_s", "first_i", "run")
@@ -217,5 +245,7 @@ def top_n(rows: DataFrame, group: str, score: str, item: str, n: int, buckets: i
 def entity_alerts(alerts: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, final_score, alert_id): the alerts of each entity's wallets; repeated entity rows count once."""
     owners = entities.select("wallet_id", "entity_id").dropna().distinct()
-    scored = alerts.where("final_score is not null and not isnan(final_score) and alert_id is not null").select(F.col("node_id").alias("wallet_id"), "alert_id", "final_score")
+    scored = alerts.where(
+        "final_score is not null and not isnan(final_score) and alert_id is not null"
+    ).select(F.col("node_id").alias("wallet_id"), "alert_id", "final_score")
     return scored.join(owners, "wallet_id").select("entity_id", "final_score", "alert_id")

@@ -19,7 +19,9 @@ def reference():
 
 def strange_texts():
     rng = random.Random(7)
-    alphabet = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x85, 0xA0, 0x1680, 0xFEFF, 0x1F600, 0x4E00, 0x0915, 0x094D]]
+    alphabet = [
+        chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x85, 0xA0, 0x1680, 0xFEFF, 0x1F600, 0x4E00, 0x0915, 0x094D]
+    ]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
     return texts + ["<|endoftext|> a", "a" * 3000, "ab" * 4000, "日本語" * 900, " \n\n  x ", "don't we'll"]
 

@@ -47,7 +47,9 @@ def test_empty_and_clashing_names(spark):
 
 
 def test_wallet_ties(spark):
-    links = spark.createDataFrame([("a", "b", 0.1), ("b", "a", None), ("c", "c", 0.9), (None, "d", 0.9)], "wallet_a string, wallet_b string, confidence double")
+    links = spark.createDataFrame(
+        [("a", "b", 0.1), ("b", "a", None), ("c", "c", 0.9), (None, "d", 0.9)], "wallet_a string, wallet_b string, confidence double"
+    )
     tx = spark.createDataFrame([(["z", "b", "b"],), (["solo"],), (None,), ([],), ([None, "e", "f"],)], "input_addresses array<string>")
     assert sorted(map(tuple, wallet_groups(links, tx).collect())) == [("a", "a"), ("b", "a"), ("e", "e"), ("f", "e"), ("z", "a")]
     assert wallet_ties(links, tx).count() == 6

@@ -11,13 +11,23 @@ from ledgerloom.session import Scratch
 def heads(spark, seed, n=400, ties=False):
     rng = random.Random(seed)
     raw = {}
-    for name, f in {"a": lambda: rng.gauss(0, 1), "b": lambda: rng.random() ** 8 * 1e6, "c": lambda: rng.choice([0.1, 0.2, 0.9]) if ties else rng.random() * 1e-6, "d": lambda: rng.expovariate(1)}.items():
-        raw[name] = [(f"n{k:03d}", f()) for k in range(n) if rng.random() < 0.9 for _ in range(rng.choice([1, 1, 2]))] + [("n000", float("nan")), ("n001", None), (None, 1.0)]
+    for name, f in {
+        "a": lambda: rng.gauss(0, 1),
+        "b": lambda: rng.random() ** 8 * 1e6,
+        "c": lambda: rng.choice([0.1, 0.2, 0.9]) if ties else rng.random() * 1e-6,
+        "d": lambda: rng.expovariate(1)
+    }.items():
+        raw[name] = [
+            (f"n{k:03d}", f()) for k in range(n) if rng.random() < 0.9 for _ in range(rng.choice([1, 1, 2]))
+        ] + [("n000", float("nan")), ("n001", None), (None, 1.0)]
     # some nodes that are best in everything
     for k in range(5):
         for name in raw:
             raw[name].append((f"n{k:03d}", {"a": 9.0, "b": 9e6, "c": 0.9 if ties else 1.0, "d": 99.0}[name] + (0 if ties else k)))
-    return raw, {name: best_per_node(spark.createDataFrame([(*r, 0) for r in rows], "node_id string, s double, closeness int"), "s") for name, rows in raw.items()}
+    return raw, {
+        name: best_per_node(spark.createDataFrame([(*r, 0) for r in rows], "node_id string, s double, closeness int"), "s")
+        for name, rows in raw.items()
+    }
 
 
 def brute(raw, share):
@@ -46,7 +56,9 @@ def test_among_best(spark, ties):
     assert all(0.0 <= r["closeness"] <= 1.0 for r in rows)
     assert got <= {r["node_id"] for r in rows if r["closeness"] == 1.0}
     places = {r["node_id"]: r["rank_no"] for r in ranked(scored, [F.desc("closeness"), F.asc("node_id")], scratch).collect()}
-    assert [n for n, _ in sorted(places.items(), key=lambda x: x[1])] == [r["node_id"] for r in sorted(rows, key=lambda r: (-r["closeness"], r["node_id"]))]
+    assert [n for n, _ in sorted(places.items(), key=lambda x: x[1])] == [
+        r["node_id"] for r in sorted(rows, key=lambda r: (-r["closeness"], r["node_id"]))
+    ]
 
 
 def test_scale_free(spark):

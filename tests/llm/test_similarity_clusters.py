@@ -41,7 +41,9 @@ def make(seed, n, spread, dim=6):
 
 
 def run(spark, points, **more):
-    df = spark.createDataFrame([(k, i, v, 1) for k, i, v in points], "kind string, item string, vec array<double>, home int").withColumnRenamed("kind", "t").withColumnRenamed("item", "id").withColumnRenamed("vec", "e")
+    df = spark.createDataFrame(
+        [(k, i, v, 1) for k, i, v in points], "kind string, item string, vec array<double>, home int"
+    ).withColumnRenamed("kind", "t").withColumnRenamed("item", "id").withColumnRenamed("vec", "e")
     return similarity_clusters(df, "t", "id", "e", **more)
 
 
@@ -97,7 +99,15 @@ def test_recall_against_brute_force_on_a_larger_table(spark):
 
 def test_odd_rows(spark):
     same = [("A", f"s{k}", [1.0, 0.0]) for k in range(5)]
-    odd = [("A", "zero", [0.0, 0.0]), ("A", "null", None), ("A", "nan", [float("nan"), 1.0]), (None, "x", [1.0, 0.0]), ("A", None, [1.0, 0.0]), ("A", "alone", [0.0, 2.0]), ("A", "empty", [])]
+    odd = [
+        ("A", "zero", [0.0, 0.0]),
+        ("A", "null", None),
+        ("A", "nan", [float("nan"), 1.0]),
+        (None, "x", [1.0, 0.0]),
+        ("A", None, [1.0, 0.0]),
+        ("A", "alone", [0.0, 2.0]),
+        ("A", "empty", [])
+    ]
     got = run(spark, same + odd)
     assert {tuple(r) for r in mutual_clusters(got, "t", "id").collect()} == {(f"s{k}", "s0") for k in range(5)}
     info = describe_clusters(got, "t", "id").collect()

@@ -17,7 +17,14 @@ def brute(rows, n):
 @pytest.mark.parametrize("n", [1, 3])
 def test_like_brute_force(spark, n):
     rng = random.Random(n)
-    rows = [(rng.choice(["hot", "hot", "a", "b", f"g{rng.randrange(40)}", None]), rng.choice([0.5, 0.25, -0.0, 0.0, rng.random(), None, float("nan")]), rng.choice([f"i{rng.randrange(300):03d}", None, "ß", "z"])) for _ in range(3000)]
+    rows = [
+        (
+            rng.choice(["hot", "hot", "a", "b", f"g{rng.randrange(40)}", None]),
+            rng.choice([0.5, 0.25, -0.0, 0.0, rng.random(), None, float("nan")]),
+            rng.choice([f"i{rng.randrange(300):03d}", None, "ß", "z"])
+        )
+        for _ in range(3000)
+    ]
     rows += rows[:100]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "grp string, sc double, item string, bucket int, rank_no int").repartition(5)
     got = top_n(df, "grp", "sc", "item", n, buckets=3)
@@ -66,6 +73,13 @@ def test_one_block_per_run_in_memory(monkeypatch):
 
 
 def test_entity_alerts(spark):
-    alerts = spark.createDataFrame([("w1", "a1", 0.5), ("w1", "a1", 0.5), ("w2", "a2", None), ("w2", "a3", float("nan")), ("t", "a4", 0.9), (None, "a5", 1.0)], "node_id string, alert_id string, final_score double")
-    entities = spark.createDataFrame([("w1", "e", 0.1), ("w1", "e", 0.2), ("w2", "e", 1.0), ("t", None, 1.0)], "wallet_id string, entity_id string, conf double")
-    assert {tuple(r) for r in top_n(entity_alerts(alerts, entities), "entity_id", "final_score", "alert_id", 3).collect()} == {("e", 1, 0.5, "a1")}
+    alerts = spark.createDataFrame(
+        [("w1", "a1", 0.5), ("w1", "a1", 0.5), ("w2", "a2", None), ("w2", "a3", float("nan")), ("t", "a4", 0.9), (None, "a5", 1.0)],
+        "node_id string, alert_id string, final_score double"
+    )
+    entities = spark.createDataFrame(
+        [("w1", "e", 0.1), ("w1", "e", 0.2), ("w2", "e", 1.0), ("t", None, 1.0)], "wallet_id string, entity_id string, conf double"
+    )
+    assert {
+        tuple(r) for r in top_n(entity_alerts(alerts, entities), "entity_id", "final_score", "alert_id", 3).collect()
+    } == {("e", 1, 0.5, "a1")}
