@@ -20,14 +20,24 @@ def once(transactions: DataFrame) -> DataFrame:
 def _paired(addresses: str, amounts: str) -> Column:
     """(pos, w, a) of each address; the shorter of both lists ends it, null addresses are left out, null amounts are 0."""
     n = F.least(F.size(addresses), F.size(amounts))
-    zipped = F.transform(F.slice(F.arrays_zip(F.col(addresses).alias("w"), F.col(amounts).alias("a")), F.lit(1), n), lambda x, i: F.struct(i.cast("bigint").alias("pos"), x["w"].alias("w"), F.coalesce(x["a"], F.lit(0.0)).alias("a")))
-    return F.when(F.col(addresses).isNull() | F.col(amounts).isNull(), F.array().cast("array<struct<pos:bigint,w:string,a:double>>")).otherwise(F.filter(zipped, lambda x: x["w"].isNotNull()))
+    zipped = F.transform(
+        F.slice(F.arrays_zip(F.col(addresses).alias("w"), F.col(amounts).alias("a")), F.lit(1), n),
+        lambda x, i: F.struct(i.cast("bigint").alias("pos"), x["w"].alias("w"), F.coalesce(x["a"], F.lit(0.0)).alias("a"))
+    )
+    return F.when(
+        F.col(addresses).isNull() | F.col(amounts).isNull(), F.array().cast("array<struct<pos:bigint,w:string,a:double>>")
+    ).otherwise(F.filter(zipped, lambda x: x["w"].isNotNull()))
 
 
 def flows(ledger: DataFrame) -> DataFrame:
     """One row per transaction: txid, row_index, at_us, src_ip, src_port, asn, geo_country, ins and outs."""
     keep = [c for c in ("txid", "row_index", "src_ip", "src_port", "asn", "geo_country") if c in ledger.columns]
-    return ledger.select(*keep, F.unix_micros("timestamp").alias("at_us"), _paired("input_addresses", "input_amounts").alias("ins"), _paired("output_addresses", "output_amounts").alias("outs"))
+    return ledger.select(
+        *keep,
+        F.unix_micros("timestamp").alias("at_us"),
+        _paired("input_addresses", "input_amounts").alias("ins"),
+        _paired("output_addresses", "output_amounts").alias("outs")
+    )
 
 
 def wallets_of(side: str) -> Column:
@@ -41,7 +51,11 @@ def modal_count(side: str, digits: int) -> Column:
     run = F.aggregate(
         rounded,
         F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda s, x: F.struct(x.alias("v"), F.when(s["v"] == x, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["best"], F.when(s["v"] == x, s["n"] + 1).otherwise(1)).alias("best")),
+        lambda s, x: F.struct(
+            x.alias("v"),
+            F.when(s["v"] == x, s["n"] + 1).otherwise(1).alias("n"),
+            F.greatest(s["best"], F.when(s["v"] == x, s["n"] + 1).otherwise(1)).alias("best")
+        ),
     )
     return run["best"]
 
@@ -78,11 +92,17 @@ def average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = No
     counts = scratch.write(counts.repartitionByRange(*by, column).withColumn("_p", F.spark_partition_id()), "counts")
     ranges = counts.groupBy(*by, "_p").agg(F.sum("_m").alias("_t"))
     prior = Window.partitionBy(*by).orderBy("_p")
-    ranges = ranges.select(*by, "_p", (F.sum("_t").over(prior) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    ranges = ranges.select(
+        *by, "_p", (F.sum("_t").over(prior) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n")
+    )
     upto = F.sum("_m").over(Window.partitionBy(*by, "_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
     same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
     placed = counts.withColumn("_upto", upto).alias("l").join(F.broadcast(ranges).alias("r"), same([*by, "_p"]))
-    ranks = placed.select(*(F.col(f"l.{c}") for c in [*by, column]), ((F.col("_before") + F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out), (F.col("_m") * HOT > F.col("_n")).alias("_hot"))
+    ranks = placed.select(
+        *(F.col(f"l.{c}") for c in [*by, column]),
+        ((F.col("_before") + F.col("_upto") - (F.col("_m") - 1) / 2) / F.col("_n")).alias(out),
+        (F.col("_m") * HOT > F.col("_n")).alias("_hot")
+    )
     ranks = scratch.write(ranks, "ranks")
     hot, cold = ranks.where("_hot"), ranks.where("not _hot")
     ranked = lambda part, right: part.alias("l").join(right.alias("r"), same([*by, column])).select("l.*", F.col(f"r.{out}"))

@@ -67,7 +67,15 @@ def features(t: Tables) -> None:
 
 def embed(t: Tables, protect_multiwallet: bool = False, least_probability: str = "0", drop_broadcasters: bool = False) -> None:
     """Pass 2 of entity resolution over the tables of pass 1. Without this stage those stay as they are."""
-    out = pipeline.second_pass(t.read("nodes"), t.read("edges_pass1"), t.read("features"), t.read("entities_pass1"), protect_multiwallet, float(least_probability), drop_broadcasters)
+    out = pipeline.second_pass(
+        t.read("nodes"),
+        t.read("edges_pass1"),
+        t.read("features"),
+        t.read("entities_pass1"),
+        protect_multiwallet,
+        float(least_probability),
+        drop_broadcasters
+    )
     for name, table in (("entities", "entities"), ("er_pass2_log", "log"), ("edges", "edges")):
         t.write(name, out[table])
 
@@ -79,7 +87,9 @@ def detect(t: Tables, anomaly: str = "reconstruction") -> None:
     t.write("scores_risk", rk.risk_rows(rk.combine_risk(rk.ownership_risk(links, seeds), rk.flow_taint(f, seeds))))
     table = t.read("features")
     columns = [c for c in table.columns if c.startswith("f_")]
-    rows = mo.isolation_scores(table, columns) if anomaly == "isolation" else mo.anomaly_rows(mo.anomaly_scores(mo.reconstruction_errors(table, columns)))
+    rows = mo.isolation_scores(table, columns) if anomaly == "isolation" else mo.anomaly_rows(
+        mo.anomaly_scores(mo.reconstruction_errors(table, columns))
+    )
     t.write("scores_anomaly", rows.select("node_id", "score", "reason_code", "evidence_json"))
 
 
@@ -103,7 +113,9 @@ def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "",
     elif mode == "model":
         scored, threshold = fu.apply_blend(table, load_blend(t.spark, model)), 0.0
     else:
-        labels = t.read("truth").select(F.col("wallet_id").alias("node_id"), F.col("entity_type").isin(synth.ILLICIT).cast("int").alias("label"))
+        labels = t.read("truth").select(
+            F.col("wallet_id").alias("node_id"), F.col("entity_type").isin(synth.ILLICIT).cast("int").alias("label")
+        )
         fitted = fu.fit_blend(table, labels)
         if fitted and model:
             save_blend(t.spark, fitted, model)
@@ -115,13 +127,22 @@ def fuse(t: Tables, mode: str = "rank", top_k: int = fu.TOP_K, model: str = "",
 
 
 def evaluate(t: Tables) -> None:
-    t.write("quality", pipeline.quality(t.read("transactions"), {"entities": t.read("truth"), "patterns": t.read("patterns"), "seeds": t.read("seeds")}, anomaly=t.read("scores_anomaly").select("node_id", "score")))
+    t.write(
+        "quality",
+        pipeline.quality(
+            t.read("transactions"),
+            {"entities": t.read("truth"), "patterns": t.read("patterns"), "seeds": t.read("seeds")},
+            anomaly=t.read("scores_anomaly").select("node_id", "score")
+        )
+    )
 
 
 def ablation(t: Tables) -> None:
     """The long table as Parquet, and one line per noise level and condition as CSV, a column per metric."""
     t.write("ablation", pipeline.ablation(t.spark))
-    wide = t.read("ablation").groupBy("noise_level", "ip_noise", "condition").pivot("metric").agg(F.first("value")).orderBy("ip_noise", "condition")
+    wide = t.read("ablation").groupBy(
+        "noise_level", "ip_noise", "condition"
+    ).pivot("metric").agg(F.first("value")).orderBy("ip_noise", "condition")
     wide.coalesce(1).write.mode("overwrite").csv(f"{t.folder}/ablation.csv", header=True)
 
 
@@ -138,7 +159,9 @@ def everything(t: Tables) -> None:
         stage(t)
 
 
-STAGES = {f.__name__: f for f in (generate, ingest, graph, resolve, features, embed, detect, fuse, evaluate, ablation)} | {"all": everything}
+STAGES = {
+    f.__name__: f for f in (generate, ingest, graph, resolve, features, embed, detect, fuse, evaluate, ablation)
+} | {"all": everything}
 
 
 def main(args: list[str] | None = None) -> None:

@@ -35,10 +35,17 @@ def topology(edges: DataFrame) -> DataFrame:
 def motifs(flows: DataFrame) -> DataFrame:
     """CoinJoin-like rounds and change back to a sender: a flag per transaction, a count per sending wallet."""
     back = F.arrays_overlap(wallets_of("ins"), wallets_of("outs"))
-    flags = flows.select("txid", wallets_of("ins").alias("w"), coinjoin_like().cast("double").alias("c"), F.coalesce(back, F.lit(False)).cast("double").alias("s"))
+    flags = flows.select(
+        "txid",
+        wallets_of("ins").alias("w"),
+        coinjoin_like().cast("double").alias("c"),
+        F.coalesce(back, F.lit(False)).cast("double").alias("s")
+    )
     tx = flags.select(F.col("txid").alias("node_id"), "c", "s")
     senders = flags.where("c > 0 or s > 0").select(F.explode("w").alias("node_id"), "c", "s")
-    return tx.unionByName(senders).groupBy("node_id").agg(F.sum("c").alias("f_motif_coinjoin_like"), F.sum("s").alias("f_motif_self_change"))
+    return tx.unionByName(senders).groupBy("node_id").agg(
+        F.sum("c").alias("f_motif_coinjoin_like"), F.sum("s").alias("f_motif_self_change")
+    )
 
 
 def activity(flows: DataFrame) -> DataFrame:
@@ -57,16 +64,46 @@ def timing(sent: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """
     rows = sent.where("at_us is not null").withColumn("chunk", F.expr(f"at_us div {chunk_seconds * 1_000_000}"))
     order = Window.partitionBy("wallet_id", "chunk").orderBy("at_us", "row_index")
-    gaps = rows.withColumn("gap", (F.col("at_us") - F.lag("at_us").over(order)) / 1e6).withColumn("hop", (F.col("geo_country") != F.lag("geo_country").over(order)).cast("int"))
+    gaps = rows.withColumn("gap", (F.col("at_us") - F.lag("at_us").over(order)) / 1e6).withColumn(
+        "hop", (F.col("geo_country") != F.lag("geo_country").over(order)).cast("int")
+    )
     end = F.struct("at_us", "row_index", "geo_country")
-    parts = gaps.groupBy("wallet_id", "chunk").agg(F.count("*").alias("n"), F.count("gap").alias("m"), F.avg("gap").alias("mean"), (F.var_pop("gap") * F.count("gap")).alias("sq"), F.coalesce(F.sum("hop"), F.lit(0)).alias("hops"), F.min(end).alias("first"), F.max(end).alias("last"))
+    parts = gaps.groupBy("wallet_id", "chunk").agg(
+        F.count("*").alias("n"),
+        F.count("gap").alias("m"),
+        F.avg("gap").alias("mean"),
+        (F.var_pop("gap") * F.count("gap")).alias("sq"),
+        F.coalesce(F.sum("hop"), F.lit(0)).alias("hops"),
+        F.min(end).alias("first"),
+        F.max(end).alias("last")
+    )
     before = F.lag("last").over(Window.partitionBy("wallet_id").orderBy("chunk"))
     parts = parts.withColumn("before", before).withColumn("over", (F.col("first.at_us") - F.col("before.at_us")) / 1e6)
-    bits = parts.select("wallet_id", "n", (F.col("hops") + F.coalesce((F.col("first.geo_country") != F.col("before.geo_country")).cast("int"), F.lit(0))).alias("hops"), F.array(F.struct("m", "mean", "sq"), F.struct(F.col("over").isNotNull().cast("bigint").alias("m"), F.col("over").alias("mean"), F.lit(0.0).alias("sq"))).alias("bits"))
-    flat = bits.select("wallet_id", "n", "hops", F.posexplode("bits").alias("k", "b")).select("wallet_id", F.when(F.col("k") == 0, F.col("n")).otherwise(0).alias("n"), F.when(F.col("k") == 0, F.col("hops")).otherwise(0).alias("hops"), "b.m", F.coalesce("b.mean", F.lit(0.0)).alias("mean"), F.coalesce("b.sq", F.lit(0.0)).alias("sq"))
+    bits = parts.select(
+        "wallet_id",
+        "n",
+        (F.col("hops") + F.coalesce((F.col("first.geo_country") != F.col("before.geo_country")).cast("int"), F.lit(0))).alias("hops"),
+        F.array(
+            F.struct("m", "mean", "sq"),
+            F.struct(F.col("over").isNotNull().cast("bigint").alias("m"), F.col("over").alias("mean"), F.lit(0.0).alias("sq"))
+        ).alias("bits")
+    )
+    flat = bits.select("wallet_id", "n", "hops", F.posexplode("bits").alias("k", "b")).select(
+        "wallet_id",
+        F.when(F.col("k") == 0, F.col("n")).otherwise(0).alias("n"),
+        F.when(F.col("k") == 0, F.col("hops")).otherwise(0).alias("hops"),
+        "b.m",
+        F.coalesce("b.mean", F.lit(0.0)).alias("mean"),
+        F.coalesce("b.sq", F.lit(0.0)).alias("sq")
+    )
     whole = Window.partitionBy("wallet_id")
     mean = flat.withColumn("all", F.sum(F.col("m") * F.col("mean")).over(whole) / F.nullif(F.sum("m").over(whole), F.lit(0)))
-    g = mean.groupBy("wallet_id").agg(F.sum("n").alias("n"), F.sum("hops").alias("hops"), F.max("all").alias("mean"), F.sqrt(F.sum(F.col("sq") + F.col("m") * F.pow(F.col("mean") - F.col("all"), 2)) / F.nullif(F.sum("m"), F.lit(0))).alias("std"))
+    g = mean.groupBy("wallet_id").agg(
+        F.sum("n").alias("n"),
+        F.sum("hops").alias("hops"),
+        F.max("all").alias("mean"),
+        F.sqrt(F.sum(F.col("sq") + F.col("m") * F.pow(F.col("mean") - F.col("all"), 2)) / F.nullif(F.sum("m"), F.lit(0))).alias("std")
+    )
     ips = rows.groupBy("wallet_id").agg(F.countDistinct("src_ip").alias("ips"), F.count("src_ip").alias("with_ip"))
     g = g.join(ips, "wallet_id")
     many = F.col("n") >= 2

@@ -194,20 +194,30 @@ def hdbscan(vectors: DataFrame, group: str, item: str, vector: str, least: int =
     linear in the group only for the last merge and the condensed tree.
     """
     scratch = Scratch(vectors.sparkSession, "hdbscan")
-    some = vectors.where(F.col(vector).isNotNull()).select(group, item, F.col(vector).cast("array<double>").alias("_x"), F.to_json(F.struct(F.col(group).alias("g"))).alias("_g"))
+    some = vectors.where(F.col(vector).isNotNull()).select(
+        group, item, F.col(vector).cast("array<double>").alias("_x"), F.to_json(F.struct(F.col(group).alias("g"))).alias("_g")
+    )
     rows = scratch.write(numbered_rows(some, [F.col("_g"), F.col(item)], scratch, "_n"), "rows")
-    sizes = scratch.write(rows.groupBy("_g").agg(F.min("_n").alias("_from"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks")), "sizes")
+    sizes = scratch.write(
+        rows.groupBy("_g").agg(F.min("_n").alias("_from"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks")), "sizes"
+    )
     rounds = (sizes.agg(F.max("_blocks")).first()[0] or 1) - 1
-    placed = rows.select("_g", "_n", "_x").join(sizes, "_g").withColumn("_i", F.floor((F.col("_n") - F.col("_from")) / F.lit(block)).cast("int"))
+    placed = rows.select("_g", "_n", "_x").join(sizes, "_g").withColumn(
+        "_i", F.floor((F.col("_n") - F.col("_from")) / F.lit(block)).cast("int")
+    )
 
     def pairs(df: DataFrame):
         each = df.withColumn("_j", F.explode(F.expr("sequence(0, _blocks - 1)"))).withColumn("_right", F.col("_i") > F.col("_j"))
-        return each.withColumns({"_i": F.least("_i", "_j"), "_j": F.greatest("_i", "_j")}).select("_g", "_i", "_j", "_n", "_right", *(c for c in df.columns if c in ("_x", "_core"))).groupBy("_g", "_i", "_j")
+        return each.withColumns({"_i": F.least("_i", "_j"), "_j": F.greatest("_i", "_j")}).select(
+            "_g", "_i", "_j", "_n", "_right", *(c for c in df.columns if c in ("_x", "_core"))
+        ).groupBy("_g", "_i", "_j")
 
     def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         table = table.sort_by([("_right", "ascending"), ("_n", "ascending")])
         x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        left = 0 if table["_i"][0].as_py() == table["_j"][0].as_py() else len(table) - int(table["_right"].to_numpy(zero_copy_only=False).sum())
+        left = 0 if table["_i"][0].as_py() == table["_j"][0].as_py() else len(table) - int(
+            table["_right"].to_numpy(zero_copy_only=False).sum()
+        )
         core = table["_core"].to_numpy(zero_copy_only=False) if "_core" in table.column_names else np.zeros(0)
         return x, core, table["_n"].to_numpy(zero_copy_only=False), left
 
@@ -215,7 +225,9 @@ def hdbscan(vectors: DataFrame, group: str, item: str, vector: str, least: int =
         x, _, n, left = halves(table)
         parts = [(x[:left], x[left:], n[:left]), (x[left:], x[:left], n[left:])] if left else [(x, x, n)]
         near = [(names, nearest_distances(a, b, least)) for a, b, names in parts]
-        return pa.table({"_n": np.concatenate([np.repeat(m, d.shape[1]) for m, d in near]), "d": np.concatenate([d.ravel() for _, d in near])})
+        return pa.table(
+            {"_n": np.concatenate([np.repeat(m, d.shape[1]) for m, d in near]), "d": np.concatenate([d.ravel() for _, d in near])}
+        )
 
     def tree(table: pa.Table) -> pa.Table:
         x, core, n, left = halves(table)
@@ -236,10 +248,14 @@ def hdbscan(vectors: DataFrame, group: str, item: str, vector: str, least: int =
         return pa.table({"_n": names, "label": pa.array(label, pa.int32()), "prob": prob})
 
     near = pairs(placed).applyInArrow(nearest, "_n bigint, d double")
-    core = near.groupBy("_n").agg(F.slice(F.array_sort(F.collect_list("d")), 1, least).alias("d")).select("_n", F.element_at("d", -1).alias("_core"))
+    core = near.groupBy("_n").agg(
+        F.slice(F.array_sort(F.collect_list("d")), 1, least).alias("d")
+    ).select("_n", F.element_at("d", -1).alias("_core"))
     ddl = "_g string, _i int, _j int, a bigint, b bigint, d double"
     trees = scratch.write(pairs(scratch.write(placed.join(core, "_n"), "core")).applyInArrow(tree, ddl), "trees")
     for _ in range(rounds.bit_length()):
         trees = trees.withColumns({c: F.shiftright(c, 1) for c in ("_i", "_j")}).groupBy("_g", "_i", "_j").applyInArrow(merged, ddl)
     found = trees.groupBy("_g").applyInArrow(labels, "_n bigint, label int, prob double")
-    return rows.join(found, "_n", "left").select(group, item, F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+    return rows.join(found, "_n", "left").select(
+        group, item, F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob")
+    )

@@ -51,17 +51,23 @@ def linked_components(pairs: DataFrame, a: str, b: str, task_pairs: int = TASK_P
     limit to the number of rounds: each brings every value nearer to its smallest one.
     """
     scratch = Scratch(pairs.sparkSession, "linked")
-    clean = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("string").alias("u"), F.least(a, b).cast("string").alias("v")).distinct()
+    clean = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
+        F.greatest(a, b).cast("string").alias("u"), F.least(a, b).cast("string").alias("v")
+    ).distinct()
     edges = scratch.write(clean, "edges0")
     before = _signature(edges)
     if 0 < before[0] <= task_pairs:
-        return scratch.write(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_in_one_task, "member string, root string"), "roots")
+        return scratch.write(
+            edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_in_one_task, "member string, root string"), "roots"
+        )
     for k in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v")).distinct()
+        small = large.join(down, "u").where("v != m").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(down.withColumnRenamed("m", "v")).distinct()
         edges = scratch.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"edges{k}")
         after = _signature(edges)
         scratch.drop(f"edges{k - 1}")

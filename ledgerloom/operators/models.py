@@ -36,13 +36,19 @@ def standardized(features: DataFrame, columns: list[str], by: str = "node_type")
     """features with every column as its z-score within a type (population deviation, 1 where there is none)."""
     stats = features.groupBy(by).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
     joined = features.join(F.broadcast(stats), by)
-    return joined.withColumns({c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") <= 1e-8, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}).drop(*(f"{p}_{c}" for p in "ms" for c in columns))
+    return joined.withColumns(
+        {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") <= 1e-8, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
+    ).drop(*(f"{p}_{c}" for p in "ms" for c in columns))
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
     """(relation, src, dst): every edge and its reverse; an edge between wallets has one symmetric relation."""
     same = F.col("edge_type").isin("CO_SPEND", "SAME_ENTITY")
-    back = edges.select(F.when(same, F.col("edge_type")).otherwise(F.concat(F.lit("rev_"), "edge_type")).alias("relation"), F.col("target").alias("src"), F.col("source").alias("dst"))
+    back = edges.select(
+        F.when(same, F.col("edge_type")).otherwise(F.concat(F.lit("rev_"), "edge_type")).alias("relation"),
+        F.col("target").alias("src"),
+        F.col("source").alias("dst")
+    )
     return edges.select(F.col("edge_type").alias("relation"), F.col("source").alias("src"), F.col("target").alias("dst")).unionByName(back)
 
 
@@ -86,7 +92,9 @@ class Projection:
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                     y = np.tanh(x @ w)
                     offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["node_id", "embedding"])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["node_id", "embedding"]
+                    )
 
         return df.select("node_id", "x").mapInArrow(run, "node_id string, embedding array<double>")
 
@@ -142,15 +150,24 @@ def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, mo
     with the gradient written out. It stands in for an encoder with learned message weights: here the
     messages are means and only the projection is learned.
     """
-    some = bounded_sample(edges.select("relation", "src", "dst") if "relation" in edges.columns else edges.select("src", "dst"), [c for c in ("relation", "src", "dst") if c in edges.columns], most_edges, seed)
-    ends = some.join(features.select(F.col("node_id").alias("src"), F.col("x").alias("xs")), "src").join(features.select(F.col("node_id").alias("dst"), F.col("x").alias("xd")), "dst").select("src", "dst", "xs", "xd").toArrow()
+    some = bounded_sample(
+        edges.select("relation", "src", "dst") if "relation" in edges.columns else edges.select("src", "dst"),
+        [c for c in ("relation", "src", "dst") if c in edges.columns],
+        most_edges,
+        seed
+    )
+    ends = some.join(
+        features.select(F.col("node_id").alias("src"), F.col("x").alias("xs")), "src"
+    ).join(features.select(F.col("node_id").alias("dst"), F.col("x").alias("xd")), "dst").select("src", "dst", "xs", "xd").toArrow()
     rng = np.random.default_rng(seed)
     if not len(ends):
         width = len(features.first()["x"])
         return Projection(rng.normal(0, 1 / math.sqrt(width), (width, DIMENSIONS)))
     a, b = (ends[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ends), -1) for c in ("xs", "xd"))
     pool = bounded_sample(features.select("node_id", "x"), ["node_id"], most_edges, seed).toArrow()
-    drawn, names = pool["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pool), -1), np.array(pool["node_id"].to_pylist(), object)
+    drawn, names = pool["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pool), -1), np.array(
+        pool["node_id"].to_pylist(), object
+    )
     src, true = np.array(ends["src"].to_pylist(), object), set(zip(ends["src"].to_pylist(), ends["dst"].to_pylist()))
     w = rng.normal(0, 1 / math.sqrt(a.shape[1]), (a.shape[1], DIMENSIONS))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -183,9 +200,14 @@ def reconstruction_errors(features: DataFrame, columns: list[str], rank: int = D
                 for kind in set(kinds.tolist()):
                     sums[kind] = sums.get(kind, 0) + x[kinds == kind].T @ x[kinds == kind]
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=["node_type", "m"])
-
-    parts = z.select("node_type", "x").mapInArrow(moments, "node_type string, m array<double>").select("node_type", F.posexplode("m").alias("i", "v"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums)), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))],
+                names=["node_type", "m"]
+            )
+
+    parts = z.select("node_type", "x").mapInArrow(moments, "node_type string, m array<double>").select(
+        "node_type", F.posexplode("m").alias("i", "v")
+    )
     bases, found = {}, {}
     for r in parts.groupBy("node_type", "i").agg(F.sum("v").alias("v")).collect():
         found.setdefault(r["node_type"], np.zeros(width * width))[r["i"]] = r["v"]
@@ -207,13 +229,25 @@ def reconstruction_errors(features: DataFrame, columns: list[str], rank: int = D
 
 def anomaly_scores(errors: DataFrame) -> DataFrame:
     """errors with z_score within its type (0 where all are equal) and score, its sigmoid."""
-    s = errors.groupBy("node_type").agg(F.avg("raw_error").alias("population_mean_error"), F.stddev_pop("raw_error").alias("population_std_error"))
-    df = errors.join(F.broadcast(s), "node_type").withColumn("z_score", F.when(F.col("population_std_error") <= 1e-8, 0.0).otherwise((F.col("raw_error") - F.col("population_mean_error")) / F.col("population_std_error")))
+    s = errors.groupBy("node_type").agg(
+        F.avg("raw_error").alias("population_mean_error"), F.stddev_pop("raw_error").alias("population_std_error")
+    )
+    df = errors.join(F.broadcast(s), "node_type").withColumn(
+        "z_score",
+        F.when(F.col("population_std_error") <= 1e-8, 0.0).otherwise(
+            (F.col("raw_error") - F.col("population_mean_error")) / F.col("population_std_error")
+        )
+    )
     return df.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z_score"))))
 
 
 def anomaly_rows(scores: DataFrame) -> DataFrame:
-    return scores.select("node_id", "score", F.concat(F.lit("ANOMALY_ZSCORE="), F.format_string("%.2f", "z_score")).alias("reason_code"), F.to_json(F.struct("node_type", "raw_error", "z_score")).alias("evidence_json"))
+    return scores.select(
+        "node_id",
+        "score",
+        F.concat(F.lit("ANOMALY_ZSCORE="), F.format_string("%.2f", "z_score")).alias("reason_code"),
+        F.to_json(F.struct("node_type", "raw_error", "z_score")).alias("evidence_json")
+    )
 
 
 # --- isolation forest -----------------------------------------------------------------------------------------------
@@ -228,9 +262,13 @@ def robust_z(df: DataFrame, columns: list[str], by: str = "node_type") -> DataFr
     0. Medians are the lower ones, exact at every size."""
     med = group_medians(df, by, columns).select(by, *(F.col(c).alias(f"m_{c}") for c in columns))
     off = df.join(F.broadcast(med), by)
-    mad = group_medians(off.select(by, *(F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns)), by, columns).select(by, *(F.col(c).alias(f"d_{c}") for c in columns))
+    mad = group_medians(
+        off.select(by, *(F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns)), by, columns
+    ).select(by, *(F.col(c).alias(f"d_{c}") for c in columns))
     z = off.join(F.broadcast(mad), by)
-    return z.withColumns({f"z_{c}": F.when(F.col(f"d_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / (1.4826 * F.col(f"d_{c}"))).otherwise(0.0) for c in columns}).drop(*(f"{p}_{c}" for p in "md" for c in columns))
+    return z.withColumns(
+        {f"z_{c}": F.when(F.col(f"d_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / (1.4826 * F.col(f"d_{c}"))).otherwise(0.0) for c in columns}
+    ).drop(*(f"{p}_{c}" for p in "md" for c in columns))
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, float, int, int, float]]:
@@ -281,7 +319,9 @@ def _depths(x: np.ndarray, forest: list[np.ndarray]) -> np.ndarray:
     return total / len(forest)
 
 
-def isolation_scores(features: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("Wallet", "Transaction"), trees: int = TREES) -> DataFrame:
+def isolation_scores(
+    features: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("Wallet", "Transaction"), trees: int = TREES
+) -> DataFrame:
     """(node_id, node_type, score, evidence_json, reason_code): how isolated a node is among its type, as a percentile.
 
     Trees are grown on samples of TREE_ROWS rows out of a bounded pool; each of three forests ranks all nodes, and the
@@ -293,14 +333,18 @@ def isolation_scores(features: DataFrame, columns: list[str], kinds: tuple[str,
     for row in df.groupBy("node_type").agg(F.count("*").alias("n"), *(F.stddev_pop(c).alias(c) for c in columns)).collect():
         usable = [i for i, c in enumerate(columns) if row[c] and row[c] > 0]
         if row["n"] >= LEAST_NODES and usable:
-            pool = bounded_sample(df.where(F.col("node_type") == row["node_type"]), ["node_id"], FIT_ROWS).select(*columns).toPandas().to_numpy(float)
+            pool = bounded_sample(
+                df.where(F.col("node_type") == row["node_type"]), ["node_id"], FIT_ROWS
+            ).select(*columns).toPandas().to_numpy(float)
             forests[row["node_type"]] = (usable, [_forest(pool[:, usable], s, trees) for s in FOREST_SEEDS])
     ddl = "node_id string, node_type string, " + ", ".join(f"d{i} double" for i in range(len(FOREST_SEEDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds_ = np.array(b.column(1).to_pylist())
-            x = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]) if b.num_rows else np.zeros((0, len(columns)))
+            x = np.column_stack(
+                [b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
+            ) if b.num_rows else np.zeros((0, len(columns)))
             keep = np.isin(kinds_, list(forests))
             depth = np.zeros((len(FOREST_SEEDS), b.num_rows))
             for kind in set(kinds_[keep].tolist()):
@@ -309,15 +353,50 @@ def isolation_scores(features: DataFrame, columns: list[str], kinds: tuple[str,
                 for i, forest in enumerate(some):
                     depth[i, at] = -_depths(x[at][:, usable], forest)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), *(pa.array(d[keep]) for d in depth)], names=["node_id", "node_type", *(f"d{i}" for i in range(len(FOREST_SEEDS)))])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).filter(mask), b.column(1).filter(mask), *(pa.array(d[keep]) for d in depth)],
+                names=["node_id", "node_type", *(f"d{i}" for i in range(len(FOREST_SEEDS)))]
+            )
 
     # all forests are ranked together, each within itself
-    depths = df.mapInArrow(run, ddl).select("node_id", "node_type", F.posexplode(F.array(*(F.col(f"d{i}") for i in range(len(FOREST_SEEDS))))).alias("forest", "depth"))
-    scored = average_rank(depths, "depth", "place", ["node_type", "forest"]).groupBy("node_id", "node_type").agg((F.sum("place") / len(FOREST_SEEDS)).alias("score"))
-    z = robust_z(df, columns).select("node_id", "node_type", F.slice(F.sort_array(F.array(*(F.struct(F.abs(F.col(f"z_{c}")).alias("a"), F.lit(c).alias("feature"), F.round(f"z_{c}", 2).alias("z")) for c in columns)), False), 1, TOP_FEATURES).alias("top"))
+    depths = df.mapInArrow(run, ddl).select(
+        "node_id", "node_type", F.posexplode(F.array(*(F.col(f"d{i}") for i in range(len(FOREST_SEEDS))))).alias("forest", "depth")
+    )
+    scored = average_rank(depths, "depth", "place", ["node_type", "forest"]).groupBy("node_id", "node_type").agg(
+        (F.sum("place") / len(FOREST_SEEDS)).alias("score")
+    )
+    z = robust_z(df, columns).select(
+        "node_id",
+        "node_type",
+        F.slice(
+            F.sort_array(
+                F.array(
+                    *(
+                        F.struct(F.abs(F.col(f"z_{c}")).alias("a"), F.lit(c).alias("feature"), F.round(f"z_{c}", 2).alias("z"))
+                        for c in columns
+                    )
+                ),
+                False
+            ),
+            1,
+            TOP_FEATURES
+        ).alias("top")
+    )
     out = scored.join(z, ["node_id", "node_type"])
-    evidence = F.to_json(F.struct("node_type", F.round("score", 4).alias("percentile"), F.map_from_entries(F.transform("top", lambda t: F.struct(t["feature"], t["z"]))).alias("top_deviating_features")))
-    return out.select("node_id", "node_type", "score", F.concat(F.lit("IFOREST_PCTL="), F.format_string("%.2f", "score")).alias("reason_code"), evidence.alias("evidence_json"))
+    evidence = F.to_json(
+        F.struct(
+            "node_type",
+            F.round("score", 4).alias("percentile"),
+            F.map_from_entries(F.transform("top", lambda t: F.struct(t["feature"], t["z"]))).alias("top_deviating_features")
+        )
+    )
+    return out.select(
+        "node_id",
+        "node_type",
+        "score",
+        F.concat(F.lit("IFOREST_PCTL="), F.format_string("%.2f", "score")).alias("reason_code"),
+        evidence.alias("evidence_json")
+    )
 
 
 # --- time and attention ---------------------------------------------------------------------------------------------
@@ -327,7 +406,11 @@ def normalized_times(edges: DataFrame) -> DataFrame:
     """(src, dst, t) of BROADCAST_VIA edges, t between 0 and 1 over the covered span, which counts as a second at least."""
     e = edges.where("edge_type = 'BROADCAST_VIA' and at_us is not null")
     span = e.agg(F.min("at_us").alias("lo"), F.max("at_us").alias("hi"))
-    return e.crossJoin(F.broadcast(span)).select(F.col("source").alias("src"), F.col("target").alias("dst"), ((F.col("at_us") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1_000_000))).alias("t"))
+    return e.crossJoin(F.broadcast(span)).select(
+        F.col("source").alias("src"),
+        F.col("target").alias("dst"),
+        ((F.col("at_us") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1_000_000))).alias("t")
+    )
 
 
 def time_vector(t: Column, weights: list[float], offsets: list[float]) -> Column:
@@ -335,7 +418,9 @@ def time_vector(t: Column, weights: list[float], offsets: list[float]) -> Column
     return F.array(F.lit(weights[0]) * t + F.lit(offsets[0]), *(F.sin(F.lit(w) * t + F.lit(b)) for w, b in zip(weights[1:], offsets[1:])))
 
 
-def attention_layer(nodes: DataFrame, relations: DataFrame, left: np.ndarray, right: np.ndarray, score: np.ndarray, heads: int = 2) -> tuple[DataFrame, DataFrame]:
+def attention_layer(
+    nodes: DataFrame, relations: DataFrame, left: np.ndarray, right: np.ndarray, score: np.ndarray, heads: int = 2
+) -> tuple[DataFrame, DataFrame]:
     """One attention layer over typed edges: (node_id, x) of the new vectors, (relation, src, dst, weight) of the edges.
 
     An edge's raw weight is score . leaky(left x_src + right x_dst) per head; weights are a softmax over the edges that
@@ -349,11 +434,19 @@ def attention_layer(nodes: DataFrame, relations: DataFrame, left: np.ndarray, ri
             for b in batches:
                 if b.num_rows:
                     y = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ w
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))], names=["node_id", name])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                        ],
+                        names=["node_id", name]
+                    )
 
         return df.select("node_id", "x").mapInArrow(run, f"node_id string, {name} array<double>")
 
-    e = relations.join(project(nodes, left, "l").withColumnRenamed("node_id", "src"), "src").join(project(nodes, right, "r").withColumnRenamed("node_id", "dst"), "dst")
+    e = relations.join(project(nodes, left, "l").withColumnRenamed("node_id", "src"), "src").join(
+        project(nodes, right, "r").withColumnRenamed("node_id", "dst"), "dst"
+    )
     leaky = F.zip_with("l", "r", lambda a, b: F.when(a + b > 0, a + b).otherwise(0.2 * (a + b)))
     e = e.withColumn("q", leaky)
     for h in range(heads):
@@ -386,6 +479,8 @@ def attention_evidence(targets: DataFrame, outer: DataFrame, inner: DataFrame, t
     first = best(outer.join(targets.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi"))
     second = best(inner.join(first.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
     near = first.select(F.col("dst").alias("node_id"), F.col("src").alias("near"), "weight")
-    far = first.select(F.col("dst").alias("node_id"), F.col("src").alias("dst")).join(second, "dst").select("node_id", F.col("src").alias("near"), "weight")
+    far = first.select(
+        F.col("dst").alias("node_id"), F.col("src").alias("dst")
+    ).join(second, "dst").select("node_id", F.col("src").alias("near"), "weight")
     one = near.unionByName(far).where("near != node_id").groupBy("node_id", "near").agg(F.max("weight").alias("weight"))
     return one.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("weight", F.col("near").alias("node_id")))).alias("neighbors"))

@@ -16,8 +16,12 @@ def numbered_rows(df: DataFrame, by: list[Column], scratch: Scratch, name: str,
     """
     rows = scratch.write(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), label)
     part = F.shiftright("_m", 33)
-    offsets = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).selectExpr("_p", "coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0) as _before")
-    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).cast("bigint")).drop("_m", "_p", "_before")
+    offsets = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).selectExpr(
+        "_p", "coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0) as _before"
+    )
+    return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(
+        name, (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).cast("bigint")
+    ).drop("_m", "_p", "_before")
 
 
 def group_medians(df: DataFrame, by: str, columns: list[str], accuracy: int = 10_000) -> DataFrame:
@@ -31,9 +35,23 @@ def group_medians(df: DataFrame, by: str, columns: list[str], accuracy: int = 10
     clean = df.select(by, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
     bracket = clean.groupBy(by).agg(*(F.percentile_approx(c, [0.5 - around, 0.5 + around], accuracy).alias(f"b_{c}") for c in columns))
     near = clean.join(F.broadcast(bracket), by)
-    below = near.groupBy(by).agg(*(F.struct(F.count(c).alias("n"), F.count_if(F.col(c) < F.col(f"b_{c}")[0]).alias("below")).alias(f"s_{c}") for c in columns))
-    below = below.select(by, F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"s_{c}.n").alias("n"), F.col(f"s_{c}.below").alias("below")) for c in columns))))
-    inside = F.array(*(F.struct(F.lit(c).alias("name"), F.when(F.col(c).between(F.col(f"b_{c}")[0], F.col(f"b_{c}")[1]), F.col(c)).alias("v")) for c in columns))
+    below = near.groupBy(by).agg(
+        *(F.struct(F.count(c).alias("n"), F.count_if(F.col(c) < F.col(f"b_{c}")[0]).alias("below")).alias(f"s_{c}") for c in columns)
+    )
+    below = below.select(
+        by,
+        F.inline(
+            F.array(
+                *(F.struct(F.lit(c).alias("name"), F.col(f"s_{c}.n").alias("n"), F.col(f"s_{c}.below").alias("below")) for c in columns)
+            )
+        )
+    )
+    inside = F.array(
+        *(
+            F.struct(F.lit(c).alias("name"), F.when(F.col(c).between(F.col(f"b_{c}")[0], F.col(f"b_{c}")[1]), F.col(c)).alias("v"))
+            for c in columns
+        )
+    )
     counts = near.select(by, F.inline(F.filter(inside, lambda x: x["v"].isNotNull()))).groupBy(by, "name", "v").agg(F.count("*").alias("m"))
     upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(by, "name").orderBy("v"))).join(F.broadcast(below), [by, "name"])
     reached = upto.where(2 * (F.col("below") + F.col("upto")) >= F.col("n"))

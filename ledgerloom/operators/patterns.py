@@ -21,8 +21,18 @@ def peel_hops(flows: DataFrame) -> DataFrame:
     least DOMINANCE of their value to one other wallet, less than the first input brought."""
     top = F.array_max(F.transform("outs", lambda x: F.struct(x["a"].alias("a"), (-x["pos"]).alias("p"), x["w"].alias("w"))))
     total = F.aggregate("outs", F.lit(0.0), lambda s, x: s + x["a"])
-    df = flows.where("size(outs) >= 2").where(F.size(wallets_of("ins")) == 1).select("txid", "row_index", F.get("ins", 0)["w"].alias("source"), F.get("ins", 0)["a"].alias("source_amount"), top["w"].alias("target"), top["a"].alias("carried"), total.alias("total"))
-    good = (F.col("total") > 0) & (F.col("target") != F.col("source")) & (F.col("carried") / F.nullif("total", F.lit(0.0)) >= DOMINANCE) & (F.col("carried") < F.col("source_amount"))
+    df = flows.where("size(outs) >= 2").where(F.size(wallets_of("ins")) == 1).select(
+        "txid",
+        "row_index",
+        F.get("ins", 0)["w"].alias("source"),
+        F.get("ins", 0)["a"].alias("source_amount"),
+        top["w"].alias("target"),
+        top["a"].alias("carried"),
+        total.alias("total")
+    )
+    good = (F.col("total") > 0) & (F.col("target") != F.col("source")) & (
+        F.col("carried") / F.nullif("total", F.lit(0.0)) >= DOMINANCE
+    ) & (F.col("carried") < F.col("source_amount"))
     return df.where(good).withColumn("share", F.col("carried") / F.col("total")).drop("total")
 
 
@@ -33,14 +43,29 @@ def next_hops(hops: DataFrame) -> DataFrame:
     together: a wallet with many hops costs a sort, not a product. Equal distances: the earlier row.
     """
     first = hops.groupBy("source", "source_amount").agg(F.min(F.struct("row_index", "txid")).alias("f"))
-    have = first.select(F.col("source").alias("w"), F.col("source_amount").alias("x"), F.struct(F.col("source_amount").alias("x"), "f.row_index", F.col("f.txid").alias("txid")).alias("hop"), F.lit(None).cast("string").alias("ask"))
-    ask = hops.select(F.col("target").alias("w"), F.col("carried").alias("x"), F.lit(None).cast(have.schema["hop"].dataType).alias("hop"), F.col("txid").alias("ask"))
+    have = first.select(
+        F.col("source").alias("w"),
+        F.col("source_amount").alias("x"),
+        F.struct(F.col("source_amount").alias("x"), "f.row_index", F.col("f.txid").alias("txid")).alias("hop"),
+        F.lit(None).cast("string").alias("ask")
+    )
+    ask = hops.select(
+        F.col("target").alias("w"),
+        F.col("carried").alias("x"),
+        F.lit(None).cast(have.schema["hop"].dataType).alias("hop"),
+        F.col("txid").alias("ask")
+    )
     rows = have.unionByName(ask)
     below = Window.partitionBy("w").orderBy("x", F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.partitionBy("w").orderBy(F.desc("x"), F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumns({"b": F.last("hop", True).over(below), "a": F.last("hop", True).over(above)}).where("ask is not null")
-    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["x"] - F.col("x")).alias("d"), F.col(c)["row_index"].alias("r"), F.col(c)["txid"].alias("t")))
-    return near.select(F.col("ask").alias("txid"), "x", F.least(option("a"), option("b")).alias("n")).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("x")).select("txid", F.col("n.t").alias("next"))
+    option = lambda c: F.when(
+        F.col(c).isNotNull(),
+        F.struct(F.abs(F.col(c)["x"] - F.col("x")).alias("d"), F.col(c)["row_index"].alias("r"), F.col(c)["txid"].alias("t"))
+    )
+    return near.select(
+        F.col("ask").alias("txid"), "x", F.least(option("a"), option("b")).alias("n")
+    ).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("x")).select("txid", F.col("n.t").alias("next"))
 
 
 def peel_walks(hops: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,20 +78,41 @@ def peel_walks(hops: DataFrame, scratch: Scratch) -> DataFrame:
     hops = scratch.write(hops, "hops")
     step = next_hops(hops)
     own = F.struct("txid", F.col("target").alias("to"), "share")
-    live = scratch.write(hops.join(step, "txid", "left").select("txid", F.array(own).alias("path"), F.col("next").alias("tail"), F.lit(False).alias("loops")), "paths0")
+    live = scratch.write(
+        hops.join(step, "txid", "left").select(
+            "txid", F.array(own).alias("path"), F.col("next").alias("tail"), F.lit(False).alias("loops")
+        ),
+        "paths0"
+    )
     for k in count(1):
-        on = live.select(F.col("txid").alias("tail"), F.col("path").alias("more"), F.col("tail").alias("beyond"), F.col("loops").alias("on_loops"))
+        on = live.select(
+            F.col("txid").alias("tail"), F.col("path").alias("more"), F.col("tail").alias("beyond"), F.col("loops").alias("on_loops")
+        )
         grown = F.concat("path", F.coalesce("more", F.array().cast(live.schema["path"].dataType)))
         ids = lambda c: F.transform(c, lambda x: x["txid"])
         loops = F.coalesce(F.col("loops") | F.col("on_loops") | F.arrays_overlap(ids("path"), ids("more")), F.col("loops"))
         both = live.join(on, "tail", "left").withColumn("l", loops)
-        live = scratch.write(both.select("txid", F.when(F.col("l"), F.slice("path", 1, 1)).otherwise(grown).alias("path"), F.when(~F.col("l"), F.col("beyond")).alias("tail"), F.col("l").alias("loops")), f"paths{k}")
+        live = scratch.write(
+            both.select(
+                "txid",
+                F.when(F.col("l"), F.slice("path", 1, 1)).otherwise(grown).alias("path"),
+                F.when(~F.col("l"), F.col("beyond")).alias("tail"),
+                F.col("l").alias("loops")
+            ),
+            f"paths{k}"
+        )
         scratch.drop(f"paths{k - 1}")
         if live.where("tail is not null").isEmpty():
             break
     starts = live.join(hops.select("txid", "source", "row_index"), "txid")
     part = lambda name: F.transform("path", lambda x: x[name])
-    done = starts.where("not loops").select("source", "row_index", part("txid").alias("txids"), F.concat(F.array("source"), part("to")).alias("wallets"), part("share").alias("shares"))
+    done = starts.where("not loops").select(
+        "source",
+        "row_index",
+        part("txid").alias("txids"),
+        F.concat(F.array("source"), part("to")).alias("wallets"),
+        part("share").alias("shares")
+    )
     rest = starts.where("loops").select("txid")
     return done if rest.isEmpty() else done.unionByName(_stepwise_walks(hops, rest, scratch))
 
@@ -76,18 +122,46 @@ def _stepwise_walks(hops: DataFrame, starts: DataFrame, scratch: Scratch) -> Dat
     already, the next nearest unused hop of the wallet is looked up."""
     step = scratch.write(next_hops(hops), "next")
     info = hops.select(F.col("txid").alias("next"), F.col("target").alias("to"), F.col("carried").alias("c"), F.col("share").alias("s"))
-    live = hops.join(starts, "txid", "left_semi").select("source", "row_index", F.array("txid").alias("txids"), F.array("source", "target").alias("wallets"), F.array("share").alias("shares"), F.col("txid").alias("tail"), F.col("target").alias("head"), "carried")
+    live = hops.join(starts, "txid", "left_semi").select(
+        "source",
+        "row_index",
+        F.array("txid").alias("txids"),
+        F.array("source", "target").alias("wallets"),
+        F.array("share").alias("shares"),
+        F.col("txid").alias("tail"),
+        F.col("target").alias("head"),
+        "carried"
+    )
     live = scratch.write(live, "walk0")
     done = None
     for k in count(1):
         at = live.join(step.withColumnRenamed("txid", "tail"), "tail", "left")
         used = F.coalesce(F.array_contains("txids", F.col("next")), F.lit(False))
         at = scratch.write(at.withColumn("looped", used), f"step{k}")
-        again = at.where("looped").drop("next").join(hops.select(F.col("source").alias("head"), F.col("txid").alias("other"), F.col("source_amount").alias("oa"), F.col("row_index").alias("orow")), "head").where(~F.array_contains("txids", F.col("other")))
-        nearest = again.groupBy("txids").agg(F.min(F.struct(F.abs(F.col("oa") - F.col("carried")).alias("d"), "orow", "other", "carried")).alias("n")).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("n.carried")).select("txids", F.col("n.other").alias("found"))
+        again = at.where("looped").drop("next").join(
+            hops.select(
+                F.col("source").alias("head"),
+                F.col("txid").alias("other"),
+                F.col("source_amount").alias("oa"),
+                F.col("row_index").alias("orow")
+            ),
+            "head"
+        ).where(~F.array_contains("txids", F.col("other")))
+        nearest = again.groupBy("txids").agg(
+            F.min(F.struct(F.abs(F.col("oa") - F.col("carried")).alias("d"), "orow", "other", "carried")).alias("n")
+        ).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("n.carried")).select("txids", F.col("n.other").alias("found"))
         at = at.join(nearest, "txids", "left").withColumn("next", F.when(F.col("looped"), F.col("found")).otherwise(F.col("next")))
         ended = at.where("next is null").select("source", "row_index", "txids", "wallets", "shares")
-        onward = at.where("next is not null").join(info, "next").select("source", "row_index", F.array_append("txids", F.col("next")).alias("txids"), F.array_append("wallets", F.col("to")).alias("wallets"), F.array_append("shares", F.col("s")).alias("shares"), F.col("next").alias("tail"), F.col("to").alias("head"), F.col("c").alias("carried"))
+        onward = at.where("next is not null").join(info, "next").select(
+            "source",
+            "row_index",
+            F.array_append("txids", F.col("next")).alias("txids"),
+            F.array_append("wallets", F.col("to")).alias("wallets"),
+            F.array_append("shares", F.col("s")).alias("shares"),
+            F.col("next").alias("tail"),
+            F.col("to").alias("head"),
+            F.col("c").alias("carried")
+        )
         ended = scratch.write(ended, f"ended{k}")
         done = ended if done is None else done.unionByName(ended)
         live = scratch.write(onward, f"walk{k}")
@@ -106,8 +180,16 @@ def peeling_chains(flows: DataFrame) -> DataFrame:
     """
     scratch = Scratch(flows.sparkSession, "peeling")
     walks = peel_walks(peel_hops(flows), scratch)
-    best = walks.groupBy("source").agg(F.min("row_index").alias("start"), F.min(F.struct((-F.size("txids")).alias("n"), "row_index", "txids", "wallets", "shares")).alias("b"))
-    left = best.where(-F.col("b.n") >= LEAST_HOPS).select(F.struct("b.n", "start", "source").alias("key"), F.col("b.txids").alias("txids"), F.col("b.wallets").alias("wallets"), F.col("b.shares").alias("shares"))
+    best = walks.groupBy("source").agg(
+        F.min("row_index").alias("start"),
+        F.min(F.struct((-F.size("txids")).alias("n"), "row_index", "txids", "wallets", "shares")).alias("b")
+    )
+    left = best.where(-F.col("b.n") >= LEAST_HOPS).select(
+        F.struct("b.n", "start", "source").alias("key"),
+        F.col("b.txids").alias("txids"),
+        F.col("b.wallets").alias("wallets"),
+        F.col("b.shares").alias("shares")
+    )
     left = scratch.write(left, "left0")
     taken = None
     k = 0
@@ -123,12 +205,20 @@ def peeling_chains(flows: DataFrame) -> DataFrame:
     if taken is None:
         taken = left
     mean = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x) / F.size("shares")
-    return taken.select(F.concat(F.lit("peel_det_"), F.col("key.source")).alias("chain_id"), F.size("txids").cast("bigint").alias("hop_count"), "wallets", "txids", mean.alias("confidence"))
+    return taken.select(
+        F.concat(F.lit("peel_det_"), F.col("key.source")).alias("chain_id"),
+        F.size("txids").cast("bigint").alias("hop_count"),
+        "wallets",
+        "txids",
+        mean.alias("confidence")
+    )
 
 
 def wallet_degrees(flows: DataFrame) -> DataFrame:
     """(w, degree): entries of input and output lists that name the wallet."""
-    return flows.select(F.explode(F.transform(F.concat("ins", "outs"), lambda x: x["w"])).alias("w")).groupBy("w").agg(F.count("*").alias("degree"))
+    return flows.select(
+        F.explode(F.transform(F.concat("ins", "outs"), lambda x: x["w"])).alias("w")
+    ).groupBy("w").agg(F.count("*").alias("degree"))
 
 
 def service_wallets(flows: DataFrame) -> DataFrame:
@@ -140,33 +230,67 @@ def service_wallets(flows: DataFrame) -> DataFrame:
 def chain_scores(chains: DataFrame, flows: DataFrame) -> DataFrame:
     """chains with swept_fraction, service_source and score: peeled outputs that are later swept together raise a chain,
     a source of extreme activity halves it."""
-    sweeps = flows.where((F.size(wallets_of("ins")) >= SWEEP_INPUTS) & ~coinjoin_like()).select(F.explode(wallets_of("ins")).alias("w")).distinct()
-    hop = chains.select("chain_id", F.explode(F.arrays_zip("txids", F.slice("wallets", F.lit(2), F.size("txids")).alias("to"))).alias("h")).select("chain_id", F.col("h.txids").alias("txid"), F.col("h.to").alias("to"))
-    peels = hop.join(flows.select("txid", "outs"), "txid").select("chain_id", "to", F.explode(F.transform("outs", lambda x: x["w"])).alias("w")).where("w != to")
-    swept = peels.join(sweeps.withColumn("swept", F.lit(1)), "w", "left").groupBy("chain_id").agg(F.avg(F.coalesce("swept", F.lit(0))).alias("swept_fraction"))
+    sweeps = flows.where(
+        (F.size(wallets_of("ins")) >= SWEEP_INPUTS) & ~coinjoin_like()
+    ).select(F.explode(wallets_of("ins")).alias("w")).distinct()
+    hop = chains.select(
+        "chain_id", F.explode(F.arrays_zip("txids", F.slice("wallets", F.lit(2), F.size("txids")).alias("to"))).alias("h")
+    ).select("chain_id", F.col("h.txids").alias("txid"), F.col("h.to").alias("to"))
+    peels = hop.join(flows.select("txid", "outs"), "txid").select(
+        "chain_id", "to", F.explode(F.transform("outs", lambda x: x["w"])).alias("w")
+    ).where("w != to")
+    swept = peels.join(sweeps.withColumn("swept", F.lit(1)), "w", "left").groupBy("chain_id").agg(
+        F.avg(F.coalesce("swept", F.lit(0))).alias("swept_fraction")
+    )
     service = service_wallets(flows).withColumn("service_source", F.lit(True))
     df = chains.join(swept, "chain_id", "left").withColumn("w", F.get("wallets", 0)).join(service, "w", "left").drop("w")
-    df = df.withColumns({"swept_fraction": F.coalesce("swept_fraction", F.lit(0.0)), "service_source": F.coalesce("service_source", F.lit(False))})
-    return df.withColumn("score", F.col("confidence") * (0.5 + 0.5 * F.col("swept_fraction")) * F.when(F.col("service_source"), SERVICE_FACTOR).otherwise(1.0))
+    df = df.withColumns(
+        {"swept_fraction": F.coalesce("swept_fraction", F.lit(0.0)), "service_source": F.coalesce("service_source", F.lit(False))}
+    )
+    return df.withColumn(
+        "score",
+        F.col("confidence") * (0.5 + 0.5 * F.col("swept_fraction")) * F.when(F.col("service_source"), SERVICE_FACTOR).otherwise(1.0)
+    )
 
 
 def chain_rows(scored: DataFrame) -> DataFrame:
     """Score rows of every wallet and transaction of each chain, repeated ones kept."""
-    evidence = F.to_json(F.struct("chain_id", "hop_count", "txids", "wallets", F.round("swept_fraction", 3).alias("swept_fraction"), "service_source"))
-    return scored.select(F.explode(F.concat("wallets", "txids")).alias("node_id"), "score", F.concat(F.lit("PEEL_CHAIN_HOPS="), "hop_count").alias("reason_code"), evidence.alias("evidence_json"))
+    evidence = F.to_json(
+        F.struct("chain_id", "hop_count", "txids", "wallets", F.round("swept_fraction", 3).alias("swept_fraction"), "service_source")
+    )
+    return scored.select(
+        F.explode(F.concat("wallets", "txids")).alias("node_id"),
+        "score",
+        F.concat(F.lit("PEEL_CHAIN_HOPS="), "hop_count").alias("reason_code"),
+        evidence.alias("evidence_json")
+    )
 
 
 def coinjoin_rounds(flows: DataFrame) -> DataFrame:
     """(txid, participant_count, denomination, fraction, input_wallets, output_wallets); of equally common amounts, at
     six digits, the one that comes first."""
     rounds = flows.where(coinjoin_like())
-    amounts = rounds.select("txid", F.explode("outs").alias("x")).groupBy("txid", F.round("x.a", 6).alias("v")).agg(F.count("*").alias("n"), F.min("x.pos").alias("p"))
+    amounts = rounds.select("txid", F.explode("outs").alias("x")).groupBy("txid", F.round("x.a", 6).alias("v")).agg(
+        F.count("*").alias("n"), F.min("x.pos").alias("p")
+    )
     modal = amounts.groupBy("txid").agg(F.max(F.struct("n", (-F.col("p")).alias("p"), "v")).alias("m"))
-    return rounds.join(modal, "txid").select("txid", F.size(wallets_of("ins")).cast("bigint").alias("participant_count"), F.col("m.v").alias("denomination"), (F.col("m.n") / F.size("outs")).alias("fraction"), wallets_of("ins").alias("input_wallets"), F.transform("outs", lambda x: x["w"]).alias("output_wallets"))
+    return rounds.join(modal, "txid").select(
+        "txid",
+        F.size(wallets_of("ins")).cast("bigint").alias("participant_count"),
+        F.col("m.v").alias("denomination"),
+        (F.col("m.n") / F.size("outs")).alias("fraction"),
+        wallets_of("ins").alias("input_wallets"),
+        F.transform("outs", lambda x: x["w"]).alias("output_wallets")
+    )
 
 
 def round_rows(rounds: DataFrame, factor: float = 0.5) -> DataFrame:
     """Score rows of every node of each round, each once."""
     evidence = F.to_json(F.struct("txid", "participant_count", "denomination", "input_wallets", "output_wallets"))
     nodes = F.array_distinct(F.concat(F.array("txid"), "input_wallets", "output_wallets"))
-    return rounds.select(F.explode(nodes).alias("node_id"), (F.col("fraction") * factor).alias("score"), F.concat(F.lit("COINJOIN_ROUND_N="), "participant_count").alias("reason_code"), evidence.alias("evidence_json"))
+    return rounds.select(
+        F.explode(nodes).alias("node_id"),
+        (F.col("fraction") * factor).alias("score"),
+        F.concat(F.lit("COINJOIN_ROUND_N="), "participant_count").alias("reason_code"),
+        evidence.alias("evidence_json")
+    )

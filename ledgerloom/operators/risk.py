@@ -35,12 +35,32 @@ def seed_distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     scratch = Scratch(links.sparkSession, "distance")
     both = scratch.write(_both(links), "both")
-    front = scratch.write(seeds.select(F.col("node_id")).distinct().select("node_id", F.lit(0).cast("bigint").alias("seed_distance"), F.col("node_id").alias("nearest_seed"), F.array("node_id").alias("path")), "hop0")
+    front = scratch.write(
+        seeds.select(F.col("node_id"))
+        .distinct()
+        .select(
+            "node_id",
+            F.lit(0).cast("bigint").alias("seed_distance"),
+            F.col("node_id").alias("nearest_seed"),
+            F.array("node_id").alias("path")
+        ),
+        "hop0"
+    )
     last, reached = front, front
     for k in count(1):
-        sent = front.select(F.col("node_id").alias("a"), "nearest_seed", "path").join(both, "a").groupBy(F.col("b").alias("node_id")).agg(F.min(F.struct("nearest_seed", F.col("a").alias("p"), "path")).alias("m"))
+        sent = front.select(F.col("node_id").alias("a"), "nearest_seed", "path").join(both, "a").groupBy(F.col("b").alias("node_id")).agg(
+            F.min(F.struct("nearest_seed", F.col("a").alias("p"), "path")).alias("m")
+        )
         new = sent.join(last.select("node_id"), "node_id", "left_anti")
-        before, front = front, scratch.write(new.select("node_id", F.lit(k).cast("bigint").alias("seed_distance"), F.col("m.nearest_seed").alias("nearest_seed"), F.array_append("m.path", F.col("node_id")).alias("path")), f"hop{k}")
+        before, front = front, scratch.write(
+            new.select(
+                "node_id",
+                F.lit(k).cast("bigint").alias("seed_distance"),
+                F.col("m.nearest_seed").alias("nearest_seed"),
+                F.array_append("m.path", F.col("node_id")).alias("path")
+            ),
+            f"hop{k}"
+        )
         if front.isEmpty():
             return reached
         last = before.unionByName(front)
@@ -74,19 +94,33 @@ def _rank_by_joins(edges: DataFrame, seeds: DataFrame, damping: float, scratch:
     """The same by a round of joins per step; the change shrinks by the damping each time, so that it ends."""
     both = scratch.write(_both(edges), "big")
     degree = scratch.write(both.groupBy(F.col("a").alias("node_id")).agg(F.count("*").alias("d")), "degree")
-    base = degree.join(seeds.select("node_id").distinct().withColumn("s", F.lit(1.0)), "node_id", "left").select("node_id", "d", F.coalesce("s", F.lit(0.0)).alias("s"))
+    base = degree.join(
+        seeds.select("node_id").distinct().withColumn("s", F.lit(1.0)), "node_id", "left"
+    ).select("node_id", "d", F.coalesce("s", F.lit(0.0)).alias("s"))
     x = scratch.write(base.withColumn("rank", F.col("s")), "x0")
     k, change = 0, 1.0
     while change > TOLERANCE:
         k += 1
-        sent = both.join(x.select(F.col("node_id").alias("a"), (F.col("rank") / F.col("d")).alias("r")), "a").groupBy(F.col("b").alias("node_id")).agg(F.sum("r").alias("r"))
-        x = scratch.write(base.join(sent, "node_id", "left").withColumn("rank", F.lit(1 - damping) * F.col("s") + F.lit(damping) * F.coalesce("r", F.lit(0.0))).drop("r").join(x.select("node_id", F.col("rank").alias("old")), "node_id").withColumn("change", F.abs(F.col("rank") - F.col("old"))).drop("old"), f"x{k}")
+        sent = both.join(
+            x.select(F.col("node_id").alias("a"), (F.col("rank") / F.col("d")).alias("r")), "a"
+        ).groupBy(F.col("b").alias("node_id")).agg(F.sum("r").alias("r"))
+        x = scratch.write(
+            base.join(sent, "node_id", "left")
+            .withColumn("rank", F.lit(1 - damping) * F.col("s") + F.lit(damping) * F.coalesce("r", F.lit(0.0)))
+            .drop("r")
+            .join(x.select("node_id", F.col("rank").alias("old")), "node_id")
+            .withColumn("change", F.abs(F.col("rank") - F.col("old")))
+            .drop("old"),
+            f"x{k}"
+        )
         change = x.agg(F.max("change")).first()[0]
         scratch.drop(f"x{k - 1}")
     return x.select("node_id", "rank")
 
 
-def personal_ranks(links: DataFrame, seeds: DataFrame, near: DataFrame, damping: float = DAMPING, task_edges: int = TASK_EDGES) -> DataFrame:
+def personal_ranks(
+    links: DataFrame, seeds: DataFrame, near: DataFrame, damping: float = DAMPING, task_edges: int = TASK_EDGES
+) -> DataFrame:
     """(node_id, rank): PageRank that restarts at the seeds, in the components that hold one, up to a common factor.
 
     near are the seed_distances: they name the nodes of these components, and links between nodes of different seeds say
@@ -100,7 +134,12 @@ def personal_ranks(links: DataFrame, seeds: DataFrame, near: DataFrame, damping:
     reached = scratch.write(links.join(at("a", "s"), "a").join(at("b", "t"), "b"), "reached")
     roots = linked_components(reached.where("s != t").select("s", "t").distinct(), "s", "t")
     edges = reached.join(roots.withColumnRenamed("member", "s"), "s", "left").select("a", "b", F.coalesce("root", "s").alias("root"))
-    edges = scratch.write(edges.join(seeds.select(F.col("node_id").alias("a"), F.col("node_id").alias("sa")).distinct(), "a", "left").join(seeds.select(F.col("node_id").alias("b"), F.col("node_id").alias("sb")).distinct(), "b", "left"), "edges")
+    edges = scratch.write(
+        edges.join(
+            seeds.select(F.col("node_id").alias("a"), F.col("node_id").alias("sa")).distinct(), "a", "left"
+        ).join(seeds.select(F.col("node_id").alias("b"), F.col("node_id").alias("sb")).distinct(), "b", "left"),
+        "edges"
+    )
     size = edges.groupBy("root").agg(F.count("*").alias("n"))
     fits = size.where(F.col("n") <= task_edges).select("root")
     fit = edges.join(fits, "root", "left_semi")
@@ -127,13 +166,17 @@ def ownership_risk(links: DataFrame, seeds: DataFrame, damping: float = DAMPING)
     raw = F.when(F.col("rank").isNull(), 1.0).otherwise(F.col("rank") / F.col("top") * F.pow(F.lit(HOP_DECAY), F.col("seed_distance")))
     scored = scratch.write(linked.withColumn("raw", raw).select("node_id", "raw", "seed_distance", "nearest_seed", "path"), "raw")
     best = scored.agg(F.max("raw").alias("best"))
-    return scored.crossJoin(F.broadcast(best)).select("node_id", (F.col("raw") / F.col("best")).alias("score"), "seed_distance", "nearest_seed", "path")
+    return scored.crossJoin(F.broadcast(best)).select(
+        "node_id", (F.col("raw") / F.col("best")).alias("score"), "seed_distance", "nearest_seed", "path"
+    )
 
 
 def flow_order(flows: DataFrame, scratch: Scratch) -> DataFrame:
     """The transactions that bring value in, with their place `seq` in the order of time and txid; those without a time come last."""
     when = [F.col("at_us").isNull(), F.col("at_us"), F.col("txid")]
-    base = flows.select("txid", "at_us", "ins", "outs", coinjoin_like().alias("cj"), F.aggregate("ins", F.lit(0.0), lambda s, x: s + x["a"]).alias("total")).where("total > 0")
+    base = flows.select(
+        "txid", "at_us", "ins", "outs", coinjoin_like().alias("cj"), F.aggregate("ins", F.lit(0.0), lambda s, x: s + x["a"]).alias("total")
+    ).where("total > 0")
     return numbered_rows(base, when, scratch, "seq")
 
 
@@ -153,10 +196,20 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     scratch = Scratch(flows.sparkSession, "taint")
     tx = scratch.write(flow_order(flows, scratch), "tx")
     service = scratch.write(service_wallets(flows).withColumn("service", F.lit(True)), "service")
-    spent = tx.select("txid", "seq", "cj", "total", F.explode("ins").alias("x")).select("txid", "seq", "cj", "total", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.col("x.a").alias("a"))
+    spent = tx.select("txid", "seq", "cj", "total", F.explode("ins").alias("x")).select(
+        "txid", "seq", "cj", "total", F.col("x.pos").alias("pos"), F.col("x.w").alias("w"), F.col("x.a").alias("a")
+    )
     spent = scratch.write(spent.join(service, "w", "left").where("service is null").drop("service"), "spent")
     none = lambda kind: F.lit(None).cast(kind)
-    start = seeds.select(F.col("node_id").alias("w")).distinct().select("w", F.lit(-1).cast("bigint").alias("seq"), F.lit(1.0).alias("t"), F.lit(0).cast("bigint").alias("h"), none("string").alias("via"), none("string").alias("src"), F.lit(-1).alias("round"))
+    start = seeds.select(F.col("node_id").alias("w")).distinct().select(
+        "w",
+        F.lit(-1).cast("bigint").alias("seq"),
+        F.lit(1.0).alias("t"),
+        F.lit(0).cast("bigint").alias("h"),
+        none("string").alias("via"),
+        none("string").alias("src"),
+        F.lit(-1).alias("round")
+    )
     raises = delta = scratch.write(start, "start")
     hits = None
     earlier = Window.partitionBy("w").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
@@ -165,16 +218,46 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
         touched = spent.join(since, "w").where("seq > since").select("txid").distinct()
         asks = scratch.write(spent.join(touched, "txid", "left_semi"), f"asks{k}")
         known = _latest(raises.join(asks.select("w").distinct(), "w", "left_semi"), ["w", "seq"]).where("t is not null")
-        rows = known.select("w", "seq", F.struct("t", (-F.col("seq")).alias("n"), "h").alias("e"), none("string").alias("txid"), none("boolean").alias("cj"), none("double").alias("total"), none("bigint").alias("pos"), none("double").alias("a"))
-        rows = rows.unionByName(asks.select("w", "seq", none("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a"))
+        rows = known.select(
+            "w",
+            "seq",
+            F.struct("t", (-F.col("seq")).alias("n"), "h").alias("e"),
+            none("string").alias("txid"),
+            none("boolean").alias("cj"),
+            none("double").alias("total"),
+            none("bigint").alias("pos"),
+            none("double").alias("a")
+        )
+        rows = rows.unionByName(
+            asks.select("w", "seq", none("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a")
+        )
         best = rows.withColumn("b", F.max("e").over(earlier)).where("txid is not null and b is not null")
-        part = best.select("txid", "seq", "cj", "total", F.struct(F.col("b.t").alias("t"), (-F.col("pos")).alias("p"), F.col("b.h").alias("h"), F.col("w").alias("src")).alias("m"), (F.col("a") * F.col("b.t")).alias("value"), none("struct<round:int,t:double,h:bigint,src:string>").alias("old"))
+        part = best.select(
+            "txid",
+            "seq",
+            "cj",
+            "total",
+            F.struct(F.col("b.t").alias("t"), (-F.col("pos")).alias("p"), F.col("b.h").alias("h"), F.col("w").alias("src")).alias("m"),
+            (F.col("a") * F.col("b.t")).alias("value"),
+            none("struct<round:int,t:double,h:bigint,src:string>").alias("old")
+        )
         if hits is not None:  # what these transactions had before comes along
-            old = hits.join(touched, "txid", "left_semi").select("txid", F.struct("round", F.round("t", 12).alias("t"), "h", "src").alias("old"))
+            old = hits.join(touched, "txid", "left_semi").select(
+                "txid", F.struct("round", F.round("t", 12).alias("t"), "h", "src").alias("old")
+            )
             part = part.unionByName(old, allowMissingColumns=True)
         lead = part.groupBy("txid").agg(*(F.max(c).alias(c) for c in ("seq", "cj", "total", "m", "old")), F.sum("value").alias("value"))
         value = F.when(F.col("cj"), F.lit(FLOW_DECAY) * F.col("value") / F.col("total")).otherwise(F.lit(FLOW_DECAY) * F.col("m.t"))
-        hit = lead.where("m is not null").select("txid", "seq", "cj", value.alias("t"), (F.col("m.h") + 1).alias("h"), F.col("m.src").alias("src"), F.lit(k).alias("round"), "old")
+        hit = lead.where("m is not null").select(
+            "txid",
+            "seq",
+            "cj",
+            value.alias("t"),
+            (F.col("m.h") + 1).alias("h"),
+            F.col("m.src").alias("src"),
+            F.lit(k).alias("round"),
+            "old"
+        )
         same = (F.round("t", 12) == F.col("old.t")) & (F.col("h") == F.col("old.h")) & (F.col("src") == F.col("old.src"))
         hit = hit.where(~F.coalesce(same, F.lit(False))).drop("old")
         hit = scratch.write(hit, f"hit{k}")
@@ -182,24 +265,58 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
         if hit.isEmpty():
             break
         hits = hit if hits is None else hits.unionByName(hit)
-        co = spent.join(hit.where("not cj").select("txid", "t", "h", "src"), "txid").select("w", "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(0).alias("o"))
+        co = spent.join(hit.where("not cj").select("txid", "t", "h", "src"), "txid").select(
+            "w", "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(0).alias("o")
+        )
         # an output that is not reached any more gets an entry without a taint
         reached = (F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)
-        out = tx.select("txid", "outs").join(hit.withColumn("t", F.when(reached, F.col("t"))), "txid").select(F.explode(F.transform("outs", lambda x: x["w"])).alias("w"), "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(1).alias("o"))
+        out = tx.select("txid", "outs").join(hit.withColumn("t", F.when(reached, F.col("t"))), "txid").select(
+            F.explode(F.transform("outs", lambda x: x["w"])).alias("w"),
+            "seq",
+            "t",
+            "h",
+            F.col("txid").alias("via"),
+            "src",
+            F.lit(1).alias("o")
+        )
         # within a transaction a co-spend comes before an output of the same taint
-        merged = co.unionByName(out).groupBy("w", "seq").agg(F.max(F.struct("t", (-F.col("o")).alias("o"), "h", "via", "src")).alias("m")).select("w", "seq", "m.t", "m.h", "m.via", "m.src", F.lit(k).alias("round"))
+        merged = co.unionByName(out).groupBy("w", "seq").agg(
+            F.max(F.struct("t", (-F.col("o")).alias("o"), "h", "via", "src")).alias("m")
+        ).select("w", "seq", "m.t", "m.h", "m.via", "m.src", F.lit(k).alias("round"))
         delta = scratch.write(merged, f"raises{k}")
         raises = raises.unionByName(delta)
     final = _latest(raises, ["w", "seq"]).where("t is not null")
-    top = scratch.write(final.groupBy("w").agg(F.max(F.struct("t", (-F.col("seq")).alias("n"), "h", "via", "src")).alias("m")).select(F.col("w").alias("node_id"), F.col("m.t").alias("score"), F.col("m.h").alias("seed_distance"), F.col("m.via").alias("via"), F.col("m.src").alias("src")), "wallets")
+    top = scratch.write(
+        final.groupBy("w")
+        .agg(F.max(F.struct("t", (-F.col("seq")).alias("n"), "h", "via", "src")).alias("m"))
+        .select(
+            F.col("w").alias("node_id"),
+            F.col("m.t").alias("score"),
+            F.col("m.h").alias("seed_distance"),
+            F.col("m.via").alias("via"),
+            F.col("m.src").alias("src")
+        ),
+        "wallets"
+    )
     walls = _trace(top, scratch)
     named = walls.select("node_id", "score", "seed_distance", "path")
     if hits is not None:
         ways = walls.select(F.col("node_id").alias("src"), F.col("path").alias("way"))
-        txs = _latest(hits, ["txid"]).where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)).join(ways, "src").select(F.col("txid").alias("node_id"), F.col("t").alias("score"), F.col("h").alias("seed_distance"), F.array_append("way", F.col("txid")).alias("path"))
+        txs = _latest(hits, ["txid"]).where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)).join(ways, "src").select(
+            F.col("txid").alias("node_id"),
+            F.col("t").alias("score"),
+            F.col("h").alias("seed_distance"),
+            F.array_append("way", F.col("txid")).alias("path")
+        )
         named = named.unionByName(txs)
     known = seeds.select(F.col("node_id").alias("first"), F.lit(True).alias("is_seed")).distinct()
-    return named.withColumn("first", F.get("path", 0)).join(known, "first", "left").select("node_id", "score", "seed_distance", F.when(F.col("is_seed"), F.col("first")).otherwise(F.col("node_id")).alias("nearest_seed"), "path")
+    return named.withColumn("first", F.get("path", 0)).join(known, "first", "left").select(
+        "node_id",
+        "score",
+        "seed_distance",
+        F.when(F.col("is_seed"), F.col("first")).otherwise(F.col("node_id")).alias("nearest_seed"),
+        "path"
+    )
 
 
 def _latest(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -213,7 +330,13 @@ def _trace(top: DataFrame, scratch: Scratch, guard: int = 4 * FLOW_HOPS) -> Data
     parents = top.where("via is not null").select(F.col("node_id").alias("at"), F.col("via").alias("p_via"), F.col("src").alias("p_src"))
     live = top.select("node_id", "score", "seed_distance", F.array("node_id").alias("path"), F.col("node_id").alias("at"))
     for k in range(guard):
-        stepped = live.join(parents, "at", "left").select("node_id", "score", "seed_distance", F.when(F.col("p_src").isNull(), F.col("path")).otherwise(F.concat(F.array("p_src", "p_via"), "path")).alias("path"), F.col("p_src").alias("at"))
+        stepped = live.join(parents, "at", "left").select(
+            "node_id",
+            "score",
+            "seed_distance",
+            F.when(F.col("p_src").isNull(), F.col("path")).otherwise(F.concat(F.array("p_src", "p_via"), "path")).alias("path"),
+            F.col("p_src").alias("at")
+        )
         live = scratch.write(stepped, f"trace{k}")
         if live.where("at is not null").isEmpty():
             break
@@ -223,8 +346,15 @@ def _trace(top: DataFrame, scratch: Scratch, guard: int = 4 * FLOW_HOPS) -> Data
 def combine_risk(ownership: DataFrame, flow: DataFrame) -> DataFrame:
     """Per node the stronger of both signals; of equal ones ownership."""
     both = ownership.withColumn("o", F.lit(1)).unionByName(flow.withColumn("o", F.lit(0)))
-    return both.groupBy("node_id").agg(F.max(F.struct("score", "o", "seed_distance", "nearest_seed", "path")).alias("m")).select("node_id", "m.score", "m.seed_distance", "m.nearest_seed", "m.path")
+    return both.groupBy("node_id").agg(
+        F.max(F.struct("score", "o", "seed_distance", "nearest_seed", "path")).alias("m")
+    ).select("node_id", "m.score", "m.seed_distance", "m.nearest_seed", "m.path")
 
 
 def risk_rows(scores: DataFrame) -> DataFrame:
-    return scores.select("node_id", "score", F.concat(F.lit("SEED_DIST="), "seed_distance").alias("reason_code"), F.to_json(F.struct("seed_distance", "nearest_seed", "path")).alias("evidence_json"))
+    return scores.select(
+        "node_id",
+        "score",
+        F.concat(F.lit("SEED_DIST="), "seed_distance").alias("reason_code"),
+        F.to_json(F.struct("seed_distance", "nearest_seed", "path")).alias("evidence_json")
+    )

@@ -16,14 +16,26 @@ def sender_events(transactions: DataFrame) -> DataFrame:
     """
     return (
         transactions.where("txid is not null and timestamp is not null")
-        .select(F.col("txid").alias("event_id"), F.unix_micros("timestamp").alias("at_us"), F.explode(F.array_distinct("input_addresses")).alias("wallet_id"))
+        .select(
+            F.col("txid").alias("event_id"),
+            F.unix_micros("timestamp").alias("at_us"),
+            F.explode(F.array_distinct("input_addresses")).alias("wallet_id")
+        )
         .where("wallet_id is not null")
         .groupBy("wallet_id", "event_id")
         .agg(F.min("at_us").alias("at_us"))
     )
 
 
-def sessionize(events: DataFrame, key: str, at_us: str | Column, gap_seconds: int, start: str = "start_us", end: str = "end_us", count: str = "event_count") -> DataFrame:
+def sessionize(
+    events: DataFrame,
+    key: str,
+    at_us: str | Column,
+    gap_seconds: int,
+    start: str = "start_us",
+    end: str = "end_us",
+    count: str = "event_count"
+) -> DataFrame:
     """(key, start, end, count, duration_us) of each session of each key.
 
     Time is divided into chunks of the gap's own length, so that whatever falls into one chunk of one key belongs
@@ -51,5 +63,11 @@ def sessionize(events: DataFrame, key: str, at_us: str | Column, gap_seconds: in
         .withColumn("_session", F.sum("_opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_key", "_session")
         .agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("_n"))
-        .select(F.col("_key").alias(key), F.col("_from").alias(start), F.col("_to").alias(end), F.col("_n").alias(count), (F.col("_to") - F.col("_from")).alias("duration_us"))
+        .select(
+            F.col("_key").alias(key),
+            F.col("_from").alias(start),
+            F.col("_to").alias(end),
+            F.col("_n").alias(count),
+            (F.col("_to") - F.col("_from")).alias("duration_us")
+        )
     )

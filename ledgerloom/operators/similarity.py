@@ -23,10 +23,26 @@ def _best(table: pa.Table) -> pa.Table:
     c, r = table.filter(pa.array(role == "c")), table.filter(pa.array(role == "r")).sort_by("node_id")
     if not len(c) or not len(r):
         c = c.slice(0, 0)
-        return pa.table({"node_type": c["node_type"], "pattern_type": c["pattern_type"], "node_id": c["node_id"], "similarity": pa.array([], pa.float64()), "nearest": pa.array([], pa.string())})
+        return pa.table(
+            {
+                "node_type": c["node_type"],
+                "pattern_type": c["pattern_type"],
+                "node_id": c["node_id"],
+                "similarity": pa.array([], pa.float64()),
+                "nearest": pa.array([], pa.string())
+            }
+        )
     cosine = _unit(c["embedding"]) @ _unit(r["embedding"]).T
     at = cosine.argmax(1)
-    return pa.table({"node_type": c["node_type"], "pattern_type": c["pattern_type"], "node_id": c["node_id"], "similarity": cosine[np.arange(len(c)), at], "nearest": r["node_id"].take(pa.array(at))})
+    return pa.table(
+        {
+            "node_type": c["node_type"],
+            "pattern_type": c["pattern_type"],
+            "node_id": c["node_id"],
+            "similarity": cosine[np.arange(len(c)), at],
+            "nearest": r["node_id"].take(pa.array(at))
+        }
+    )
 
 
 def nearest_references(vectors: DataFrame, references: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -41,16 +57,36 @@ def nearest_references(vectors: DataFrame, references: DataFrame, block: int = B
     candidates = vectors.join(known, ["node_type", "node_id"], "left_anti")
     size = candidates.groupBy("node_type").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cb"))
     kinds = kinds.join(size, "node_type")
-    c = candidates.join(F.broadcast(kinds), "node_type").select("node_type", "pattern_type", "node_id", "embedding", F.lit("c").alias("role"), F.pmod(F.xxhash64("node_id"), "cb").cast("int").alias("i"), F.explode(F.expr("sequence(0, rb - 1)")).alias("j"))
-    r = r.join(F.broadcast(kinds), ["node_type", "pattern_type"]).select("node_type", "pattern_type", "node_id", "embedding", F.lit("r").alias("role"), F.explode(F.expr("sequence(0, cb - 1)")).alias("i"), F.pmod(F.xxhash64("node_id"), "rb").cast("int").alias("j"))
-    best = c.unionByName(r).groupBy("node_type", "pattern_type", "i", "j").applyInArrow(_best, "node_type string, pattern_type string, node_id string, similarity double, nearest string")
+    c = candidates.join(F.broadcast(kinds), "node_type").select(
+        "node_type",
+        "pattern_type",
+        "node_id",
+        "embedding",
+        F.lit("c").alias("role"),
+        F.pmod(F.xxhash64("node_id"), "cb").cast("int").alias("i"),
+        F.explode(F.expr("sequence(0, rb - 1)")).alias("j")
+    )
+    r = r.join(F.broadcast(kinds), ["node_type", "pattern_type"]).select(
+        "node_type",
+        "pattern_type",
+        "node_id",
+        "embedding",
+        F.lit("r").alias("role"),
+        F.explode(F.expr("sequence(0, cb - 1)")).alias("i"),
+        F.pmod(F.xxhash64("node_id"), "rb").cast("int").alias("j")
+    )
+    best = c.unionByName(r).groupBy("node_type", "pattern_type", "i", "j").applyInArrow(
+        _best, "node_type string, pattern_type string, node_id string, similarity double, nearest string"
+    )
     top = best.groupBy("node_type", "pattern_type", "node_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "nearest")).alias("b"))
     return top.select("node_type", "pattern_type", "node_id", (-F.col("b.s")).alias("similarity"), F.col("b.nearest").alias("nearest"))
 
 
 def flag_outliers(best: DataFrame) -> DataFrame:
     """The candidates that are close enough and, among enough candidates, far above their own population."""
-    s = best.groupBy("node_type", "pattern_type").agg(F.count("*").alias("n"), F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("std"))
+    s = best.groupBy("node_type", "pattern_type").agg(
+        F.count("*").alias("n"), F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("std")
+    )
     df = best.join(F.broadcast(s), ["node_type", "pattern_type"])
     far = (F.col("std") >= 1e-8) & (F.col("similarity") - F.col("mean") > LEAST_Z * F.col("std"))
     return df.where((F.col("similarity") >= LEAST_SIMILARITY) & ((F.col("n") < ENOUGH) | far)).select(best.columns)
@@ -59,4 +95,6 @@ def flag_outliers(best: DataFrame) -> DataFrame:
 def similarity_rows(matches: DataFrame) -> DataFrame:
     code = F.concat(F.lit("PATTERN_SIM_"), F.upper("pattern_type"), F.lit("="), F.format_string("%.2f", "similarity"))
     evidence = F.to_json(F.struct("node_type", "pattern_type", "similarity", F.col("nearest").alias("nearest_reference_id")))
-    return matches.select("node_id", ((F.col("similarity") + 1) / 2).alias("score"), code.alias("reason_code"), evidence.alias("evidence_json"))
+    return matches.select(
+        "node_id", ((F.col("similarity") + 1) / 2).alias("score"), code.alias("reason_code"), evidence.alias("evidence_json")
+    )

@@ -141,4 +141,6 @@ def asn_day_counts(transactions: DataFrame) -> DataFrame:
     day = F.date_from_unix_date(F.floor(F.unix_micros("timestamp") / F.lit(86_400_000_000)).cast("int")).cast("string")
     once = transactions.select("txid", "asn", day.alias("tx_date"), "src_ip").dropna().distinct()
     counts = block_counts(once, ["asn", "tx_date", "src_ip"])
-    return busiest_per_group(counts, ["asn", "tx_date"], "src_ip").select("asn", "tx_date", F.col("total").alias("tx_count"), F.col("items").alias("ip_count"), F.col("top_item").alias("top_ip"))
+    return busiest_per_group(counts, ["asn", "tx_date"], "src_ip").select(
+        "asn", "tx_date", F.col("total").alias("tx_count"), F.col("items").alias("ip_count"), F.col("top_item").alias("top_ip")
+    )

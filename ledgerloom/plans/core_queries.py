@@ -29,7 +29,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
     rows = loaded(label_records(table(spark, folder, "raw_transactions", "record_id", "raw_line")))
-    return rows.withColumns({"timestamp_us": F.unix_micros("timestamp"), "inputs": F.size("input_addresses"), "outputs": F.size("output_addresses")}).drop("timestamp", "input_addresses", "input_amounts", "output_addresses", "output_amounts")
+    return rows.withColumns(
+        {"timestamp_us": F.unix_micros("timestamp"), "inputs": F.size("input_addresses"), "outputs": F.size("output_addresses")}
+    ).drop("timestamp", "input_addresses", "input_amounts", "output_addresses", "output_amounts")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,4 +78,11 @@ select asn, tx_date, cast(sum(n) as bigint) as tx_count, count(*) as ip_count, m
     "p7_ip_counts": "select src_ip, count(distinct txid) as tx_count from transactions where src_ip is not null and txid is not null group by src_ip",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_sessions": p1_sessions, "p2_found": p2_found, "p2_loaded": p2_loaded, "p7_found": p7_found, "p7_ip_counts": p7_ip_counts}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_sessions": p1_sessions,
+    "p2_found": p2_found,
+    "p2_loaded": p2_loaded,
+    "p7_found": p7_found,
+    "p7_ip_counts": p7_ip_counts
+}

@@ -14,7 +14,9 @@ from .ledger_sql import COINJOIN, FLOWS
 
 
 def e2_rounds_derived(spark, folder):
-    return derived_flows(spark, folder).where(coinjoin_like()).select("txid", F.size(wallets_of("ins")).cast("bigint").alias("senders"), F.size("outs").cast("bigint").alias("outputs"))
+    return derived_flows(spark, folder).where(coinjoin_like()).select(
+        "txid", F.size(wallets_of("ins")).cast("bigint").alias("senders"), F.size("outs").cast("bigint").alias("outputs")
+    )
 
 
 def e4_type_change(spark, folder):
@@ -29,7 +31,9 @@ def _pass1(flows, type_change=False):
     from pyspark.sql.functions import lit
 
     flows = flows.select("txid", "row_index", "at_us", "ins", "outs")
-    wallets = flows.select(lit("Wallet").alias("node_type"), F.explode(F.transform(F.concat("ins", "outs"), lambda x: x["w"])).alias("node_id")).distinct()
+    wallets = flows.select(
+        lit("Wallet").alias("node_type"), F.explode(F.transform(F.concat("ins", "outs"), lambda x: x["w"])).alias("node_id")
+    ).distinct()
     return en.resolve_entities(wallets, en.pass1_links(flows, type_change))
 
 
@@ -47,10 +51,14 @@ def e7_entities_type_change(spark, folder):
 
 def _labelled(spark, folder):
     """Pass-1 entities of the entities table, and cluster labels that follow from the wallet's letters."""
-    pass1 = table(spark, folder, "entities").where("entity_id is not null").groupBy("wallet_id").agg(F.min("entity_id").alias("entity_id"), F.max(F.coalesce("conf", F.lit(0.5))).alias("conf"))
+    pass1 = table(spark, folder, "entities").where("entity_id is not null").groupBy("wallet_id").agg(
+        F.min("entity_id").alias("entity_id"), F.max(F.coalesce("conf", F.lit(0.5))).alias("conf")
+    )
     code = lambda i: F.ascii(F.substring("wallet_id", i, 1))
     label = (code(7) * 37 + code(9) * 11 + code(11)) % 4001
-    return pass1, pass1.select("wallet_id", F.when(code(8) % 3 == 0, label).otherwise(-1).cast("int").alias("label"), ((code(10) % 10) / 10.0).alias("prob"))
+    return pass1, pass1.select(
+        "wallet_id", F.when(code(8) % 3 == 0, label).otherwise(-1).cast("int").alias("label"), ((code(10) % 10) / 10.0).alias("prob")
+    )
 
 
 def e12_reconciled(spark, folder):
@@ -58,7 +66,13 @@ def e12_reconciled(spark, folder):
 
 
 def e13_log(spark, folder):
-    return en.reconcile(*_labelled(spark, folder))["log"].select("log_id", "action", "hdbscan_cluster", F.array_join("pass1_entities", ",").alias("pass1_entities"), F.array_join("wallets", ",").alias("wallets"))
+    return en.reconcile(*_labelled(spark, folder))["log"].select(
+        "log_id",
+        "action",
+        "hdbscan_cluster",
+        F.array_join("pass1_entities", ",").alias("pass1_entities"),
+        F.array_join("wallets", ",").alias("wallets")
+    )
 
 
 def e14_links(spark, folder):
@@ -74,7 +88,9 @@ def e16_pairwise(spark, folder):
     links = table(spark, folder, "same_entity_links", "wallet_a", "wallet_b")
     from ..operators.linked import linked_components
 
-    predicted = linked_components(links, "wallet_a", "wallet_b").select(F.col("member").alias("wallet_id"), F.col("root").alias("entity_id"))
+    predicted = linked_components(links, "wallet_a", "wallet_b").select(
+        F.col("member").alias("wallet_id"), F.col("root").alias("entity_id")
+    )
     q = en.pairwise_quality(predicted, truth)
     return q.select("tp", "predicted_pairs", "true_pairs", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
@@ -123,12 +139,15 @@ SQL = {
     "e5_links": f"with {FLOWS}, {COINJOIN}, {_LINKS} select * from common union all select * from change",
     "e8_entities": _entities(FLOWS, _P1).format(more="'pass1' as source, ", last=", null::varchar as merge_split_log_ref"),
     "e8_entities_derived": _entities(DERIVED, _P1).format(more="", last=""),
-    "e7_entities_type_change": _entities(FLOWS, _P1 + " union select anchor, change from changes join senders using (txid)", ", " + _TYPE_CHANGE).format(more="", last=""),
+    "e7_entities_type_change": _entities(
+        FLOWS, _P1 + " union select anchor, change from changes join senders using (txid)", ", " + _TYPE_CHANGE
+    ).format(more="", last=""),
     "e12_reconciled": _reconciled(False, 0.0) + _ENTITIES,
     "e13_log": _reconciled(False, 0.0)
     + """ select 'merge_' || label as log_id, 'merge' as action, label::bigint as hdbscan_cluster, array_to_string(list_sort(list(distinct before)), ',') as pass1_entities, array_to_string(list_sort(list(distinct wallet_id)), ',') as wallets from t where merged group by label
 union all select 'split_' || before, 'split', null, before, array_to_string(list_sort(list(distinct wallet_id)), ',') from t where parted group by before""",
-    "e14_links": _reconciled(False, 0.0) + ", x as (select *, first_value(wallet_id) over w as aw, first_value(prob) over w as ap from t where merged window w as (partition by entity_id order by wallet_id)) select aw as wallet_a, wallet_id as wallet_b, least(prob, ap) as confidence from x where wallet_id <> aw",
+    "e14_links": _reconciled(False, 0.0)
+    + ", x as (select *, first_value(wallet_id) over w as aw, first_value(prob) over w as ap from t where merged window w as (partition by entity_id order by wallet_id)) select aw as wallet_a, wallet_id as wallet_b, least(prob, ap) as confidence from x where wallet_id <> aw",
     "e15_guarded": _reconciled(True, 0.3) + _ENTITIES,
     "e16_pairwise": f"""with recursive l as (select wallet_a, wallet_b from same_entity_links where wallet_a is not null and wallet_b is not null), {_components('l', 'wallet_a', 'wallet_b')},
 p1 as (select wallet_id, min(entity_id) as t from entities where entity_id is not null group by wallet_id), j as (select root as p, t from comp join p1 on member = wallet_id), c as (select p, t, count(*) as n from j group by all),

@@ -14,12 +14,31 @@ from ..sources.tables import table
 def _heads(spark, folder):
     sim = table(spark, folder, "pattern_sim_matches").where("similarity is not null and node_id is not null").distinct()
     code = F.concat(F.lit("PATTERN_SIM_"), F.upper("pattern_type"), F.lit("="), two_digits(F.col("similarity")))
-    pattern = sim.select("node_id", ((F.col("similarity") + 1) / 2).alias("score"), code.alias("reason_code"), F.to_json(F.struct("node_type", "pattern_type", "similarity", "nearest_reference_id")).alias("evidence_json"))
+    pattern = sim.select(
+        "node_id",
+        ((F.col("similarity") + 1) / 2).alias("score"),
+        code.alias("reason_code"),
+        F.to_json(F.struct("node_type", "pattern_type", "similarity", "nearest_reference_id")).alias("evidence_json")
+    )
     rs = table(spark, folder, "risk_scores").where("score is not null and node_id is not null").distinct()
-    path = F.when(F.col("nearest_seed").isNull() | (F.col("nearest_seed") == F.col("node_id")), F.array("node_id")).otherwise(F.array("nearest_seed", "node_id"))
-    risk = rs.select("node_id", "score", F.concat(F.lit("SEED_DIST="), "seed_distance").alias("reason_code"), F.to_json(F.struct("seed_distance", "nearest_seed", path.alias("path"))).alias("evidence_json"))
-    an = table(spark, folder, "anomaly_scores", "node_id", "score", "z_score").where("score is not null and node_id is not null").groupBy("node_id").agg(F.max("score").alias("score"), F.max("z_score").alias("z"))
-    anomaly = an.select("node_id", "score", F.concat(F.lit("ANOMALY_ZSCORE="), two_digits(F.coalesce("z", F.lit(0.0)))).alias("reason_code"), F.lit("{}").alias("evidence_json"))
+    path = F.when(
+        F.col("nearest_seed").isNull() | (F.col("nearest_seed") == F.col("node_id")), F.array("node_id")
+    ).otherwise(F.array("nearest_seed", "node_id"))
+    risk = rs.select(
+        "node_id",
+        "score",
+        F.concat(F.lit("SEED_DIST="), "seed_distance").alias("reason_code"),
+        F.to_json(F.struct("seed_distance", "nearest_seed", path.alias("path"))).alias("evidence_json")
+    )
+    an = table(
+        spark, folder, "anomaly_scores", "node_id", "score", "z_score"
+    ).where("score is not null and node_id is not null").groupBy("node_id").agg(F.max("score").alias("score"), F.max("z_score").alias("z"))
+    anomaly = an.select(
+        "node_id",
+        "score",
+        F.concat(F.lit("ANOMALY_ZSCORE="), two_digits(F.coalesce("z", F.lit(0.0)))).alias("reason_code"),
+        F.lit("{}").alias("evidence_json")
+    )
     return pattern, risk, anomaly
 
 
@@ -50,14 +69,22 @@ def x4_applied_blend(spark, folder):
 
 def m14_fitted_blend(spark, folder):
     t = fu.component_table(*_heads(spark, folder))
-    labels = table(spark, folder, "entities", "wallet_id").distinct().select(F.col("wallet_id").alias("node_id"), (F.ascii(F.substring("wallet_id", 9, 1)) % 7 == 0).cast("int").alias("label"))
+    labels = table(spark, folder, "entities", "wallet_id").distinct().select(
+        F.col("wallet_id").alias("node_id"), (F.ascii(F.substring("wallet_id", 9, 1)) % 7 == 0).cast("int").alias("label")
+    )
     df, method = fu.final_scores(t, labels)
     return df.select("node_id", F.round("final_score", 4).alias("final_score"), F.lit(method).alias("method"))
 
 
 def x5_deduped(spark, folder):
     scored = fu.rank_scores(fu.component_table(*_heads(spark, folder)))
-    return _shown(fu.dedupe_by_entity(scored.withColumn("final_score", F.round("final_score", 6)), table(spark, folder, "entities", "wallet_id", "entity_id")), "node_id", "final_score")
+    return _shown(
+        fu.dedupe_by_entity(
+            scored.withColumn("final_score", F.round("final_score", 6)), table(spark, folder, "entities", "wallet_id", "entity_id")
+        ),
+        "node_id",
+        "final_score"
+    )
 
 
 def _alerts(spark, folder):
@@ -67,7 +94,14 @@ def _alerts(spark, folder):
 
 
 def x6_alerts(spark, folder):
-    return _alerts(spark, folder).select("alert_id", "node_id", "final_score", F.array_join("evidence.nodes", ",").alias("evidence_nodes"), F.array_join(F.transform("evidence.edges", lambda e: F.concat_ws(">", e)), ",").alias("evidence_edges"), "rationale")
+    return _alerts(spark, folder).select(
+        "alert_id",
+        "node_id",
+        "final_score",
+        F.array_join("evidence.nodes", ",").alias("evidence_nodes"),
+        F.array_join(F.transform("evidence.edges", lambda e: F.concat_ws(">", e)), ",").alias("evidence_edges"),
+        "rationale"
+    )
 
 
 def d1_alert_summary(spark, folder):
@@ -77,8 +111,12 @@ def d1_alert_summary(spark, folder):
 
 def v2_overlap_quality(spark, folder):
     """Detected sets: the entities of the entity table; true sets: the wallets tied by common input lists of one day."""
-    e = table(spark, folder, "entities", "entity_id", "wallet_id").dropna().distinct().select(F.col("entity_id").alias("set_id"), F.col("wallet_id").alias("member"))
-    t = table(spark, folder, "transactions", "txid", "input_addresses").where("size(input_addresses) > 1").select(F.col("txid").alias("set_id"), F.explode("input_addresses").alias("member")).dropna().distinct()
+    e = table(spark, folder, "entities", "entity_id", "wallet_id").dropna().distinct().select(
+        F.col("entity_id").alias("set_id"), F.col("wallet_id").alias("member")
+    )
+    t = table(spark, folder, "transactions", "txid", "input_addresses").where("size(input_addresses) > 1").select(
+        F.col("txid").alias("set_id"), F.explode("input_addresses").alias("member")
+    ).dropna().distinct()
     q = ev.overlap_quality(e, t)
     return q.select(F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
@@ -100,8 +138,12 @@ def v4_precision_at_50(spark, folder):
 
 
 def _labelled(spark, folder):
-    s = table(spark, folder, "anomaly_scores", "node_id", "node_type", "score").where("node_type = 'Wallet' and score is not null").groupBy("node_id").agg(F.max("score").alias("score"))
-    return s.join(_bad(spark, folder).withColumn("y", F.lit(1)), "node_id", "left").select("node_id", "score", F.coalesce("y", F.lit(0)).alias("label"))
+    s = table(
+        spark, folder, "anomaly_scores", "node_id", "node_type", "score"
+    ).where("node_type = 'Wallet' and score is not null").groupBy("node_id").agg(F.max("score").alias("score"))
+    return s.join(
+        _bad(spark, folder).withColumn("y", F.lit(1)), "node_id", "left"
+    ).select("node_id", "score", F.coalesce("y", F.lit(0)).alias("label"))
 
 
 def v5_auc(spark, folder):
@@ -109,16 +151,22 @@ def v5_auc(spark, folder):
 
 
 def v6_summary(spark, folder):
-    return ev.summary({"alerts": v3_set_quality(spark, folder), "anomaly": v5_auc(spark, folder), "at_50": v4_precision_at_50(spark, folder)})
+    return ev.summary(
+        {"alerts": v3_set_quality(spark, folder), "anomaly": v5_auc(spark, folder), "at_50": v4_precision_at_50(spark, folder)}
+    )
 
 
 def v8_pivot(spark, folder):
-    s = table(spark, folder, "anomaly_scores", "node_id", "node_type", "score").distinct().withColumn("band", F.when(F.col("score") > 0.7, "high").otherwise("low"))
+    s = table(
+        spark, folder, "anomaly_scores", "node_id", "node_type", "score"
+    ).distinct().withColumn("band", F.when(F.col("score") > 0.7, "high").otherwise("low"))
     return s.groupBy("node_type").pivot("band", ["high", "low"]).agg(F.round(F.avg("score"), 6))
 
 
 def b_percentile_rank(spark, folder):
-    s = table(spark, folder, "pattern_sim_matches", "node_id", "node_type", "similarity").dropna().groupBy("node_id", "node_type").agg(F.max("similarity").alias("similarity"))
+    s = table(
+        spark, folder, "pattern_sim_matches", "node_id", "node_type", "similarity"
+    ).dropna().groupBy("node_id", "node_type").agg(F.max("similarity").alias("similarity"))
     return average_rank(s, "similarity", "pct", ["node_type"]).select("node_id", "node_type", F.round("pct", 9).alias("pct"))
 
 

@@ -22,7 +22,9 @@ def ledger_flows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _links(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
     links = table(spark, folder, "same_entity_links").groupBy("wallet_a", "wallet_b").agg(F.max("confidence").alias("confidence"))
-    return gr.wallet_links(links.withColumn("seq", F.struct(F.coalesce(-F.col("confidence"), F.lit(9.0)), F.col("wallet_a"))), known, "SAME_ENTITY")
+    return gr.wallet_links(
+        links.withColumn("seq", F.struct(F.coalesce(-F.col("confidence"), F.lit(9.0)), F.col("wallet_a"))), known, "SAME_ENTITY"
+    )
 
 
 def g_nodes(spark, folder):
@@ -49,7 +51,9 @@ def g_counts(spark, folder):
 
 
 def f8_without_network(spark, folder):
-    return gr.without_network(gr.edges(ledger_flows(spark, folder))).groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("amount"))
+    return gr.without_network(gr.edges(ledger_flows(spark, folder))).groupBy("edge_type").agg(
+        F.count("*").alias("n"), F.round(F.sum("amount"), 4).alias("amount")
+    )
 
 
 def f9_ownership_links(spark, folder):
@@ -62,7 +66,9 @@ def f10_busy_broadcasters(spark, folder):
 
 
 def e2_coinjoin_like(spark, folder):
-    return ledger_flows(spark, folder).where(coinjoin_like()).select("txid", F.size(wallets_of("ins")).cast("bigint").alias("senders"), F.size("outs").cast("bigint").alias("outputs"))
+    return ledger_flows(spark, folder).where(coinjoin_like()).select(
+        "txid", F.size(wallets_of("ins")).cast("bigint").alias("senders"), F.size("outs").cast("bigint").alias("outputs")
+    )
 
 
 def e3_script_class(spark, folder):
@@ -85,7 +91,9 @@ def n7_timing(spark, folder):
 
 def n10_entity_entropy(spark, folder):
     sent = ft.activity(ledger_flows(spark, folder))
-    return ft.entity_entropy(sent, table(spark, folder, "entities", "wallet_id", "entity_id")).select("node_id", F.round("f_entity_asn_entropy", 6).alias("f_entity_asn_entropy"))
+    return ft.entity_entropy(sent, table(spark, folder, "entities", "wallet_id", "entity_id")).select(
+        "node_id", F.round("f_entity_asn_entropy", 6).alias("f_entity_asn_entropy")
+    )
 
 
 def n11_node_features(spark, folder):
@@ -122,14 +130,38 @@ _ENTROPY = """owner as (select distinct wallet_id, entity_id from entities where
 c as (select entity_id, asn, count(*) as n from sent join owner using (wallet_id) where asn is not null group by all),
 bits as (select entity_id, greatest(0, -sum(n / t * log2(n / t))) as f_entity_asn_entropy from (select *, sum(n) over (partition by entity_id) as t from c) group by entity_id),
 entropy as (select wallet_id as node_id, f_entity_asn_entropy from owner join bits using (entity_id))"""
-_TIMING_COLUMNS = ["f_temporal_tx_count", "f_temporal_mean_interarrival", "f_temporal_std_interarrival", "f_temporal_burstiness", "f_geo_hop_count", "f_geo_hop_rate", "f_ip_distinct_count", "f_ip_reuse_count"]
-_FEATURES = ["f_degree_total", "f_degree_in", "f_degree_out", "f_fan_in", "f_fan_out", *(f"f_degree_{t.lower()}" for t in _TYPES), "f_motif_coinjoin_like", "f_motif_self_change", *_TIMING_COLUMNS, "f_entity_asn_entropy"]
+_TIMING_COLUMNS = [
+    "f_temporal_tx_count",
+    "f_temporal_mean_interarrival",
+    "f_temporal_std_interarrival",
+    "f_temporal_burstiness",
+    "f_geo_hop_count",
+    "f_geo_hop_rate",
+    "f_ip_distinct_count",
+    "f_ip_reuse_count"
+]
+_FEATURES = [
+    "f_degree_total",
+    "f_degree_in",
+    "f_degree_out",
+    "f_fan_in",
+    "f_fan_out",
+    *(f"f_degree_{t.lower()}" for t in _TYPES),
+    "f_motif_coinjoin_like",
+    "f_motif_self_change",
+    *_TIMING_COLUMNS,
+    "f_entity_asn_entropy"
+]
 
 
 
 def _materialized(sql: str) -> str:
     """The query with each of its shared parts worked out once."""
-    return re.sub(r"\b(ledger|ins|outs|tx|edges|nodes|all_edges|links|link_edges|half|topo|coinjoin|flags|motif|sent|timing|entropy|back) as \(", r"\1 as materialized (", sql)
+    return re.sub(
+        r"\b(ledger|ins|outs|tx|edges|nodes|all_edges|links|link_edges|half|topo|coinjoin|flags|motif|sent|timing|entropy|back) as \(",
+        r"\1 as materialized (",
+        sql
+    )
 
 
 SQL = {
@@ -151,8 +183,7 @@ select 'CO_SPEND' as edge_type, least(anchor, w) as source, greatest(anchor, w)
     "n7_timing": f"with {FLOWS}, {_TIMING} select node_id, {', '.join(f'round({c}, 4)::double as {c}' for c in _TIMING_COLUMNS)} from timing",
     "n10_entity_entropy": f"with {FLOWS}, {_TIMING}, {_ENTROPY} select node_id, round(f_entity_asn_entropy, 6) as f_entity_asn_entropy from entropy",
     "n11_node_features": _materialized(
-        f"with {EDGES}, {NODES}, {_LINK_EDGES}, all_edges as (select * from edges union all select * from link_edges), {_topology('all_edges')}, {COINJOIN}, {_MOTIFS}, {_TIMING}, {_ENTROPY} "
-        f"select node_id, node_type, {', '.join(f'round(coalesce({c}, 0), 4)::double as {c}' for c in _FEATURES)} from nodes left join topo using (node_id) left join motif using (node_id) left join timing using (node_id) left join entropy using (node_id)"
+        f"with {EDGES}, {NODES}, {_LINK_EDGES}, all_edges as (select * from edges union all select * from link_edges), {_topology('all_edges')}, {COINJOIN}, {_MOTIFS}, {_TIMING}, {_ENTROPY} " f"select node_id, node_type, {', '.join(f'round(coalesce({c}, 0), 4)::double as {c}' for c in _FEATURES)} from nodes left join topo using (node_id) left join motif using (node_id) left join timing using (node_id) left join entropy using (node_id)"
     ),
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -17,8 +17,24 @@ def _again(kind: str):
         scratch = Scratch(spark, f"format-{kind}")
         formats.WRITERS[kind](once(table(spark, folder, "transactions")), f"{scratch.root}/{kind}")
         back = formats.read(spark, f"{scratch.root}/{kind}", kind)
-        total = lambda c: F.round(F.aggregate(F.filter(F.coalesce(c, F.array().cast("array<double>")), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x), 8)
-        return back.select("txid", F.unix_micros("timestamp").alias("at_us"), "src_ip", "src_port", "asn", "geo_country", F.greatest(F.lit(0), F.size("input_addresses")).alias("inputs"), total(F.col("input_amounts")).alias("paid_in"), F.greatest(F.lit(0), F.size("output_addresses")).alias("outputs"), total(F.col("output_amounts")).alias("paid_out"), "fee", "script_type")
+        total = lambda c: F.round(
+            F.aggregate(F.filter(F.coalesce(c, F.array().cast("array<double>")), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x),
+            8
+        )
+        return back.select(
+            "txid",
+            F.unix_micros("timestamp").alias("at_us"),
+            "src_ip",
+            "src_port",
+            "asn",
+            "geo_country",
+            F.greatest(F.lit(0), F.size("input_addresses")).alias("inputs"),
+            total(F.col("input_amounts")).alias("paid_in"),
+            F.greatest(F.lit(0), F.size("output_addresses")).alias("outputs"),
+            total(F.col("output_amounts")).alias("paid_out"),
+            "fee",
+            "script_type"
+        )
 
     return run
 
@@ -33,25 +49,43 @@ def s7_pruned_scan(spark, folder):
 def s8_optional_source(spark, folder):
     """A table that is there and one that is not, read with the same schema."""
     schema = "wallet_id string, entity_id string"
-    count = lambda name: formats.read_optional(spark, f"{folder}/{name}.parquet", schema).agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.count("entity_id").alias("named"))
+    count = lambda name: formats.read_optional(spark, f"{folder}/{name}.parquet", schema).agg(
+        F.lit(name).alias("source"), F.count("*").alias("n"), F.count("entity_id").alias("named")
+    )
     return count("entities").unionByName(count("no_such_table"))
 
 
 def f6_in_list(spark, folder):
-    return table(spark, folder, "alerts", "alert_id", "node_id").distinct().join(table(spark, folder, "node_features", "node_id", "node_type").distinct(), "node_id").where(F.col("node_type").isin("Transaction", "IP")).select("alert_id", "node_type")
+    return table(spark, folder, "alerts", "alert_id", "node_id").distinct().join(
+        table(spark, folder, "node_features", "node_id", "node_type").distinct(), "node_id"
+    ).where(F.col("node_type").isin("Transaction", "IP")).select("alert_id", "node_type")
 
 
 def k2_parquet_sink(spark, folder):
     tables = Tables(spark, Scratch(spark, "sink").root)
     tables.write("entities", table(spark, folder, "entities"))
-    return tables.read("entities").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("wallet_id").alias("wallets"), F.round(F.sum("conf"), 6).alias("conf"))
+    return tables.read("entities").groupBy("source").agg(
+        F.count("*").alias("n"), F.countDistinct("wallet_id").alias("wallets"), F.round(F.sum("conf"), 6).alias("conf")
+    )
 
 
 def k5_alert_file(spark, folder):
     path = f"{Scratch(spark, 'alert-file').root}/alerts.json"
-    formats.write_alert_file(table(spark, folder, "alerts").where("alert_id is not null and final_score is not null and not isnan(final_score)").dropDuplicates(["alert_id"]), path)
-    back = spark.read.json(path, schema="alert_id string, node_id string, final_score double, evidence struct<nodes: array<string>>", multiLine=True)
-    return back.select("alert_id", "node_id", F.round("final_score", 9).alias("final_score"), F.greatest(F.lit(0), F.size("evidence.nodes")).cast("bigint").alias("nodes"))
+    formats.write_alert_file(
+        table(spark, folder, "alerts")
+        .where("alert_id is not null and final_score is not null and not isnan(final_score)")
+        .dropDuplicates(["alert_id"]),
+        path
+    )
+    back = spark.read.json(
+        path, schema="alert_id string, node_id string, final_score double, evidence struct<nodes: array<string>>", multiLine=True
+    )
+    return back.select(
+        "alert_id",
+        "node_id",
+        F.round("final_score", 9).alias("final_score"),
+        F.greatest(F.lit(0), F.size("evidence.nodes")).cast("bigint").alias("nodes")
+    )
 
 
 def _judged(spark, folder):
@@ -72,12 +106,16 @@ def f3_ip_ranges(spark, folder):
     parts = F.split("net_prefix", "[.]")
     lo = parts[0].cast("bigint") * (1 << 24) + parts[1].cast("bigint") * (1 << 16)
     ranges = pool.select(lo.alias("lo"), (lo + 65535).alias("hi"), F.col("asn").alias("range_asn"))
-    rows = once(table(spark, folder, "transactions", "txid", "row_index", "dst_ip")).select("txid", ingest.ip_number(F.col("dst_ip")).alias("ip_number"))
+    rows = once(
+        table(spark, folder, "transactions", "txid", "row_index", "dst_ip")
+    ).select("txid", ingest.ip_number(F.col("dst_ip")).alias("ip_number"))
     return ingest.locate(rows, ranges, "ip_number").select("txid", "ip_number", "range_asn")
 
 
 def f4_accepted(spark, folder):
-    return _judged(spark, folder).where("reason is null").select("record_id", "txid", F.col("pool_asn").alias("asn"), F.col("pool_country").alias("geo_country"))
+    return _judged(spark, folder).where("reason is null").select(
+        "record_id", "txid", F.col("pool_asn").alias("asn"), F.col("pool_country").alias("geo_country")
+    )
 
 
 def k4_reject_log(spark, folder):
@@ -90,7 +128,9 @@ def f5_over_threshold(spark, folder):
 
 def f7_alert_search(spark, folder):
     a = table(spark, folder, "alerts", "alert_id", "node_id", "final_score", "rationale").distinct()
-    return a.where(F.col("rationale").rlike("(?i)PEELING CHAIN WITH [0-9]+ hops") & (F.col("final_score") >= 0.3) & ~F.isnan("final_score")).select("alert_id", "node_id")
+    return a.where(
+        F.col("rationale").rlike("(?i)PEELING CHAIN WITH [0-9]+ hops") & (F.col("final_score") >= 0.3) & ~F.isnan("final_score")
+    ).select("alert_id", "node_id")
 
 
 _BACK = f"""with {LEDGER} select txid, epoch_us(timestamp) as at_us, src_ip, src_port, asn, geo_country, coalesce(len(input_addresses), 0)::int as inputs, round(coalesce(list_sum(input_amounts), 0), 8) as paid_in,
@@ -120,7 +160,8 @@ SQL = {
 p as (select cast(string_split(net_prefix, '.')[1] as bigint) * 16777216 + cast(string_split(net_prefix, '.')[2] as bigint) * 65536 as lo, asn from network_pool)
 select txid, ip_number, p.asn as range_asn from i left join p on ip_number between lo and lo + 65535""",
     "f4_accepted": _JUDGED + " select record_id, txid, asn, geo_country from j where reason is null",
-    "k4_reject_log": _JUDGED + " select 'csv' as source_format, record_id as row_index, reason, nullif(txid, '') as txid from j where reason is not null",
+    "k4_reject_log": _JUDGED
+    + " select 'csv' as source_format, record_id as row_index, reason, nullif(txid, '') as txid from j where reason is not null",
     "f5_over_threshold": "select distinct alert_id, final_score from alerts where final_score >= 0.6 and not isnan(final_score)",
     "f7_alert_search": "select distinct alert_id, node_id from alerts where regexp_matches(rationale, '(?i)PEELING CHAIN WITH [0-9]+ hops') and final_score >= 0.3 and not isnan(final_score)",
 }

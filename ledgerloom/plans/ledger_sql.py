@@ -8,7 +8,14 @@ def _side(name: str, column: str) -> str:
 (select txid, {column}_addresses, {column}_amounts, unnest(generate_series(1, least(len({column}_addresses), len({column}_amounts)))) as i from ledger) where {column}_addresses[i] is not null)"""
 
 
-FLOWS = ", ".join([LEDGER, _side("ins", "input"), _side("outs", "output"), "tx as (select txid, row_index, epoch_us(timestamp) as at_us, src_ip, src_port, asn, geo_country from ledger)"])
+FLOWS = ", ".join(
+    [
+        LEDGER,
+        _side("ins", "input"),
+        _side("outs", "output"),
+        "tx as (select txid, row_index, epoch_us(timestamp) as at_us, src_ip, src_port, asn, geo_country from ledger)"
+    ]
+)
 ASN = "first_asn as (select src_ip, arg_min(asn, row_index) as asn from tx where src_ip is not null and asn is not null group by src_ip)"
 EDGES = f"""{FLOWS}, {ASN}, edges as (
 select 'FUNDS' as edge_type, w as source, txid as target, a as amount, at_us, null::bigint as port, null::double as confidence from ins join tx using (txid)

@@ -61,7 +61,9 @@ def m6_time_vectors(spark, folder):
     return v.select("src", "dst", F.round("t", 6).alias("t"), *(F.round(F.get("v", i), 6).alias(f"v{i}") for i in range(3)))
 
 
-_PARAMETERS = [np.random.default_rng(5 + k).normal(0, 0.5, shape).round(3) for k, shape in enumerate([(3, 8), (3, 8), (2, 4), (4, 8), (4, 8), (2, 4)])]
+_PARAMETERS = [
+    np.random.default_rng(5 + k).normal(0, 0.5, shape).round(3) for k, shape in enumerate([(3, 8), (3, 8), (2, 4), (4, 8), (4, 8), (2, 4)])
+]
 
 
 def _attention(spark, folder):
@@ -84,7 +86,9 @@ def m9_attention_weights(spark, folder):
 
 
 def m5_embedding_columns(spark, folder):
-    e = table(spark, folder, "node_features", "node_type", "node_id", "embedding").where("embedding is not null").dropDuplicates(["node_type", "node_id"])
+    e = table(
+        spark, folder, "node_features", "node_type", "node_id", "embedding"
+    ).where("embedding is not null").dropDuplicates(["node_type", "node_id"])
     return mo.embedding_columns(e.withColumn("node_id", F.concat_ws(":", "node_type", "node_id")))
 
 
@@ -108,12 +112,20 @@ def m10_anomalies(spark, folder):
 def m11_z_scores(spark, folder):
     e = table(spark, folder, "anomaly_scores", "node_id", "node_type", "raw_error").dropna().distinct()
     s = mo.anomaly_scores(e)
-    return s.select("node_id", "node_type", F.round("raw_error", 6).alias("raw_error"), F.round("z_score", 6).alias("z_score"), F.round("score", 6).alias("score"))
+    return s.select(
+        "node_id",
+        "node_type",
+        F.round("raw_error", 6).alias("raw_error"),
+        F.round("z_score", 6).alias("z_score"),
+        F.round("score", 6).alias("score")
+    )
 
 
 def m13_isolation(spark, folder):
     df, columns = _features(spark, folder)
-    return mo.isolation_scores(df, columns).select("node_id", "node_type", F.round("score", 4).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("code"))
+    return mo.isolation_scores(df, columns).select(
+        "node_id", "node_type", F.round("score", 4).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("code")
+    )
 
 
 def m13_robust_z(spark, folder):
@@ -124,7 +136,9 @@ def m13_robust_z(spark, folder):
 
 def e10_hdbscan(spark, folder):
     v = table(spark, folder, "embeddings", "vec_id", "embedding", "label").withColumn("all", F.lit("all"))
-    return hdbscan(v.select("all", "vec_id", "embedding"), "all", "vec_id", "embedding").select("vec_id", "label", F.round("prob", 6).alias("prob"))
+    return hdbscan(
+        v.select("all", "vec_id", "embedding"), "all", "vec_id", "embedding"
+    ).select("vec_id", "label", F.round("prob", 6).alias("prob"))
 
 
 _F = "f as (select distinct on (node_type, node_id) * exclude (embedding) from node_features)"
@@ -134,9 +148,24 @@ _REL = """rel as (select edge_type as relation, source as src, target as dst fro
 def _columns():
     types = ["funds", "pays", "broadcast_via", "resolves_to", "co_spend", "same_entity"]
     return [
-        "f_degree_total", "f_degree_in", "f_degree_out", "f_fan_in", "f_fan_out", *(f"f_degree_{t}" for t in types), "f_motif_coinjoin_like", "f_motif_self_change", "f_temporal_tx_count", "f_temporal_mean_interarrival",
-        "f_temporal_std_interarrival", "f_temporal_burstiness", "f_geo_hop_count", "f_geo_hop_rate", "f_ip_distinct_count", "f_ip_reuse_count", "f_entity_asn_entropy",
-    ]
+        "f_degree_total",
+        "f_degree_in",
+        "f_degree_out",
+        "f_fan_in",
+        "f_fan_out",
+        *(f"f_degree_{t}" for t in types),
+        "f_motif_coinjoin_like",
+        "f_motif_self_change",
+        "f_temporal_tx_count",
+        "f_temporal_mean_interarrival",
+        "f_temporal_std_interarrival",
+        "f_temporal_burstiness",
+        "f_geo_hop_count",
+        "f_geo_hop_rate",
+        "f_ip_distinct_count",
+        "f_ip_reuse_count",
+        "f_entity_asn_entropy",
+    ]
 
 
 def _attention_sql() -> str:
@@ -144,7 +173,13 @@ def _attention_sql() -> str:
     left, right, score = _PARAMETERS[:3]
     dot = lambda x, w: "(" + " + ".join(f"{x}.x{i} * ({v}::double)" for i, v in enumerate(w)) + ")"
     both = [f"{dot('s', left[:, j])} + {dot('d', right[:, j])}" for j in range(8)]
-    raw = [" + ".join(f"(case when {both[4 * h + i]} > 0 then {both[4 * h + i]} else 0.2::double * ({both[4 * h + i]}) end) * ({score[h, i]}::double)" for i in range(4)) for h in range(2)]
+    raw = [
+        " + ".join(
+            f"(case when {both[4 * h + i]} > 0 then {both[4 * h + i]} else 0.2::double * ({both[4 * h + i]}) end) * ({score[h, i]}::double)"
+            for i in range(4)
+        )
+        for h in range(2)
+    ]
     part = lambda i: f"sum((w0 * l{i} + w1 * l{4 + i}) / 2)"
     return f"""with {EDGES}, {_REL}, half as (select source as n, target as o, 1 as s from edges union all select target, source, 0 from edges),
 x as materialized (select n, ln(1 + count(*)) as x0, ln(1 + count(distinct o) filter (s = 0)) as x1, ln(1 + count(distinct o) filter (s = 1)) as x2 from half group by n),
@@ -155,18 +190,39 @@ new as (select dst as node_id, {", ".join(f"{part(i)} as v{i}" for i in range(4)
 
 
 SQL = {
-    "m8_attention": _attention_sql() + " select node_id, " + ", ".join(f"round(case when v{i} > 0 then v{i} else exp(v{i}) - 1 end, 6) as x{i}" for i in range(4)) + " from new",
-    "m5_embedding_columns": "select node_type || ':' || node_id as node_id, " + ", ".join(f"embedding[{i + 1}] as emb_{i}" for i in range(16)) + " from (select distinct on (node_type, node_id) * from node_features where embedding is not null)",
+    "m8_attention": _attention_sql()
+    + " select node_id, "
+    + ", ".join(f"round(case when v{i} > 0 then v{i} else exp(v{i}) - 1 end, 6) as x{i}" for i in range(4))
+    + " from new",
+    "m5_embedding_columns": "select node_type || ':' || node_id as node_id, "
+    + ", ".join(f"embedding[{i + 1}] as emb_{i}" for i in range(16))
+    + " from (select distinct on (node_type, node_id) * from node_features where embedding is not null)",
     "m12_anomaly_rows": "select node_id, round(score, 9) as score, 'ANOMALY_ZSCORE=' || printf('%.2f', z_score) as reason_code from (select distinct node_id, node_type, raw_error, score, z_score from anomaly_scores) where node_id is not null and node_type is not null and raw_error is not null and score is not null and z_score is not null",
-    "m1_standardized": f"with {_F} select node_id, node_type, " + ", ".join(f"round(({c} - avg({c}) over w) / case when stddev_pop({c}) over w <= 1e-8 then 1 else stddev_pop({c}) over w end, 6) as {c}" for c in _columns()) + " from f window w as (partition by node_type)",
+    "m1_standardized": f"with {_F} select node_id, node_type, "
+    + ", ".join(
+        f"round(({c} - avg({c}) over w) / case when stddev_pop({c}) over w <= 1e-8 then 1 else stddev_pop({c}) over w end, 6) as {c}"
+        for c in _columns()
+    )
+    + " from f window w as (partition by node_type)",
     "m1_relations": f"with {EDGES}, {_REL} select relation, count(*) as edges from rel group by relation",
     "m2_propagated": f"""with {EDGES}, {_REL}, half as (select source as n, target as o, 1 as s from edges union all select target, source, 0 from edges),
 x as (select n, ln(1 + count(*)) as x0, ln(1 + count(distinct o) filter (s = 0)) as x1, ln(1 + count(distinct o) filter (s = 1)) as x2 from half group by n),
 p as (select dst, relation, avg(x0) as x0, avg(x1) as x1, avg(x2) as x2 from rel join x on n = src group by all) select dst as node_id, round(sum(x0), 6) as x0, round(sum(x1), 6) as x1, round(sum(x2), 6) as x2 from p group by dst""",
     "m6_time_vectors": f"""with {EDGES}, e as (select source as src, target as dst, at_us from edges where edge_type = 'BROADCAST_VIA' and at_us is not null), t as (select src, dst, (at_us - min(at_us) over ()) / greatest(max(at_us) over () - min(at_us) over (), 1000000)::double as t from e)
 select src, dst, round(t, 6) as t, round(t, 6) as v0, round(sin(2 * t + 0.5), 6) as v1, round(sin(4 * t + 1), 6) as v2 from t""",
-    "m9_attention_weights": _attention_sql() + " select relation, src, dst, round(sum((w0 + w1) / 2), 6) as weight from weighed group by all",
+    "m9_attention_weights": _attention_sql()
+    + " select relation, src, dst, round(sum((w0 + w1) / 2), 6) as weight from weighed group by all",
     "m11_z_scores": "with e as (select distinct node_id, node_type, raw_error from anomaly_scores where node_id is not null and node_type is not null and raw_error is not null), z as (select *, case when stddev_pop(raw_error) over w <= 1e-8 then 0 else (raw_error - avg(raw_error) over w) / stddev_pop(raw_error) over w end as z from e window w as (partition by node_type)) select node_id, node_type, round(raw_error, 6) as raw_error, round(z, 6) as z_score, round(1 / (1 + exp(-z)), 6) as score from z",
-    "m13_robust_z": f"with {_F}, s as (select node_id, node_type, " + ", ".join(f"sign({c}) * ln(1 + abs({c})) as {c}" for c in _columns()) + " from f), m as (select *, " + ", ".join(f"quantile_disc({c}, 0.5) over w as m_{c}" for c in _columns()) + " from s window w as (partition by node_type)), d as (select *, " + ", ".join(f"quantile_disc(abs({c} - m_{c}), 0.5) over w as d_{c}" for c in _columns()) + " from m window w as (partition by node_type)) select node_id, node_type, " + ", ".join(f"round(case when d_{c} > 0 then ({c} - m_{c}) / (1.4826 * d_{c}) else 0 end, 6) as z_{c}" for c in _columns()) + " from d",
+    "m13_robust_z": f"with {_F}, s as (select node_id, node_type, "
+    + ", ".join(f"sign({c}) * ln(1 + abs({c})) as {c}" for c in _columns())
+    + " from f), m as (select *, "
+    + ", ".join(f"quantile_disc({c}, 0.5) over w as m_{c}" for c in _columns())
+    + " from s window w as (partition by node_type)), d as (select *, "
+    + ", ".join(f"quantile_disc(abs({c} - m_{c}), 0.5) over w as d_{c}" for c in _columns())
+    + " from m window w as (partition by node_type)) select node_id, node_type, "
+    + ", ".join(f"round(case when d_{c} > 0 then ({c} - m_{c}) / (1.4826 * d_{c}) else 0 end, 6) as z_{c}" for c in _columns())
+    + " from d",
+}
+QUERIES = {
+    name: globals()[name] for name in [*SQL, "m4_embeddings", "x11_attention_evidence", "m10_anomalies", "m13_isolation", "e10_hdbscan"]
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "m4_embeddings", "x11_attention_evidence", "m10_anomalies", "m13_isolation", "e10_hdbscan"]}

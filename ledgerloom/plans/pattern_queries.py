@@ -34,17 +34,28 @@ def p_next_hops(spark, folder):
 
 def p_peel_walks(spark, folder):
     w = pt.peel_walks(pt.peel_hops(peel_flows(spark, folder)), Scratch(spark, "walks"))
-    return w.select(F.get("txids", 0).alias("first_tx"), F.size("txids").cast("bigint").alias("hops"), F.array_join("txids", ",").alias("txids"))
+    return w.select(
+        F.get("txids", 0).alias("first_tx"), F.size("txids").cast("bigint").alias("hops"), F.array_join("txids", ",").alias("txids")
+    )
 
 
 def p_peeling_chains(spark, folder):
     c = pt.chain_scores(pt.peeling_chains(peel_flows(spark, folder)), peel_flows(spark, folder))
-    return c.select("chain_id", "hop_count", F.array_join("txids", ",").alias("txids"), F.round("score", 6).alias("score"), F.round("swept_fraction", 6).alias("swept_fraction"), "service_source")
+    return c.select(
+        "chain_id",
+        "hop_count",
+        F.array_join("txids", ",").alias("txids"),
+        F.round("score", 6).alias("score"),
+        F.round("swept_fraction", 6).alias("swept_fraction"),
+        "service_source"
+    )
 
 
 def p_chain_rows(spark, folder):
     flows = peel_flows(spark, folder)
-    return pt.chain_rows(pt.chain_scores(pt.peeling_chains(flows), flows)).select("node_id", F.round("score", 6).alias("score"), "reason_code")
+    return pt.chain_rows(pt.chain_scores(pt.peeling_chains(flows), flows)).select(
+        "node_id", F.round("score", 6).alias("score"), "reason_code"
+    )
 
 
 def p_service_wallets(spark, folder):
@@ -53,17 +64,30 @@ def p_service_wallets(spark, folder):
 
 def p_coinjoin_rounds(spark, folder):
     r = pt.coinjoin_rounds(derived_flows(spark, folder))
-    return r.select("txid", "participant_count", "denomination", F.round("fraction", 9).alias("fraction"), F.array_join("input_wallets", ",").alias("input_wallets"), F.array_join("output_wallets", ",").alias("output_wallets"))
+    return r.select(
+        "txid",
+        "participant_count",
+        "denomination",
+        F.round("fraction", 9).alias("fraction"),
+        F.array_join("input_wallets", ",").alias("input_wallets"),
+        F.array_join("output_wallets", ",").alias("output_wallets")
+    )
 
 
 def p_coinjoin_rows(spark, folder):
-    return pt.round_rows(pt.coinjoin_rounds(derived_flows(spark, folder))).select("node_id", F.round("score", 9).alias("score"), "reason_code")
+    return pt.round_rows(pt.coinjoin_rounds(derived_flows(spark, folder))).select(
+        "node_id", F.round("score", 9).alias("score"), "reason_code"
+    )
 
 
 def _similar(spark, folder, sides: int = 0):
     """With sides, the nodes of a type are parted by the signs of that many coordinates, which makes small populations."""
-    vectors = table(spark, folder, "node_features", "node_type", "node_id", "embedding").where("embedding is not null").dropDuplicates(["node_type", "node_id"])
-    refs = table(spark, folder, "pattern_sim_matches", "node_type", "pattern_type", "nearest_reference_id").dropna().distinct().withColumnRenamed("nearest_reference_id", "node_id")
+    vectors = table(
+        spark, folder, "node_features", "node_type", "node_id", "embedding"
+    ).where("embedding is not null").dropDuplicates(["node_type", "node_id"])
+    refs = table(
+        spark, folder, "pattern_sim_matches", "node_type", "pattern_type", "nearest_reference_id"
+    ).dropna().distinct().withColumnRenamed("nearest_reference_id", "node_id")
     if sides:
         kind = F.concat("node_type", *(F.when(F.get("embedding", i) > 0, "+").otherwise("-") for i in range(sides))).alias("kind")
         kinds = vectors.select("node_type", "node_id", kind)
@@ -77,11 +101,15 @@ def p_nearest_reference(spark, folder):
 
 
 def p_pattern_similarity(spark, folder):
-    return sm.flag_outliers(_similar(spark, folder, SIDES)).select("node_type", "pattern_type", "node_id", F.round("similarity", 6).alias("similarity"))
+    return sm.flag_outliers(_similar(spark, folder, SIDES)).select(
+        "node_type", "pattern_type", "node_id", F.round("similarity", 6).alias("similarity")
+    )
 
 
 def p_similarity_rows(spark, folder):
-    return sm.similarity_rows(sm.flag_outliers(_similar(spark, folder, SIDES))).select("node_id", F.round("score", 6).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("reason"))
+    return sm.similarity_rows(sm.flag_outliers(_similar(spark, folder, SIDES))).select(
+        "node_id", F.round("score", 6).alias("score"), F.element_at(F.split("reason_code", "="), 1).alias("reason")
+    )
 
 
 _HOPS = """dom as (select txid, arg_max(w, (a, -pos)) as target, max(a) as carried, sum(a) as total, count(*) as n from outs group by txid),
@@ -95,7 +123,11 @@ _SIM = """,
 r as (select distinct node_type, pattern_type, nearest_reference_id as node_id from pattern_sim_matches where nearest_reference_id is not null and pattern_type is not null and node_type is not null),
 rv as (select r.node_type, pattern_type, r.node_id, e from r join v using (node_type, node_id)), c as (select * from v where (node_type, node_id) not in (select node_type, node_id from r)),
 best as (select c.node_type, pattern_type, c.node_id, max(list_dot_product(c.e, rv.e) / ((sqrt(list_dot_product(c.e, c.e)) + 1e-12) * (sqrt(list_dot_product(rv.e, rv.e)) + 1e-12))) as similarity from c join rv on c.node_type = rv.node_type group by all)"""
-_SIM_SIDED = _SIM.replace("r as (", "r0 as (", 1).replace("rv as (", "r as (select v.node_type, pattern_type, node_id from r0 join v0 using (node_id) join v using (node_id) where v0.nt = r0.node_type and starts_with(v.node_type, v0.nt)),\nrv as (", 1)
+_SIM_SIDED = _SIM.replace("r as (", "r0 as (", 1).replace(
+    "rv as (",
+    "r as (select v.node_type, pattern_type, node_id from r0 join v0 using (node_id) join v using (node_id) where v0.nt = r0.node_type and starts_with(v.node_type, v0.nt)),\nrv as (",
+    1
+)
 _FLAG = """s as (select node_type, pattern_type, count(*) as n, avg(similarity) as m, stddev_pop(similarity) as d from best group by all),
 hit as (select best.* from best join s using (node_type, pattern_type) where similarity >= 0.95 and (n < 30 or (d >= 1e-8 and similarity - m > 3 * d)))"""
 _SHOWN = " select txid, source, target, round(carried, 6) as carried, round(share, 6) as share from hops"

@@ -52,10 +52,22 @@ def embeddings(features: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, relations, width = _inputs(features, edges, scratch)
     x = scratch.write(mo.propagated_features(nodes, relations, width), "propagated")
     e = mo.fit_link_projection(x, relations).apply(x)
-    return e.select(F.substring_index("node_id", ":", 1).alias("node_type"), F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("node_id"), "embedding")
-
-
-def second_pass(nodes: DataFrame, edges: DataFrame, features: DataFrame, entities: DataFrame, protect_multiwallet: bool = False, least_probability: float = 0.0, drop_broadcasters: bool = False) -> dict[str, DataFrame]:
+    return e.select(
+        F.substring_index("node_id", ":", 1).alias("node_type"),
+        F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("node_id"),
+        "embedding"
+    )
+
+
+def second_pass(
+    nodes: DataFrame,
+    edges: DataFrame,
+    features: DataFrame,
+    entities: DataFrame,
+    protect_multiwallet: bool = False,
+    least_probability: float = 0.0,
+    drop_broadcasters: bool = False
+) -> dict[str, DataFrame]:
     """Pass 2 of entity resolution: entities, log and the edges with SAME_ENTITY, from clusters of all wallets' embeddings."""
     scratch = Scratch(edges.sparkSession, "second-pass")
     e = embeddings(features, gr.without_busy_broadcasters(edges) if drop_broadcasters else edges)
@@ -70,7 +82,9 @@ def pattern_scores(flows_: DataFrame, features: DataFrame, edges: DataFrame) ->
     """Rows of chains, rounds and of the nodes that are similar to their members."""
     scratch = Scratch(edges.sparkSession, "patterns")
     chains, rounds = scratch.write(pt.peeling_chains(flows_), "chains"), scratch.write(pt.coinjoin_rounds(flows_), "rounds")
-    member = lambda df, kind, pattern, ids: df.select(F.lit(kind).alias("node_type"), F.lit(pattern).alias("pattern_type"), F.explode(ids).alias("node_id"))
+    member = lambda df, kind, pattern, ids: df.select(
+        F.lit(kind).alias("node_type"), F.lit(pattern).alias("pattern_type"), F.explode(ids).alias("node_id")
+    )
     references = reduce(DataFrame.unionByName, [
         member(chains, "Wallet", "peeling", "wallets"),
         member(chains, "Transaction", "peeling", "txids"),
@@ -90,7 +104,9 @@ def attention(targets: DataFrame, features: DataFrame, edges: DataFrame, seed: i
     scratch = Scratch(edges.sparkSession, "evidence")
     nodes, relations, width = _inputs(features, edges, scratch)
     wanted = targets.select("node_id").distinct()
-    ends = scratch.write(features.join(wanted, "node_id", "left_semi").select(F.concat_ws(":", "node_type", "node_id").alias("dst")).distinct(), "targets")
+    ends = scratch.write(
+        features.join(wanted, "node_id", "left_semi").select(F.concat_ws(":", "node_type", "node_id").alias("dst")).distinct(), "targets"
+    )
     last = scratch.write(relations.join(ends, "dst", "left_semi"), "last")
     first = scratch.write(relations.join(ends.unionByName(last.select(F.col("src").alias("dst"))).distinct(), "dst", "left_semi"), "first")
     rng = np.random.default_rng(seed)
@@ -99,7 +115,9 @@ def attention(targets: DataFrame, features: DataFrame, edges: DataFrame, seed: i
     _, outer = mo.attention_layer(scratch.write(middle, "middle"), last, *draw(out))
     bare = lambda c: F.substring(c, F.instr(c, ":") + 1, F.length(c))
     found = mo.attention_evidence(ends.withColumnRenamed("dst", "node_id"), outer, scratch.write(inner, "inner"))
-    flat = found.select(bare(F.col("node_id")).alias("node_id"), F.explode("neighbors").alias("n")).groupBy("node_id", bare(F.col("n.node_id")).alias("near")).agg(F.max("n.weight").alias("weight"))
+    flat = found.select(
+        bare(F.col("node_id")).alias("node_id"), F.explode("neighbors").alias("n")
+    ).groupBy("node_id", bare(F.col("n.node_id")).alias("near")).agg(F.max("n.weight").alias("weight"))
     return flat.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("weight", F.col("near").alias("node_id")))).alias("neighbors"))
 
 
@@ -113,7 +131,9 @@ def run(transactions: DataFrame, seeds: DataFrame) -> dict[str, DataFrame]:
     edges = scratch.write(gr.edges(f, gr.wallet_links(links, nodes, "CO_SPEND")), "edges_pass1")
     features = scratch.write(node_features(nodes, edges, f, first), "features")
     second = second_pass(nodes, edges, features, first)
-    entities, edges, log = scratch.write(second["entities"], "entities"), scratch.write(second["edges"], "edges"), scratch.write(second["log"], "log")
+    entities, edges, log = scratch.write(
+        second["entities"], "entities"
+    ), scratch.write(second["edges"], "edges"), scratch.write(second["log"], "log")
     pattern = scratch.write(pattern_scores(f, features, edges), "pattern")
     owned = gr.ownership_links(edges)
     risk = scratch.write(rk.risk_rows(rk.combine_risk(rk.ownership_risk(owned, seeds), rk.flow_taint(f, seeds))), "risk")
@@ -122,7 +142,19 @@ def run(transactions: DataFrame, seeds: DataFrame) -> dict[str, DataFrame]:
     scored = scratch.write(fu.dedupe_by_entity(fu.rank_scores(fu.component_table(pattern, risk, anomaly)), entities), "scored")
     near = scratch.write(attention(fu.queue_nodes(scored), features, edges), "attention")
     alerts = scratch.write(fu.build_alerts(scored, pattern, risk, anomaly, attention=near), "alerts")
-    return {"flows": f, "nodes": nodes, "edges": edges, "entities": entities, "log": log, "features": features, "pattern": pattern, "risk": risk, "anomaly": anomaly, "attention": near, "alerts": alerts}
+    return {
+        "flows": f,
+        "nodes": nodes,
+        "edges": edges,
+        "entities": entities,
+        "log": log,
+        "features": features,
+        "pattern": pattern,
+        "risk": risk,
+        "anomaly": anomaly,
+        "attention": near,
+        "alerts": alerts
+    }
 
 
 def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool = True, anomaly: DataFrame | None = None) -> DataFrame:
@@ -139,7 +171,9 @@ def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool
     peel = truth["patterns"].where("type = 'peeling'").select(F.col("pattern_id").alias("set_id"), F.explode("txids").alias("member"))
     rounds = truth["patterns"].where("type = 'coinjoin'").select(F.explode("txids").alias("txid"))
     bad = truth["entities"].where(F.col("entity_type").isin("ransomware", "darknet", "mixer")).select(F.col("wallet_id").alias("node_id"))
-    wallets = truth["entities"].select(F.col("wallet_id").alias("node_id"), F.col("entity_type").isin("ransomware", "darknet", "mixer").cast("int").alias("label"))
+    wallets = truth["entities"].select(
+        F.col("wallet_id").alias("node_id"), F.col("entity_type").isin("ransomware", "darknet", "mixer").cast("int").alias("label")
+    )
     return ev.summary({
         "er": en.pairwise_quality(predicted, truth["entities"]).select("precision", "recall", "f1"),
         "peeling": ev.overlap_quality(chains, peel),
@@ -149,7 +183,11 @@ def quality(transactions: DataFrame, truth: dict[str, DataFrame], network: bool
     })
 
 
-def ablation(spark: SparkSession, noise: dict[str, float] | None = None, config: Config = Config(seed=71, entities=500, wallets=5_000, transactions=5_000, mixer_share=0.05)) -> DataFrame:
+def ablation(
+    spark: SparkSession,
+    noise: dict[str, float] | None = None,
+    config: Config = Config(seed=71, entities=500, wallets=5_000, transactions=5_000, mixer_share=0.05)
+) -> DataFrame:
     """(noise_level, ip_noise, condition, metric, value) for each noise level, with and without the network layer."""
     out = []
     for level, rate in (noise or {"low": 0.01, "medium": 0.05, "high": 0.20}).items():
@@ -158,5 +196,13 @@ def ablation(spark: SparkSession, noise: dict[str, float] | None = None, config:
         ledger = scratch.write(accepted(data["raw"]), "ledger")
         for condition, network in (("dual_layer", True), ("on_chain_only", False)):
             q = quality(ledger, data, network)
-            out.append(q.select(F.lit(level).alias("noise_level"), F.lit(rate).alias("ip_noise"), F.lit(condition).alias("condition"), "metric", F.round("value", 6).alias("value")))
+            out.append(
+                q.select(
+                    F.lit(level).alias("noise_level"),
+                    F.lit(rate).alias("ip_noise"),
+                    F.lit(condition).alias("condition"),
+                    "metric",
+                    F.round("value", 6).alias("value")
+                )
+            )
     return reduce(DataFrame.unionByName, out)

@@ -7,7 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["core_queries", "ingest_queries", "graph_queries", "entity_queries", "pattern_queries", "risk_queries", "fusion_queries", "model_queries", "synth_queries"]
+_MODULES = [
+    "core_queries",
+    "ingest_queries",
+    "graph_queries",
+    "entity_queries",
+    "pattern_queries",
+    "risk_queries",
+    "fusion_queries",
+    "model_queries",
+    "synth_queries"
+]
 
 
 def _sources() -> list:

@@ -35,7 +35,9 @@ def r5_isolated_seeds(spark, folder):
     """What the ownership head gives the seeds that no link names."""
     l = _links(spark, folder)
     ends = l.select(F.col("a").alias("node_id")).unionByName(l.select(F.col("b").alias("node_id")))
-    return rk.ownership_risk(l, _seeds(spark, folder)).join(ends, "node_id", "left_anti").select("node_id", F.round("score", 9).alias("score"))
+    return rk.ownership_risk(l, _seeds(spark, folder)).join(ends, "node_id", "left_anti").select(
+        "node_id", F.round("score", 9).alias("score")
+    )
 
 
 def r8_flow_order(spark, folder):
@@ -43,7 +45,9 @@ def r8_flow_order(spark, folder):
 
 
 def r7_ownership_risk(spark, folder):
-    return rk.ownership_risk(_links(spark, folder), _seeds(spark, folder)).select("node_id", F.round("score", 9).alias("score"), "seed_distance", "nearest_seed")
+    return rk.ownership_risk(_links(spark, folder), _seeds(spark, folder)).select(
+        "node_id", F.round("score", 9).alias("score"), "seed_distance", "nearest_seed"
+    )
 
 
 def r9_degree_cutoff(spark, folder):
@@ -51,11 +55,15 @@ def r9_degree_cutoff(spark, folder):
 
 
 def r10_flow_taint(spark, folder):
-    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select("node_id", F.round("score", 9).alias("score"), "seed_distance", "nearest_seed", F.array_join("path", ",").alias("path"))
+    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select(
+        "node_id", F.round("score", 9).alias("score"), "seed_distance", "nearest_seed", F.array_join("path", ",").alias("path")
+    )
 
 
 def r10_flow_scores(spark, folder):
-    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select("node_id", F.round("score", 9).alias("score"), "seed_distance")
+    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select(
+        "node_id", F.round("score", 9).alias("score"), "seed_distance"
+    )
 
 
 def r10_flow_taint_derived(spark, folder):
@@ -66,7 +74,9 @@ def r10_flow_taint_derived(spark, folder):
 
 def r12_combined(spark, folder):
     l, s = _links(spark, folder), _seeds(spark, folder)
-    return rk.risk_rows(rk.combine_risk(rk.ownership_risk(l, s), rk.flow_taint(ledger_flows(spark, folder), s))).select("node_id", F.round("score", 9).alias("score"), "reason_code")
+    return rk.risk_rows(
+        rk.combine_risk(rk.ownership_risk(l, s), rk.flow_taint(ledger_flows(spark, folder), s))
+    ).select("node_id", F.round("score", 9).alias("score"), "reason_code")
 
 
 def _stored(spark, folder, swapped: bool = False):
@@ -94,10 +104,12 @@ def _taint(seeds: str, flows: str = FLOWS) -> str:
     """The fixpoint of the taint by recomputing everything in each of _ROUNDS rounds."""
     steps = []
     for k in range(_ROUNDS):
-        steps.append(f"""b{k} as materialized (select s.txid, s.seq, s.cj, s.total, s.pos, s.w, s.a, max(r.t) as t, arg_max(r.h, (r.t, -r.seq, r.h)) as h from spent s join r{k} r on r.w = s.w and r.seq < s.seq group by all),
+        steps.append(
+            f"""b{k} as materialized (select s.txid, s.seq, s.cj, s.total, s.pos, s.w, s.a, max(r.t) as t, arg_max(r.h, (r.t, -r.seq, r.h)) as h from spent s join r{k} r on r.w = s.w and r.seq < s.seq group by all),
 h{k} as materialized (select txid, seq, cj, case when cj then 0.9::double * sum(a * t) / any_value(total) else 0.9::double * max(t) end as t, arg_max(h, (t, -pos)) + 1 as h from b{k} group by txid, seq, cj),
 r{k + 1} as materialized (select w, -1::bigint as seq, 1.0::double as t, 0::bigint as h from sd union all
-select w, seq, max(t), arg_max(h, (t, -o, h)) from (select s.w, h.seq, h.t, h.h, 0 as o from spent s join h{k} h using (txid) where not h.cj union all select o.w, h.seq, h.t, h.h, 1 from outs o join h{k} h using (txid) where h.t >= 0.01 and h.h <= 8) group by w, seq)""")
+select w, seq, max(t), arg_max(h, (t, -o, h)) from (select s.w, h.seq, h.t, h.h, 0 as o from spent s join h{k} h using (txid) where not h.cj union all select o.w, h.seq, h.t, h.h, 1 from outs o join h{k} h using (txid) where h.t >= 0.01 and h.h <= 8) group by w, seq)"""
+        )
     return f"""{flows}, {COINJOIN}, tot as (select txid, sum(a) as total from ins group by txid), ord as materialized (select txid, row_number() over (order by at_us is null, at_us, txid) - 1 as seq, total, txid in (select txid from coinjoin) as cj from tx join tot using (txid) where total > 0),
 dg as (select w, count(*) as g from (select w from ins union all select w from outs) group by w), og as (select g, row_number() over (order by g) - 1 as i, count(*) over () as n from dg), busy as (select w from dg where g > (select min(g) from og where i >= least(n - 1, floor(0.999::double * n)))),
 spent as materialized (select txid, seq, cj, total, pos, w, a from ins join ord using (txid) where w not in (select w from busy)), sd as materialized ({seeds}), r0 as (select w, -1::bigint as seq, 1.0::double as t, 0::bigint as h from sd), {", ".join(steps)}"""
@@ -111,16 +123,13 @@ ranks as (select v, x, max(x) over () as top from pr where i = 190), raw as (sel
 own as (select node_id, round(q / max(q) over (), 9) as score, d as seed_distance, s as nearest_seed from raw)"""
 _STORED = "a as (select distinct * from risk_scores where nearest_seed is not null and score is not null and node_id is not null and seed_distance is not null)"
 SQL = {
-    "r3_paths": f"with recursive {_WALK}, dist as materialized (select * from walk), par as materialized (select n.node_id, min(p.node_id) as p from dist n join sym on sym.b = n.node_id join dist p on p.node_id = sym.a and p.d = n.d - 1 and p.s = n.s group by n.node_id), "
-    "way(node_id, path) as (select s, s from seeds union all select par.node_id, way.path || ',' || par.node_id from way join par on par.p = way.node_id) select node_id, path from way",
+    "r3_paths": f"with recursive {_WALK}, dist as materialized (select * from walk), par as materialized (select n.node_id, min(p.node_id) as p from dist n join sym on sym.b = n.node_id join dist p on p.node_id = sym.a and p.d = n.d - 1 and p.s = n.s group by n.node_id), " "way(node_id, path) as (select s, s from seeds union all select par.node_id, way.path || ',' || par.node_id from way join par on par.p = way.node_id) select node_id, path from way",
     "r7_ownership_risk": f"with recursive {_OWN} select * from own",
     "r8_flow_order": f"with {FLOWS}, tot as (select txid, sum(a) as total from ins group by txid) select txid, row_number() over (order by at_us is null, at_us, txid) - 1 as seq from tx join tot using (txid) where total > 0",
     "r10_flow_scores": f"with {_taint('select distinct nearest_seed as w from risk_scores where nearest_seed is not null')} {_TAINTED}",
     "r10_flow_taint_derived": f"""with {_taint("select distinct w from ins where w like '%77'", DERIVED)} {_TAINTED}""",
-    "r12_combined": f"with recursive {_OWN}, {_taint('select s as w from seeds')}, u as (select node_id, score, 1 as o, seed_distance from own union all select node_id, score, 0, seed_distance from ({_TAINTED})) "
-    "select node_id, score, 'SEED_DIST=' || seed_distance as reason_code from u qualify row_number() over (partition by node_id order by score desc, o desc, seed_distance desc) = 1",
-    "r12_stronger": f"with {_STORED}, u as (select *, 1 as o from a union all select node_id, 1 - score, seed_distance, nearest_seed, 0 from a where seed_distance % 2 = 1) "
-    "select node_id, round(score, 12) as score, seed_distance, nearest_seed from u qualify row_number() over (partition by node_id order by score desc, o desc, seed_distance desc, nearest_seed desc) = 1",
+    "r12_combined": f"with recursive {_OWN}, {_taint('select s as w from seeds')}, u as (select node_id, score, 1 as o, seed_distance from own union all select node_id, score, 0, seed_distance from ({_TAINTED})) " "select node_id, score, 'SEED_DIST=' || seed_distance as reason_code from u qualify row_number() over (partition by node_id order by score desc, o desc, seed_distance desc) = 1",
+    "r12_stronger": f"with {_STORED}, u as (select *, 1 as o from a union all select node_id, 1 - score, seed_distance, nearest_seed, 0 from a where seed_distance % 2 = 1) " "select node_id, round(score, 12) as score, seed_distance, nearest_seed from u qualify row_number() over (partition by node_id order by score desc, o desc, seed_distance desc, nearest_seed desc) = 1",
     "r13_risk_rows": f"""with {_STORED} select node_id, round(score, 12) as score, 'SEED_DIST=' || seed_distance as reason_code, '{{"seed_distance":' || seed_distance || ',"nearest_seed":"' || nearest_seed || '","path":["' || nearest_seed || '","' || node_id || '"]}}' as evidence_json from a""",
     "r2_seed_distances": f"with recursive {_BFS}, walk(node_id, d, s) using key (node_id) as (select s, 0::bigint, s from seeds union select sym.b, min(walk.d + 1), arg_min(walk.s, (walk.d + 1, walk.s)) from walk join sym on sym.a = walk.node_id left join recurring.walk as r on r.node_id = sym.b where r.node_id is null or (r.d, r.s) > (walk.d + 1, walk.s) group by sym.b) select node_id, d as seed_distance, s as nearest_seed from walk",
     "r5_isolated_seeds": f"with recursive {_OWN} select node_id, score from own where node_id not in (select a from sym)",

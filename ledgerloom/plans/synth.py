@@ -70,7 +70,13 @@ def networks(spark: SparkSession) -> DataFrame:
     """The 64 networks: octets, asn and country follow from the number."""
     i = F.col("id")
     country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (i % len(COUNTRIES) + 1).cast("int"))
-    return spark.range(NETWORKS).select(i.alias("net"), (20 + (7 * i) % 200).alias("octet1"), ((37 * i) % 256).alias("octet2"), (64512 + i).alias("asn"), country.alias("geo_country"))
+    return spark.range(NETWORKS).select(
+        i.alias("net"),
+        (20 + (7 * i) % 200).alias("octet1"),
+        ((37 * i) % 256).alias("octet2"),
+        (64512 + i).alias("asn"),
+        country.alias("geo_country")
+    )
 
 
 def entities(spark: SparkSession, c: Config) -> DataFrame:
@@ -80,12 +86,21 @@ def entities(spark: SparkSession, c: Config) -> DataFrame:
     """
     d, i = Draws(c.seed), F.col("id")
     kinds = [*TYPE_SHARES.items(), ("mixer", c.mixer_share)]
-    e = spark.range(c.entities).select(i.alias("i"), F.format_string("entity_%05d", i).alias("entity_id"), d.choice([*kinds, ("licit", 1.0)], "type", i).alias("entity_type"), d.whole(0, NETWORKS - 1, "net", i).alias("home_net"), d.whole(0, 255, "third", i).alias("home_third"), d.whole(0, 23, "hour", i).alias("peak_hour"))
+    e = spark.range(c.entities).select(
+        i.alias("i"),
+        F.format_string("entity_%05d", i).alias("entity_id"),
+        d.choice([*kinds, ("licit", 1.0)], "type", i).alias("entity_type"),
+        d.whole(0, NETWORKS - 1, "net", i).alias("home_net"),
+        d.whole(0, 255, "third", i).alias("home_third"),
+        d.whole(0, 23, "hour", i).alias("peak_hour")
+    )
     weight = F.create_map(*(F.lit(x) for kv in WALLET_WEIGHTS.items() for x in kv))[F.col("entity_type")]
     total = e.agg(F.sum(weight).alias("total"))
     e = e.crossJoin(F.broadcast(total)).withColumn("base", F.floor(weight / F.col("total") * c.wallets).cast("bigint"))
     rest = e.agg((F.lit(c.wallets) - F.sum("base")).alias("rest"))
-    e = e.crossJoin(F.broadcast(rest)).withColumn("wallet_count", F.col("base") + F.floor(F.col("rest") / c.entities) + (F.col("i") < F.col("rest") % c.entities).cast("bigint"))
+    e = e.crossJoin(F.broadcast(rest)).withColumn(
+        "wallet_count", F.col("base") + F.floor(F.col("rest") / c.entities) + (F.col("i") < F.col("rest") % c.entities).cast("bigint")
+    )
     upto = F.sum("wallet_count").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as entities
     return e.withColumn("lo", F.coalesce(upto, F.lit(0))).drop("total", "base", "rest")
 
@@ -96,7 +111,9 @@ def wallet_name(number: Column) -> Column:
 
 def wallets(e: DataFrame) -> DataFrame:
     """(wallet_no, wallet_id, entity_id, entity_type)."""
-    w = e.where("wallet_count > 0").select("entity_id", "entity_type", F.explode(F.expr("sequence(lo, lo + wallet_count - 1)")).alias("wallet_no"))
+    w = e.where("wallet_count > 0").select(
+        "entity_id", "entity_type", F.explode(F.expr("sequence(lo, lo + wallet_count - 1)")).alias("wallet_no")
+    )
     return w.select("wallet_no", wallet_name(F.col("wallet_no")).alias("wallet_id"), "entity_id", "entity_type")
 
 
@@ -124,7 +141,22 @@ def _network(df: DataFrame, c: Config, key: Column) -> DataFrame:
     )
 
 
-_COLUMNS = ["txid", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "geo_country", "asn", "input_addresses", "input_amounts", "output_addresses", "output_amounts", "fee", "script_type"]
+_COLUMNS = [
+    "txid",
+    "timestamp",
+    "src_ip",
+    "dst_ip",
+    "src_port",
+    "dst_port",
+    "geo_country",
+    "asn",
+    "input_addresses",
+    "input_amounts",
+    "output_addresses",
+    "output_amounts",
+    "fee",
+    "script_type"
+]
 
 
 def _txid(c: Config, *label: Column) -> Column:
@@ -143,14 +175,29 @@ def baseline(spark: SparkSession, e: DataFrame, c: Config) -> DataFrame:
     split = lambda total, name: F.round(d.between(0.15, 0.85, name, n) * total, 8)
     me, to = wallet_name(F.col("wallet_no")), wallet_name(d.whole(0, c.wallets - 1, "to", n))
     tx = tx.withColumns({"txid": _txid(c, F.lit("tx"), n), "fee": fee, "_in": amount + fee, "_out": amount})
-    parts = lambda one, total, name: F.when(one, F.array(F.round(total, 8))).otherwise(F.array(split(F.col(total), name), F.round(F.col(total) - split(F.col(total), name), 8)))
-    return tx.withColumns({"input_addresses": F.when(one_in, F.array(me)).otherwise(F.array(me, me)), "input_amounts": parts(one_in, "_in", "cut-in"), "output_addresses": F.when(one_out, F.array(to)).otherwise(F.array(to, me)), "output_amounts": parts(one_out, "_out", "cut-out")}).select("n", *_COLUMNS)
+    parts = lambda one, total, name: F.when(one, F.array(F.round(total, 8))).otherwise(
+        F.array(split(F.col(total), name), F.round(F.col(total) - split(F.col(total), name), 8))
+    )
+    return tx.withColumns(
+        {
+            "input_addresses": F.when(one_in, F.array(me)).otherwise(F.array(me, me)),
+            "input_amounts": parts(one_in, "_in", "cut-in"),
+            "output_addresses": F.when(one_out, F.array(to)).otherwise(F.array(to, me)),
+            "output_amounts": parts(one_out, "_out", "cut-out")
+        }
+    ).select("n", *_COLUMNS)
 
 
 def peeling(e: DataFrame, c: Config) -> DataFrame:
     """One chain per darknet entity that has two wallets: the rows, with pattern_id and hop."""
     d, i = Draws(c.seed), F.col("i")
-    h = e.where("entity_type = 'darknet' and wallet_count >= 2").withColumns({"hops": F.greatest(F.lit(1), F.least(d.whole(3, 8, "hops", i), F.col("wallet_count") - 1)), "decay": d.between(0.80, 0.95, "decay", i), "pot": d.lognormal(1.0, 1.0, "pot", i)})
+    h = e.where("entity_type = 'darknet' and wallet_count >= 2").withColumns(
+        {
+            "hops": F.greatest(F.lit(1), F.least(d.whole(3, 8, "hops", i), F.col("wallet_count") - 1)),
+            "decay": d.between(0.80, 0.95, "decay", i),
+            "pot": d.lognormal(1.0, 1.0, "pot", i)
+        }
+    )
     h = h.withColumn("hop", F.explode(F.expr("sequence(0, hops - 1)")))
     key = F.concat_ws("-", F.lit("peel"), "i", "hop")
     value = lambda k: F.round(F.col("pot") * F.pow(F.col("decay"), k), 8)
@@ -162,38 +209,65 @@ def peeling(e: DataFrame, c: Config) -> DataFrame:
     target = lambda name: wallet_name(d.whole(0, c.wallets - 1, name, key))
     nxt = wallet_name(F.col("lo") + F.col("hop") + 1)
     return rows.select(
-        F.format_string("peeling_%04d", "i").alias("pattern_id"), "hop", _txid(c, F.lit("peeling"), F.col("i"), F.col("hop")).alias("txid"), *_COLUMNS[1:8],
-        F.array(wallet_name(F.col("lo") + F.col("hop"))).alias("input_addresses"), F.array(value(F.col("hop"))).alias("input_amounts"),
-        F.when(broken, F.array(nxt, target("peel-to"), target("noise-to"))).otherwise(F.array(nxt, target("peel-to"))).alias("output_addresses"),
-        F.when(broken, F.array(onward, F.round(peel - noise, 8), noise)).otherwise(F.array(onward, peel)).alias("output_amounts"), fee.alias("fee"), "script_type",
-    )
+        F.format_string("peeling_%04d", "i").alias("pattern_id"),
+        "hop",
+        _txid(c, F.lit("peeling"), F.col("i"), F.col("hop")).alias("txid"),
+        *_COLUMNS[1:8],
+        F.array(wallet_name(F.col("lo") + F.col("hop"))).alias("input_addresses"),
+        F.array(value(F.col("hop"))).alias("input_amounts"),
+        F.when(broken, F.array(nxt, target("peel-to"), target("noise-to")))
+        .otherwise(F.array(nxt, target("peel-to")))
+        .alias("output_addresses"),
+        F.when(broken, F.array(onward, F.round(peel - noise, 8), noise)).otherwise(F.array(onward, peel)).alias("output_amounts"),
+        fee.alias("fee"),
+        "script_type",
+    )
 
 
 def coinjoins(e: DataFrame, c: Config) -> DataFrame:
     """One round per mixer entity that has two wallets: equal inputs of its own, equal outputs to others."""
     d, i = Draws(c.seed), F.col("i")
-    m = e.where("entity_type = 'mixer' and wallet_count >= 2").withColumn("k", F.least(d.whole(3, 10, "participants", i), F.col("wallet_count")).cast("int"))
+    m = e.where("entity_type = 'mixer' and wallet_count >= 2").withColumn(
+        "k", F.least(d.whole(3, 10, "participants", i), F.col("wallet_count")).cast("int")
+    )
     rows = _network(m, c, F.concat_ws("-", F.lit("join"), "i"))
     coin, fee = F.round(d.lognormal(-1.5, 0.6, "coin", i), 8), F.round(d.between(*FEES, "fee", F.lit("join"), i) / F.col("k"), 8)
     broken = d.u("broken", i) < c.break_rate
     eps = F.round(d.between(0.00001, 0.05, "eps", i) * coin, 8)
     odd = F.floor(d.u("odd", i) * F.col("k"))
-    outside = lambda j: wallet_name(F.pmod(F.col("lo") + F.col("wallet_count") + F.floor(d.u("recipient", i, j) * (c.wallets - F.col("wallet_count"))), F.lit(c.wallets)))
+    outside = lambda j: wallet_name(
+        F.pmod(
+            F.col("lo") + F.col("wallet_count") + F.floor(d.u("recipient", i, j) * (c.wallets - F.col("wallet_count"))), F.lit(c.wallets)
+        )
+    )
     seq = F.expr("sequence(0, k - 1)")
     return rows.select(
-        F.format_string("coinjoin_%04d", "i").alias("pattern_id"), _txid(c, F.lit("coinjoin"), i).alias("txid"), *_COLUMNS[1:8],
-        F.transform(seq, lambda j: wallet_name(F.col("lo") + j)).alias("input_addresses"), F.transform(seq, lambda j: F.round(coin + fee, 8)).alias("input_amounts"),
-        F.transform(seq, outside).alias("output_addresses"), F.transform(seq, lambda j: F.when(broken & (j == odd), F.round(coin - eps, 8)).otherwise(coin)).alias("output_amounts"),
-        F.round(fee * F.col("k") + F.when(broken, eps).otherwise(0.0), 8).alias("fee"), "script_type",
-    )
+        F.format_string("coinjoin_%04d", "i").alias("pattern_id"),
+        _txid(c, F.lit("coinjoin"), i).alias("txid"),
+        *_COLUMNS[1:8],
+        F.transform(seq, lambda j: wallet_name(F.col("lo") + j)).alias("input_addresses"),
+        F.transform(seq, lambda j: F.round(coin + fee, 8)).alias("input_amounts"),
+        F.transform(seq, outside).alias("output_addresses"),
+        F.transform(seq, lambda j: F.when(broken & (j == odd), F.round(coin - eps, 8)).otherwise(coin)).alias("output_amounts"),
+        F.round(fee * F.col("k") + F.when(broken, eps).otherwise(0.0), 8).alias("fee"),
+        "script_type",
+    )
 
 
 def ransoms(e: DataFrame, c: Config) -> DataFrame:
     """Collect from victims, pass on through own wallets, cash out at an exchange; one life cycle per ransomware entity."""
     d, i = Draws(c.seed), F.col("i")
-    exchange = e.where("entity_type = 'exchange' and wallet_count > 0").select(F.row_number().over(Window.orderBy("i")).alias("x"), F.col("lo").alias("x_lo"), F.col("wallet_count").alias("x_count"))
+    exchange = e.where("entity_type = 'exchange' and wallet_count > 0").select(
+        F.row_number().over(Window.orderBy("i")).alias("x"), F.col("lo").alias("x_lo"), F.col("wallet_count").alias("x_count")
+    )
     many = exchange.agg(F.count("*").alias("xs"))
-    r = e.where("entity_type = 'ransomware' and wallet_count >= 2").crossJoin(F.broadcast(many)).where("xs > 0").withColumns({"victims": d.whole(3, 8, "victims", i), "layers": F.least(F.lit(2), F.col("wallet_count") - 1), "x": (1 + F.floor(d.u("exchange", i) * F.col("xs"))).cast("int")}).join(exchange, "x")
+    r = e.where("entity_type = 'ransomware' and wallet_count >= 2").crossJoin(F.broadcast(many)).where("xs > 0").withColumns(
+        {
+            "victims": d.whole(3, 8, "victims", i),
+            "layers": F.least(F.lit(2), F.col("wallet_count") - 1),
+            "x": (1 + F.floor(d.u("exchange", i) * F.col("xs"))).cast("int")
+        }
+    ).join(exchange, "x")
     ransom = lambda v: F.round(d.lognormal(-1.0, 0.8, "ransom", i, v), 8)
     r = r.withColumn("total", F.aggregate(F.expr("sequence(1, victims)"), F.lit(0.0), lambda s, v: s + ransom(v)))
     steps = r.withColumn("step", F.explode(F.expr("sequence(1, victims + layers + 1)")))
@@ -202,17 +276,33 @@ def ransoms(e: DataFrame, c: Config) -> DataFrame:
     rows = _network(steps, c, key).withColumn("_f", fee)
     hop = F.col("step") - F.col("victims")  # 1 .. layers: passing on, layers + 1: cashing out
     collect = hop <= 0
-    paid = F.aggregate(F.expr("sequence(1, greatest(step - victims, 1))"), F.lit(0.0), lambda s, k: s + F.round(d.between(*FEES, "fee", F.concat_ws("-", F.lit("ransom"), F.col("i"), F.col("victims") + k)), 8))
+    paid = F.aggregate(
+        F.expr("sequence(1, greatest(step - victims, 1))"),
+        F.lit(0.0),
+        lambda s, k: s + F.round(d.between(*FEES, "fee", F.concat_ws("-", F.lit("ransom"), F.col("i"), F.col("victims") + k)), 8)
+    )
     value = F.round(F.col("total") - paid, 8)
     before = F.round(value + F.col("_f"), 8)
-    victim = wallet_name(F.pmod(F.col("lo") + F.col("wallet_count") + F.floor(d.u("victim", i, F.col("step")) * (c.wallets - F.col("wallet_count"))), F.lit(c.wallets)))
+    victim = wallet_name(
+        F.pmod(
+            F.col("lo") + F.col("wallet_count") + F.floor(d.u("victim", i, F.col("step")) * (c.wallets - F.col("wallet_count"))),
+            F.lit(c.wallets)
+        )
+    )
     cash = wallet_name(F.col("x_lo") + F.floor(d.u("cash", i) * F.col("x_count")))
     label = F.when(collect, "collect").when(hop <= F.col("layers"), "layer").otherwise("cashout")
     return rows.select(
-        _txid(c, F.lit("ransomware"), i, label, F.col("step")).alias("txid"), *_COLUMNS[1:8],
-        F.array(F.when(collect, victim).otherwise(wallet_name(F.col("lo") + hop - 1))).alias("input_addresses"), F.array(F.when(collect, F.round(ransom(F.col("step")) + F.col("_f"), 8)).otherwise(before)).alias("input_amounts"),
-        F.array(F.when(collect, wallet_name(F.col("lo"))).when(hop <= F.col("layers"), wallet_name(F.col("lo") + hop)).otherwise(cash)).alias("output_addresses"), F.array(F.when(collect, ransom(F.col("step"))).otherwise(value)).alias("output_amounts"), F.col("_f").alias("fee"), "script_type",
-    )
+        _txid(c, F.lit("ransomware"), i, label, F.col("step")).alias("txid"),
+        *_COLUMNS[1:8],
+        F.array(F.when(collect, victim).otherwise(wallet_name(F.col("lo") + hop - 1))).alias("input_addresses"),
+        F.array(F.when(collect, F.round(ransom(F.col("step")) + F.col("_f"), 8)).otherwise(before)).alias("input_amounts"),
+        F.array(
+            F.when(collect, wallet_name(F.col("lo"))).when(hop <= F.col("layers"), wallet_name(F.col("lo") + hop)).otherwise(cash)
+        ).alias("output_addresses"),
+        F.array(F.when(collect, ransom(F.col("step"))).otherwise(value)).alias("output_amounts"),
+        F.col("_f").alias("fee"),
+        "script_type",
+    )
 
 
 def corrupted(rows: DataFrame, c: Config, scratch: Scratch) -> DataFrame:
@@ -220,9 +310,17 @@ def corrupted(rows: DataFrame, c: Config, scratch: Scratch) -> DataFrame:
     output, an unreadable timestamp."""
     k = round(c.transactions * CORRUPTED)
     d = Draws(c.seed)
-    slot = numbered_rows(rows.withColumn("_h", d.u("spoil", F.col("n"))), [F.col("_h"), F.col("n")], scratch, "slot", "spoil").withColumn("kind", F.when(F.col("slot") < k, F.col("slot") % 3))
+    slot = numbered_rows(
+        rows.withColumn("_h", d.u("spoil", F.col("n"))), [F.col("_h"), F.col("n")], scratch, "slot", "spoil"
+    ).withColumn("kind", F.when(F.col("slot") < k, F.col("slot") % 3))
     first = F.transform("output_amounts", lambda a, j: F.when(j == 0, -F.abs(a)).otherwise(a))
-    return slot.withColumns({"txid": F.when(F.col("kind") == 0, F.concat(F.lit("BADCHECKSUM_"), F.col("n").cast("string"))).otherwise(F.col("txid")), "output_amounts": F.when(F.col("kind") == 1, first).otherwise(F.col("output_amounts")), "timestamp": F.when(F.col("kind") == 2, "NOT-A-TIMESTAMP").otherwise(F.col("timestamp"))}).select(*_COLUMNS)
+    return slot.withColumns(
+        {
+            "txid": F.when(F.col("kind") == 0, F.concat(F.lit("BADCHECKSUM_"), F.col("n").cast("string"))).otherwise(F.col("txid")),
+            "output_amounts": F.when(F.col("kind") == 1, first).otherwise(F.col("output_amounts")),
+            "timestamp": F.when(F.col("kind") == 2, "NOT-A-TIMESTAMP").otherwise(F.col("timestamp"))
+        }
+    ).select(*_COLUMNS)
 
 
 def seed_wallets(w: DataFrame, c: Config) -> DataFrame:
@@ -238,8 +336,20 @@ def generate(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     scratch = Scratch(spark, "synth")
     e = scratch.write(entities(spark, c), "entities")
     peel, join = scratch.write(peeling(e, c), "peeling"), scratch.write(coinjoins(e, c), "coinjoins")
-    raw = corrupted(baseline(spark, e, c), c, scratch).unionByName(peel.select(*_COLUMNS)).unionByName(join.select(*_COLUMNS)).unionByName(ransoms(e, c).select(*_COLUMNS))
-    sets = peel.withColumn("type", F.lit("peeling")).unionByName(join.withColumns({"hop": F.lit(0).cast("bigint"), "type": F.lit("coinjoin")}))
-    patterns = sets.groupBy("pattern_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "txid"))), lambda x: x["txid"]).alias("txids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("input_addresses", "output_addresses"))))).alias("wallets"))
+    raw = corrupted(
+        baseline(spark, e, c), c, scratch
+    ).unionByName(peel.select(*_COLUMNS)).unionByName(join.select(*_COLUMNS)).unionByName(ransoms(e, c).select(*_COLUMNS))
+    sets = peel.withColumn("type", F.lit("peeling")).unionByName(
+        join.withColumns({"hop": F.lit(0).cast("bigint"), "type": F.lit("coinjoin")})
+    )
+    patterns = sets.groupBy("pattern_id", "type").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("hop", "txid"))), lambda x: x["txid"]).alias("txids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("input_addresses", "output_addresses"))))).alias("wallets")
+    )
     w = wallets(e)
-    return {"raw": scratch.write(raw, "raw"), "entities": w.select("wallet_id", "entity_id", "entity_type"), "patterns": patterns, "seeds": seed_wallets(w, c)}
+    return {
+        "raw": scratch.write(raw, "raw"),
+        "entities": w.select("wallet_id", "entity_id", "entity_type"),
+        "patterns": patterns,
+        "seeds": seed_wallets(w, c)
+    }

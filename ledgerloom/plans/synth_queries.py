@@ -26,11 +26,15 @@ def y3_wallets(spark, folder):
 
 
 def y4_transactions(spark, folder):
-    return synth.generate(spark, sized(spark, folder))["raw"].select("txid", "timestamp", "src_ip", "asn", F.size("input_addresses").alias("inputs"), F.size("output_addresses").alias("outputs"), "fee")
+    return synth.generate(spark, sized(spark, folder))["raw"].select(
+        "txid", "timestamp", "src_ip", "asn", F.size("input_addresses").alias("inputs"), F.size("output_addresses").alias("outputs"), "fee"
+    )
 
 
 def y8_patterns(spark, folder):
-    return synth.generate(spark, sized(spark, folder))["patterns"].select("pattern_id", "type", F.size("txids").alias("txs"), F.size("wallets").alias("wallets"))
+    return synth.generate(spark, sized(spark, folder))["patterns"].select(
+        "pattern_id", "type", F.size("txids").alias("txs"), F.size("wallets").alias("wallets")
+    )
 
 
 def v7_ablation(spark, folder):
@@ -44,5 +48,9 @@ def x12_pipeline_alerts(spark, folder):
     return alerts.select("alert_id", "node_id", F.round("final_score", 6).alias("final_score"), "rationale")
 
 
-SQL = {"y1_networks": "select i as net, 20 + (7 * i) % 200 as octet1, (37 * i) % 256 as octet2, 64512 + i as asn, ['US', 'DE', 'NL', 'SG', 'JP', 'GB', 'FR', 'CA', 'BR', 'KE'][i % 10 + 1] as geo_country from range(64) t(i)"}
-QUERIES = {name: globals()[name] for name in ["y1_networks", "y3_wallets", "y4_transactions", "y8_patterns", "v7_ablation", "x12_pipeline_alerts"]}
+SQL = {
+    "y1_networks": "select i as net, 20 + (7 * i) % 200 as octet1, (37 * i) % 256 as octet2, 64512 + i as asn, ['US', 'DE', 'NL', 'SG', 'JP', 'GB', 'FR', 'CA', 'BR', 'KE'][i % 10 + 1] as geo_country from range(64) t(i)"
+}
+QUERIES = {
+    name: globals()[name] for name in ["y1_networks", "y3_wallets", "y4_transactions", "y8_patterns", "v7_ablation", "x12_pipeline_alerts"]
+}

@@ -47,9 +47,17 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """<transaction> records; a list is an element with <address> or <amount> children."""
-    fields = [T.StructField(f.name, T.StructType([T.StructField(_ITEM[f.name], f.dataType)]) if f.name in LISTS else f.dataType) for f in CANONICAL]
+    fields = [
+        T.StructField(f.name, T.StructType([T.StructField(_ITEM[f.name], f.dataType)]) if f.name in LISTS else f.dataType)
+        for f in CANONICAL
+    ]
     df = spark.read.format("xml").option("rowTag", "transaction").option("nullValue", NULL_TEXT).schema(T.StructType(fields)).load(path)
-    return df.select(*(F.coalesce(F.col(f.name)[_ITEM[f.name]], F.array().cast(f.dataType)).alias(f.name) if f.name in LISTS else F.col(f.name) for f in CANONICAL))
+    return df.select(
+        *(
+            F.coalesce(F.col(f.name)[_ITEM[f.name]], F.array().cast(f.dataType)).alias(f.name) if f.name in LISTS else F.col(f.name)
+            for f in CANONICAL
+        )
+    )
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +70,34 @@ def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
     A scan numbers the rows of its splits as they lie; the rows are stored with that number, and one count per split says
     how many rows the earlier splits hold.
     """
-    kept = scratch.write(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m")), "records")
+    kept = scratch.write(
+        rows.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_at"),
+            F.monotonically_increasing_id().alias("_m")
+        ),
+        "records"
+    )
     splits = kept.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1))
     starts = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
-    return kept.join(starts, ["_file", "_at"]).withColumn("record_id", F.col("_m") - F.col("_first") + F.col("_before")).drop("_file", "_at", "_m", "_n", "_first", "_before")
+    return kept.join(starts, ["_file", "_at"]).withColumn(
+        "record_id", F.col("_m") - F.col("_first") + F.col("_before")
+    ).drop("_file", "_at", "_m", "_n", "_first", "_before")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
     """The 14 fields as texts, lists joined by |, with the reason that their scalars give."""
-    text = rows.select("record_id", *(F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "").alias(c) if isinstance(rows.schema[c].dataType, T.ArrayType) else F.col(c).cast("string").alias(c) for c in CANONICAL.names))
+    text = rows.select(
+        "record_id",
+        *(
+            F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "").alias(c)
+            if isinstance(rows.schema[c].dataType, T.ArrayType)
+            else F.col(c).cast("string").alias(c)
+            for c in CANONICAL.names
+        )
+    )
     text = text.select("record_id", *(F.coalesce(c, F.lit("")).alias(c) for c in CANONICAL.names))
     return text.withColumn("reason", scalar_reason(F.col("src_port"), F.col("fee")))
 
@@ -85,15 +111,22 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     scratch = Scratch(spark, f"records-{kind}")
     if kind == "csv":
         header = ",".join(CANONICAL.names)
-        lines = spark.read.text(path).select(F.col("value").alias("raw_line"), "_metadata").where(~F.coalesce(F.col("raw_line") == header, F.lit(False)))
+        lines = spark.read.text(path).select(F.col("value").alias("raw_line"), "_metadata").where(
+            ~F.coalesce(F.col("raw_line") == header, F.lit(False))
+        )
         return label_records(_placed(lines, scratch))
     lists = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.name in LISTS else T.StringType()) for f in CANONICAL])
     if kind == "json":
         first = spark.read.text(path).where("trim(value) != ''").head(1)
         rows = spark.read.schema(lists).json(path, multiLine=bool(first) and first[0][0].lstrip().startswith("["))
     elif kind == "xml":
-        fields = [T.StructField(f.name, T.StructType([T.StructField(_ITEM[f.name], f.dataType)]) if f.name in LISTS else f.dataType) for f in lists]
-        found = spark.read.format("xml").option("rowTag", "transaction").option("nullValue", NULL_TEXT).schema(T.StructType(fields)).load(path)
+        fields = [
+            T.StructField(f.name, T.StructType([T.StructField(_ITEM[f.name], f.dataType)]) if f.name in LISTS else f.dataType)
+            for f in lists
+        ]
+        found = spark.read.format("xml").option(
+            "rowTag", "transaction"
+        ).option("nullValue", NULL_TEXT).schema(T.StructType(fields)).load(path)
         rows = found.select(*(F.col(f.name)[_ITEM[f.name]].alias(f.name) if f.name in LISTS else F.col(f.name) for f in lists), "_metadata")
     elif kind == "parquet":
         rows = spark.read.parquet(path)
@@ -103,7 +136,9 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 #: Format name -> reader; a new format is one more entry.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"csv": read_csv, "json": read_json, "xml": read_xml, "parquet": read_parquet}
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "csv": read_csv, "json": read_json, "xml": read_xml, "parquet": read_parquet
+}
 
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -123,12 +158,22 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _iso(df: DataFrame) -> DataFrame:
-    return df.select(*(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp") if f.name == "timestamp" else F.col(f.name) for f in CANONICAL))
+    return df.select(
+        *(
+            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp") if f.name == "timestamp" else F.col(f.name)
+            for f in CANONICAL
+        )
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     text = _iso(df)
-    text.select(*(F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "").alias(c) if c in LISTS else F.col(c).cast("string").alias(c) for c in text.columns)).write.csv(path, header=True, escape='"')
+    text.select(
+        *(
+            F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "").alias(c) if c in LISTS else F.col(c).cast("string").alias(c)
+            for c in text.columns
+        )
+    ).write.csv(path, header=True, escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -136,10 +181,17 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_xml(df: DataFrame, path: str) -> None:
-    _iso(df).select(*(F.struct(F.coalesce(F.col(c), F.array().cast(CANONICAL[c].dataType)).alias(_ITEM[c])).alias(c) if c in LISTS else F.col(c) for c in df.columns if c in CANONICAL.names)).write.format("xml").option("rowTag", "transaction").option("rootTag", "transactions").option("nullValue", NULL_TEXT).save(path)
+    _iso(df).select(
+        *(
+            F.struct(F.coalesce(F.col(c), F.array().cast(CANONICAL[c].dataType)).alias(_ITEM[c])).alias(c) if c in LISTS else F.col(c)
+            for c in df.columns if c in CANONICAL.names
+        )
+    ).write.format("xml").option("rowTag", "transaction").option("rootTag", "transactions").option("nullValue", NULL_TEXT).save(path)
 
 
-WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"csv": write_csv, "json": write_json, "xml": write_xml, "parquet": lambda df, path: df.select(*CANONICAL.names).write.parquet(path)}
+WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
+    "csv": write_csv, "json": write_json, "xml": write_xml, "parquet": lambda df, path: df.select(*CANONICAL.names).write.parquet(path)
+}
 
 
 def write_alert_file(alerts: DataFrame, path: str) -> None:

@@ -31,7 +31,9 @@ def network_key(ip: Column) -> Column:
 
 def enrich(rows: DataFrame, pool: DataFrame, ip: str = "src_ip") -> DataFrame:
     """rows with pool_asn and pool_country of the address's network, null where the pool does not know it."""
-    known = small(pool.select("net_prefix", F.col("asn").alias("pool_asn"), F.col("geo_country").alias("pool_country")).dropDuplicates(["net_prefix"]))
+    known = small(
+        pool.select("net_prefix", F.col("asn").alias("pool_asn"), F.col("geo_country").alias("pool_country")).dropDuplicates(["net_prefix"])
+    )
     return rows.withColumn("net_prefix", network_key(F.col(ip))).join(known, "net_prefix", "left").drop("net_prefix")
 
 
@@ -50,7 +52,9 @@ def locate(rows: DataFrame, ranges: DataFrame, value: str, width: int = 1 << 16)
     listed = ranges.withColumn("_bucket", F.explode(F.expr(f"sequence(lo div {width}, hi div {width})")))
     keyed = rows.withColumn("_bucket", F.expr(f"`{value}` div {width}"))
     hit = (F.col(f"k.{value}") >= F.col("r.lo")) & (F.col(f"k.{value}") <= F.col("r.hi"))
-    return keyed.alias("k").join(listed.alias("r"), (F.col("k._bucket") == F.col("r._bucket")) & hit, "left").select("k.*", *(F.col(f"r.{c}") for c in ranges.columns)).drop("_bucket")
+    return keyed.alias("k").join(
+        listed.alias("r"), (F.col("k._bucket") == F.col("r._bucket")) & hit, "left"
+    ).select("k.*", *(F.col(f"r.{c}") for c in ranges.columns)).drop("_bucket")
 
 
 def ipv6_number(ip: Column) -> Column:
@@ -64,7 +68,9 @@ def ipv6_number(ip: Column) -> Column:
     known = F.size(left) + F.size(right) + F.coalesce(tail, F.lit(0))
     whole = F.concat(left, F.array_repeat(F.lit("0"), F.when(F.size(halves) == 2, 8 - known).otherwise(0)), right)
     shaped = text.rlike(r"^[0-9a-f:]+(\.?[0-9]+){0,4}$") & text.contains(":") & ~text.contains(":::") & (F.size(halves) <= 2)
-    fits = F.when(F.size(halves) == 2, known < 8).otherwise(known == 8) & F.forall(whole, lambda x: x.rlike(r"^[0-9a-f]{1,4}$") | x.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
+    fits = F.when(F.size(halves) == 2, known < 8).otherwise(known == 8) & F.forall(
+        whole, lambda x: x.rlike(r"^[0-9a-f]{1,4}$") | x.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    )
     upper = F.array_join(F.transform(F.slice(whole, 1, 4), lambda x: F.lpad(x, 4, "0")), "")
     return F.when(shaped & fits, F.conv(upper, 16, -10).cast("bigint"))
 
@@ -88,10 +94,17 @@ def judged_fields(rows: DataFrame, pool: DataFrame) -> DataFrame:
 
     rows are (record_id, reason so far, the 14 fields as text, lists joined by |), as label_records gives them.
     """
-    amounts = lambda c: F.when(F.col(c) == "", F.array().cast("array<double>")).otherwise(F.transform(F.split(c, "[|]"), lambda x: x.try_cast("double")))
+    amounts = lambda c: F.when(F.col(c) == "", F.array().cast("array<double>")).otherwise(
+        F.transform(F.split(c, "[|]"), lambda x: x.try_cast("double"))
+    )
     fee = F.trim("fee").try_cast("double")
-    checked = rows.withColumn("reason", F.coalesce("reason", reject_reason(F.col("txid"), F.col("timestamp"), amounts("input_amounts"), amounts("output_amounts"), fee)))
-    return enrich(checked, pool).withColumn("reason", F.when(F.col("reason").isNull() & F.col("pool_asn").isNull(), "unresolvable_geoip").otherwise(F.col("reason")))
+    checked = rows.withColumn(
+        "reason",
+        F.coalesce("reason", reject_reason(F.col("txid"), F.col("timestamp"), amounts("input_amounts"), amounts("output_amounts"), fee))
+    )
+    return enrich(checked, pool).withColumn(
+        "reason", F.when(F.col("reason").isNull() & F.col("pool_asn").isNull(), "unresolvable_geoip").otherwise(F.col("reason"))
+    )
 
 
 def accepted_rows(judged_rows: DataFrame) -> DataFrame:
@@ -103,4 +116,9 @@ def accepted_rows(judged_rows: DataFrame) -> DataFrame:
 
 def reject_log(judged_rows: DataFrame, source_format: str = "csv") -> DataFrame:
     """(source_format, row_index, reason, txid); row_index is the record's number in the source."""
-    return judged_rows.where("reason is not null").select(F.lit(source_format).alias("source_format"), F.col("record_id").alias("row_index"), "reason", F.expr("nullif(txid, '')").alias("txid"))
+    return judged_rows.where("reason is not null").select(
+        F.lit(source_format).alias("source_format"),
+        F.col("record_id").alias("row_index"),
+        "reason",
+        F.expr("nullif(txid, '')").alias("txid")
+    )

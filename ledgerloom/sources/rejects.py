@@ -13,7 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The canonical columns in the order of a record. Fixed values.
-FIELDS = ["txid", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "geo_country", "asn", "input_addresses", "input_amounts", "output_addresses", "output_amounts", "fee", "script_type"]
+FIELDS = [
+    "txid",
+    "timestamp",
+    "src_ip",
+    "dst_ip",
+    "src_port",
+    "dst_port",
+    "geo_country",
+    "asn",
+    "input_addresses",
+    "input_amounts",
+    "output_addresses",
+    "output_amounts",
+    "fee",
+    "script_type"
+]
 
 #: A record whose quoting holds: every field is either quoted as a whole, with doubled quotes inside, or free of quotes.
 WELL_QUOTED = r'(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z'
@@ -49,7 +64,9 @@ def _read(lines: list[str]) -> tuple[pa.Table, np.ndarray]:
         io.BytesIO(raw),
         read_options=pacsv.ReadOptions(use_threads=False, column_names=FIELDS, block_size=max(1 << 20, len(raw) + 1)),
         parse_options=pacsv.ParseOptions(invalid_row_handler=refuse, ignore_empty_lines=False),
-        convert_options=pacsv.ConvertOptions(column_types={c: pa.string() for c in FIELDS}, strings_can_be_null=False, quoted_strings_can_be_null=False),
+        convert_options=pacsv.ConvertOptions(
+            column_types={c: pa.string() for c in FIELDS}, strings_can_be_null=False, quoted_strings_can_be_null=False
+        ),
     )
     if cr:
         table = pa.table({c: pc.replace_substring(pc.replace_substring(table[c], cr, "\r"), lf, "\n") for c in FIELDS})
@@ -60,7 +77,9 @@ def _scalars(table: pa.Table) -> np.ndarray:
     """The reason of each row by src_port and fee, "" where both hold."""
     port = pc.ascii_trim(table["src_port"], BLANKS)
     digits = pc.ascii_ltrim(port, "0")
-    short = pc.and_(pc.match_substring_regex(port, DIGITS), pc.and_(pc.greater(pc.binary_length(digits), 0), pc.less_equal(pc.binary_length(digits), 5)))
+    short = pc.and_(
+        pc.match_substring_regex(port, DIGITS), pc.and_(pc.greater(pc.binary_length(digits), 0), pc.less_equal(pc.binary_length(digits), 5))
+    )
     port_ok = pc.and_(short, pc.less_equal(pc.if_else(short, digits, "99999").cast(pa.int64()), 65535))
     fee = pc.ascii_trim(table["fee"], BLANKS)
     shaped = pc.match_substring_regex(fee, DECIMAL)
@@ -120,9 +139,22 @@ def loaded(labelled: DataFrame) -> DataFrame:
     number = lambda c, kind: f"try_cast(trim('{blanks}' from `{c}`) as {kind}) as `{c}`"
     text = lambda c: f"nullif(`{c}`, '') as `{c}`"
     return labelled.where("reason is null").selectExpr(
-        "record_id", text("txid"), "try_cast(`timestamp` as timestamp) as `timestamp`", text("src_ip"), text("dst_ip"), number("src_port", "bigint"), number("dst_port", "bigint"), text("geo_country"), number("asn", "bigint"),
-        _list("input_addresses", "string"), _list("input_amounts", "double"), _list("output_addresses", "string"), _list("output_amounts", "double"), number("fee", "double"), text("script_type"),
-    )
+        "record_id",
+        text("txid"),
+        "try_cast(`timestamp` as timestamp) as `timestamp`",
+        text("src_ip"),
+        text("dst_ip"),
+        number("src_port", "bigint"),
+        number("dst_port", "bigint"),
+        text("geo_country"),
+        number("asn", "bigint"),
+        _list("input_addresses", "string"),
+        _list("input_amounts", "double"),
+        _list("output_addresses", "string"),
+        _list("output_amounts", "double"),
+        number("fee", "double"),
+        text("script_type"),
+    )
 
 
 def load_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,4 +27,6 @@ def session_stream(events: DataFrame, key: str, at: str, gap_seconds: int, late:
     """
     clean = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
     window = F.session_window(at, f"{gap_seconds} seconds 1 microsecond")
-    return clean.groupBy(key, window).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("event_count")).select(key, "start", "end", "event_count")
+    return clean.groupBy(key, window).agg(
+        F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("event_count")
+    ).select(key, "start", "end", "event_count")

@@ -35,24 +35,66 @@ def test_stages(spark, tmp_path):
 def test_ingest_refuses_what_it_cannot_read(spark, tmp_path, kind):
     """Unreadable numbers and unknown networks are refused with a reason, and every row keeps its place in the source."""
     head = ",".join(FIELDS)
-    ok = lambda k, port="8333", fee="0.1", ip="20.0.1.2": [f"{k:064x}", f"2024-01-0{1 + k % 9}T00:00:00+00:00", ip, "20.0.0.1", port, "8333", "US", "1", ["a", "b"], ["1.5", "2"], ["c"], ["3"], fee, "p2wpkh"]
-    rows = [ok(0), ok(1, port="notaport"), ok(2, fee="notafee"), ok(3, ip="240.1.2.3"), ok(4, fee="-1"), ok(5, port="70000"), ok(6), ["nohash", *ok(7)[1:]], [ok(8)[0], "yesterday", *ok(8)[2:]], ok(9)]
+    ok = lambda k, port="8333", fee="0.1", ip="20.0.1.2": [
+        f"{k:064x}",
+        f"2024-01-0{1 + k % 9}T00:00:00+00:00",
+        ip,
+        "20.0.0.1",
+        port,
+        "8333",
+        "US",
+        "1",
+        ["a", "b"],
+        ["1.5", "2"],
+        ["c"],
+        ["3"],
+        fee,
+        "p2wpkh"
+    ]
+    rows = [
+        ok(0),
+        ok(1, port="notaport"),
+        ok(2, fee="notafee"),
+        ok(3, ip="240.1.2.3"),
+        ok(4, fee="-1"),
+        ok(5, port="70000"),
+        ok(6),
+        ["nohash", *ok(7)[1:]],
+        [ok(8)[0], "yesterday", *ok(8)[2:]],
+        ok(9)
+    ]
     path = tmp_path / f"in.{kind}"
     if kind == "csv":
         path.write_text("\n".join([head, *(",".join("|".join(x) if isinstance(x, list) else x for x in r) for r in rows)]))
     elif kind == "json":
         path.write_text("\n".join(json.dumps(dict(zip(FIELDS, r))) for r in rows))
     elif kind == "xml":
-        item = lambda name, x: "".join(f"<{'amount' if 'amounts' in name else 'address'}>{v}</{'amount' if 'amounts' in name else 'address'}>" for v in x) if isinstance(x, list) else x
-        path.write_text("<transactions>" + "".join("<transaction>" + "".join(f"<{n}>{item(n, x)}</{n}>" for n, x in zip(FIELDS, r)) + "</transaction>" for r in rows) + "</transactions>")
+        item = lambda name, x: "".join(
+            f"<{'amount' if 'amounts' in name else 'address'}>{v}</{'amount' if 'amounts' in name else 'address'}>" for v in x
+        ) if isinstance(x, list) else x
+        path.write_text(
+            "<transactions>"
+            + "".join("<transaction>" + "".join(f"<{n}>{item(n, x)}</{n}>" for n, x in zip(FIELDS, r)) + "</transaction>" for r in rows)
+            + "</transactions>"
+        )
     else:
         lists = ", ".join(f"{n} array<string>" if "addresses" in n or "amounts" in n else f"{n} string" for n in FIELDS)
         spark.createDataFrame([tuple(r) for r in rows], lists).coalesce(1).write.parquet(str(path))
     t = jobs.Tables(spark, str(tmp_path / "tables"))
     jobs.ingest(t, str(path), kind)
-    assert {r["row_index"]: r["reason"] for r in t.read("rejects").collect()} == {1: "bad_scalar", 2: "bad_scalar", 3: "unresolvable_geoip", 4: "negative_amount", 5: "bad_scalar", 7: "bad_checksum", 8: "bad_timestamp"}
+    assert {r["row_index"]: r["reason"] for r in t.read("rejects").collect()} == {
+        1: "bad_scalar",
+        2: "bad_scalar",
+        3: "unresolvable_geoip",
+        4: "negative_amount",
+        5: "bad_scalar",
+        7: "bad_checksum",
+        8: "bad_timestamp"
+    }
     got = sorted(t.read("transactions").collect(), key=lambda r: r["row_index"])
-    assert [(r["row_index"], r["txid"], r["asn"], r["geo_country"], r["fee"], r["input_amounts"]) for r in got] == [(k, f"{k:064x}", 64512, "US", 0.1, [1.5, 2.0]) for k in (0, 6, 9)]
+    assert [
+        (r["row_index"], r["txid"], r["asn"], r["geo_country"], r["fee"], r["input_amounts"]) for r in got
+    ] == [(k, f"{k:064x}", 64512, "US", 0.1, [1.5, 2.0]) for k in (0, 6, 9)]
 
 
 def test_places_follow_files_and_splits(spark, tmp_path):
@@ -64,14 +106,26 @@ def test_places_follow_files_and_splits(spark, tmp_path):
     try:
         rows = formats.read_records(spark, str(tmp_path / "in"), "csv")
         assert sorted(r["record_id"] for r in rows.select("record_id").collect()) == list(range(6000))
-        lines = formats._placed(spark.read.text(str(tmp_path / "in")).select("value", "_metadata"), Scratch(spark, "t")).orderBy("record_id").collect()
+        lines = formats._placed(
+            spark.read.text(str(tmp_path / "in")).select("value", "_metadata"), Scratch(spark, "t")
+        ).orderBy("record_id").collect()
         assert [r["value"] for r in lines if r["value"].startswith("row")] == [f"row-{k}-{j}" for k in range(3) for j in range(2000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_ipv6_numbers(spark):
-    texts = ["2001:db8::1", "2001:db8:1:2:3:4:5:6", "::1", "fe80::1%eth0", "::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "2001:DB8::", "::"]
+    texts = [
+        "2001:db8::1",
+        "2001:db8:1:2:3:4:5:6",
+        "::1",
+        "fe80::1%eth0",
+        "::ffff:1.2.3.4",
+        "64:ff9b::192.0.2.33",
+        "1:2:3:4:5:6:1.2.3.4",
+        "2001:DB8::",
+        "::"
+    ]
     bad = ["1.2.3.4", "2001::db8::1", "1:2:3", "12345::", "g::1", "", None, ":::", "1:2:3:4:5:6:7:8:9"]
     df = spark.createDataFrame([(t,) for t in texts + bad], "ip string")
     got = {r["ip"]: r["n"] for r in df.select("ip", ingest.ipv6_number(F.col("ip")).alias("n")).collect()}
@@ -94,7 +148,9 @@ def test_parameters_round_trip(spark, tmp_path):
 
 
 def test_weights_and_false_ends():
-    assert jobs.parsed_weights("") == {"risk": 0.55, "pattern": 0.45} and jobs.parsed_weights("risk=1, anomaly=0.2") == {"risk": 1.0, "pattern": 0.45, "anomaly": 0.2}
+    assert jobs.parsed_weights("") == {"risk": 0.55, "pattern": 0.45} and jobs.parsed_weights("risk=1, anomaly=0.2") == {
+        "risk": 1.0, "pattern": 0.45, "anomaly": 0.2
+    }
     with pytest.raises(ValueError):
         jobs.parsed_weights("luck=1")
     src, names = np.array(list("aabb") * 50, object), np.array(list("xyz"), object)

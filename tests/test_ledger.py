@@ -23,7 +23,13 @@ SCHEMA = "txid string, row_index long, src_ip string, src_port long, asn long, g
 def ledger(spark, rows):
     """rows of (txid, [(wallet, amount)], [(wallet, amount)]), one second apart."""
     side = lambda xs: [(i, w, float(a)) for i, (w, a) in enumerate(xs)]
-    return spark.createDataFrame([(t, k, f"10.0.0.{k % 5}", 80, 64512 + k % 3, "US" if k % 2 else "DE", k * 1_000_000, side(i), side(o)) for k, (t, i, o) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame(
+        [
+            (t, k, f"10.0.0.{k % 5}", 80, 64512 + k % 3, "US" if k % 2 else "DE", k * 1_000_000, side(i), side(o))
+            for k, (t, i, o) in enumerate(rows)
+        ],
+        SCHEMA
+    )
 
 
 def nodes_frame(spark, names):
@@ -60,7 +66,12 @@ def test_coinjoin_like(spark):
 
 def test_type_change(spark):
     w = lambda k: "bc1q" + f"{k:038d}"
-    rows = [("t1", [(w(1), 1)], [(w(2), 0.5), ("1abc", 0.4)]), ("t2", [(w(3), 1)], [(w(2), 0.5), ("1abd", 0.4)]), ("t3", [(w(4), 1)], [(w(5), 0.5), (w(6), 0.4)]), ("t4", [(w(7), 1)], [(w(8), 0.5), ("1x", 0.2), ("1y", 0.2)])]
+    rows = [
+        ("t1", [(w(1), 1)], [(w(2), 0.5), ("1abc", 0.4)]),
+        ("t2", [(w(3), 1)], [(w(2), 0.5), ("1abd", 0.4)]),
+        ("t3", [(w(4), 1)], [(w(5), 0.5), (w(6), 0.4)]),
+        ("t4", [(w(7), 1)], [(w(8), 0.5), ("1x", 0.2), ("1y", 0.2)])
+    ]
     f = ledger(spark, rows)
     assert [tuple(r) for r in en.type_change_outputs(f).collect()] == [("t1", w(2))]
     assert en.pass1_links(f).count() == 0
@@ -69,14 +80,28 @@ def test_type_change(spark):
 
 
 def test_links_and_entities(spark):
-    f = ledger(spark, [("t1", [("a", 1), ("b", 1)], [("c", 1.5)]), ("t2", [("b", 1), ("d", 1), ("d", 1)], [("d", 2), ("e", 1)]), ("t3", [("f", 1)], [("g", 1)])])
+    f = ledger(
+        spark,
+        [
+            ("t1", [("a", 1), ("b", 1)], [("c", 1.5)]),
+            ("t2", [("b", 1), ("d", 1), ("d", 1)], [("d", 2), ("e", 1)]),
+            ("t3", [("f", 1)], [("g", 1)])
+        ]
+    )
     table = {r["wallet_id"]: (r["entity_id"], r["conf"]) for r in en.resolve_entities(gr.nodes(f), en.pass1_links(f)).collect()}
     assert table == {**{w: ("resolved_a", 0.85) for w in "abd"}, **{w: (f"resolved_{w}", 1.0) for w in "cefg"}}
 
 
 def test_graph_invariants(spark):
     rng = random.Random(11)
-    rows = [(f"t{k}", [(f"w{rng.randrange(20)}", 1) for _ in range(rng.randrange(1, 4))], [(f"w{rng.randrange(20)}", 1) for _ in range(rng.randrange(1, 4))]) for k in range(60)]
+    rows = [
+        (
+            f"t{k}",
+            [(f"w{rng.randrange(20)}", 1) for _ in range(rng.randrange(1, 4))],
+            [(f"w{rng.randrange(20)}", 1) for _ in range(rng.randrange(1, 4))]
+        )
+        for k in range(60)
+    ]
     f = ledger(spark, rows)
     edges, nodes = gr.edges(f), gr.nodes(f)
     by = {r["edge_type"]: r["n"] for r in edges.groupBy("edge_type").agg(F.count("*").alias("n")).collect()}
@@ -91,7 +116,9 @@ def test_graph_invariants(spark):
 
 def test_busy_broadcasters(spark):
     def edges(hosts, hub):
-        rows = [("BROADCAST_VIA", f"t{h}_{k}", f"h{h}") for h in range(hosts) for k in range(1 + h % 2)] + [("BROADCAST_VIA", f"hub{k}", "hub") for k in range(hub)] + [("FUNDS", "w", "hub")]
+        rows = [
+            ("BROADCAST_VIA", f"t{h}_{k}", f"h{h}") for h in range(hosts) for k in range(1 + h % 2)
+        ] + [("BROADCAST_VIA", f"hub{k}", "hub") for k in range(hub)] + [("FUNDS", "w", "hub")]
         return spark.createDataFrame(rows, "edge_type string, source string, target string")
 
     kept = gr.without_busy_broadcasters(edges(30, 40))
@@ -103,7 +130,9 @@ def test_busy_broadcasters(spark):
 @pytest.mark.parametrize("task_pairs", [0, 10**6])
 def test_linked_components(spark, task_pairs):
     rng = random.Random(4)
-    pairs = [(f"{rng.randrange(200):03d}", f"{rng.randrange(200):03d}") for _ in range(120)] + [(None, "1"), ("5", "5")] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)]
+    pairs = [
+        (f"{rng.randrange(200):03d}", f"{rng.randrange(200):03d}") for _ in range(120)
+    ] + [(None, "1"), ("5", "5")] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)]
     root = {}
 
     def find(x):
@@ -115,7 +144,10 @@ def test_linked_components(spark, task_pairs):
         if a is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["member"]: r["root"] for r in linked_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b", task_pairs=task_pairs).collect()}
+    got = {
+        r["member"]: r["root"]
+        for r in linked_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b", task_pairs=task_pairs).collect()
+    }
     assert got == {v: find(v) for v in root}
 
 
@@ -185,10 +217,14 @@ def test_chain_and_round_rows(spark):
     chain = pt.chain_scores(pt.peeling_chains(f), f).first()
     assert chain["hop_count"] == 4 and chain["swept_fraction"] == 0.5 and chain["wallets"] == ["c0", "c1", "c2", "c3", "c4"]
     out = pt.chain_rows(pt.chain_scores(pt.peeling_chains(f), f)).collect()
-    assert len(out) == 9 and {r["reason_code"] for r in out} == {"PEEL_CHAIN_HOPS=4"} and json.loads(out[0]["evidence_json"])["txids"] == ["t0", "t1", "t2", "t3"]
+    assert len(out) == 9 and {
+        r["reason_code"] for r in out
+    } == {"PEEL_CHAIN_HOPS=4"} and json.loads(out[0]["evidence_json"])["txids"] == ["t0", "t1", "t2", "t3"]
     one = pt.coinjoin_rounds(f).first()
     assert (one["participant_count"], one["denomination"], one["fraction"], one["output_wallets"]) == (3, 1.0, 1.0, ["o1", "o1", "o2"])
-    assert {r["node_id"]: r["score"] for r in pt.round_rows(pt.coinjoin_rounds(f)).collect()} == dict.fromkeys(["round", "i0", "i1", "i2", "o1", "o2"], 0.5)
+    assert {
+        r["node_id"]: r["score"] for r in pt.round_rows(pt.coinjoin_rounds(f)).collect()
+    } == dict.fromkeys(["round", "i0", "i1", "i2", "o1", "o2"], 0.5)
 
 
 def brute_taint(rows, seeds):
@@ -232,16 +268,29 @@ def test_taint_like_brute_force(spark, seed):
         if rng.random() < 0.2:
             rows.append((f"t{k:03d}", [(w(), 1.0) for _ in range(rng.randrange(3, 6))], [(w(), 1.0) for _ in range(3)]))
         else:
-            rows.append((f"t{k:03d}", [(w(), rng.choice([0.0, 1.0, 2.5])) for _ in range(rng.randrange(1, 4))], [(w(), rng.random()) for _ in range(rng.randrange(1, 3))]))
+            rows.append(
+                (
+                    f"t{k:03d}",
+                    [(w(), rng.choice([0.0, 1.0, 2.5])) for _ in range(rng.randrange(1, 4))],
+                    [(w(), rng.random()) for _ in range(rng.randrange(1, 3))]
+                )
+            )
     seeds = ["w1", "w2", "never"]
-    got = {r["node_id"]: (round(r["score"], 9), r["seed_distance"]) for r in rk.flow_taint(ledger(spark, rows), nodes_frame(spark, seeds)).collect()}
+    got = {
+        r["node_id"]: (round(r["score"], 9), r["seed_distance"])
+        for r in rk.flow_taint(ledger(spark, rows), nodes_frame(spark, seeds)).collect()
+    }
     assert got == brute_taint(rows, seeds)
 
 
 def test_taint_cases(spark):
-    f = ledger(spark, [("t0", [("victim", 1)], [("seed", 1)]), ("t1", [("seed", 1), ("own2", 1)], [("x", 2)]), ("t2", [("x", 2)], [("y", 2)])])
+    f = ledger(
+        spark, [("t0", [("victim", 1)], [("seed", 1)]), ("t1", [("seed", 1), ("own2", 1)], [("x", 2)]), ("t2", [("x", 2)], [("y", 2)])]
+    )
     got = {r["node_id"]: (round(r["score"], 9), r["path"]) for r in rk.flow_taint(f, nodes_frame(spark, ["seed"])).collect()}
-    assert "victim" not in got and {k: v[0] for k, v in got.items()} == {"seed": 1.0, "own2": 0.9, "x": 0.9, "y": 0.81, "t1": 0.9, "t2": 0.81}
+    assert "victim" not in got and {k: v[0] for k, v in got.items()} == {
+        "seed": 1.0, "own2": 0.9, "x": 0.9, "y": 0.81, "t1": 0.9, "t2": 0.81
+    }
     assert got["y"][1] == ["seed", "t1", "x", "t2", "y"]
     five = [("dirty", 1.0)] + [(f"c{k}", 1.0) for k in range(4)]
     f = ledger(spark, [("cj", five, [(f"o{k}", 1.0) for k in range(5)])])
@@ -277,7 +326,9 @@ def test_personal_ranks(spark, task_edges):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "e")]
     links = spark.createDataFrame(pairs + [("x", "y")], "a string, b string")
     seeds = nodes_frame(spark, ["a", "e"])
-    ranks = {r["node_id"]: r["rank"] for r in rk.personal_ranks(links, seeds, rk.seed_distances(links, seeds), task_edges=task_edges).collect()}
+    ranks = {
+        r["node_id"]: r["rank"] for r in rk.personal_ranks(links, seeds, rk.seed_distances(links, seeds), task_edges=task_edges).collect()
+    }
     want = exact_ranks(pairs, {"a", "e"}, 0.85)
     top = max(ranks.values())
     assert set(ranks) == set(want) and all(abs(ranks[k] / top - want[k]) < 1e-10 for k in want)
@@ -292,15 +343,26 @@ def test_combine_risk(spark):
 
 
 def test_reconcile(spark):
-    pass1 = spark.createDataFrame([(w, e, 0.85) for w, e in [("a", "E1"), ("b", "E1"), ("c", "E2"), ("d", "E3"), ("x", "E4"), ("y", "E4"), ("z", "E5")]], "wallet_id string, entity_id string, conf double")
-    labels = spark.createDataFrame([("a", 0, 0.9), ("c", 0, 0.8), ("b", 1, 1.0), ("d", 1, 0.2), ("x", 2, 1.0), ("y", 3, 1.0)], "wallet_id string, label int, prob double")
+    pass1 = spark.createDataFrame(
+        [(w, e, 0.85) for w, e in [("a", "E1"), ("b", "E1"), ("c", "E2"), ("d", "E3"), ("x", "E4"), ("y", "E4"), ("z", "E5")]],
+        "wallet_id string, entity_id string, conf double"
+    )
+    labels = spark.createDataFrame(
+        [("a", 0, 0.9), ("c", 0, 0.8), ("b", 1, 1.0), ("d", 1, 0.2), ("x", 2, 1.0), ("y", 3, 1.0)],
+        "wallet_id string, label int, prob double"
+    )
     r = en.reconcile(pass1, labels)
     got = {x["wallet_id"]: (x["entity_id"], x["source"], x["merge_split_log_ref"]) for x in r["entities"].collect()}
     assert got["a"] == got["c"] == ("E1::0", "pass2", "merge_0") and got["b"] == got["d"] == ("E1::1", "pass2", "merge_1")
     assert got["x"] == ("E4::2", "pass2", "split_E4") and got["z"] == ("E5", "pass1", None)
-    assert {x["log_id"]: x["action"] for x in r["log"].collect()} == {"merge_0": "merge", "merge_1": "merge", "split_E1": "split", "split_E4": "split"}
+    assert {x["log_id"]: x["action"] for x in r["log"].collect()} == {
+        "merge_0": "merge", "merge_1": "merge", "split_E1": "split", "split_E4": "split"
+    }
     assert {tuple(x) for x in r["links"].collect()} == {("a", "c", 0.8), ("b", "d", 0.2)}
-    guarded = {x["wallet_id"]: x["entity_id"] for x in en.reconcile(pass1, labels, protect_multiwallet=True, least_probability=0.5)["entities"].collect()}
+    guarded = {
+        x["wallet_id"]: x["entity_id"]
+        for x in en.reconcile(pass1, labels, protect_multiwallet=True, least_probability=0.5)["entities"].collect()
+    }
     assert guarded["x"] == guarded["y"] == "E4" and guarded["a"] == guarded["b"] == guarded["c"] and guarded["d"] != guarded["b"]
 
 
@@ -316,8 +378,12 @@ def test_walks_by_doubling(spark):
     """Long chains, branches that meet, a ring and what leads into it: like one step after the other."""
     hops = [(f"t{k}", k, f"w{k}", 100.0 - k, f"w{k + 1}", 99.0 - k, 0.9) for k in range(37)]
     hops += [("b", 90, "x", 81.5, "w20", 80.2, 0.8)]
-    hops += [(f"r{k}", 50 + k, f"c{k}", 10.0, f"c{(k + 1) % 5}", 9.99, 0.99) for k in range(5)] + [("into", 60, "i", 10.1, "c2", 10.0, 0.7), ("other", 61, "c2", 10.05, "end", 9.9, 0.7)]
-    df = spark.createDataFrame(hops, "txid string, row_index long, source string, source_amount double, target string, carried double, share double")
+    hops += [(f"r{k}", 50 + k, f"c{k}", 10.0, f"c{(k + 1) % 5}", 9.99, 0.99) for k in range(5)] + [
+        ("into", 60, "i", 10.1, "c2", 10.0, 0.7), ("other", 61, "c2", 10.05, "end", 9.9, 0.7)
+    ]
+    df = spark.createDataFrame(
+        hops, "txid string, row_index long, source string, source_amount double, target string, carried double, share double"
+    )
     by = {h[0]: h for h in hops}
     want = {}
     for start in by:

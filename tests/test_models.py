@@ -13,7 +13,9 @@ def feature_frame(spark, n=80, outlier=True, seed=3):
     if outlier:
         base[0] = [40, -40, 40, -40, 40, -40]
     rows = [(f"n{k:03d}", "Wallet", *map(float, v)) for k, v in enumerate(base)] + [(f"t{k}", "Transaction", *[1.0] * 6) for k in range(5)]
-    return spark.createDataFrame(rows, "node_id string, node_type string, " + ", ".join(f"f_{i} double" for i in range(6))), [f"f_{i}" for i in range(6)]
+    return spark.createDataFrame(
+        rows, "node_id string, node_type string, " + ", ".join(f"f_{i} double" for i in range(6))
+    ), [f"f_{i}" for i in range(6)]
 
 
 def test_standardized(spark):
@@ -50,11 +52,15 @@ def test_reconstruction_finds_the_outlier(spark):
 
 def two_sides(spark):
     edges = [("w0", "tx0"), ("w1", "tx1"), ("tx0", "ip0"), ("tx1", "ip0"), ("w2", "tx2"), ("w3", "tx3"), ("tx2", "ip1"), ("tx3", "ip1")]
-    e = spark.createDataFrame([("FUNDS" if a[0] == "w" else "BROADCAST_VIA", a, b) for a, b in edges], "edge_type string, source string, target string")
+    e = spark.createDataFrame(
+        [("FUNDS" if a[0] == "w" else "BROADCAST_VIA", a, b) for a, b in edges], "edge_type string, source string, target string"
+    )
     names = sorted({x for p in edges for x in p})
     rng = np.random.default_rng(2)
     side = {n: rng.normal(size=3) + (4 if n in ("w0", "w1", "tx0", "tx1", "ip0") else -4) for n in names}
-    return mo.both_directions(e), spark.createDataFrame([(n, [float(v) for v in side[n]]) for n in names], "node_id string, x array<double>"), names
+    return mo.both_directions(e), spark.createDataFrame(
+        [(n, [float(v) for v in side[n]]) for n in names], "node_id string, x array<double>"
+    ), names
 
 
 def test_propagation(spark):
@@ -93,14 +99,22 @@ def test_attention_like_numpy(spark):
         assert np.allclose(r["x"], np.where(want[r["node_id"]] > 0, want[r["node_id"]], np.exp(want[r["node_id"]]) - 1))
     got = {(r["relation"], r["src"], r["dst"]): r["weight"] for r in attention.collect()}
     assert set(got) == set(weights) and all(abs(got[k] - weights[k]) < 1e-9 for k in got)
-    near = {r["node_id"]: [n["node_id"] for n in r["neighbors"]] for r in mo.attention_evidence(spark.createDataFrame([("ip0",)], "node_id string"), attention, attention).collect()}
+    near = {
+        r["node_id"]: [n["node_id"] for n in r["neighbors"]]
+        for r in mo.attention_evidence(spark.createDataFrame([("ip0",)], "node_id string"), attention, attention).collect()
+    }
     assert set(near) == {"ip0"} and set(near["ip0"]) == {"tx0", "tx1", "w0", "w1"}
 
 
 def test_evidence_for_every_alert(spark, tmp_path, monkeypatch):
     from ledgerloom.plans import model_queries as mq
 
-    edges = spark.range(700).select(F.lit("r").alias("relation"), F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), F.lit(1.0).alias("weight"))
+    edges = spark.range(700).select(
+        F.lit("r").alias("relation"),
+        F.concat(F.lit("s"), "id").alias("src"),
+        F.concat(F.lit("n"), "id").alias("dst"),
+        F.lit(1.0).alias("weight")
+    )
     monkeypatch.setattr(mq, "_attention", lambda *_: ((None, edges), (None, edges)))
     alerts = spark.range(700).select(F.concat(F.lit("n"), "id").alias("node_id"), (F.col("id") / 700).alias("final_score"))
     alerts.unionByName(alerts).write.parquet(str(tmp_path / "alerts.parquet"))
@@ -110,7 +124,10 @@ def test_evidence_for_every_alert(spark, tmp_path, monkeypatch):
 def test_basis_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(mo, "FIT_ROWS", 50)
     x = np.random.default_rng(2).standard_t(2, (400, 6))
-    df = spark.createDataFrame([(f"n{k}", "Wallet", *map(float, v)) for k, v in enumerate(x)], "node_id string, node_type string, a double, b double, c double, d double, e double, f double")
+    df = spark.createDataFrame(
+        [(f"n{k}", "Wallet", *map(float, v)) for k, v in enumerate(x)],
+        "node_id string, node_type string, a double, b double, c double, d double, e double, f double"
+    )
     got = {r["node_id"]: r["raw_error"] for r in mo.reconstruction_errors(df, list("abcdef")).collect()}
     z = (x - x.mean(0)) / x.std(0)
     basis = np.linalg.svd(z, full_matrices=False)[2][:3]
@@ -118,7 +135,10 @@ def test_basis_of_all_rows(spark, monkeypatch):
 
 
 def test_times(spark):
-    e = spark.createDataFrame([("BROADCAST_VIA", f"t{k}", "ip", k * 1_000_000) for k in range(4)] + [("FUNDS", "w", "t0", 5)], "edge_type string, source string, target string, at_us long")
+    e = spark.createDataFrame(
+        [("BROADCAST_VIA", f"t{k}", "ip", k * 1_000_000) for k in range(4)] + [("FUNDS", "w", "t0", 5)],
+        "edge_type string, source string, target string, at_us long"
+    )
     assert sorted(round(r["t"], 6) for r in mo.normalized_times(e).collect()) == [0.0, 0.333333, 0.666667, 1.0]
 
 
@@ -130,7 +150,9 @@ def test_hdbscan(spark):
     assert label[36] == -1 and all(len(g - {-1}) >= 1 for g in groups)
     assert not (groups[0] - {-1}) & (groups[1] - {-1}) and ((0 <= prob) & (prob <= 1)).all()
     assert (hd.cluster(x[:2], 3, 500)[0] == -1).all()
-    df = spark.createDataFrame([("g", k, [float(e) for e in v]) for k, v in enumerate(x)] + [("tiny", 1, [0.0, 0.0])], "g string, i long, v array<double>")
+    df = spark.createDataFrame(
+        [("g", k, [float(e) for e in v]) for k, v in enumerate(x)] + [("tiny", 1, [0.0, 0.0])], "g string, i long, v array<double>"
+    )
     rows = hd.hdbscan(df, "g", "i", "v").collect()
     assert len(rows) == 38 and [r["label"] for r in rows if r["g"] == "tiny"] == [-1]
 
@@ -150,10 +172,15 @@ def test_spanning_tree_is_minimal():
 @pytest.mark.parametrize("block", [7, 16, 5000])
 def test_hdbscan_in_blocks(spark, block):
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(c, 0.05, (20, 2)) for c in ([0, 0], [5, 5], [9, 0])] + [np.repeat([[2.0, 2.0]], 5, 0), rng.uniform(-20, 20, (9, 2))]).round(1)
+    x = np.concatenate(
+        [rng.normal(c, 0.05, (20, 2)) for c in ([0, 0], [5, 5], [9, 0])] + [np.repeat([[2.0, 2.0]], 5, 0), rng.uniform(-20, 20, (9, 2))]
+    ).round(1)
     want = hd.cluster(x, 3, 500)
     assert want[0].max() > 3
-    df = spark.createDataFrame([("g", f"{k:03d}", v.tolist()) for k, v in enumerate(x)] + [(None, "a", [0.0, 0.0]), ("g", "null", None)], "g string, i string, v array<double>")
+    df = spark.createDataFrame(
+        [("g", f"{k:03d}", v.tolist()) for k, v in enumerate(x)] + [(None, "a", [0.0, 0.0]), ("g", "null", None)],
+        "g string, i string, v array<double>"
+    )
     rows = sorted((r["i"], r["label"], r["prob"]) for r in hd.hdbscan(df, "g", "i", "v", block=block).where("g is not null").collect())
     assert [r[1] for r in rows] == want[0].tolist() and np.allclose([r[2] for r in rows], want[1])
 
@@ -163,7 +190,9 @@ def test_similarity_flood(spark, block):
     rng = np.random.default_rng(6)
     ref = np.array([1.0, 0.0])
     angle = np.arccos(rng.uniform(0.95, 0.96, 200))
-    rows = [("Wallet", f"c{k:03d}", [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angle)] + [("Wallet", "copy", [2.0, 0.0]), ("Wallet", "ref", ref.tolist())]
+    rows = [
+        ("Wallet", f"c{k:03d}", [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angle)
+    ] + [("Wallet", "copy", [2.0, 0.0]), ("Wallet", "ref", ref.tolist())]
     v = spark.createDataFrame(rows, "node_type string, node_id string, embedding array<double>")
     refs = spark.createDataFrame([("Wallet", "peeling", "ref")], "node_type string, pattern_type string, node_id string")
     best = sm.nearest_references(v, refs, block)

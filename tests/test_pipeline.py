@@ -21,7 +21,18 @@ def test_counts(spark, data):
     w = data["entities"]
     assert w.count() == CONFIG.wallets == w.select("wallet_id").distinct().count()
     raw = data["raw"]
-    bad = {r["k"]: r["n"] for r in raw.groupBy(F.when(F.col("txid").startswith("BAD"), "txid").when(F.col("timestamp") == "NOT-A-TIMESTAMP", "time").when(F.exists("output_amounts", lambda a: a < 0), "amount").otherwise("ok").alias("k")).agg(F.count("*").alias("n")).collect()}
+    bad = {
+        r["k"]: r["n"]
+        for r in raw.groupBy(
+            F.when(F.col("txid").startswith("BAD"), "txid")
+            .when(F.col("timestamp") == "NOT-A-TIMESTAMP", "time")
+            .when(F.exists("output_amounts", lambda a: a < 0), "amount")
+            .otherwise("ok")
+            .alias("k")
+        )
+        .agg(F.count("*").alias("n"))
+        .collect()
+    }
     assert (bad["txid"], bad["amount"], bad["time"]) == (5, 5, 5)
     assert pipeline.accepted(raw).count() == raw.count() - 15
     assert raw.select("txid").distinct().count() == raw.count()
@@ -31,7 +42,9 @@ def test_counts(spark, data):
 
 def test_value_falls_along_a_chain(spark, data):
     e = Scratch(spark, "t").write(synth.entities(spark, CONFIG), "e")
-    rows = synth.peeling(e, CONFIG).select("pattern_id", "hop", F.get("output_amounts", 0).alias("v"), F.get("input_amounts", 0).alias("i")).orderBy("pattern_id", "hop").collect()
+    rows = synth.peeling(e, CONFIG).select(
+        "pattern_id", "hop", F.get("output_amounts", 0).alias("v"), F.get("input_amounts", 0).alias("i")
+    ).orderBy("pattern_id", "hop").collect()
     assert rows
     for a, b in zip(rows, rows[1:]):
         if a["pattern_id"] == b["pattern_id"]:
@@ -39,7 +52,10 @@ def test_value_falls_along_a_chain(spark, data):
 
 
 def test_quality(spark, data):
-    q = {r["metric"]: r["value"] for r in pipeline.quality(Scratch(spark, "t").write(pipeline.accepted(data["raw"]), "ledger"), data).collect()}
+    q = {
+        r["metric"]: r["value"]
+        for r in pipeline.quality(Scratch(spark, "t").write(pipeline.accepted(data["raw"]), "ledger"), data).collect()
+    }
     assert q["er_precision"] >= 0.95
     assert q["peeling_recall"] >= 0.9 and q["peeling_precision"] >= 0.85 and q["coinjoin_recall"] >= 0.9 and q["coinjoin_precision"] >= 0.85
 
@@ -77,7 +93,9 @@ def test_formats(spark, data, tmp_path, kind):
 
 def test_json_array_and_alert_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"txid": "x", "src_port": 5},\n {"txid": "y", "fee": 0.5}]')
-    assert sorted((r["txid"], r["src_port"], r["fee"]) for r in formats.read_json(spark, str(tmp_path / "a.json")).collect()) == [("x", 5, None), ("y", None, 0.5)]
+    assert sorted(
+        (r["txid"], r["src_port"], r["fee"]) for r in formats.read_json(spark, str(tmp_path / "a.json")).collect()
+    ) == [("x", 5, None), ("y", None, 0.5)]
     df = spark.createDataFrame([("alert_00001", "b"), ("alert_00000", "a")], "alert_id string, node_id string")
     formats.write_alert_file(df, str(tmp_path / "alerts.json"))
     assert [x["node_id"] for x in __import__("json").loads((tmp_path / "alerts.json").read_text())] == ["a", "b"]
@@ -86,7 +104,9 @@ def test_json_array_and_alert_file(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     events = tmp_path / "events"
-    spark.sql("select 'w' as k, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, n * 30) as t from (select explode(array(0, 1, 2, 4, 7, 2000)) as n)").write.parquet(str(events))
+    spark.sql(
+        "select 'w' as k, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, n * 30) as t from (select explode(array(0, 1, 2, 4, 7, 2000)) as n)"
+    ).write.parquet(str(events))
     stream = session_stream(spark.readStream.schema("k string, t timestamp").parquet(str(events)), "k", "t", 3600, "1 hour")
     q = stream.writeStream.format("memory").queryName("sessions").outputMode("append").start()
     q.processAllAvailable()
@@ -95,13 +115,17 @@ def test_streams(spark, tmp_path):
     raw = tmp_path / "raw"
     spark.createDataFrame([(1, "a,b"), (2, '"open')], "record_id long, raw_line string").write.parquet(str(raw))
     pool = spark.createDataFrame([("1.2", 1, "US")], "net_prefix string, asn long, geo_country string")
-    q = judged_stream(spark.readStream.schema("record_id long, raw_line string").parquet(str(raw)), pool).select("record_id", "reason").writeStream.format("memory").queryName("judged").start()
+    q = judged_stream(
+        spark.readStream.schema("record_id long, raw_line string").parquet(str(raw)), pool
+    ).select("record_id", "reason").writeStream.format("memory").queryName("judged").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("judged").collect())) == [(1, "wrong_column_count"), (2, "broken_quoting")]
 
 
 def test_flows_truncate_like_zip(spark):
-    df = spark.sql("select 't' as txid, 0L as row_index, timestamp'2020-01-01 00:00:00' as timestamp, array('a', null, 'c') as input_addresses, array(1.0D, 2.0D) as input_amounts, cast(null as array<string>) as output_addresses, array(1.0D) as output_amounts")
+    df = spark.sql(
+        "select 't' as txid, 0L as row_index, timestamp'2020-01-01 00:00:00' as timestamp, array('a', null, 'c') as input_addresses, array(1.0D, 2.0D) as input_amounts, cast(null as array<string>) as output_addresses, array(1.0D) as output_amounts"
+    )
     row = flows(df).first()
     assert [tuple(x) for x in row["ins"]] == [(0, "a", 1.0)] and row["outs"] == []

@@ -2,7 +2,9 @@ import pytest
 
 from ledgerloom.sources.rejects import label_records, load_records
 
-GOOD = ["t" * 4, "2020-01-01T00:00:00+00:00", "1.2.3.4", "5.6.7.8", "80", "8333", "US", "64512", "a|b", "0.1|0.2", "c", "0.3", "0.0001", "p2sh"]
+GOOD = [
+    "t" * 4, "2020-01-01T00:00:00+00:00", "1.2.3.4", "5.6.7.8", "80", "8333", "US", "64512", "a|b", "0.1|0.2", "c", "0.3", "0.0001", "p2sh"
+]
 
 
 def line(**changes):
@@ -39,16 +41,22 @@ CASES = [
 
 
 def test_reasons(spark):
-    df = spark.createDataFrame([(i, x, "feed", "r") for i, (x, _) in enumerate(CASES)], "record_id long, raw_line string, feed string, reason string")
+    df = spark.createDataFrame(
+        [(i, x, "feed", "r") for i, (x, _) in enumerate(CASES)], "record_id long, raw_line string, feed string, reason string"
+    )
     got = {r["record_id"]: r["reason"] for r in label_records(df).collect()}
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
 
 
 def test_typed_rows(spark):
-    df = spark.createDataFrame([(1, line(geo='"two\nlines"', src_port=" 080 ", im="0.1|", oa="", om="")), (2, "x")], "record_id long, raw_line string")
+    df = spark.createDataFrame(
+        [(1, line(geo='"two\nlines"', src_port=" 080 ", im="0.1|", oa="", om="")), (2, "x")], "record_id long, raw_line string"
+    )
     good, bad = load_records(df)
     row = good.first()
-    assert (row["src_port"], row["geo_country"], row["input_addresses"], row["input_amounts"], row["output_addresses"], row["fee"]) == (80, "two\nlines", ["a", "b"], [0.1, None], [], 0.0001)
+    assert (
+        row["src_port"], row["geo_country"], row["input_addresses"], row["input_amounts"], row["output_addresses"], row["fee"]
+    ) == (80, "two\nlines", ["a", "b"], [0.1, None], [], 0.0001)
     assert [tuple(r) for r in bad.collect()] == [(2, "wrong_column_count")]
     assert label_records(df.limit(0)).count() == 0
 

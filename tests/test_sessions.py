@@ -28,7 +28,13 @@ def brute(events, gap):
 def test_like_brute_force(spark, gap):
     rng = random.Random(gap)
     step = gap * 1_000_000
-    events = [(rng.choice(["hot", "hot", "a", "b", None]), rng.choice([rng.randrange(-40 * step, 40 * step), rng.randrange(-20, 20) * step, None])) for _ in range(400)]
+    events = [
+        (
+            rng.choice(["hot", "hot", "a", "b", None]),
+            rng.choice([rng.randrange(-40 * step, 40 * step), rng.randrange(-20, 20) * step, None])
+        )
+        for _ in range(400)
+    ]
     df = spark.createDataFrame([(*e, 1) for e in events], "k string, t long, _chunk int")
     got = {(r["k"], r["start_us"], r["end_us"], r["event_count"]) for r in sessionize(df, "k", "t", gap).collect()}
     assert got == brute(events, gap)
@@ -41,6 +47,8 @@ def test_exact_gap_does_not_end_a_session(spark):
 
 
 def test_sender_events(spark):
-    tx = spark.sql("""select * from values ('t1', timestamp'2020-01-01 00:00:00', array('a', 'a', null, 'b')), ('t1', timestamp'2020-01-01 00:00:00', array('a', 'a', null, 'b')),
-        ('t2', null, array('a')), (null, timestamp'2020-01-01 00:00:00', array('a')), ('t3', timestamp'2020-01-02 00:00:00', null), ('t4', timestamp'2020-01-03 00:00:00', array()) as t(txid, timestamp, input_addresses)""")
+    tx = spark.sql(
+        """select * from values ('t1', timestamp'2020-01-01 00:00:00', array('a', 'a', null, 'b')), ('t1', timestamp'2020-01-01 00:00:00', array('a', 'a', null, 'b')),
+        ('t2', null, array('a')), (null, timestamp'2020-01-01 00:00:00', array('a')), ('t3', timestamp'2020-01-02 00:00:00', null), ('t4', timestamp'2020-01-03 00:00:00', array()) as t(txid, timestamp, input_addresses)"""
+    )
     assert sorted((r["wallet_id"], r["event_id"]) for r in sender_events(tx).collect()) == [("a", "t1"), ("b", "t1")]

@@ -10,7 +10,10 @@ from ledgerloom.operators.skewed_counts import _Accumulator, asn_day_counts, blo
 
 def test_block_counts(spark):
     rng = random.Random(1)
-    rows = [(rng.choice([1, 1, 1, 2, rng.randrange(60), None]), rng.choice(["hot", "hot", f"k{rng.randrange(40)}", None, "é"]), 5) for _ in range(3000)]
+    rows = [
+        (rng.choice([1, 1, 1, 2, rng.randrange(60), None]), rng.choice(["hot", "hot", f"k{rng.randrange(40)}", None, "é"]), 5)
+        for _ in range(3000)
+    ]
     df = spark.createDataFrame(rows, "a long, b string, n int").repartition(6)
     want = Counter((a, b) for a, b, _ in rows if a is not None and b is not None)
     for kept, blocks in ((10, 3), (100_000, None), (100_000, 1)):
@@ -22,8 +25,13 @@ def test_block_counts(spark):
 def test_asn_day_counts(spark):
     rng = random.Random(2)
     rows = [(f"t{rng.randrange(300)}",) for _ in range(400)]
-    fixed = {t: (rng.choice([7, 7, 8, None]), f"2020-01-0{rng.randrange(1, 4)} 23:59:59", rng.choice(["x", "y", "z", None])) for (t,) in rows}
-    df = spark.createDataFrame([(t, *fixed[t]) for (t,) in rows] + [(None, 7, "2020-01-01 00:00:00", "x"), ("n", 7, None, "x")], "txid string, asn long, at string, src_ip string").selectExpr("txid", "asn", "cast(at as timestamp) as timestamp", "src_ip")
+    fixed = {
+        t: (rng.choice([7, 7, 8, None]), f"2020-01-0{rng.randrange(1, 4)} 23:59:59", rng.choice(["x", "y", "z", None])) for (t,) in rows
+    }
+    df = spark.createDataFrame(
+        [(t, *fixed[t]) for (t,) in rows] + [(None, 7, "2020-01-01 00:00:00", "x"), ("n", 7, None, "x")],
+        "txid string, asn long, at string, src_ip string"
+    ).selectExpr("txid", "asn", "cast(at as timestamp) as timestamp", "src_ip")
     by = defaultdict(Counter)
     for asn, at, ip in fixed.values():
         if asn is not None and ip is not None:
