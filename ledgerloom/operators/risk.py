@@ -207,10 +207,9 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
         F.lit(1.0).alias("t"),
         F.lit(0).cast("bigint").alias("h"),
         none("string").alias("via"),
-        none("string").alias("src"),
-        F.lit(-1).alias("round")
+        none("string").alias("src")
     )
-    raises = delta = scratch.write(start, "start")
+    delta, raises = scratch.append(start, "raises", "round", 0)
     hits = None
     earlier = Window.partitionBy("w").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
     for k in count():
@@ -255,16 +254,14 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
             value.alias("t"),
             (F.col("m.h") + 1).alias("h"),
             F.col("m.src").alias("src"),
-            F.lit(k).alias("round"),
             "old"
         )
         same = (F.round("t", 12) == F.col("old.t")) & (F.col("h") == F.col("old.h")) & (F.col("src") == F.col("old.src"))
         hit = hit.where(~F.coalesce(same, F.lit(False))).drop("old")
-        hit = scratch.write(hit, f"hit{k}")
+        hit, hits = scratch.append(hit, "hits", "round", k)
         scratch.drop(f"asks{k}")
         if hit.isEmpty():
             break
-        hits = hit if hits is None else hits.unionByName(hit)
         co = spent.join(hit.where("not cj").select("txid", "t", "h", "src"), "txid").select(
             "w", "seq", "t", "h", F.col("txid").alias("via"), "src", F.lit(0).alias("o")
         )
@@ -282,9 +279,8 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
         # within a transaction a co-spend comes before an output of the same taint
         merged = co.unionByName(out).groupBy("w", "seq").agg(
             F.max(F.struct("t", (-F.col("o")).alias("o"), "h", "via", "src")).alias("m")
-        ).select("w", "seq", "m.t", "m.h", "m.via", "m.src", F.lit(k).alias("round"))
-        delta = scratch.write(merged, f"raises{k}")
-        raises = raises.unionByName(delta)
+        ).select("w", "seq", "m.t", "m.h", "m.via", "m.src")
+        delta, raises = scratch.append(merged, "raises", "round", k + 1)
     final = _latest(raises, ["w", "seq"]).where("t is not null")
     top = scratch.write(
         final.groupBy("w")
@@ -300,7 +296,7 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
     )
     walls = _trace(top, scratch)
     named = walls.select("node_id", "score", "seed_distance", "path")
-    if hits is not None:
+    if k:
         ways = walls.select(F.col("node_id").alias("src"), F.col("path").alias("way"))
         txs = _latest(hits, ["txid"]).where((F.col("t") >= FLOW_FLOOR) & (F.col("h") <= FLOW_HOPS)).join(ways, "src").select(
             F.col("txid").alias("node_id"),

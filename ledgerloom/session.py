@@ -74,5 +74,16 @@ class Scratch:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def append(self, df: DataFrame, name: str, part: str, value: int) -> tuple[DataFrame, DataFrame]:
+        """Add df to a table as the rows of part = value; those rows alone, and the whole table with the part's column.
+
+        The whole is one scan however many parts it has, so that each round of an iteration runs the plan of the last one.
+        """
+        folder = f"{self.root}/{name}"
+        df.write.parquet(f"{folder}/{part}={value}")
+        read = self.spark.read.schema(df.schema)
+        whole = self.spark.read.schema(f"{df.schema.toDDL()}, `{part}` int").parquet(folder)
+        return read.parquet(f"{folder}/{part}={value}"), whole
+
     def drop(self, name: str) -> None:
         _remove(self.spark, f"{self.root}/{name}")
