@@ -64,17 +64,41 @@ def propagate(nodes: DataFrame, relations: DataFrame, width: int) -> DataFrame:
     return whole.select(F.col("dst").alias("node_id"), F.array(*(f"v{i}" for i in range(width))).alias("x"))
 
 
-def propagated_features(nodes: DataFrame, relations: DataFrame, width: int, hops: int = 2) -> DataFrame:
-    """(node_id, x): own vector, then what arrives after one hop, two hops and so on, side by side."""
-    layers, now = [nodes.select("node_id", "x")], nodes
-    for _ in range(hops):
-        now = propagate(now, relations, width)
-        layers.append(now)
+#: The relations of both directions, in the order of a node's messages. Fixed values.
+RELATIONS = [
+    "FUNDS", "rev_FUNDS", "PAYS", "rev_PAYS", "BROADCAST_VIA", "rev_BROADCAST_VIA", "RESOLVES_TO", "rev_RESOLVES_TO", "CO_SPEND", "SAME_ENTITY",
+]
+
+
+def relation_messages(nodes: DataFrame, relations: DataFrame, width: int) -> DataFrame:
+    """(node_id, x): each node's own vector, then the mean of its neighbours' vectors by each of RELATIONS, zeros without any.
+
+    A projection of this has a weight matrix of its own for every relation and for the node itself: a graph layer over
+    typed edges. Means are plain columns, combined before the shuffle; a node has at most one row per relation after it.
+    """
+    sent = relations.join(nodes.withColumnRenamed("node_id", "src"), "src")
+    per = sent.groupBy("dst", "relation").agg(*(F.avg(F.get("x", i)).alias(f"v{i}") for i in range(width)))
+    packed = per.select("dst", "relation", F.array(*(f"v{i}" for i in range(width))).alias("v"))
+    own = packed.groupBy(F.col("dst").alias("node_id")).agg(F.map_from_entries(F.collect_list(F.struct("relation", "v"))).alias("m"))
     zero = F.array_repeat(F.lit(0.0), width)
-    out = layers[0].select("node_id", F.col("x").alias("x0"))
-    for k, layer in enumerate(layers[1:], 1):
-        out = out.join(layer.withColumnRenamed("x", f"x{k}"), "node_id", "left")
-    return out.select("node_id", F.concat(*(F.coalesce(f"x{k}", zero) for k in range(hops + 1))).alias("x"))
+    means = [F.coalesce(F.try_element_at("m", F.lit(r)), zero) for r in RELATIONS]
+    return nodes.join(own, "node_id", "left").select("node_id", F.concat("x", *means).alias("x"))
+
+
+def trained_embeddings(nodes: DataFrame, relations: DataFrame, width: int, scratch: Scratch, layers: int = 2) -> tuple[DataFrame, list[Projection]]:
+    """(node_id, embedding) of a graph encoder with learned weights per relation, and its layers.
+
+    Each layer is fitted for link prediction on what the layer before gives, and then applied to all nodes.
+    """
+    fitted: list[Projection] = []
+    now = nodes.select("node_id", "x")
+    for k in range(layers):
+        messages = scratch.write(relation_messages(now, relations, width), f"messages{k}")
+        fitted.append(fit_link_projection(messages, relations))
+        now = scratch.write(fitted[-1].apply(messages).withColumnRenamed("embedding", "x"), f"layer{k}")
+        scratch.drop(f"messages{k}")
+        width = DIMENSIONS
+    return now.withColumnRenamed("x", "embedding"), fitted
 
 
 @dataclass
@@ -147,8 +171,7 @@ def fit_link_projection(features: DataFrame, edges: DataFrame, seed: int = 7, mo
 
     Binary cross entropy over a bounded hash sample of the edges against as many false ones, whose ends are drawn uniformly
     from a bounded sample of all nodes; one that hits a true edge of the sample takes the next node. By Adam; plain numpy
-    with the gradient written out. It stands in for an encoder with learned message weights: here the
-    messages are means and only the projection is learned.
+    with the gradient written out. Over relation_messages it learns one weight matrix per relation.
     """
     some = bounded_sample(
         edges.select("relation", "src", "dst") if "relation" in edges.columns else edges.select("src", "dst"),

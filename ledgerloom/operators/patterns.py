@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -40,32 +41,35 @@ def next_hops(hops: DataFrame) -> DataFrame:
     """(txid, next): the hop of the target whose input is nearest to what is carried, if it is within CONTINUITY.
 
     Nearest means the closest amount from below or above, found by two running windows over amounts and questions
-    together: a wallet with many hops costs a sort, not a product. Equal distances: the earlier row.
+    together: a wallet with many hops costs a sort, not a product. Equal distances: the earlier row. Amounts are divided
+    into classes a little wider than CONTINUITY, so that whatever counts lies in the question's class or a neighbouring
+    one; a hot wallet is many windows of its distinct amounts.
     """
+    level = lambda c: F.floor(F.log(c) / F.lit(math.log(1 + 1.05 * CONTINUITY))).cast("bigint")
     first = hops.groupBy("source", "source_amount").agg(F.min(F.struct("row_index", "txid")).alias("f"))
-    have = first.select(
+    have = first.where("source_amount > 0").select(
         F.col("source").alias("w"),
+        level("source_amount").alias("level"),
         F.col("source_amount").alias("x"),
         F.struct(F.col("source_amount").alias("x"), "f.row_index", F.col("f.txid").alias("txid")).alias("hop"),
-        F.lit(None).cast("string").alias("ask")
-    )
-    ask = hops.select(
-        F.col("target").alias("w"),
-        F.col("carried").alias("x"),
-        F.lit(None).cast(have.schema["hop"].dataType).alias("hop"),
-        F.col("txid").alias("ask")
+        F.lit(False).alias("ask")
     )
+    asked = hops.where("carried > 0").select(F.col("target").alias("w"), F.col("carried").alias("x")).distinct()
+    around = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: level("x") + d)).alias("level")
+    ask = asked.select("w", around, "x", F.lit(None).cast(have.schema["hop"].dataType).alias("hop"), F.lit(True).alias("ask"))
     rows = have.unionByName(ask)
-    below = Window.partitionBy("w").orderBy("x", F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy("w").orderBy(F.desc("x"), F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumns({"b": F.last("hop", True).over(below), "a": F.last("hop", True).over(above)}).where("ask is not null")
+    below = Window.partitionBy("w", "level").orderBy("x", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("w", "level").orderBy(F.desc("x"), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumns({"b": F.last("hop", True).over(below), "a": F.last("hop", True).over(above)}).where("ask")
     option = lambda c: F.when(
         F.col(c).isNotNull(),
         F.struct(F.abs(F.col(c)["x"] - F.col("x")).alias("d"), F.col(c)["row_index"].alias("r"), F.col(c)["txid"].alias("t"))
     )
-    return near.select(
-        F.col("ask").alias("txid"), "x", F.least(option("a"), option("b")).alias("n")
-    ).where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("x")).select("txid", F.col("n.t").alias("next"))
+    best = near.groupBy("w", "x").agg(F.min(F.least(option("a"), option("b"))).alias("n"))
+    best = best.where(F.col("n.d") <= F.lit(CONTINUITY) * F.col("x")).select(
+        F.col("w").alias("target"), F.col("x").alias("carried"), F.col("n.t").alias("next")
+    )
+    return hops.select("txid", "target", "carried").join(best, ["target", "carried"]).select("txid", "next")
 
 
 def peel_walks(hops: DataFrame, scratch: Scratch) -> DataFrame:

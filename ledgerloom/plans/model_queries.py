@@ -45,13 +45,17 @@ def m2_propagated(spark, folder):
     return p.select("node_id", *(F.round(F.get("x", i), 6).alias(f"x{i}") for i in range(3)))
 
 
+def m2_relation_messages(spark, folder):
+    edges, nodes = _vectors(spark, folder)
+    m = mo.relation_messages(nodes, mo.both_directions(edges), 3)
+    return m.select("node_id", *(F.round(F.get("x", i), 6).alias(f"x{i}") for i in range(3 + 3 * len(mo.RELATIONS))))
+
+
 def m4_embeddings(spark, folder):
     scratch = Scratch(spark, "embeddings")
     edges, nodes = _vectors(spark, folder)
-    relations = scratch.write(mo.both_directions(edges), "relations")
-    features = scratch.write(mo.propagated_features(nodes, relations, 3), "features")
-    model = mo.fit_link_projection(features, relations)
-    e = model.apply(features)
+    relations, nodes = scratch.write(mo.both_directions(edges), "relations"), scratch.write(nodes, "nodes")
+    e = mo.trained_embeddings(nodes, relations, 3, scratch)[0]
     return e.select("node_id", F.size("embedding").alias("dimensions"), F.round(F.get("embedding", 0), 3).alias("emb_0"))
 
 
@@ -205,6 +209,16 @@ SQL = {
     )
     + " from f window w as (partition by node_type)",
     "m1_relations": f"with {EDGES}, {_REL} select relation, count(*) as edges from rel group by relation",
+    "m2_relation_messages": f"""with {EDGES}, {_REL}, half as (select source as n, target as o, 1 as s from edges union all select target, source, 0 from edges),
+x as (select n, ln(1 + count(*)) as x0, ln(1 + count(distinct o) filter (s = 0)) as x1, ln(1 + count(distinct o) filter (s = 1)) as x2 from half group by n),
+p as (select dst, """
+    + ", ".join(
+        f"coalesce(avg(x{i}) filter (relation = '{r}'), 0) as m{3 * k + i}" for k, r in enumerate(mo.RELATIONS) for i in range(3)
+    )
+    + """ from rel join x on n = src group by dst)
+select x.n as node_id, round(x0, 6) as x0, round(x1, 6) as x1, round(x2, 6) as x2, """
+    + ", ".join(f"round(coalesce(m{k}, 0), 6)::double as x{3 + k}" for k in range(3 * len(mo.RELATIONS)))
+    + """ from x left join p on p.dst = x.n""",
     "m2_propagated": f"""with {EDGES}, {_REL}, half as (select source as n, target as o, 1 as s from edges union all select target, source, 0 from edges),
 x as (select n, ln(1 + count(*)) as x0, ln(1 + count(distinct o) filter (s = 0)) as x1, ln(1 + count(distinct o) filter (s = 1)) as x2 from half group by n),
 p as (select dst, relation, avg(x0) as x0, avg(x1) as x1, avg(x2) as x2 from rel join x on n = src group by all) select dst as node_id, round(sum(x0), 6) as x0, round(sum(x1), 6) as x1, round(sum(x2), 6) as x2 from p group by dst""",

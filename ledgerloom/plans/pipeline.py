@@ -50,8 +50,7 @@ def embeddings(features: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_type, node_id, embedding) of every node."""
     scratch = Scratch(features.sparkSession, "embeddings")
     nodes, relations, width = _inputs(features, edges, scratch)
-    x = scratch.write(mo.propagated_features(nodes, relations, width), "propagated")
-    e = mo.fit_link_projection(x, relations).apply(x)
+    e = mo.trained_embeddings(nodes, relations, width, scratch)[0]
     return e.select(
         F.substring_index("node_id", ":", 1).alias("node_type"),
         F.expr("substring(node_id, instr(node_id, ':') + 1)").alias("node_id"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import hdbscan as hd
 from ledgerloom.operators import models as mo
 from ledgerloom.operators import similarity as sm
+from ledgerloom.session import Scratch
 
 
 def feature_frame(spark, n=80, outlier=True, seed=3):
@@ -70,11 +71,25 @@ def test_propagation(spark):
     assert np.allclose(got["ip0"], (x["tx0"] + x["tx1"]) / 2) and np.allclose(got["tx0"], x["w0"] + x["ip0"])
 
 
+def test_messages_by_relation(spark):
+    relations, nodes, _ = two_sides(spark)
+    x = {r["node_id"]: np.array(r["x"]) for r in nodes.collect()}
+    got = {r["node_id"]: np.array(r["x"]).reshape(-1, 3) for r in mo.relation_messages(nodes, relations, 3).collect()}
+    into = {}
+    for r in relations.collect():
+        into.setdefault((r["dst"], r["relation"]), []).append(x[r["src"]])
+    for node, rows in got.items():
+        assert np.allclose(rows[0], x[node])
+        for k, relation in enumerate(mo.RELATIONS):
+            assert np.allclose(rows[1 + k], np.mean(into.get((node, relation), [np.zeros(3)]), axis=0))
+
+
 def test_embeddings_keep_neighbourhoods(spark):
     relations, nodes, names = two_sides(spark)
-    features = mo.propagated_features(nodes, relations, 3)
-    e = {r["node_id"]: np.array(r["embedding"]) for r in mo.fit_link_projection(features, relations).apply(features).collect()}
+    out, layers = mo.trained_embeddings(nodes, relations, 3, Scratch(spark, "test"))
+    e = {r["node_id"]: np.array(r["embedding"]) for r in out.collect()}
     assert set(e) == set(names) and len(e["w0"]) == mo.DIMENSIONS
+    assert [p.weights.shape[0] for p in layers] == [3 * (1 + len(mo.RELATIONS)), mo.DIMENSIONS * (1 + len(mo.RELATIONS))]
     assert np.linalg.norm(e["w0"] - e["w1"]) < np.linalg.norm(e["w0"] - e["w2"])
 
 
