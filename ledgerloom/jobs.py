@@ -23,6 +23,7 @@ from .plans import pipeline, synth
 from .session import DEFAULTS
 from .sources import formats
 from .sources import ingest as judging
+from .sources import mmdb
 from .sources.tables import Tables
 
 
@@ -33,14 +34,16 @@ def generate(t: Tables, seed: int = 42, transactions: int = 200_000) -> None:
     t.write("truth", data["entities"])
 
 
-def ingest(t: Tables, source: str = "", kind: str = "parquet", pool: str = "") -> None:
+def ingest(t: Tables, source: str = "", kind: str = "parquet", pool: str = "", asn_mmdb: str = "", country_mmdb: str = "") -> None:
     """Records of a source, by default the generated ones, to `transactions`; what is refused to `rejects`, with the reason.
 
-    pool is the table of known networks (net_prefix, asn, geo_country), by default the generator's.
+    pool is the table of known networks (net_prefix, asn, geo_country), by default the generator's. With
+    asn_mmdb and country_mmdb networks are looked up in these databases instead.
     """
     records = formats.read_records(t.spark, source or f"{t.folder}/raw.parquet", kind)
     networks = t.spark.read.parquet(pool) if pool else pipeline.known_networks(t.spark)
-    t.write("judged", judging.judged_fields(records, networks))
+    by = mmdb.enrich_from(t.spark, asn_mmdb, country_mmdb) if asn_mmdb and country_mmdb else judging.enrich
+    t.write("judged", judging.judged_fields(records, networks, by))
     t.write("transactions", judging.accepted_rows(t.read("judged")))
     t.write("rejects", judging.reject_log(t.read("judged"), kind))
 

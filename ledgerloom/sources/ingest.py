@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +91,11 @@ def judged(raw: DataFrame, pool: DataFrame) -> DataFrame:
     return judged_fields(label_records(raw), pool)
 
 
-def judged_fields(rows: DataFrame, pool: DataFrame) -> DataFrame:
+def judged_fields(rows: DataFrame, pool: DataFrame, by: Callable[[DataFrame, DataFrame], DataFrame] = enrich) -> DataFrame:
     """Every record with its final reason: what does not load, what is not valid, what no network of the pool explains.
 
-    rows are (record_id, reason so far, the 14 fields as text, lists joined by |), as label_records gives them.
+    rows are (record_id, reason so far, the 14 fields as text, lists joined by |), as label_records gives them. by adds
+    pool_asn and pool_country to rows from the pool.
     """
     amounts = lambda c: F.when(F.col(c) == "", F.array().cast("array<double>")).otherwise(
         F.transform(F.split(c, "[|]"), lambda x: x.try_cast("double"))
@@ -102,7 +105,7 @@ def judged_fields(rows: DataFrame, pool: DataFrame) -> DataFrame:
         "reason",
         F.coalesce("reason", reject_reason(F.col("txid"), F.col("timestamp"), amounts("input_amounts"), amounts("output_amounts"), fee))
     )
-    return enrich(checked, pool).withColumn(
+    return by(checked, pool).withColumn(
         "reason", F.when(F.col("reason").isNull() & F.col("pool_asn").isNull(), "unresolvable_geoip").otherwise(F.col("reason"))
     )
 
