@@ -216,11 +216,12 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
         since = delta.groupBy("w").agg(F.min("seq").alias("since"))
         touched = spent.join(since, "w").where("seq > since").select("txid").distinct()
         asks = scratch.write(spent.join(touched, "txid", "left_semi"), f"asks{k}")
-        known = _latest(raises.join(asks.select("w").distinct(), "w", "left_semi"), ["w", "seq"]).where("t is not null")
+        known = raises.join(asks.select("w"), "w", "left_semi")
         rows = known.select(
             "w",
             "seq",
-            F.struct("t", (-F.col("seq")).alias("n"), "h").alias("e"),
+            "round",
+            F.when(F.col("t").isNotNull(), F.struct("t", (-F.col("seq")).alias("n"), "h")).alias("e"),
             none("string").alias("txid"),
             none("boolean").alias("cj"),
             none("double").alias("total"),
@@ -228,8 +229,12 @@ def flow_taint(flows: DataFrame, seeds: DataFrame) -> DataFrame:
             none("double").alias("a")
         )
         rows = rows.unionByName(
-            asks.select("w", "seq", none("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a")
+            asks.select(
+                "w", "seq", none("int").alias("round"), none("struct<t:double,n:bigint,h:bigint>").alias("e"), "txid", "cj", "total", "pos", "a"
+            )
         )
+        # one shuffle and one sort serve both windows: the latest entry of each raise, the best raise so far
+        rows = rows.withColumn("last", F.max("round").over(Window.partitionBy("w", "seq"))).where("txid is not null or round = last")
         best = rows.withColumn("b", F.max("e").over(earlier)).where("txid is not null and b is not null")
         part = best.select(
             "txid",

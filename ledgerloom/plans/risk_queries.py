@@ -55,13 +55,17 @@ def r9_degree_cutoff(spark, folder):
 
 
 def r10_flow_taint(spark, folder):
-    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select(
+    return rk.flow_taint(_flows(spark, folder), _seeds(spark, folder)).select(
         "node_id", F.round("score", 9).alias("score"), "seed_distance", "nearest_seed", F.array_join("path", ",").alias("path")
     )
 
 
+def _flows(spark, folder):
+    return Scratch(spark, "flows").write(ledger_flows(spark, folder), "flows")
+
+
 def r10_flow_scores(spark, folder):
-    return rk.flow_taint(ledger_flows(spark, folder), _seeds(spark, folder)).select(
+    return rk.flow_taint(_flows(spark, folder), _seeds(spark, folder)).select(
         "node_id", F.round("score", 9).alias("score"), "seed_distance"
     )
 
@@ -75,7 +79,7 @@ def r10_flow_taint_derived(spark, folder):
 def r12_combined(spark, folder):
     l, s = _links(spark, folder), _seeds(spark, folder)
     return rk.risk_rows(
-        rk.combine_risk(rk.ownership_risk(l, s), rk.flow_taint(ledger_flows(spark, folder), s))
+        rk.combine_risk(rk.ownership_risk(l, s), rk.flow_taint(_flows(spark, folder), s))
     ).select("node_id", F.round("score", 9).alias("score"), "reason_code")
 
 
