@@ -320,12 +320,30 @@ def _expected(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def _grown(x: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """One tree of a forest, by its number."""
+    rng = np.random.default_rng([seed, number])
+    rows = rng.choice(len(x), min(TREE_ROWS, len(x)), replace=False)
+    return np.array(_tree(x[rows], rng, max(1, math.ceil(math.log2(max(2, len(rows)))))))
+
+
 def _forest(x: np.ndarray, seed: int, trees: int) -> list[np.ndarray]:
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(trees):
-        rows = rng.choice(len(x), min(TREE_ROWS, len(x)), replace=False)
-        out.append(np.array(_tree(x[rows], rng, max(1, math.ceil(math.log2(max(2, len(rows))))))))
-    return out
+    return [_grown(x, seed, k) for k in range(trees)]
+
+
+def _forests(spark: SparkSession, x: np.ndarray, trees: int) -> list[list[np.ndarray]]:
+    """_forest for each of FOREST_SEEDS, every tree by whichever task comes to it; a tree has at most 2 * TREE_ROWS nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                tree = _grown(x, FOREST_SEEDS[i // trees], i % trees)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([tree.ravel()], pa.list_(pa.float64()))], names=["id", "tree"])
+
+    n = len(FOREST_SEEDS) * trees
+    rows = spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "id bigint, tree array<double>").toArrow()
+    found = dict(zip(rows["id"].to_pylist(), (t.values.to_numpy().reshape(-1, 5) for t in rows["tree"])))
+    return [[found[s * trees + k] for k in range(trees)] for s in range(len(FOREST_SEEDS))]
 
 
 def _depths(x: np.ndarray, forest: list[np.ndarray]) -> np.ndarray:
@@ -352,14 +370,16 @@ def isolation_scores(
     names the features that are farthest from the type's median.
     """
     df = features.where(F.col("node_type").isin(*kinds)).fillna(0.0, columns).select("node_id", "node_type", *squashed(columns))
-    forests = {}
+    df = Scratch(features.sparkSession, "isolation").write(df, "squashed")
+    forests, total = {}, 0
     for row in df.groupBy("node_type").agg(F.count("*").alias("n"), *(F.stddev_pop(c).alias(c) for c in columns)).collect():
         usable = [i for i, c in enumerate(columns) if row[c] and row[c] > 0]
+        total += row["n"]
         if row["n"] >= LEAST_NODES and usable:
             pool = bounded_sample(
                 df.where(F.col("node_type") == row["node_type"]), ["node_id"], FIT_ROWS
             ).select(*columns).toPandas().to_numpy(float)
-            forests[row["node_type"]] = (usable, [_forest(pool[:, usable], s, trees) for s in FOREST_SEEDS])
+            forests[row["node_type"]] = (usable, _forests(features.sparkSession, pool[:, usable], trees))
     ddl = "node_id string, node_type string, " + ", ".join(f"d{i} double" for i in range(len(FOREST_SEEDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +402,10 @@ def isolation_scores(
             )
 
     # all forests are ranked together, each within itself
-    depths = df.mapInArrow(run, ddl).select(
+    # a table of few bytes is many trees' work all the same: it is spread by rows
+    tasks = min(math.ceil(total / 1000), 4 * features.sparkSession.sparkContext.defaultParallelism)
+    spread = df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    depths = spread.mapInArrow(run, ddl).select(
         "node_id", "node_type", F.posexplode(F.array(*(F.col(f"d{i}") for i in range(len(FOREST_SEEDS))))).alias("forest", "depth")
     )
     scored = average_rank(depths, "depth", "place", ["node_type", "forest"]).groupBy("node_id", "node_type").agg(
