@@ -2,8 +2,10 @@
 
 import json
 import random
+import signal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +336,37 @@ def test_personal_ranks(spark, task_edges):
     assert set(ranks) == set(want) and all(abs(ranks[k] / top - want[k]) < 1e-10 for k in want)
 
 
+@pytest.fixture
+def minute():
+    """Ends a test that would run for ever."""
+
+    def over(*_):
+        raise TimeoutError
+
+    signal.signal(signal.SIGALRM, over)
+    signal.alarm(60)
+    yield
+    signal.alarm(0)
+
+
+def test_ranks_of_a_hub_end(minute):
+    """Rounding keeps this hub's rank, of some hundreds, moving by more than 1e-12 for ever."""
+    rng = np.random.default_rng(0)
+    pairs = [("w0", f"w{i}") for i in range(1, 2001)] + [(f"w{a}", f"w{b}") for a, b in rng.integers(1, 2001, (50, 2)) if a != b]
+    seeds = [f"w{i}" for i in range(2001)]
+    none = [None] * len(pairs)
+    table = pa.table({
+        "a": pa.array([a for a, _ in pairs] + [None] * len(seeds), pa.string()),
+        "b": pa.array([b for _, b in pairs] + [None] * len(seeds), pa.string()),
+        "seed": pa.array(none + seeds, pa.string()),
+    })
+    got = rk._rank_components(0.85)(table)
+    want = exact_ranks(pairs, set(seeds), 0.85)
+    ranks = dict(zip(got["node_id"].to_pylist(), got["rank"].to_pylist()))
+    top = max(ranks.values())
+    assert set(ranks) == set(want) and all(abs(ranks[k] / top - want[k]) < 1e-10 for k in want)
+
+
 def test_combine_risk(spark):
     s = "node_id string, score double, seed_distance long, nearest_seed string, path array<string>"
     own = spark.createDataFrame([("n", 0.2, 1, "s", ["s"]), ("m", 0.1, 1, "s", ["s"]), ("t", 0.5, 1, "own", ["s"])], s)
