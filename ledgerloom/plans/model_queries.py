@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
@@ -30,13 +33,15 @@ def m1_relations(spark, folder):
 
 
 def _vectors(spark, folder):
+    edges = gr.edges(ledger_flows(spark, folder))
+    return edges, _node_vectors(edges)
+
+
+def _node_vectors(edges):
     """Three columns that every node has: its degree, its distinct neighbours and whether it is a wallet."""
     from ..operators.features import topology
 
-    flows = ledger_flows(spark, folder)
-    edges = gr.edges(flows)
-    t = topology(edges)
-    return edges, t.select("node_id", F.array(F.log1p("f_degree_total"), F.log1p("f_fan_in"), F.log1p("f_fan_out")).alias("x"))
+    return topology(edges).select("node_id", F.array(F.log1p("f_degree_total"), F.log1p("f_fan_in"), F.log1p("f_fan_out")).alias("x"))
 
 
 def m2_propagated(spark, folder):
@@ -70,23 +75,44 @@ _PARAMETERS = [
 ]
 
 
+#: Both directions of the edges that a ledger gives by itself.
+_LEDGER_RELATIONS = [f"{way}{t}" for t in gr.EDGE_TYPES[:4] for way in ("", "rev_")]
+
+
+def _first_layer(spark, folder, part):
+    """part(sums, weights) of the first layer, relation by relation: softmaxes don't cross relations, and the shuffles of
+    one are gone when the next begins."""
+    scratch = Scratch(spark, "attention")
+    edges = scratch.write(gr.edges(ledger_flows(spark, folder)).select("edge_type", "source", "target"), "edges")
+    nodes = scratch.write(_node_vectors(edges), "nodes")
+    both = mo.both_directions(edges)
+    parts = [
+        scratch.write(part(*mo.attention_sums(nodes, both.where(F.col("relation") == r), *_PARAMETERS[:3])), r) for r in _LEDGER_RELATIONS
+    ]
+    scratch.drop("edges")
+    scratch.drop("nodes")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _attention(spark, folder):
     scratch = Scratch(spark, "attention")
     edges, nodes = _vectors(spark, folder)
     relations, nodes = scratch.write(mo.both_directions(edges), "relations"), scratch.write(nodes, "nodes")
     first = mo.attention_layer(nodes, relations, *_PARAMETERS[:3])
-    second = mo.attention_layer(first[0], relations, *_PARAMETERS[3:])
+    second = mo.attention_layer(scratch.write(first[0], "middle"), relations, *_PARAMETERS[3:])
     return first, second
 
 
 def m8_attention(spark, folder):
-    (new, _), _ = _attention(spark, folder)
+    sums = _first_layer(spark, folder, lambda sums, _: sums)
+    new = mo.activated(sums.groupBy("node_id").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(4))), 4)
     return new.select("node_id", *(F.round(F.get("x", i), 6).alias(f"x{i}") for i in range(4)))
 
 
 def m9_attention_weights(spark, folder):
-    (_, attention), _ = _attention(spark, folder)
-    return attention.groupBy("relation", "src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    return _first_layer(
+        spark, folder, lambda _, weights: weights.groupBy("relation", "src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    )
 
 
 def m5_embedding_columns(spark, folder):

@@ -215,3 +215,19 @@ def test_similarity_flood(spark, block):
     assert [r["node_id"] for r in sm.flag_outliers(best).collect()] == ["copy"]
     few = sm.flag_outliers(sm.nearest_references(v.where("node_id in ('c000', 'copy', 'ref')"), refs, block))
     assert {r["node_id"] for r in few.collect()} == {"c000", "copy"}
+
+
+def test_first_layer_alone(spark, monkeypatch):
+    """The queries of the first layer never shuffle the edges of a second one, and work relation by relation."""
+    from ledgerloom.plans import model_queries as mq
+
+    seen, real = [], mo.attention_sums
+
+    def noted(nodes, relations, left, *rest):
+        seen.append((left.shape[0], [r[0] for r in relations.select("relation").distinct().collect()]))
+        return real(nodes, relations, left, *rest)
+
+    monkeypatch.setattr(mo, "attention_sums", noted)
+    assert mq.m9_attention_weights(spark, "/root/testdata/sf0.001").count() > 0
+    assert {width for width, _ in seen} == {3} and all(len(kinds) <= 1 for _, kinds in seen)
+    assert len([k for _, kinds in seen for k in kinds]) == len({k for _, kinds in seen for k in kinds}) == 8
