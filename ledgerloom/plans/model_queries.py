@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import models as mo
 from ..operators.hdbscan import hdbscan
-from ..session import Scratch
+from ..session import Scratch, free_shuffles
 from ..sources.tables import table
 from .graph_queries import ledger_flows
 from .ledger_sql import EDGES
@@ -37,11 +37,14 @@ def _vectors(spark, folder):
     return edges, _node_vectors(edges)
 
 
-def _node_vectors(edges):
-    """Three columns that every node has: its degree, its distinct neighbours and whether it is a wallet."""
+def _node_vectors(edges, part=None):
+    """Three columns that every node has: its degree, its distinct neighbours and whether it is a wallet. With part (k, n), of
+    the nodes whose name's hash is k of n."""
     from ..operators.features import topology
 
-    return topology(edges).select("node_id", F.array(F.log1p("f_degree_total"), F.log1p("f_fan_in"), F.log1p("f_fan_out")).alias("x"))
+    df = topology(edges)
+    df = df if part is None else df.where(F.pmod(F.xxhash64("node_id"), F.lit(part[1])) == part[0])
+    return df.select("node_id", F.array(F.log1p("f_degree_total"), F.log1p("f_fan_in"), F.log1p("f_fan_out")).alias("x"))
 
 
 def m2_propagated(spark, folder):
@@ -79,16 +82,27 @@ _PARAMETERS = [
 _LEDGER_RELATIONS = [f"{way}{t}" for t in gr.EDGE_TYPES[:4] for way in ("", "rev_")]
 
 
+#: Parts of the nodes whose half-edges are shuffled one after the other.
+_NODE_PARTS = 4
+
+
 def _first_layer(spark, folder, part):
     """part(sums, weights) of the first layer, relation by relation: softmaxes don't cross relations, and the shuffles of
-    one are gone when the next begins."""
+    one are freed before the next begins. So are those of the vectors, which are found for one of _NODE_PARTS of the nodes at
+    a time."""
     scratch = Scratch(spark, "attention")
-    edges = scratch.write(gr.edges(ledger_flows(spark, folder)).select("edge_type", "source", "target"), "edges")
-    nodes = scratch.write(_node_vectors(edges), "nodes")
+
+    def stored(df, name):
+        df = scratch.write(df, name)
+        free_shuffles(spark)
+        return df
+
+    edges = stored(gr.edges(ledger_flows(spark, folder)).select("edge_type", "source", "target"), "edges")
+    nodes = reduce(
+        DataFrame.unionByName, [stored(_node_vectors(edges, (k, _NODE_PARTS)), f"nodes/part{k}") for k in range(_NODE_PARTS)]
+    )
     both = mo.both_directions(edges)
-    parts = [
-        scratch.write(part(*mo.attention_sums(nodes, both.where(F.col("relation") == r), *_PARAMETERS[:3])), r) for r in _LEDGER_RELATIONS
-    ]
+    parts = [stored(part(*mo.attention_sums(nodes, both.where(F.col("relation") == r), *_PARAMETERS[:3])), r) for r in _LEDGER_RELATIONS]
     scratch.drop("edges")
     scratch.drop("nodes")
     return reduce(DataFrame.unionByName, parts)
